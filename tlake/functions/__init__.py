@@ -1,20 +1,24 @@
 from tlake.functions.attributes import (
     any_value_text,
     attr_key,
+    attr_pairs,
     attrs_to_map,
     empty_map,
     first_attr,
+    looked_up,
     map_text,
+    own_key,
     upsert,
 )
 from tlake.functions.scalar import (
     array_first,
     as_bigint,
+    computed_once,
     epoch_micros,
     from_micros,
     from_unix_nanos,
-    json_array,
     json_string,
+    json_value,
     like_literal,
     literal_time,
     readable_size,
@@ -26,8 +30,8 @@ from tlake.functions.scalar import (
 )
 
 __all__ = [
-    "any_value_text", "array_first", "as_bigint", "attr_key", "attrs_to_map", "empty_map", "epoch_micros",
-    "first_attr", "from_micros", "from_unix_nanos", "json_array", "json_string", "like_literal",
-    "literal_time", "map_text", "readable_size", "text", "time_bucket", "trunc_second",
+    "any_value_text", "array_first", "as_bigint", "attr_key", "attr_pairs", "attrs_to_map", "computed_once", "empty_map", "epoch_micros",
+    "first_attr", "from_micros", "from_unix_nanos", "json_string", "json_value", "like_literal",
+    "literal_time", "looked_up", "map_text", "own_key", "readable_size", "text", "time_bucket", "trunc_second",
     "unix_nanos", "unix_seconds", "upsert",
 ]

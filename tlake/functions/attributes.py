@@ -61,6 +61,28 @@ def upsert(m: Column | str, entries: dict[str, Column | str]) -> Column:
     return F.map_concat(kept, F.create_map(*parts))
 
 
+def attr_pairs(m: Column | str) -> Column:
+    """A map as sorted key/value list: unlike a map it can be grouped, joined, sorted and
+    used as a window key."""
+    return F.sort_array(F.map_entries(_c(m)))
+
+
 def attr_key(m: Column | str) -> Column:
-    """Canonical text of a map: equal maps give equal text, so it can be joined and sorted."""
-    return F.to_json(F.array_sort(F.map_entries(_c(m))))
+    """Canonical text of a map: equal maps give equal text."""
+    return F.to_json(attr_pairs(m))
+
+
+def own_key(key: Column | str, present: Column, *own: Column | str) -> Column:
+    """Lookup key that never matches where ``present`` is false.
+
+    Rows without a key to look up would all meet in one shuffle partition under
+    an empty or NULL key; made from their own columns, their keys spread.
+    """
+    return F.when(present, F.concat(F.lit("id:"), _c(key))).otherwise(
+        F.concat(F.lit("own:"), F.xxhash64(*own).cast("string"))
+    )
+
+
+def looked_up(key: Column | str) -> Column:
+    """The other side of ``own_key``."""
+    return F.concat(F.lit("id:"), _c(key))

@@ -1,26 +1,23 @@
-"""Scalar expressions. All of them stay inside the JVM and do not depend on the
-session time zone."""
+"""Scalar expressions. All of them stay inside the JVM. Times are UTC, see
+``session.RUNTIME_CONF``."""
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
-
-
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
 def from_micros(us: Column | str) -> Column:
-    return F.timestamp_add("MICROSECOND", _c(us), F.expr(_EPOCH))
+    return F.timestamp_micros(_c(us)).cast("timestamp_ntz")
 
 
 def epoch_micros(ts: Column | str) -> Column:
-    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), _c(ts).cast("timestamp_ntz"))
+    return F.unix_micros(_c(ts).cast("timestamp"))
 
 
 def from_unix_nanos(ns: Column | str) -> Column:
@@ -92,7 +89,8 @@ def json_string(doc: Column | str, *steps: str | int) -> Column:
     return F.coalesce(F.get_json_object(_c(doc), _json_path(*steps)), F.lit(""))
 
 
-def json_array(doc: Column | str, schema: str, *steps: str | int) -> Column:
+def json_value(doc: Column | str, schema: str, *steps: str | int) -> Column:
+    """Typed value at a path (JSONExtract with a type)."""
     return F.from_json(F.get_json_object(_c(doc), _json_path(*steps)), schema)
 
 
@@ -111,3 +109,12 @@ def like_literal(x: Column | str, prefix: str = "", suffix: str = "") -> Column:
     """LIKE with literal underscores and percent signs around one free part."""
     esc = lambda s: s.replace("\\", "\\\\").replace("_", "\\_").replace("%", "\\%")
     return _c(x).like(f"{esc(prefix)}%{esc(suffix)}")
+
+
+def computed_once(df: DataFrame, expr: Column, name: str) -> DataFrame:
+    """Add a costly column so that filters on it do not compute it a second time.
+
+    A filter is moved below a plain projection together with a copy of the
+    expression; it is not moved below a generator.
+    """
+    return df.select("*", F.explode(F.array(expr)).alias(name))

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tlake.functions import time_bucket
+from tlake.functions import epoch_micros, time_bucket
 from tlake.operators.transforms import has_trace, recent
 
 
@@ -70,5 +70,5 @@ def session_summary(df: DataFrame) -> DataFrame:
         df.select("Timestamp", sid.alias("sessionId")).filter("sessionId is not null")
         .groupBy("sessionId")
         .agg(F.min("Timestamp").alias("start"), F.max("Timestamp").alias("end"), F.count("*").alias("n"))
-        .withColumn("duration_us", F.timestamp_diff("MICROSECOND", F.col("start"), F.col("end")))
+        .withColumn("duration_us", epoch_micros("end") - epoch_micros("start"))
     )

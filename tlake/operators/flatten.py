@@ -13,8 +13,7 @@ from tlake.functions import (
     empty_map,
     first_attr,
     from_unix_nanos,
-    json_array,
-    json_string,
+    json_value,
     text,
     trunc_second,
 )
@@ -35,21 +34,48 @@ def unnest(df: DataFrame, column: str, keep_empty: bool = False) -> DataFrame:
     )
 
 
-def _three_levels(df, outer, mid, leaf, keep_empty):
-    explode = F.explode_outer if keep_empty else F.explode
+def _three_levels(
+    df: DataFrame,
+    outer: str,
+    mid: str,
+    leaf: str,
+    per_resource: list[Column | str],
+    per_scope: list[Column | str],
+    keep_empty: bool = False,
+) -> DataFrame:
+    """Columns of the resource and of the scope, and ``item``, one row per leaf element.
+
+    ``per_resource`` reads ``resource`` and ``res_url``, ``per_scope`` reads ``scope``
+    and ``scope_url``; both are computed before the level below is unnested, once per
+    list and not once per element. Each list is a column of its own when it is
+    unnested, so that no element drags the list it came from along.
+
+    All levels use the outer form; without ``keep_empty`` rows without an element go at
+    the end. An inner explode would make the optimizer test the list for emptiness below
+    the projection that parses it, and parse the text once more for the test.
+    """
     carried = [c for c in df.columns if c != outer]
-    return (
-        df.select(*carried, explode(outer).alias("res"))
-        .select(*carried, "res.resource", F.col("res.schemaUrl").alias("res_url"),
-                explode(f"res.{mid}").alias("sc"))
-        .select(*carried, "resource", "res_url", "sc.scope", F.col("sc.schemaUrl").alias("scope_url"),
-                explode(f"sc.{leaf}").alias("item"))
+    named = lambda cols, frame: frame.select(*cols).columns
+    res = df.select(*carried, F.explode_outer(outer).alias("_r")).select(
+        *carried, F.col("_r.resource").alias("resource"), F.col("_r.schemaUrl").alias("res_url"),
+        F.col(f"_r.{mid}").alias("_list"),
+    )
+    above = [*carried, *named(per_resource, res)]
+    res = res.select(*carried, *per_resource, "_list")
+    scope = res.select(*above, F.explode_outer("_list").alias("_s")).select(
+        *above, F.col("_s.scope").alias("scope"), F.col("_s.schemaUrl").alias("scope_url"),
+        F.col(f"_s.{leaf}").alias("_list"),
     )
+    kept = [*above, *named(per_scope, scope)]
+    flat = scope.select(*above, *per_scope, "_list").select(*kept, F.explode_outer("_list").alias("item"))
+    return flat if keep_empty else flat.filter(F.col("item").isNotNull())
 
 
 def flatten_otlp_logs(df: DataFrame, keep_empty: bool = True) -> DataFrame:
     """resourceLogs → scopeLogs → logRecords; columns resource, res_url, scope, scope_url, item."""
-    return _three_levels(df, "resourceLogs", "scopeLogs", "logRecords", keep_empty)
+    return _three_levels(
+        df, "resourceLogs", "scopeLogs", "logRecords", ["resource", "res_url"], ["scope", "scope_url"], keep_empty
+    )
 
 
 def archive_logs(df: DataFrame) -> DataFrame:
@@ -57,9 +83,11 @@ def archive_logs(df: DataFrame) -> DataFrame:
 
     Requests with an empty list on any level keep one row with default values.
     """
-    return flatten_otlp_logs(df).select(
+    service = first_attr("resource.attributes", "service.name").alias("service_name")
+    flat = _three_levels(df, "resourceLogs", "scopeLogs", "logRecords", [service], [], keep_empty=True)
+    return flat.select(
         from_unix_nanos(as_bigint("item.timeUnixNano")).alias("timestamp"),
-        first_attr("resource.attributes", "service.name").alias("service_name"),
+        "service_name",
         text("item.severityText").alias("severity"),
         text("item.body.stringValue").alias("body"),
         text("item.traceId").alias("trace_id"),
@@ -76,26 +104,25 @@ def container_fields(lines: DataFrame, first_only: bool = True) -> DataFrame:
     """
     if not first_only:
         parsed = lines.select(F.from_json("value", schemas.OTLP_LOGS).alias("r")).select("r.*")
-        return flatten_otlp_logs(parsed).select(
-            from_unix_nanos(as_bigint("item.timeUnixNano")).alias("timestamp"),
-            first_attr("resource.attributes", "k8s.namespace.name").alias("namespace"),
-            first_attr("resource.attributes", "k8s.pod.name").alias("pod_name"),
-            first_attr("resource.attributes", "k8s.container.name").alias("container_name"),
-            text("item.body.stringValue").alias("log_body"),
-            text("item.severityText").alias("severity"),
+        names = {"namespace": "k8s.namespace.name", "pod_name": "k8s.pod.name", "container_name": "k8s.container.name"}
+        pod = [first_attr("resource.attributes", k).alias(n) for n, k in names.items()]
+        flat = _three_levels(parsed, "resourceLogs", "scopeLogs", "logRecords", pod, [], keep_empty=True)
+        return flat.select(
+            from_unix_nanos(as_bigint("item.timeUnixNano")).alias("timestamp"), *names,
+            text("item.body.stringValue").alias("log_body"), text("item.severityText").alias("severity"),
         )
-    rec = ("resourceLogs", 1, "scopeLogs", 1, "logRecords", 1)
-    attrs = lines.select(
-        "value",
-        json_array("value", schemas.KEY_VALUES, "resourceLogs", 1, "resource", "attributes").alias("attrs"),
+    # Two passes over the line, each cut down to what is read from it.
+    parts = lines.select(
+        json_value("value", schemas.LOG_RECORD, "resourceLogs", 1, "scopeLogs", 1, "logRecords", 1).alias("rec"),
+        json_value("value", schemas.KEY_VALUES, "resourceLogs", 1, "resource", "attributes").alias("attrs"),
     )
-    return attrs.select(
-        from_unix_nanos(as_bigint(json_string("value", *rec, "timeUnixNano"))).alias("timestamp"),
+    return parts.select(
+        from_unix_nanos(as_bigint("rec.timeUnixNano")).alias("timestamp"),
         first_attr("attrs", "k8s.namespace.name").alias("namespace"),
         first_attr("attrs", "k8s.pod.name").alias("pod_name"),
         first_attr("attrs", "k8s.container.name").alias("container_name"),
-        json_string("value", *rec, "body", "stringValue").alias("log_body"),
-        json_string("value", *rec, "severityText").alias("severity"),
+        text("rec.body.stringValue").alias("log_body"),
+        text("rec.severityText").alias("severity"),
     )
 
 
@@ -136,8 +163,23 @@ def log_rows(df: DataFrame, given: dict[str, Column]) -> DataFrame:
 
 def otlp_to_logs(df: DataFrame) -> DataFrame:
     """Requests → rows in table layout plus ``ObservedTimestamp_ns`` (0 = not set)."""
-    flat = flatten_otlp_logs(df, keep_empty=False)
+    flat = _three_levels(
+        df, "resourceLogs", "scopeLogs", "logRecords",
+        [
+            text("res_url").alias("ResourceSchemaUrl"),
+            attrs_to_map("resource.attributes").alias("ResourceAttributes"),
+            first_attr("resource.attributes", "service.name").alias("ServiceName"),
+        ],
+        [
+            text("scope_url").alias("ScopeSchemaUrl"),
+            text("scope.name").alias("ScopeName"),
+            text("scope.version").alias("ScopeVersion"),
+            attrs_to_map("scope.attributes").alias("ScopeAttributes"),
+        ],
+    )
     rows = flat.select(
+        "ResourceSchemaUrl", "ResourceAttributes", "ServiceName",
+        "ScopeSchemaUrl", "ScopeName", "ScopeVersion", "ScopeAttributes",
         _number("item.timeUnixNano").alias("Timestamp_ns"),
         _number("item.observedTimeUnixNano").alias("ObservedTimestamp_ns"),
         text("item.traceId").alias("TraceId"),
@@ -145,14 +187,7 @@ def otlp_to_logs(df: DataFrame) -> DataFrame:
         _number("item.flags").alias("TraceFlags"),
         text("item.severityText").alias("SeverityText"),
         _number("item.severityNumber").cast("int").alias("SeverityNumber"),
-        first_attr("resource.attributes", "service.name").alias("ServiceName"),
         text(any_value_text(F.col("item.body"))).alias("Body"),
-        text("res_url").alias("ResourceSchemaUrl"),
-        attrs_to_map("resource.attributes").alias("ResourceAttributes"),
-        text("scope_url").alias("ScopeSchemaUrl"),
-        text("scope.name").alias("ScopeName"),
-        text("scope.version").alias("ScopeVersion"),
-        attrs_to_map("scope.attributes").alias("ScopeAttributes"),
         attrs_to_map("item.attributes").alias("LogAttributes"),
         text("item.eventName").alias("EventName"),
     )
@@ -174,7 +209,14 @@ def _enum(x: Column, names: list[str], prefix: str) -> Column:
 
 
 def otlp_to_spans(df: DataFrame) -> DataFrame:
-    flat = _three_levels(df, "resourceSpans", "scopeSpans", "spans", keep_empty=False)
+    flat = _three_levels(
+        df, "resourceSpans", "scopeSpans", "spans",
+        [
+            first_attr("resource.attributes", "service.name").alias("ServiceName"),
+            attrs_to_map("resource.attributes").alias("ResourceAttributes"),
+        ],
+        [text("scope.name").alias("ScopeName"), text("scope.version").alias("ScopeVersion")],
+    )
     start = _number("item.startTimeUnixNano")
     return flat.select(
         from_unix_nanos(start).alias("Timestamp"),
@@ -185,10 +227,7 @@ def otlp_to_spans(df: DataFrame) -> DataFrame:
         text("item.traceState").alias("TraceState"),
         text("item.name").alias("SpanName"),
         _enum(F.col("item.kind"), SPAN_KINDS, "SPAN_KIND_").alias("SpanKind"),
-        first_attr("resource.attributes", "service.name").alias("ServiceName"),
-        attrs_to_map("resource.attributes").alias("ResourceAttributes"),
-        text("scope.name").alias("ScopeName"),
-        text("scope.version").alias("ScopeVersion"),
+        "ServiceName", "ResourceAttributes", "ScopeName", "ScopeVersion",
         attrs_to_map("item.attributes").alias("SpanAttributes"),
         F.greatest(_number("item.endTimeUnixNano") - start, F.lit(0).cast("bigint")).alias("Duration"),
         _enum(F.col("item.status.code"), STATUS_CODES, "STATUS_CODE_").alias("StatusCode"),
@@ -295,30 +334,32 @@ _KIND_FIELD = {
 
 def otlp_to_metrics(df: DataFrame) -> dict[str, DataFrame]:
     """Requests → one frame per point kind, in table layout."""
-    flat = _three_levels(df, "resourceMetrics", "scopeMetrics", "metrics", keep_empty=False)
+    per_resource = [
+        attrs_to_map("resource.attributes").alias("ResourceAttributes"),
+        text("res_url").alias("ResourceSchemaUrl"),
+        first_attr("resource.attributes", "service.name").alias("ServiceName"),
+    ]
+    per_scope = [
+        text("scope.name").alias("ScopeName"), text("scope.version").alias("ScopeVersion"),
+        attrs_to_map("scope.attributes").alias("ScopeAttributes"),
+        _number("scope.droppedAttributesCount").alias("ScopeDroppedAttrCount"),
+        text("scope_url").alias("ScopeSchemaUrl"),
+    ]
+    flat = _three_levels(df, "resourceMetrics", "scopeMetrics", "metrics", per_resource, per_scope)
+    above = [c for c in flat.columns if c != "item"]
     out = {}
     for kind, field in _KIND_FIELD.items():
-        keep = ["resource", "res_url", "scope", "scope_url",
-                F.col("item.name").alias("name"), F.col("item.description").alias("description"),
-                F.col("item.unit").alias("unit")]
+        keep = [*above, text("item.name").alias("MetricName"), text("item.description").alias("MetricDescription"),
+                text("item.unit").alias("MetricUnit")]
         if kind in ("sum", "histogram", "exp_histogram"):
             keep.append(_temporality(f"item.{field}.aggregationTemporality").alias("AggregationTemporality"))
         if kind == "sum":
             keep.append(F.coalesce(F.col("item.sum.isMonotonic"), F.lit(False)).alias("IsMonotonic"))
-        points = flat.select(*keep, F.explode(f"item.{field}.dataPoints").alias("p"))
+        lists = flat.select(*keep, F.col(f"item.{field}.dataPoints").alias("_list"))
+        points = lists.select(*[c for c in lists.columns if c != "_list"], F.explode("_list").alias("p"))
         start, at = _number("p.startTimeUnixNano"), _number("p.timeUnixNano")
         rows = points.select(
-            attrs_to_map("resource.attributes").alias("ResourceAttributes"),
-            text("res_url").alias("ResourceSchemaUrl"),
-            text("scope.name").alias("ScopeName"),
-            text("scope.version").alias("ScopeVersion"),
-            attrs_to_map("scope.attributes").alias("ScopeAttributes"),
-            _number("scope.droppedAttributesCount").alias("ScopeDroppedAttrCount"),
-            text("scope_url").alias("ScopeSchemaUrl"),
-            first_attr("resource.attributes", "service.name").alias("ServiceName"),
-            text("name").alias("MetricName"),
-            text("description").alias("MetricDescription"),
-            text("unit").alias("MetricUnit"),
+            *above, "MetricName", "MetricDescription", "MetricUnit",
             attrs_to_map("p.attributes").alias("Attributes"),
             from_unix_nanos(start).alias("StartTimeUnix"), start.alias("StartTimeUnix_ns"),
             from_unix_nanos(at).alias("TimeUnix"), at.alias("TimeUnix_ns"),

@@ -7,23 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tlake import schemas
-from tlake.functions import attr_key, time_bucket
+from tlake.functions import attr_pairs, time_bucket
 from tlake.functions.scalar import bucket_micros
 
 SERIES = ["ServiceName", "MetricName", "attr_key"]
 
 
 def _keyed(df: DataFrame) -> DataFrame:
-    return df.withColumn("attr_key", attr_key("Attributes"))
+    """Series key as a sorted list; rendered as text only on the results."""
+    return df.withColumn("attr_key", attr_pairs("Attributes"))
+
+
+def _rendered(df: DataFrame) -> DataFrame:
+    return df.withColumn("attr_key", F.to_json("attr_key"))
 
 
 def gauge_series(df: DataFrame, bucket: str = "1 hour") -> DataFrame:
     """avg/min/max/last per series and time bucket."""
-    return (
+    return _rendered(
         _keyed(df).groupBy(time_bucket("TimeUnix", bucket).alias("bucket"), *SERIES)
         .agg(
             F.avg("Value").alias("avg"), F.min("Value").alias("min"), F.max("Value").alias("max"),
-            F.max_by("Value", F.struct("TimeUnix_ns", "Value")).alias("last"), F.count("*").alias("n"),
+            F.max_by("Value", "TimeUnix_ns").alias("last"), F.count("*").alias("n"),
         )
     )
 
@@ -50,14 +55,16 @@ def counter_increase(df: DataFrame, series: list[str], bucket: str, slice_width:
         return F.when(prev.isNull(), 0.0).when(reset, cur).otherwise(cur - prev)
 
     delta = F.col("AggregationTemporality") == 1
-    prev = F.lag("Value").over(Window.partitionBy(*line, "slice").orderBy(*order))
+    inside = Window.partitionBy(*line, "slice").orderBy(*order)
+    prev, following = F.lag("Value").over(inside), F.lead("Value").over(inside)
     slices = (
-        points.withColumn("_step", F.when(delta, F.col("Value")).otherwise(step(prev, F.col("Value"))))
+        points.withColumns({"_prev": prev, "_next": following})
+        .withColumn("_step", F.when(delta, F.col("Value")).otherwise(step(F.col("_prev"), F.col("Value"))))
         .groupBy(*line, "slice")
         .agg(
             F.sum("_step").alias("inside"), F.count("*").alias("n"),
-            F.min_by("Value", F.struct(*order)).alias("first"),
-            F.max_by("Value", F.struct(*order)).alias("last"),
+            F.max(F.when(F.col("_prev").isNull(), F.col("Value"))).alias("first"),
+            F.max(F.when(F.col("_next").isNull(), F.col("Value"))).alias("last"),
         )
     )
     before = F.lag("last").over(Window.partitionBy(*line).orderBy("slice"))
@@ -73,9 +80,8 @@ def counter_increase(df: DataFrame, series: list[str], bucket: str, slice_width:
 def counter_rate(df: DataFrame, bucket: str = "1 hour", slice_width: str = "1 minute") -> DataFrame:
     """Increase and per-second rate of counters per series and time bucket."""
     seconds = bucket_micros(bucket) / 1e6
-    return counter_increase(_keyed(df), SERIES, bucket, slice_width).withColumn(
-        "rate", F.col("increase") / F.lit(seconds)
-    )
+    increase = counter_increase(_keyed(df), SERIES, bucket, slice_width)
+    return _rendered(increase).withColumn("rate", F.col("increase") / F.lit(seconds))
 
 
 def histogram_quantile(

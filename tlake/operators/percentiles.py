@@ -12,24 +12,33 @@ SHIFTS = (42, 21, 0)
 
 
 def exact_percentiles(
-    df: DataFrame, keys: list[str], column: str, qs: dict[str, float], extra: dict[str, Column] | None = None
+    df: DataFrame, keys: list[str], column: str, qs: dict[str, float], flags: dict[str, Column] | None = None
 ) -> DataFrame:
-    """Linear-interpolated percentiles of a BIGINT column per group.
+    """Linear-interpolated percentiles of a BIGINT column per group, NULLs left out.
 
-    ``qs`` maps output names to fractions; ``extra`` maps output names to BIGINT
-    expressions that are summed per group. The count comes out as ``n``.
+    ``qs`` maps output names to fractions; ``flags`` maps output names to
+    conditions that are counted. ``n`` is the count and ``total`` the sum.
 
     Rows are first counted per (group, value). Then, for each wanted rank, the
     bucket of leading bits that holds it is found from bucket totals, and only
-    that bucket is opened on the next level.
+    that bucket is opened on the next level. The counts are the same plan on
+    every level (key struct and value are never NULL and the flags are grouping
+    columns, so no filter or pruning sets the levels apart): they are computed
+    and shuffled once and the exchange is reused.
     """
-    extra = extra or {}
-    keyed = df.select(*keys, F.col(column).alias("_v"), *[c.alias(n) for n, c in extra.items()])
+    flags = flags or {}
+    value = F.col(column)
     counts = (
-        keyed.filter("_v is not null").groupBy(*keys, "_v")
-        .agg(F.count("*").alias("_c"), *[F.sum(n).alias(n) for n in extra])
+        df.filter(value.isNotNull())
+        .select(
+            F.struct(*keys).alias("_k"), F.coalesce(value, F.lit(0)).cast("bigint").alias("_v"),
+            *[F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()],
+        )
+        .groupBy("_k", "_v", *flags)
+        .agg(F.count("*").alias("_c"))
     )
     names = list(qs)
+    extra = ["total", *flags]
     # Zero-based ranks below and above the interpolation point.
     pos = [F.lit(float(q)) * (F.col("_n") - 1) for q in qs.values()]
     ranks = F.array(
@@ -39,43 +48,39 @@ def exact_percentiles(
             for side, f in enumerate((F.floor, F.ceil))
         ]
     )
-    per_group = Window.partitionBy(*keys)
     level = None
     for depth, shift in enumerate(SHIFTS):
         bucket = F.shiftright("_v", shift) if shift else F.col("_v")
-        totals = counts.groupBy(*keys, bucket.alias("_b")).agg(
-            F.sum("_c").alias("_c"), *([F.sum(n).alias(n) for n in extra] if depth == 0 else [])
-        )
+        grouped = counts.groupBy("_k", bucket.alias("_b"))
         if depth == 0:
-            first = totals.withColumn("_n", F.sum("_c").over(per_group))
-            for n in extra:
-                first = first.withColumn(n, F.sum(n).over(per_group))
-            rows = first.withColumn("_want", ranks)
-            within = per_group.orderBy("_b")
+            whole = Window.partitionBy("_k")
+            rows = grouped.agg(
+                F.sum("_c").alias("_c"),
+                F.sum(F.col("_v") * F.col("_c")).alias("total"),
+                *[F.sum(F.when(F.col(n), F.col("_c")).otherwise(0)).alias(n) for n in flags],
+            ).withColumns({"_n": F.sum("_c").over(whole), **{n: F.sum(n).over(whole) for n in extra}})
+            rows = rows.withColumn("_want", ranks)
+            within = whole.orderBy("_b")
         else:
-            step = SHIFTS[depth - 1] - shift
-            totals = totals.withColumn("_up", F.shiftright("_b", step))
-            rows = totals.join(level, [*keys, "_up"])
-            within = Window.partitionBy(*keys, "_up").orderBy("_b")
+            totals = grouped.agg(F.sum("_c").alias("_c")).withColumn(
+                "_up", F.shiftright("_b", SHIFTS[depth - 1] - shift)
+            )
+            rows = totals.join(level, ["_k", "_up"])
+            within = Window.partitionBy("_k", "_up").orderBy("_b")
         upto = F.sum("_c").over(within.rowsBetween(Window.unboundedPreceding, 0))
         rows = rows.withColumn("_end", upto).withColumn("_before", F.col("_end") - F.col("_c"))
-        hit = F.filter(
-            "_want", lambda w: (w["r"] >= F.col("_before")) & (w["r"] < F.col("_end"))
-        )
-        rows = rows.withColumn(
-            "_want",
-            F.transform(hit, lambda w: F.struct(w["q"].alias("q"), (w["r"] - F.col("_before")).alias("r"))),
-        ).filter(F.size("_want") > 0)
-        carry = [*keys, "_n", *extra, "_want"]
-        level = rows.select(*carry, F.col("_b").alias("_up"))
+        hit = F.filter("_want", lambda w: (w["r"] >= F.col("_before")) & (w["r"] < F.col("_end")))
+        rest = F.transform(hit, lambda w: F.struct(w["q"].alias("q"), (w["r"] - F.col("_before")).alias("r")))
+        holds = F.exists("_want", lambda w: (w["r"] >= F.col("_before")) & (w["r"] < F.col("_end")))
+        level = rows.filter(holds).select("_k", "_n", *extra, rest.alias("_want"), F.col("_b").alias("_up"))
     # One row per found value: put the neighbours of each fraction side by side.
-    found = level.select(*keys, "_n", *extra, F.col("_up").alias("_v"), F.explode("_want").alias("_w"))
+    found = level.select("_k", "_n", *extra, F.col("_up").alias("_v"), F.explode("_want").alias("_w"))
     pick = lambda i: F.max(F.when(F.col("_w.q") == i, F.col("_v"))).cast("double")
-    sides = found.groupBy(*keys, "_n", *extra).agg(
+    sides = found.groupBy("_k", "_n", *extra).agg(
         *[pick(2 * i + s).alias(f"_{i}_{s}") for i in range(len(names)) for s in (0, 1)]
     )
     out = []
     for i, name in enumerate(names):
         lo, hi = F.col(f"_{i}_0"), F.col(f"_{i}_1")
         out.append((lo + (hi - lo) * (pos[i] - F.floor(pos[i]))).alias(name))
-    return sides.select(*keys, F.col("_n").alias("n"), *extra, *out)
+    return sides.select("_k.*", F.col("_n").alias("n"), *extra, *out)

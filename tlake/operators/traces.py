@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tlake.functions import time_bucket
+from tlake.functions import looked_up, own_key, time_bucket
 from tlake.operators.aggregates import trace_time_ranges
 from tlake.operators.flatten import unnest
 from tlake.operators.percentiles import exact_percentiles
@@ -17,21 +17,14 @@ def red_metrics(spans: DataFrame, bucket: str = "1 hour") -> DataFrame:
     keyed = spans.select(
         time_bucket("Timestamp", bucket).alias("bucket"), "ServiceName", "SpanName", "Duration", "StatusCode"
     )
-    return exact_percentiles(
+    out = exact_percentiles(
         keyed,
         ["bucket", "ServiceName", "SpanName"],
         "Duration",
         {"p50": 0.5, "p95": 0.95, "p99": 0.99},
-        {"errors": (F.col("StatusCode") == "Error").cast("bigint")},
-    )
-
-
-def _parent_key() -> Column:
-    # A root has no parent: it gets a key of its own that no span can match,
-    # or all roots of a trace would meet in one place.
-    return F.when(F.col("ParentSpanId") == "", F.concat(F.lit("root:"), F.col("SpanId"))).otherwise(
-        F.concat(F.lit("span:"), F.col("ParentSpanId"))
+        {"errors": F.col("StatusCode") == "Error"},
     )
+    return out.withColumnRenamed("total", "total_ns")
 
 
 def span_tree(spans: DataFrame) -> DataFrame:
@@ -50,12 +43,12 @@ def span_tree(spans: DataFrame) -> DataFrame:
         .agg(F.sum("Duration").alias("children_ns"), F.count("*").alias("n_children"))
     )
     parents = s.select(
-        "TraceId", F.concat(F.lit("span:"), F.col("SpanId")).alias("_key"),
+        "TraceId", looked_up("SpanId").alias("_key"),
         F.col("SpanName").alias("parent_name"), F.col("ServiceName").alias("parent_service"),
     )
     zero = F.lit(0).cast("bigint")
     return (
-        s.withColumn("_key", _parent_key())
+        s.withColumn("_key", own_key("ParentSpanId", F.col("ParentSpanId") != "", "SpanId"))
         .join(parents, ["TraceId", "_key"], "left").drop("_key")
         .join(children, ["TraceId", "SpanId"], "left")
         .withColumns(
@@ -110,9 +103,9 @@ def logs_for_traces(logs: DataFrame, traces: DataFrame, how: str = "inner") -> D
     )
     if how == "inner":
         return has_trace(logs).join(spans, ["TraceId", "SpanId"])
-    # Records outside any trace cannot match; keep them out of the shuffle.
-    matched = has_trace(logs).join(spans, ["TraceId", "SpanId"], "left")
-    return matched.unionByName(logs.filter(F.col("TraceId") == ""), allowMissingColumns=True)
+    keyed = logs.withColumn("_key", own_key("TraceId", F.col("TraceId") != "", "Timestamp_ns", "SpanId", "Body"))
+    spans = spans.withColumn("_key", looked_up("TraceId")).drop("TraceId")
+    return keyed.join(spans, ["_key", "SpanId"], "left").drop("_key")
 
 
 def session_activity(sessions: DataFrame, logs: DataFrame, traces: DataFrame) -> DataFrame:
@@ -125,18 +118,18 @@ def session_activity(sessions: DataFrame, logs: DataFrame, traces: DataFrame) ->
         sessions.select(sid.alias("sessionId"), "TraceId").filter("sessionId is not null")
         .groupBy("sessionId", "TraceId").agg(F.count("*").alias("records"))
     )
-    per_trace = lambda df, n: has_trace(df).groupBy("TraceId").agg(F.count("*").alias(n))
-    # Records without a trace are counted but not joined.
-    key = F.when(F.col("TraceId") != "", F.col("TraceId")).otherwise(F.concat(F.lit("none:"), "sessionId"))
+    per_trace = lambda df, n: (
+        has_trace(df).groupBy("TraceId").agg(F.count("*").alias(n)).select(looked_up("TraceId").alias("_key"), n)
+    )
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
     return (
-        own.withColumn("TraceId", key)
-        .join(per_trace(logs, "logs"), "TraceId", "left")
-        .join(per_trace(traces, "spans"), "TraceId", "left")
+        own.withColumn("_key", own_key("TraceId", F.col("TraceId") != "", "sessionId"))
+        .join(per_trace(logs, "logs"), "_key", "left")
+        .join(per_trace(traces, "spans"), "_key", "left")
         .groupBy("sessionId")
         .agg(
             F.sum("records").alias("records"),
-            F.count(F.when(~F.col("TraceId").startswith("none:"), 1)).alias("traces"),
+            F.count_if(F.col("TraceId") != "").alias("traces"),
             total("logs"), total("spans"),
         )
     )
@@ -150,15 +143,15 @@ def exemplar_spans(metrics: DataFrame, traces: DataFrame) -> DataFrame:
     return has_trace(ex).join(has_trace(spans), ["TraceId", "SpanId"])
 
 
-def get_traces(traces: DataFrame, ids: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
-    """All spans of many traces (column ``TraceId`` of ``ids``).
-
-    The ranges say on which days a trace has spans. Joining on (trace, day) lets
-    Spark prune day partitions at run time when the id side is small.
-    """
-    ranges = trace_time_ranges(traces) if ranges is None else ranges
+def trace_days(ids: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(TraceId, event_date) pairs: the days on which the wanted traces can have spans."""
     day = F.explode(F.sequence(F.to_date("Start"), F.to_date("End"), F.expr("INTERVAL 1 DAY")))
-    wanted = ids.select("TraceId").distinct().join(ranges, "TraceId").select("TraceId", day.alias("event_date"))
+    return ids.select("TraceId").distinct().join(ranges, "TraceId").select("TraceId", day.alias("event_date"))
+
+
+def get_traces(traces: DataFrame, ids: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """All spans of many traces (column ``TraceId`` of ``ids``)."""
+    wanted = trace_days(ids, trace_time_ranges(traces) if ranges is None else ranges)
     if "event_date" not in traces.columns:
         traces = traces.withColumn("event_date", F.to_date("Timestamp"))
     return traces.join(wanted, ["event_date", "TraceId"], "left_semi")

@@ -8,7 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tlake.functions import as_bigint, literal_time, map_text, text, unix_nanos, unix_seconds, upsert
+from tlake.functions import (
+    as_bigint,
+    computed_once,
+    literal_time,
+    looked_up,
+    map_text,
+    own_key,
+    text,
+    unix_nanos,
+    upsert,
+)
 from tlake.functions.attributes import empty_map
 from tlake.operators.flatten import finish_logs, log_rows
 
@@ -68,12 +78,12 @@ def enrich_k8s(df: DataFrame, pods: DataFrame) -> DataFrame:
     """
     pod = F.try_element_at("ResourceAttributes", F.lit("k8s.pod.name"))
     ns = F.try_element_at("ResourceAttributes", F.lit("k8s.namespace.name"))
-    own = F.concat(F.lit("\x00"), F.xxhash64("Timestamp_ns", "TraceId", "SpanId", "Body").cast("string"))
+    both = pod.isNotNull() & ns.isNotNull()
     keyed = df.withColumns(
-        {"_pod": F.when(pod.isNotNull() & ns.isNotNull(), pod).otherwise(own), "_ns": F.coalesce(ns, F.lit("\x00"))}
+        {"_pod": own_key(pod, both, "Timestamp_ns", "TraceId", "SpanId", "Body"), "_ns": F.coalesce(ns, F.lit(""))}
     )
-    p = unique_pods(pods)
-    joined = keyed.join(p, (keyed["_pod"] == p["pod_name"]) & (keyed["_ns"] == p["namespace"]), "left")
+    p = unique_pods(pods).withColumn("_key", looked_up("pod_name"))
+    joined = keyed.join(p, (keyed["_pod"] == p["_key"]) & (keyed["_ns"] == p["namespace"]), "left")
     found = upsert(
         "ResourceAttributes",
         {
@@ -89,38 +99,43 @@ def enrich_k8s(df: DataFrame, pods: DataFrame) -> DataFrame:
     ).select(*df.columns)
 
 
-_CRI = r"^(\S+) (stdout|stderr) ([A-Z])(?::\S*)? ?(.*)$"
-_TIME = r"^(\d{4}-\d\d-\d\d)T(\d\d:\d\d:\d\d)(?:\.(\d{1,9}))?(Z|[+-]\d\d:\d\d)$"
 _PATH = r"/([^/_]+)_([^/_]+)_([^/_]+)/([^/]+)/(\d+)\.log$"
 
 
 def rfc3339_nanos(x: Column) -> Column:
-    """RFC 3339 text with up to nine fraction digits → nanoseconds; NULL when malformed."""
-    g = lambda i: F.regexp_extract(x, _TIME, i)
-    seconds = unix_seconds(F.concat_ws(" ", g(1), g(2)).try_cast("timestamp_ntz"))
-    frac = F.coalesce(as_bigint(F.rpad(g(3), 9, "0")), F.lit(0).cast("bigint"))
-    zone = g(4)
-    sign = F.when(zone.startswith("-"), -1).otherwise(1)
-    shift = F.coalesce(
-        sign * (as_bigint(F.substring(zone, 2, 2)) * 3600 + as_bigint(F.substring(zone, 5, 2)) * 60),
-        F.lit(0).cast("bigint"),
-    )
-    return (seconds - shift) * 1_000_000_000 + frac
+    """RFC 3339 text with up to nine fraction digits → nanoseconds; NULL when malformed.
+
+    The cast reads zone and microseconds; digits seven to nine are added.
+    """
+    micros = F.unix_micros(x.try_cast("timestamp"))
+    six = F.substring(x, 21, 6)
+    long_fraction = (F.length(six) == 6) & (F.translate(six, "0123456789", "") == "")
+    rest = F.rpad(F.regexp_extract(F.substring(x, 27, 3), "^[0-9]*", 0), 3, "0")
+    return micros * 1000 + F.when(long_fraction, as_bigint(rest)).otherwise(F.lit(0))
 
 
 def container_lines(df: DataFrame) -> DataFrame:
-    """Single lines of both formats → file, position, stream, full flag, message, time."""
+    """Single lines of both formats → file, position, stream, full flag, message, time.
+
+    JSON lines carry log, stream and time; the others are ``time stream tag message``.
+    Lines of neither format are left out.
+    """
     v = F.col("value")
     is_json = v.startswith("{")
-    j = F.from_json(F.when(is_json, v), "log STRING, stream STRING, time STRING")
-    g = lambda i: F.regexp_extract(v, _CRI, i)
-    rows = df.select("file_path", "block_start", "line_no", "value", is_json.alias("is_json"), j.alias("j"))
-    return rows.filter("(is_json and j.log is not null) or (not is_json and value rlike r'{}')".format(_CRI)).select(
+    line = F.struct(
+        F.when(is_json, F.from_json(v, "log STRING, stream STRING, time STRING")).alias("j"),
+        F.when(~is_json, F.split(v, " ", 4)).alias("p"),
+    )
+    rows = computed_once(df, line, "line")
+    part = lambda i: F.get("line.p", i)
+    j = F.col("line.j")
+    plain = part(1).isin("stdout", "stderr") & F.substring(part(2), 1, 1).isin("F", "P")
+    return rows.filter(j["log"].isNotNull() | plain).select(
         "file_path", "block_start", "line_no",
-        F.when(F.col("is_json"), text("j.stream")).otherwise(g(2)).alias("stream"),
-        F.when(F.col("is_json"), F.col("j.log").endswith("\n")).otherwise(g(3) == "F").alias("full"),
-        F.when(F.col("is_json"), F.regexp_replace("j.log", r"\n$", "")).otherwise(g(4)).alias("msg"),
-        F.coalesce(rfc3339_nanos(F.when(F.col("is_json"), F.col("j.time")).otherwise(g(1))),
+        F.when(j.isNotNull(), text(j["stream"])).otherwise(part(1)).alias("stream"),
+        F.when(j.isNotNull(), j["log"].endswith("\n")).otherwise(part(2).startswith("F")).alias("full"),
+        F.when(j.isNotNull(), F.regexp_replace(j["log"], r"\n$", "")).otherwise(text(part(3))).alias("msg"),
+        F.coalesce(rfc3339_nanos(F.when(j.isNotNull(), j["time"]).otherwise(part(0))),
                    F.lit(0).cast("bigint")).alias("ns"),
     )
 

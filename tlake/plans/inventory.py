@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tlake import schemas
+from tlake.functions import from_unix_nanos
 from tlake.plans.lake import TIERS, Lake
 
 _FOOTER = (
@@ -87,13 +88,12 @@ def inventory(lake: Lake, table: str) -> DataFrame:
         if units["live"]:
             counts = counts | unit.isin(units["live"])
         read = listed.filter(counts).mapInPandas(_footers(column), _FOOTER)
-        time = lambda c: F.timestamp_add("MICROSECOND", F.expr(f"{c} div 1000"), F.expr("timestamp_ntz'1970-01-01'"))
         arm = read.select(
             F.lit(table).alias("table"), F.lit(tier).alias("tier"),
             F.regexp_extract("path", r"/event_date=([^/]+)/", 1).cast("date").alias("event_date"),
             F.regexp_extract("path", r"/seg=([^/]+)/", 1).alias("seg"),
             "path", "rows", "compressed_bytes", "uncompressed_bytes", "file_bytes",
-            time("min_ns").alias("min_time"), time("max_ns").alias("max_time"),
+            from_unix_nanos("min_ns").alias("min_time"), from_unix_nanos("max_ns").alias("max_time"),
         )
         out = arm if out is None else out.unionByName(arm)
     return out

@@ -22,7 +22,10 @@ from tlake import schemas
 from tlake.functions import attr_key, literal_time, unix_nanos
 from tlake.functions.scalar import trunc_second
 from tlake.plans import hadoop
-from tlake.session import prepare
+from tlake.operators.aggregates import trace_time_ranges
+from tlake.operators.metrics import union_metrics
+from tlake.operators.traces import trace_days
+from tlake.session import prepare, settings, stored
 
 TIERS = ("hot", "cold")
 
@@ -34,6 +37,10 @@ WRITER_OPTIONS = {
 }
 
 
+# Shuffled bytes per writing task of a bulk load: files of some hundred megabytes.
+TASK_BYTES = "512m"
+
+
 @dataclass
 class Lake:
     spark: SparkSession
@@ -132,8 +139,6 @@ class Lake:
         return df.drop("seg", *hidden)
 
     def scan_metrics(self, kinds: list[str] | None = None, **bounds) -> DataFrame:
-        from tlake.operators.metrics import union_metrics
-
         kinds = kinds or list(schemas.METRIC_KINDS)
         return union_metrics({k: self.scan(schemas.metric_table(k), **bounds) for k in kinds})
 
@@ -153,6 +158,14 @@ class Lake:
         )
         return found.filter(F.col("TraceId") == trace_id)
 
+    def get_traces(self, ids: DataFrame) -> DataFrame:
+        """All spans of many traces: the range table says on which days they can be, and only
+        those days are read. The list of days is bounded by the days stored."""
+        wanted = stored(trace_days(ids, self.trace_ranges()))
+        days = [r["event_date"] for r in wanted.select("event_date").distinct().collect()]
+        spans = self.scan("otel_traces").filter(F.col("event_date").isin(days))
+        return spans.join(wanted, ["event_date", "TraceId"], "left_semi")
+
     # -- write ---------------------------------------------------------------
 
     def table_rows(self, df: DataFrame, table: str) -> DataFrame:
@@ -182,8 +195,11 @@ class Lake:
         """
         segment = segment or f"a-{uuid.uuid4().hex}"
         rows = self.table_rows(df, table)
-        spread = rows.repartition(tasks) if tasks else rows.hint("rebalance", "event_date")
-        self.save(spread, table, "hot", segment)
+        if tasks:
+            self.save(rows.repartition(tasks), table, "hot", segment)
+        else:
+            with settings(self.spark, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": TASK_BYTES}):
+                self.save(rows.hint("rebalance", "event_date"), table, "hot", segment)
         return segment
 
     def save(self, spread: DataFrame, table: str, tier: str, segment: str) -> None:
@@ -198,13 +214,12 @@ class Lake:
 
     def write_spans(self, df: DataFrame, segment: str | None = None, tasks: int | None = None) -> str:
         """Spans plus the partial time range of each trace of this write."""
-        segment = segment or f"a-{uuid.uuid4().hex}"
-        self.write(df, "otel_traces", segment, tasks)
-        ranges = (
-            df.filter(F.col("TraceId") != "").groupBy("TraceId")
-            .agg(F.min("Timestamp").alias("Start"), F.max("Timestamp").alias("End"))
+        segment = self.write(df, "otel_traces", segment, tasks)
+        # From the files just written: two columns, and the input is not computed twice.
+        saved = self.spark.read.schema(schemas.table_schema("otel_traces")).parquet(
+            f"{self.path('otel_traces')}/seg={segment}"
         )
-        self.write(ranges, schemas.TRACE_RANGES, segment, tasks)
+        self.write(trace_time_ranges(saved), schemas.TRACE_RANGES, segment, tasks)
         return segment
 
     def write_metrics(

@@ -132,7 +132,7 @@ _SCOPE = (
     "droppedAttributesCount:STRING>"
 )
 
-_LOG_RECORD = f"""STRUCT<timeUnixNano:STRING,observedTimeUnixNano:STRING,
+LOG_RECORD = f"""STRUCT<timeUnixNano:STRING,observedTimeUnixNano:STRING,
     severityText:STRING,severityNumber:STRING,body:{_ANY},traceId:STRING,spanId:STRING,
     flags:STRING,eventName:STRING,attributes:{KEY_VALUES}>"""
 
@@ -172,7 +172,7 @@ def _request(outer: str, mid: str, leaf: str, item: str) -> str:
     )
 
 
-OTLP_LOGS = _request("resourceLogs", "scopeLogs", "logRecords", _LOG_RECORD)
+OTLP_LOGS = _request("resourceLogs", "scopeLogs", "logRecords", LOG_RECORD)
 OTLP_TRACES = _request("resourceSpans", "scopeSpans", "spans", _SPAN)
 OTLP_METRICS = _request("resourceMetrics", "scopeMetrics", "metrics", _METRIC)
 

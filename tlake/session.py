@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that may be changed on a running session.
 RUNTIME_CONF = {
+    # Stored times have no zone and mean UTC; days are UTC days.
+    "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     "spark.sql.parquet.compression.codec": "zstd",
@@ -26,7 +30,6 @@ def build(master: str = "local[*]", app: str = "tlake", **conf: str) -> SparkSes
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC")
     )
     for k, v in {**RUNTIME_CONF, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         b = b.config(k, v)
@@ -43,8 +46,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh directory below the shared folder named in ``spark.checkpoint.dir``.
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Other settings for the jobs started inside the block."""
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder named in ``spark.checkpoint.dir``.
 
     A local temporary folder is used only where that setting is absent and the
     session runs in local mode, where driver and tasks share one disk.
@@ -55,4 +71,18 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="tlake-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tlake/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh directory below the shared folder."""
+    return f"{shared_root(spark)}/tlake/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The frame computed once and kept in the shared folder: later reads neither
+    repeat the work nor depend on executors that held it."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_root(df.sparkSession))
+    return df.checkpoint()

@@ -11,7 +11,9 @@ from tlake import schemas
 from tlake.functions import (
     as_bigint,
     attr_key,
+    computed_once,
     empty_map,
+    from_micros,
     from_unix_nanos,
     literal_time,
     map_text,
@@ -58,7 +60,7 @@ def parse_journal(lines: DataFrame) -> DataFrame:
         num = F.when(prio == i, F.lit(n)).otherwise(num)
     own = ("MESSAGE", "PRIORITY", "__REALTIME_TIMESTAMP")
     return log_rows(
-        lines.select(entry.alias("e")).filter(e.isNotNull()),
+        computed_once(lines.select("value"), entry, "e").filter(e.isNotNull()),
         {
             "Timestamp_ns": F.coalesce(as_bigint(map_text(e, "__REALTIME_TIMESTAMP")) * 1000, F.lit(0)),
             "SeverityText": sev,
@@ -90,21 +92,46 @@ def read_journal_json(
     return parse_journal(fresh).filter(F.col("Timestamp") >= at)
 
 
-_SAMPLE = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(\{.*\})?\s+(\S+)(?:\s+(-?\d+))?\s*$"
+_NAME = r"^[a-zA-Z_:][a-zA-Z0-9_:]*$"
 _LABEL = r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:[^"\\]|\\.)*)"'
 _TYPE = r"^#\s+TYPE\s+(\S+)\s+(\S+)\s*$"
 _HELP = r"^#\s+HELP\s+(\S+)\s+(.*)$"
 
 
+def _unescape(v: Column) -> Column:
+    for code, char in (("\\n", "\n"), ('\\"', '"'), ("\\\\", "\\")):
+        v = F.replace(v, F.lit(code), F.lit(char))
+    return v
+
+
 def _labels(x: Column) -> Column:
-    values = F.transform(
-        F.regexp_extract_all(x, F.lit(_LABEL), 2),
-        lambda v: F.replace(F.replace(F.replace(v, F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"')),
-                            F.lit("\\\\"), F.lit("\\")),
-    )
+    values = F.regexp_extract_all(x, F.lit(_LABEL), 2)
+    values = F.when(x.contains("\\"), F.transform(values, _unescape)).otherwise(values)
     return F.map_from_arrays(F.regexp_extract_all(x, F.lit(_LABEL), 1), values)
 
 
+def _samples(lines: DataFrame) -> DataFrame:
+    """``name{labels} value [time]`` lines; others are left out."""
+    v = F.col("value")
+    braces = v.contains("{")
+    sample = F.struct(
+        F.when(braces, F.substring_index(v, "{", 1)).otherwise(F.substring_index(v, " ", 1)).alias("name"),
+        F.when(braces, F.regexp_extract(v, r"\{(.*)\}", 1)).otherwise("").alias("labels"),
+        F.split(
+            F.trim(F.when(braces, F.substring_index(v, "}", -1)).otherwise(F.expr("substr(value, instr(value, ' '))"))),
+            r"\s+",
+        ).alias("rest"),
+    )
+    at = as_bigint(F.get("s.rest", 1))
+    x = F.get("s.rest", 0).try_cast("double")
+    rows = computed_once(lines.filter(~v.startswith("#")), sample, "s")
+    valid = F.trim("s.name").rlike(_NAME) & x.isNotNull() & (F.size("s.rest") <= 2)
+    return rows.filter(valid).select(
+        "source", F.coalesce(from_micros(at * 1000), F.col("scraped_at")).alias("at"),
+        F.trim("s.name").alias("name"), _labels(F.col("s.labels")).alias("labels"), x.alias("x"),
+    )
+
+
 def _without(m: str, key: str) -> Column:
     return F.map_filter(m, lambda k, _: k != F.lit(key))
 
@@ -143,18 +170,7 @@ def parse_prom_text(lines: DataFrame, job: str = "") -> dict[str, DataFrame]:
         "source", F.concat("family", "n.suffix").alias("name"), "family", "type", "help", "n.role"
     )
     samples = (
-        lines.filter(~v.startswith("#") & v.rlike(_SAMPLE))
-        .select(
-            "source",
-            F.coalesce(
-                F.timestamp_add("MILLISECOND", as_bigint(F.regexp_extract(v, _SAMPLE, 4)),
-                                F.expr("timestamp_ntz'1970-01-01'")),
-                F.col("scraped_at"),
-            ).alias("at"),
-            F.regexp_extract(v, _SAMPLE, 1).alias("name"),
-            _labels(F.regexp_extract(v, _SAMPLE, 2)).alias("labels"),
-            F.regexp_extract(v, _SAMPLE, 3).try_cast("double").alias("x"),
-        )
+        _samples(lines)
         .join(known, ["source", "name"], "left")
         .withColumns({"family": F.coalesce("family", "name"), "type": F.coalesce("type", F.lit("unknown"))})
     )

@@ -53,8 +53,13 @@ from tlake.streaming.sinks import (
 BATCH_BYTES = str(1 << 30)
 
 
+def _bounded(options: dict) -> dict:
+    """One of the two limits; Spark takes files or bytes, not both."""
+    return options if "maxFilesPerTrigger" in options else {"maxBytesPerTrigger": BATCH_BYTES, **options}
+
+
 def _log_records(spark: SparkSession, src: str, now, options: dict) -> DataFrame:
-    options = {"maxBytesPerTrigger": BATCH_BYTES, **options}
+    options = _bounded(options)
     requests = read_otlp_logs(spark, src, streaming=True, **options)
     checked = requests.observe(
         "read", F.count("*").alias("requests"), F.count_if(F.col("resourceLogs").isNull()).alias("rejected")
@@ -91,7 +96,7 @@ def container(
     """Container log files from the beginning: a new checkpoint reads every file. A file
     is read when it is complete (rotated), so no message spans two batches."""
     prepare(spark)
-    options = {"maxBytesPerTrigger": BATCH_BYTES, **options}
+    options = _bounded(options)
     lines = spark.readStream.options(**options).text(glob).select(
         "value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("block_start")
     )
@@ -120,7 +125,7 @@ def journal(
 def traces(
     spark: SparkSession, src: str, lake: Lake, checkpoint: str, trigger: str | None = TRIGGER, **options: str
 ) -> StreamingQuery:
-    options = {"maxBytesPerTrigger": BATCH_BYTES, **options}
+    options = _bounded(options)
     rows = read_otlp_traces(spark, src, streaming=True, **options)
     # Spans and their trace ranges are two writes of one batch.
     return fan_out(
@@ -132,7 +137,7 @@ def metrics(
     spark: SparkSession, src: str, lake: Lake, checkpoint: str, trigger: str | None = TRIGGER, **options: str
 ) -> StreamingQuery:
     prepare(spark)
-    options = {"maxBytesPerTrigger": BATCH_BYTES, **options}
+    options = _bounded(options)
     requests = (
         spark.readStream.schema(schemas.OTLP_METRICS).option("recursiveFileLookup", "true")
         .options(**options).json(src)

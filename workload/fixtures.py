@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tlake import schemas
-from tlake.functions import empty_map, time_bucket, unix_nanos
+from tlake.functions import empty_map, epoch_micros, time_bucket, unix_nanos
 from tlake.operators.flatten import log_rows
 from tlake.operators.percentiles import exact_percentiles
 from tlake.session import prepare
@@ -223,7 +223,7 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = events(spark, sf_dir).select(
         service().alias("svc"), time_bucket("ts", "1 hour").alias("at"), cents().alias("c")
     )
-    g = exact_percentiles(keyed, ["svc", "at"], "c", qs, {"total": F.col("c")})
+    g = exact_percentiles(keyed, ["svc", "at"], "c", qs)
     pairs = F.array(*[F.struct(F.lit(q).alias("Quantile"), F.round(F.col(n), 3).alias("Value")) for n, q in qs.items()])
     return _points(
         g, "summary", {"Count": F.col("n"), "Sum": F.col("total") / F.lit(100), "ValueAtQuantiles": pairs},
@@ -343,7 +343,7 @@ def container_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def journal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     prio = F.when(F.col("event_type") == "error", "3").when(F.col("event_type") == "purchase", "4").otherwise("6")
     entry = F.struct(
-        F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts)").cast("string").alias("__REALTIME_TIMESTAMP"),
+        epoch_micros("ts").cast("string").alias("__REALTIME_TIMESTAMP"),
         body().alias("MESSAGE"), prio.alias("PRIORITY"),
         F.concat(service(), F.lit(".service")).alias("_SYSTEMD_UNIT"), k().alias("_PID"),
     )

@@ -443,7 +443,14 @@ def traces_with_errors(spark, sf_dir):
     lake = lake_at(spark, "lookups", ["otel_traces", schemas.TRACE_RANGES])
     lake.write_spans(fx.spans(spark, sf_dir))
     ids = trf.has_trace(trf.filter_logs(fx.logs(spark, sf_dir), level="ERROR"))
-    return trc.get_traces(lake.scan("otel_traces"), ids, lake.trace_ranges()).select("TraceId", "SpanId", "SpanName")
+    return lake.get_traces(ids).select("TraceId", "SpanId", "SpanName")
+
+
+@query
+def traces_by_id(spark, sf_dir):
+    """The same without stored ranges: the ranges are taken from the spans."""
+    ids = trf.has_trace(trf.filter_logs(fx.logs(spark, sf_dir), level="ERROR"))
+    return trc.get_traces(fx.spans(spark, sf_dir), ids).select("TraceId", "SpanId", "SpanName")
 
 
 @query
