@@ -47,7 +47,7 @@ def main() -> None:
             {
                 "metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "json_to_compressed": sizes["json_ratio"],
-                "columnar_to_compressed": sizes["columnar_ratio"], "log_rows": sizes["rows"],
+                "plain_columns_to_compressed": sizes["plain_ratio"], "log_rows": sizes["rows"],
             }
         )
     )

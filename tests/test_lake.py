@@ -113,7 +113,13 @@ def test_repeated_write_of_a_segment_replaces_it(spark, sf_dir, lake):
 
 
 def test_metric_tables_sort_by_attributes(spark, sf_dir, lake):
+    import pyarrow.parquet as pq
+
     lake.write_metrics(fx.metrics(spark, sf_dir))
+    path = inventory(lake, "otel_metrics_gauge").first()["path"].replace("file:", "")
+    t = pq.read_table(path, columns=["ServiceName", "MetricName", "Attributes", "TimeUnix_ns"], partitioning=None).to_pylist()
+    keys = [(r["ServiceName"], r["MetricName"], sorted(r["Attributes"]), r["TimeUnix_ns"]) for r in t]
+    assert keys == sorted(keys) and len(keys) > 10
     u = lake.scan_metrics()
     assert u.select("kind").distinct().count() == 5
     assert lake.scan_metrics(["gauge"]).count() == fx.events(spark, sf_dir).count()

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tlake import schemas
-from tlake.functions import attr_key, literal_time, unix_nanos
+from tlake.functions import attr_pairs, literal_time, unix_nanos
 from tlake.functions.scalar import trunc_second
 from tlake.plans import hadoop
 from tlake.operators.aggregates import trace_time_ranges
@@ -203,9 +203,11 @@ class Lake:
         return segment
 
     def save(self, spread: DataFrame, table: str, tier: str, segment: str) -> None:
-        keys = [attr_key("Attributes") if k == "Attributes" else F.col(k) for k in schemas.SORT_KEYS[table]]
+        # The attribute key is a column while sorting, or each comparison would build it anew.
+        keys = ["_attrs" if k == "Attributes" else k for k in schemas.SORT_KEYS[table]]
+        rows = spread.withColumn("_attrs", attr_pairs("Attributes")) if "_attrs" in keys else spread
         (
-            spread.sortWithinPartitions("event_date", *keys)
+            rows.sortWithinPartitions("event_date", *keys).drop("_attrs")
             .write.mode("overwrite")
             .partitionBy("event_date")
             .options(**WRITER_OPTIONS)

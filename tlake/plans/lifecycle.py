@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tlake import schemas
-from tlake.functions import attr_key, literal_time, trunc_second
+from tlake.functions import attr_pairs, literal_time, trunc_second
 from tlake.plans import hadoop
 from tlake.plans.inventory import inventory
-from tlake.plans.lake import TIERS, Lake, day_text
+from tlake.plans.lake import TASK_BYTES, TIERS, Lake, day_text
+from tlake.session import settings
 
 # Retention on hot, free-space threshold, largest file on hot.
 TTL_DAYS = 30
@@ -84,11 +85,33 @@ def _fingerprint(df: DataFrame) -> dict:
     return {r["event_date"]: (r["n"], r["h"]) for r in found.collect()}
 
 
-def _rewrite(lake: Lake, table: str, units: list[tuple[str, str, str]], to_tier: str) -> dict:
-    """Merge (tier, day, segment) units into one sorted segment on ``to_tier``.
+def _in_ranges(lake: Lake, table: str, rows: DataFrame, days: int, units: list) -> DataFrame:
+    """Rows in as many key ranges as the files of the units are worth.
+
+    Rows equal in the whole key are told apart by the file block they come from, so
+    copies of one record cannot pile up in one range.
+    """
+    keys = [attr_pairs("Attributes") if k == "Attributes" else F.col(k) for k in schemas.SORT_KEYS[table]]
+    own = [f"{d}/{s}" for _, d, s in units]
+    sizes = inventory(lake, table).filter(F.concat_ws("/", F.col("event_date").cast("string"), F.col("seg")).isin(own))
+    total = sizes.agg(F.sum("file_bytes")).first()[0] or 0
+    files = max(days, -(-total // TARGET_FILE_BYTES))
+    place = F.xxhash64(F.input_file_name(), F.input_file_block_start())
+    return (
+        rows.withColumn("_place", place)
+        .repartitionByRange(int(files), "event_date", *keys, "_place").drop("_place")
+    )
+
+
+def _rewrite(lake: Lake, table: str, units: list[tuple[str, str, str]], to_tier: str, merge: bool) -> dict:
+    """Write (tier, day, segment) units as one segment on ``to_tier``.
 
     Write → verify count and checksum per day → flip the manifest. Old files stay
     until ``vacuum``, for readers that started before the flip.
+
+    A move is narrow: each task reads some files of the days and writes them sorted
+    again, nothing is shuffled. With ``merge`` the rows are also put into ranges of
+    the table key, so that the files of a day cover separate ranges.
     """
     base = lake.manifest(table)
     source = None
@@ -98,19 +121,11 @@ def _rewrite(lake: Lake, table: str, units: list[tuple[str, str, str]], to_tier:
             unit = F.concat_ws("/", F.col("event_date").cast("string"), F.col("seg"))
             arm = lake.files(table, tier, base).filter(unit.isin(own))
             source = arm if source is None else source.unionByName(arm)
-    days = sorted({d for _, d, _ in units})
     before = _fingerprint(source)
-    sizes = inventory(lake, table).filter(F.col("event_date").cast("string").isin(days))
-    total = sizes.agg(F.sum("file_bytes")).first()[0] or 0
-    files = max(len(days), -(-total // TARGET_FILE_BYTES))
-    # Ranges over the table key give files with separate key ranges. Rows equal in
-    # the whole key are told apart by the file block they come from, so copies of
-    # one record cannot pile up in one range.
-    keys = [attr_key("Attributes") if k == "Attributes" else F.col(k) for k in schemas.SORT_KEYS[table]]
-    place = F.xxhash64(F.input_file_name(), F.input_file_block_start())
+    rows = source.drop("seg")
     segment = f"m-{uuid.uuid4().hex}"
-    spread = source.drop("seg").withColumn("_place", place).repartitionByRange(int(files), "event_date", *keys, "_place")
-    lake.save(spread.drop("_place"), table, to_tier, segment)
+    with settings(lake.spark, {"spark.sql.files.maxPartitionBytes": TASK_BYTES}):
+        lake.save(_in_ranges(lake, table, rows, len(before), units) if merge else rows, table, to_tier, segment)
     written = (
         lake.spark.read.schema(lake._schema(table)).parquet(lake.path(table, to_tier))
         .filter(F.col("seg") == segment)
@@ -130,7 +145,7 @@ def apply_moves(lake: Lake, table: str, as_of: datetime | str, **limits) -> dict
     due = plan_moves(inventory(lake, table), as_of, **limits).select("event_date", "seg").collect()
     if not due:
         return {"segment": None, "rows": 0, "days": 0}
-    return _rewrite(lake, table, [("hot", day_text(r["event_date"]), r["seg"]) for r in due], "cold")
+    return _rewrite(lake, table, [("hot", day_text(r["event_date"]), r["seg"]) for r in due], "cold", merge=False)
 
 
 def compact(lake: Lake, table: str, day: date | str, tier: str = "hot") -> dict:
@@ -140,7 +155,7 @@ def compact(lake: Lake, table: str, day: date | str, tier: str = "hot") -> dict:
             .select("seg").distinct().collect()]
     if not segs:
         return {"segment": None, "rows": 0, "days": 0}
-    return _rewrite(lake, table, [(tier, d, s) for s in segs], tier)
+    return _rewrite(lake, table, [(tier, d, s) for s in segs], tier, merge=True)
 
 
 def vacuum(lake: Lake, table: str) -> int:
