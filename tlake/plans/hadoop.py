@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -31,13 +33,17 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def create_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a new file; fails when it exists already."""
-    _, p, fs = _fs(spark, path)
-    out = fs.create(p, False)
+    """Write a new file whole or not at all; fails when it exists already."""
+    jvm, p, fs = _fs(spark, path)
+    part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    out = fs.create(part, False)
     try:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
+    if fs.exists(p) or not fs.rename(part, p):
+        fs.delete(part, False)
+        raise FileExistsError(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:

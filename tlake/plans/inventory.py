@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,50 +16,46 @@ _FOOTER = (
     "path STRING, file_bytes BIGINT, rows BIGINT, compressed_bytes BIGINT, uncompressed_bytes BIGINT, "
     "min_ns BIGINT, max_ns BIGINT"
 )
-# Hadoop schemes whose name differs in Arrow.
-_SCHEMES = {"s3a": "s3", "s3n": "s3"}
-
-
-def _open(path: str):
-    from urllib.parse import unquote, urlparse
-
-    from pyarrow import fs
-
-    u = urlparse(path)
-    if u.scheme in ("", "file"):
-        return fs.LocalFileSystem(), unquote(u.path)
-    return fs.FileSystem.from_uri(f"{_SCHEMES.get(u.scheme, u.scheme)}://{u.netloc}{unquote(u.path)}")
-
-
-def footer(path: str, column: str) -> dict:
-    """Row count, column bytes and time bounds from one footer; no data pages are read."""
-    import pyarrow.parquet as pq
-
-    fs, p = _open(path)
-    with fs.open_input_file(p) as f:
-        md = pq.ParquetFile(f).metadata
-    out = {"rows": md.num_rows, "compressed_bytes": 0, "uncompressed_bytes": 0, "min_ns": None, "max_ns": None}
-    for g in range(md.num_row_groups):
-        group = md.row_group(g)
-        for c in range(group.num_columns):
-            col = group.column(c)
-            out["compressed_bytes"] += col.total_compressed_size
-            out["uncompressed_bytes"] += col.total_uncompressed_size
-            if col.path_in_schema == column and col.statistics is not None and col.statistics.has_min_max:
-                lo, hi = col.statistics.min, col.statistics.max
-                out["min_ns"] = lo if out["min_ns"] is None else min(lo, out["min_ns"])
-                out["max_ns"] = hi if out["max_ns"] is None else max(hi, out["max_ns"])
-    return out
 
 
-def _footers(column: str):
+def _footers(column: str, names: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Row count, column bytes and time bounds from footers; no data pages are read.
+
+    The function holds all it needs, so executors do not have to import this package.
+    """
+
+    def open_file(path: str):
+        from urllib.parse import unquote, urlparse
+
+        from pyarrow import fs
+
+        u = urlparse(path)
+        if u.scheme in ("", "file"):
+            return fs.LocalFileSystem().open_input_file(unquote(u.path))
+        # Hadoop schemes whose name differs in Arrow.
+        scheme = {"s3a": "s3", "s3n": "s3"}.get(u.scheme, u.scheme)
+        remote, name = fs.FileSystem.from_uri(f"{scheme}://{u.netloc}{unquote(u.path)}")
+        return remote.open_input_file(name)
+
+    def footer(path: str, size: int) -> tuple:
+        import pyarrow.parquet as pq
+
+        with open_file(path) as f:
+            md = pq.ParquetFile(f).metadata
+        groups = [md.row_group(g) for g in range(md.num_row_groups)]
+        chunks = [g.column(c) for g in groups for c in range(g.num_columns)]
+        stats = [c.statistics for c in chunks if c.path_in_schema == column]
+        bounds = [(s.min, s.max) for s in stats if s is not None and s.has_min_max]
+        return (
+            path, size, md.num_rows, sum(c.total_compressed_size for c in chunks),
+            sum(c.total_uncompressed_size for c in chunks),
+            min((b[0] for b in bounds), default=None), max((b[1] for b in bounds), default=None),
+        )
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [
-                {"path": p, "file_bytes": n, **footer(p, column)} for p, n in zip(pdf["path"], pdf["length"])
-            ]
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in _FOOTER.split(", ")])
-            yield out.astype({"min_ns": "Int64", "max_ns": "Int64"})
+            rows = [footer(p, n) for p, n in zip(pdf["path"], pdf["length"])]
+            yield pd.DataFrame(rows, columns=names).astype({"min_ns": "Int64", "max_ns": "Int64"})
 
     return read
 
@@ -87,7 +83,7 @@ def inventory(lake: Lake, table: str) -> DataFrame:
             counts = counts & ~unit.isin(units["retired"])
         if units["live"]:
             counts = counts | unit.isin(units["live"])
-        read = listed.filter(counts).mapInPandas(_footers(column), _FOOTER)
+        read = listed.filter(counts).mapInPandas(_footers(column, [c.split()[0] for c in _FOOTER.split(", ")]), _FOOTER)
         arm = read.select(
             F.lit(table).alias("table"), F.lit(tier).alias("tier"),
             F.regexp_extract("path", r"/event_date=([^/]+)/", 1).cast("date").alias("event_date"),

@@ -81,8 +81,8 @@ class Lake:
         return json.loads(hadoop.read_text(self.spark, f"{d}/{versions[-1]}"))
 
     def commit(self, table: str, base: dict, live: list, retired: list) -> dict:
-        """Write the next version. Two jobs on one table cannot both succeed: the
-        second one finds its version number taken."""
+        """Write the next version. Of two maintenance jobs on one table the second finds
+        its version number taken and fails; appending needs no commit."""
         new = {"version": base["version"] + 1, "live": sorted(live), "retired": sorted(retired)}
         path = f"{self._manifest_dir(table)}/{new['version']:012d}.json"
         hadoop.create_text(self.spark, path, json.dumps(new))
@@ -198,7 +198,7 @@ class Lake:
         if tasks:
             self.save(rows.repartition(tasks), table, "hot", segment)
         else:
-            with settings(self.spark, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": TASK_BYTES}):
+            with settings(df.sparkSession, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": TASK_BYTES}):
                 self.save(rows.hint("rebalance", "event_date"), table, "hot", segment)
         return segment
 

@@ -193,9 +193,12 @@ def parse_prom_text(lines: DataFrame, job: str = "") -> dict[str, DataFrame]:
             .select("source", "at", "family", "help", "role", "x", series.alias("labels"),
                     F.try_element_at("labels", F.lit(label)).try_cast("double").alias("edge"))
             .withColumn("key", attr_key("labels"))
+            # Repeated lines become one value, so the list below has one entry per edge.
+            .groupBy("source", "at", "family", "key", "role", "edge")
+            .agg(F.max("x").alias("x"), F.first("labels").alias("labels"), F.max("help").alias("help"))
             .groupBy("source", "at", "family", "key")
             .agg(
-                F.first("labels").alias("labels"), F.first("help", True).alias("help"),
+                F.first("labels").alias("labels"), F.max("help").alias("help"),
                 F.max(F.when(F.col("role") == "sum", F.col("x"))).alias("total"),
                 F.max(F.when(F.col("role") == "count", F.col("x"))).alias("n"),
                 F.array_sort(

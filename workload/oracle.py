@@ -439,6 +439,7 @@ ORACLE: dict[str, str] = {
         SELECT 'InsertedRows' AS event, count(*) FILTER (user_id % 3 <> 0) AS value FROM events
         UNION ALL SELECT 'RejectedInserts', 0""",
 }
+ORACLE["lake_recent_hour"] = ORACLE["recent_log_count"]
 ORACLE["traces_by_id"] = ORACLE["traces_with_errors"]
 ORACLE["container_flatten_all"] = ORACLE["container_path_extract"]
 ORACLE["tier_filter_scan"] = f"""

@@ -616,6 +616,14 @@ def lake_recent_count(spark, sf_dir):
     return lake.scan("otel_logs", start="2024-01-20 06:30:00", end="2024-01-22 18:00:00").agg(F.count("*").alias("n"))
 
 
+@query
+def lake_recent_hour(spark, sf_dir):
+    """The last hour of the data, its start being a scalar subquery."""
+    lake = _logs_lake(spark, sf_dir, "hour")
+    start = newest(lake.scan("otel_logs")) - F.expr("INTERVAL 1 HOUR")
+    return lake.scan("otel_logs", start=start).agg(F.count("*").alias("n"))
+
+
 @query
 def hot_cold_scan(spark, sf_dir):
     """Rows per day and tier after days were moved: one table over both tiers."""
