@@ -29,6 +29,14 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
 
+def spread(df: DataFrame, tasks: int = 16) -> DataFrame:
+    """Use the cores where a table is one small file and would be one task; larger tables,
+    which are read in many splits, pass through without a shuffle. For narrow plans only:
+    asking a plan with shuffles for its partitions would run it."""
+    tasks = min(tasks, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def hex_id(n: Column, width: int) -> Column:
     return F.lpad(F.lower(F.hex(n)), width, "0")
 
@@ -70,12 +78,12 @@ def body() -> Column:
     return F.concat(F.col("event_type"), F.lit(" by user "), F.col("user_id").cast("string"))
 
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def logs(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
     """Log rows in table layout, plus ``event_id``."""
     attrs = F.create_map(F.lit("k"), k(), F.lit("log_type"), F.col("event_type"))
     session = F.create_map(F.lit("sessionId"), F.concat(F.lit("s-"), F.col("user_id").cast("string")))
     return log_rows(
-        events(spark, sf_dir),
+        events(spark, sf_dir) if source is None else source,
         {
             "Timestamp_ns": unix_nanos("ts"),
             "TraceId": F.when(F.col("event_id") % 10 == 0, "").otherwise(trace_id()),
@@ -94,7 +102,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spans(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
     rn = F.col("event_id") % 8 + 1
     parent = F.expr("(event_id div 8) * 8 + (event_id % 8 + 1) div 2 - 1")
     error = F.col("event_type") == "error"
@@ -102,7 +110,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.create_map(F.lit("k"), k()).alias("Attributes")))
     links = F.array(F.struct(hex_id(F.expr("event_id div 8"), 32).alias("TraceId"), span_id().alias("SpanId"),
                              F.lit("").alias("TraceState"), empty_map().alias("Attributes")))
-    given = events(spark, sf_dir).select(
+    given = (events(spark, sf_dir) if source is None else source).select(
         F.col("ts").alias("Timestamp"), unix_nanos("ts").alias("Timestamp_ns"),
         trace_id().alias("TraceId"), span_id().alias("SpanId"),
         F.when(rn == 1, "").otherwise(span_id(parent)).alias("ParentSpanId"), F.lit("").alias("TraceState"),
@@ -315,14 +323,14 @@ def container_request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ).alias("resourceLogs")
     )
-    return events(spark, sf_dir).select(F.to_json(req).alias("value"))
+    return spread(events(spark, sf_dir)).select(F.to_json(req).alias("value"))
 
 
 def container_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CRI lines: events with an id divisible by 3 are cut into three fragments, the others
     are one full line. Two streams per file are interleaved, blocks cut the files."""
     n = F.when(F.col("event_id") % 3 == 0, 3).otherwise(1)
-    frag = events(spark, sf_dir).select("*", n.alias("n"), F.explode(F.sequence(F.lit(1), n)).alias("i"))
+    frag = spread(events(spark, sf_dir)).select("*", n.alias("n"), F.explode(F.sequence(F.lit(1), n)).alias("i"))
     ts = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("000Z"))
     text = F.when(F.col("n") == 1, body()).otherwise(
         F.when(F.col("i") == 1, F.col("event_type")).when(F.col("i") == 2, F.lit(" by user "))
@@ -347,7 +355,7 @@ def journal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         body().alias("MESSAGE"), prio.alias("PRIORITY"),
         F.concat(service(), F.lit(".service")).alias("_SYSTEMD_UNIT"), k().alias("_PID"),
     )
-    return events(spark, sf_dir).select(F.to_json(entry).alias("value"))
+    return spread(events(spark, sf_dir)).select(F.to_json(entry).alias("value"))
 
 
 def prom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,7 +101,7 @@ def exact_distinct_services(spark, sf_dir):
 
 
 def _log_requests(spark, sf_dir):
-    return parse_lines(otlp_requests(fx.logs(spark, sf_dir)), schemas.OTLP_LOGS)
+    return parse_lines(otlp_requests(fx.logs(spark, sf_dir, fx.spread(fx.events(spark, sf_dir)))), schemas.OTLP_LOGS)
 
 
 @query
@@ -303,7 +303,7 @@ def prom_summary(spark, sf_dir):
 
 @query
 def otlp_spans(spark, sf_dir):
-    parsed = otlp_to_spans(parse_lines(fx.span_requests(fx.spans(spark, sf_dir)), schemas.OTLP_TRACES))
+    parsed = otlp_to_spans(parse_lines(fx.span_requests(fx.spans(spark, sf_dir, fx.spread(fx.events(spark, sf_dir)))), schemas.OTLP_TRACES))
     return parsed.select(
         "Timestamp", "Timestamp_ns", "TraceId", "SpanId", "ParentSpanId", "SpanName", "SpanKind", "ServiceName",
         "Duration", "StatusCode", "StatusMessage", F.size("Events").alias("n_events"), F.size("Links").alias("n_links"),
@@ -317,7 +317,7 @@ def _otlp_metric(spark, sf_dir, kind, df):
 
 @query
 def otlp_metrics_gauge(spark, sf_dir):
-    return _otlp_metric(spark, sf_dir, "gauge", fx.gauge(spark, sf_dir)).select(
+    return _otlp_metric(spark, sf_dir, "gauge", fx.spread(fx.gauge(spark, sf_dir))).select(
         "ServiceName", "MetricName", "TimeUnix", "TimeUnix_ns", "Value", map_text("Attributes", "k").alias("k"),
         F.size("Exemplars").alias("n_exemplars"),
     )
@@ -325,7 +325,7 @@ def otlp_metrics_gauge(spark, sf_dir):
 
 @query
 def otlp_metrics_sum(spark, sf_dir):
-    return _otlp_metric(spark, sf_dir, "sum", fx.counter(spark, sf_dir)).select(
+    return _otlp_metric(spark, sf_dir, "sum", fx.spread(fx.counter(spark, sf_dir))).select(
         "ServiceName", "MetricName", "TimeUnix", "Value", map_text("Attributes", "user").alias("user"),
         "AggregationTemporality", "IsMonotonic",
     )
@@ -732,7 +732,7 @@ def json_vs_columnar(spark, sf_dir):
 
 def _archive(spark, sf_dir):
     root = scratch_dir(spark, "archive")
-    write_otlp_archive(fx.logs(spark, sf_dir), root, "otel")
+    write_otlp_archive(fx.logs(spark, sf_dir, fx.spread(fx.events(spark, sf_dir))), root, "otel")
     return root
 
 
@@ -814,7 +814,7 @@ def journal_since(spark, sf_dir):
 @query
 def stream_traces(spark, sf_dir):
     src, lake = scratch_dir(spark, "spans"), lake_at(spark, "stream", ["otel_traces", schemas.TRACE_RANGES])
-    fx.span_requests(fx.spans(spark, sf_dir)).write.text(src)
+    fx.span_requests(fx.spans(spark, sf_dir, fx.spread(fx.events(spark, sf_dir)))).write.text(src)
     pipelines.traces(spark, src, lake, scratch_dir(spark, "cp"), trigger=None).awaitTermination()
     spans = lake.scan("otel_traces").groupBy("TraceId").agg(F.count("*").alias("n"), F.sum("Duration").alias("ns"))
     return spans.join(lake.trace_ranges(), "TraceId")
