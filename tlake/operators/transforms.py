@@ -99,9 +99,6 @@ def enrich_k8s(df: DataFrame, pods: DataFrame) -> DataFrame:
     ).select(*df.columns)
 
 
-_PATH = r"/([^/_]+)_([^/_]+)_([^/_]+)/([^/]+)/(\d+)\.log$"
-
-
 def rfc3339_nanos(x: Column) -> Column:
     """RFC 3339 text with up to nine fraction digits → nanoseconds; NULL when malformed.
 
@@ -140,42 +137,58 @@ def container_lines(df: DataFrame) -> DataFrame:
     )
 
 
-def parse_container(df: DataFrame) -> DataFrame:
-    """Container log lines → log rows; fragments of one message are joined.
+def _messages(lines: DataFrame) -> DataFrame:
+    """Runs of lines up to the next full line of the same (file, stream), in line order.
 
-    A message is a run of partial lines up to the next full line of the same
-    (file, stream). Which run a line belongs to is the number of full lines
-    before it. That count is taken per input block and then offset by the totals
-    of the blocks before, so one long file is spread over its blocks.
+    Runs are found per input block, so one long file is spread over its blocks. Inside a
+    block a run is numbered by the full lines before it. Only the first run of a block and
+    an open last one can belong to a message that crosses blocks: at most two rows per
+    block and stream, which are numbered again over the whole file. Both parts read the
+    same shuffled lines.
     """
-    lines = container_lines(df)
     full = F.col("full").cast("bigint")
     block = ("file_path", "stream", "block_start")
-    before = Window.partitionBy(*block).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = (
-        Window.partitionBy("file_path", "stream").orderBy("block_start")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    up_to_here = Window.partitionBy(*block).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    runs = (
+        lines.withColumn("local", F.coalesce(F.sum(full).over(up_to_here), F.lit(0)))
+        .groupBy(*block, "local")
+        .agg(F.array_sort(F.collect_list(F.struct("line_no", "ns", "msg"))).alias("parts"), F.max("full").alias("closed"))
     )
-    offsets = (
-        lines.groupBy(*block).agg(F.sum(full).alias("n"))
-        .select(*block, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("off"))
+    edge = (F.col("local") == 0) | ~F.col("closed")
+    along_file = (
+        Window.partitionBy("file_path", "stream").orderBy("block_start", "local")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    runs = (
-        lines.withColumn("local", F.coalesce(F.sum(full).over(before), F.lit(0)))
-        .join(offsets, list(block))
-        .groupBy("file_path", "stream", (F.col("off") + F.col("local")).alias("run"))
-        .agg(F.array_sort(F.collect_list(F.struct("block_start", "line_no", "ns", "msg"))).alias("parts"))
+    crossing = (
+        runs.filter(edge)
+        .withColumn("run", F.coalesce(F.sum(F.col("closed").cast("bigint")).over(along_file), F.lit(0)))
+        .groupBy("file_path", "stream", "run")
+        .agg(F.array_sort(F.collect_list(F.struct("block_start", "local", "parts"))).alias("pieces"))
+        .select("file_path", "stream", F.flatten(F.transform("pieces", lambda x: x["parts"])).alias("parts"))
     )
-    p = lambda i: F.regexp_extract("file_path", _PATH, i)
-    resource = F.map_filter(
+    return runs.filter(~edge).select("file_path", "stream", "parts").unionByName(crossing)
+
+
+def parse_container(df: DataFrame) -> DataFrame:
+    """Container log lines → log rows; fragments of one message are joined.
+
+    Input: ``value``, ``file_path`` and the line position ``block_start, line_no``. A
+    message is one row, so its fragments meet in one task.
+    """
+    runs = _messages(container_lines(df))
+    # …/<namespace>_<pod>_<uid>/<container>/<restart>.log
+    steps = runs.withColumn("_d", F.split("file_path", "/")).withColumn("_pod", F.split(F.try_element_at("_d", F.lit(-3)), "_"))
+    known = (F.size("_pod") == 3) & F.col("file_path").endswith(".log")
+    resource = F.when(
+        known,
         F.create_map(
-            F.lit("k8s.namespace.name"), p(1), F.lit("k8s.pod.name"), p(2), F.lit("k8s.pod.uid"), p(3),
-            F.lit("k8s.container.name"), p(4), F.lit("k8s.container.restart_count"), p(5),
+            F.lit("k8s.namespace.name"), F.get("_pod", 0), F.lit("k8s.pod.name"), F.get("_pod", 1),
+            F.lit("k8s.pod.uid"), F.get("_pod", 2), F.lit("k8s.container.name"), F.try_element_at("_d", F.lit(-2)),
+            F.lit("k8s.container.restart_count"), F.substring_index(F.try_element_at("_d", F.lit(-1)), ".", 1),
         ),
-        lambda _, x: x != "",
-    )
+    ).otherwise(empty_map())
     return log_rows(
-        runs,
+        steps,
         {
             "Timestamp_ns": F.col("parts")[0]["ns"],
             "Body": F.array_join(F.transform("parts", lambda x: x["msg"]), ""),
