@@ -43,6 +43,19 @@ def sql_table(con, sql):
     return table([d[0] for d in cur.description], cur.fetchall())
 
 
+# Spark type names and what the SQL engine calls them.
+SAME_TYPE = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP",
+    "date": "DATE", "boolean": "BOOLEAN",
+}
+
+
+def type_difference(df, con, sql) -> str:
+    want = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    got = {n: SAME_TYPE.get(t, t) for n, t in df.dtypes}
+    return ", ".join(f"{n}: {got[n]} is not {want[n]}" for n in sorted(got) if n in want and got[n] != want[n])
+
+
 def difference(df, con, sql) -> str:
     """'' when equal, otherwise what differs."""
     names, rows = spark_table(df)
@@ -52,4 +65,4 @@ def difference(df, con, sql) -> str:
     if len(rows) != len(want):
         return f"rows {len(rows)} != {len(want)}"
     bad = [(a, b) for a, b in zip(rows, want) if a != b]
-    return f"{len(bad)} of {len(rows)} rows differ, first: {bad[0]}" if bad else ""
+    return f"{len(bad)} of {len(rows)} rows differ, first: {bad[0]}" if bad else type_difference(df, con, sql)

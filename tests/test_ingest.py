@@ -273,3 +273,43 @@ def test_prom_lines_of_many_snapshots_stay_apart(spark):
                                "value string, source string, scraped_at timestamp_ntz")
     h = parse_prom_text(df)["histogram"].orderBy("TimeUnix").collect()
     assert [(r["TimeUnix"].hour, r["BucketCounts"]) for r in h] == [(0, [2, 3, 2]), (1, [2, 3, 2])]
+
+
+def test_absurd_numbers_do_not_stop_the_job(spark):
+    big = "9" * 30
+    rec = {"timeUnixNano": big, "severityNumber": big, "flags": "x", "attributes": [kv("n", big, "intValue")]}
+    r = flatten.otlp_to_logs(parse_lines(lines(spark, request(rec)), schemas.OTLP_LOGS)).first()
+    assert (r["Timestamp_ns"], r["SeverityNumber"], r["TraceFlags"], r["LogAttributes"]) == (0, 0, 0, {"n": big})
+    span = {"startTimeUnixNano": "-9223372036854775807", "endTimeUnixNano": "9223372036854775807"}
+    s = parse_lines(lines(spark, {"resourceSpans": [{"scopeSpans": [{"spans": [span]}]}]}), schemas.OTLP_TRACES)
+    assert flatten.otlp_to_spans(s).first()["Duration"] == 0
+    prom = "# TYPE h histogram\nh_bucket{le=\"1\"} NaN\nh_bucket{le=\"+Inf\"} +Inf\nh_count NaN\nup 1 99999999999999999\n"
+    df = spark.createDataFrame([(v, "a", datetime(2024, 1, 1)) for v in prom.splitlines()], "value string, source string, scraped_at timestamp_ntz")
+    m = parse_prom_text(df)
+    h = m["histogram"].first()
+    assert (h["Count"], h["Sum"], len(h["BucketCounts"])) == (0, 0.0, 2)
+    assert m["gauge"].first()["TimeUnix"] == datetime(2024, 1, 1)
+    bad = container(spark, "2024-99-99T00:00:00Z stdout F x", "stdout F", "")
+    assert [(r["Body"], r["Timestamp_ns"]) for r in transforms.parse_container(bad).collect()] == [("x", 0)]
+
+
+def test_fragments_against_a_plain_walk(spark):
+    """Random files, streams and block cuts."""
+    import random
+
+    for seed in range(4):
+        rnd = random.Random(seed)
+        recs, open_, want = [], {}, []
+        cut = {f: sorted(rnd.sample(range(400), rnd.choice([0, 3, 60]))) for f in "ab"}
+        for i in range(400):
+            f, s, tag = rnd.choice("ab"), rnd.choice(["stdout", "stderr"]), rnd.choice("PPF")
+            block = sum(c <= i for c in cut[f])
+            recs.append((f"2024-01-01T00:00:00Z {s} {tag} {i};", f"/x/n_{f}_u/c/0.log", block, i))
+            open_.setdefault((f, s), []).append(f"{i};")
+            if tag == "F":
+                want.append((f, s, "".join(open_.pop((f, s)))))
+        want += [(f, s, "".join(v)) for (f, s), v in open_.items()]
+        df = spark.createDataFrame(recs, "value string, file_path string, block_start bigint, line_no bigint")
+        out = transforms.parse_container(df).select(
+            map_text("ResourceAttributes", "k8s.pod.name"), map_text("LogAttributes", "log.iostream"), "Body")
+        assert sorted(rows(out)) == sorted(want)

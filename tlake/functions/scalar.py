@@ -28,7 +28,7 @@ def from_unix_nanos(ns: Column | str) -> Column:
 def _floor_div(n: Column, d: int) -> Column:
     """Whole-number division rounding down, without a detour over DOUBLE."""
     step = F.lit(d).cast("bigint")
-    return F.call_function("div", n - F.pmod(n, step), step)
+    return F.call_function("div", n, step) - F.when(n % step < 0, 1).otherwise(0)
 
 
 def unix_nanos(ts: Column | str) -> Column:

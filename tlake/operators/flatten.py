@@ -127,6 +127,7 @@ def container_fields(lines: DataFrame, first_only: bool = True) -> DataFrame:
 
 
 def _number(x: str) -> Column:
+    """Whole number or 0. Nothing here raises: one bad record must not stop a stream."""
     return F.coalesce(as_bigint(x), F.lit(0).cast("bigint"))
 
 
@@ -186,7 +187,7 @@ def otlp_to_logs(df: DataFrame) -> DataFrame:
         text("item.spanId").alias("SpanId"),
         _number("item.flags").alias("TraceFlags"),
         text("item.severityText").alias("SeverityText"),
-        _number("item.severityNumber").cast("int").alias("SeverityNumber"),
+        F.coalesce(F.col("item.severityNumber").try_cast("int"), F.lit(0)).alias("SeverityNumber"),
         text(any_value_text(F.col("item.body"))).alias("Body"),
         attrs_to_map("item.attributes").alias("LogAttributes"),
         text("item.eventName").alias("EventName"),
@@ -229,7 +230,7 @@ def otlp_to_spans(df: DataFrame) -> DataFrame:
         _enum(F.col("item.kind"), SPAN_KINDS, "SPAN_KIND_").alias("SpanKind"),
         "ServiceName", "ResourceAttributes", "ScopeName", "ScopeVersion",
         attrs_to_map("item.attributes").alias("SpanAttributes"),
-        F.greatest(_number("item.endTimeUnixNano") - start, F.lit(0).cast("bigint")).alias("Duration"),
+        F.greatest(F.try_subtract(_number("item.endTimeUnixNano"), start), F.lit(0).cast("bigint")).alias("Duration"),
         _enum(F.col("item.status.code"), STATUS_CODES, "STATUS_CODE_").alias("StatusCode"),
         text("item.status.message").alias("StatusMessage"),
         F.transform(
@@ -282,7 +283,8 @@ def _exemplars() -> Column:
 
 
 def _counts(x: str) -> Column:
-    return F.transform(F.coalesce(F.col(x), F.array().cast("array<string>")), as_bigint)
+    zero = F.lit(0).cast("bigint")
+    return F.transform(F.coalesce(F.col(x), F.array().cast("array<string>")), lambda c: F.coalesce(as_bigint(c), zero))
 
 
 def _point_columns(kind: str) -> list[Column]:

@@ -62,7 +62,7 @@ def parse_journal(lines: DataFrame) -> DataFrame:
     return log_rows(
         computed_once(lines.select("value"), entry, "e").filter(e.isNotNull()),
         {
-            "Timestamp_ns": F.coalesce(as_bigint(map_text(e, "__REALTIME_TIMESTAMP")) * 1000, F.lit(0)),
+            "Timestamp_ns": F.coalesce(F.try_multiply(as_bigint(map_text(e, "__REALTIME_TIMESTAMP")), F.lit(1000)), F.lit(0)),
             "SeverityText": sev,
             "SeverityNumber": num,
             "ServiceName": map_text(e, "_SYSTEMD_UNIT"),
@@ -127,7 +127,7 @@ def _samples(lines: DataFrame) -> DataFrame:
     rows = computed_once(lines.filter(~v.startswith("#")), sample, "s")
     valid = F.trim("s.name").rlike(_NAME) & x.isNotNull() & (F.size("s.rest") <= 2)
     return rows.filter(valid).select(
-        "source", F.coalesce(from_micros(at * 1000), F.col("scraped_at")).alias("at"),
+        "source", F.coalesce(from_micros(F.try_multiply(at, F.lit(1000))), F.col("scraped_at")).alias("at"),
         F.trim("s.name").alias("name"), _labels(F.col("s.labels")).alias("labels"), x.alias("x"),
     )
 
@@ -206,12 +206,14 @@ def parse_prom_text(lines: DataFrame, job: str = "") -> dict[str, DataFrame]:
                 ).alias("parts"),
             )
         )
-        head = [F.col("n").cast("bigint").alias("Count"), F.col("total").alias("Sum")]
+        head = [F.coalesce(F.col("n").try_cast("bigint"), F.lit(0)).alias("Count"), F.coalesce("total", F.lit(0.0)).alias("Sum")]
         if kind == "histogram":
             finite = F.filter("parts", lambda p: p["edge"] != F.lit(float("inf")))
             steps = F.transform(
                 "parts",
-                lambda p, i: (p["x"] - F.coalesce(F.get("parts", i - 1)["x"], F.lit(0.0))).cast("bigint"),
+                lambda p, i: F.coalesce(
+                    (p["x"] - F.coalesce(F.get("parts", i - 1)["x"], F.lit(0.0))).try_cast("bigint"), F.lit(0)
+                ),
             )
             body = [steps.alias("BucketCounts"), F.transform(finite, lambda p: p["edge"]).alias("ExplicitBounds"),
                     F.lit(2).alias("AggregationTemporality")]

@@ -380,7 +380,7 @@ ORACLE: dict[str, str] = {
         SELECT {DAY_OF} AS event_date, CASE WHEN date_trunc('second', max(ts)) + INTERVAL 30 DAY <= {AS_OF}
           THEN 'cold' ELSE 'hot' END AS tier, count(*) AS n FROM events GROUP BY {DAY_OF}""",
     "compact_day": f"""
-        SELECT {DAY_OF} AS event_date, 2 * count(*) AS n, CASE WHEN {DAY_OF} = DATE '2024-01-10' THEN 1 ELSE 2 END AS segments,
+        SELECT {DAY_OF} AS event_date, 2 * count(*) AS n, CAST(CASE WHEN {DAY_OF} = DATE '2024-01-10' THEN 1 ELSE 2 END AS BIGINT) AS segments,
           count(*) AS spans FROM events GROUP BY {DAY_OF}""",
     "ttl_move_plan": f"""
         SELECT 'otel_logs' AS "table", {DAY_OF} AS event_date, 'ttl' AS reason FROM events GROUP BY {DAY_OF}
