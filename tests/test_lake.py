@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tlake import schemas
+from tlake.operators import views
 from tlake.plans import apply_moves, compact, inventory, plan_moves, reports, vacuum
 from tlake.plans.inventory import inventories
 from tlake.plans.lifecycle import _fingerprint
@@ -185,6 +186,33 @@ def test_get_trace_reads_only_its_days(spark, sf_dir, lake):
     assert "event_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
     ids = spark.createDataFrame([(tid,)], "TraceId string")
     assert lake.get_traces(ids).count() == 8
+    # The range table can be compacted and moved like the others.
+    before = sorted(rows(lake.trace_ranges()))
+    apply_moves(lake, schemas.TRACE_RANGES, "2024-02-05 12:00:00")
+    vacuum(lake, schemas.TRACE_RANGES)
+    assert sorted(rows(lake.trace_ranges())) == before
+
+
+def test_one_bad_time_does_not_unfold_days(spark, lake):
+    """A trace with a span at the epoch: its range is long, but nothing grows with it."""
+    cols = [c for c in schemas.TABLES["otel_traces"].names]
+    base = fx_span(spark, cols)
+    lake.write_spans(base)
+    assert lake.get_traces(spark.createDataFrame([("t",)], "TraceId string")).count() == 2
+    assert lake.get_trace("t").count() == 2
+    assert views.sessions_view(lake.scan("sessions"), "2024-01-01").count() == 0
+
+
+def fx_span(spark, cols):
+    from tlake.functions import from_unix_nanos
+
+    df = spark.createDataFrame([("t", "1", 0), ("t", "2", 1704067200000000000), ("u", "3", 1704067200000000000)],
+                               "TraceId string, SpanId string, Timestamp_ns bigint")
+    df = df.withColumn("Timestamp", from_unix_nanos("Timestamp_ns"))
+    for f in schemas.TABLES["otel_traces"].fields:
+        if f.name not in df.columns:
+            df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
+    return df.select(*cols)
 
 
 def test_plans(spark, sf_dir, logs):

@@ -175,3 +175,29 @@ def test_logs_outside_traces_stay(spark):
 def test_attr_profile_hot_key(spark):
     df = spark.range(3000).select(F.create_map(F.lit("all"), (F.col("id") % 500).cast("string"), F.lit("one"), F.lit("x")).alias("LogAttributes"))
     assert sorted(rows(aggregates.attr_profile(df))) == [("all", 3000, 500), ("one", 3000, 1)]
+
+
+def test_skewed_lookups_are_split(spark, sf_dir):
+    """A hot span: adaptive execution cuts its partition, and the result stays whole."""
+    from tlake.session import settings
+
+    n = 60000
+    logs = spark.range(0, n, 1, 8).select(
+        F.col("id"), F.lit("t").alias("TraceId"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("SpanId"),
+        F.sha2(F.col("id").cast("string"), 512).alias("Body"), F.col("id").alias("Timestamp_ns"),
+    )
+    sp = spark.range(0, n, 1, 8).select(
+        F.lit("t").alias("TraceId"), F.when(F.col("id") == 0, "hot").otherwise(F.col("id").cast("string")).alias("SpanId"),
+        F.sha2(F.col("id").cast("string"), 512).alias("SpanName"), F.lit("s").alias("ServiceName"),
+        F.lit(1).alias("Duration"), F.lit("Ok").alias("StatusCode"),
+    )
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    with settings(spark, conf):
+        for how in ("inner", "left"):
+            df = traces.logs_for_traces(logs, sp, how)
+            got = df.collect()
+            assert len(got) == n and all(r["SpanName"] for r in got)
+            assert "skewed" in df._jdf.queryExecution().executedPlan().toString()

@@ -29,7 +29,9 @@ def _args(argv: list[str] | None) -> argparse.Namespace:
     p.add_argument("--checkpoint", help="ingest: root of the checkpoints")
     p.add_argument("--pods", help="ingest: parquet folder of the pod table")
     for name in ("logs", "traces", "metrics", "container", "journal", "scraped"):
-        p.add_argument(f"--{name}", help=f"ingest: input folder of this pipeline")
+        p.add_argument(f"--{name}", help="ingest: input folder of this pipeline")
+    p.add_argument("--writers", type=int, help="ingest: tasks that write a batch")
+    p.add_argument("--batch-bytes", help="ingest: input bytes per batch")
     p.add_argument("--once", action="store_true", help="ingest: work through what is there, then stop")
     return p.parse_args(argv)
 
@@ -37,14 +39,16 @@ def _args(argv: list[str] | None) -> argparse.Namespace:
 def ingest(spark: SparkSession, lake: Lake, a: argparse.Namespace) -> None:
     """Start a streaming query per given input and wait."""
     how = {"trigger": None} if a.once else {}
+    size = {**({"writers": a.writers} if a.writers else {}),
+            **({"maxBytesPerTrigger": a.batch_bytes} if a.batch_bytes else {})}
     queries = []
     if a.logs:
-        queries.append(pipelines.logs(spark, a.logs, lake, a.archive, a.checkpoint, **how))
-        queries.append(pipelines.sessions(spark, a.logs, lake, a.checkpoint, **how))
+        queries.append(pipelines.logs(spark, a.logs, lake, a.archive, a.checkpoint, **how, **size))
+        queries.append(pipelines.sessions(spark, a.logs, lake, a.checkpoint, **how, **size))
     if a.traces:
-        queries.append(pipelines.traces(spark, a.traces, lake, a.checkpoint, **how))
+        queries.append(pipelines.traces(spark, a.traces, lake, a.checkpoint, **how, **size))
     if a.metrics:
-        queries.append(pipelines.metrics(spark, a.metrics, lake, a.checkpoint, **how))
+        queries.append(pipelines.metrics(spark, a.metrics, lake, a.checkpoint, **how, **size))
     if a.scraped:
         queries.append(pipelines.scraped_metrics(spark, a.scraped, lake, a.checkpoint, **how))
     if a.container or a.journal:
@@ -62,7 +66,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     a = _args(argv)
     spark = spark or SparkSession.builder.appName(f"tlake-{a.job}").getOrCreate()
     lake = Lake(spark, a.hot, a.cold).create_tables()
-    tables = a.table or list(schemas.TABLES)
+    tables = a.table or lake.tables
     if a.job == "ingest":
         ingest(spark, lake, a)
     elif a.job == "move":

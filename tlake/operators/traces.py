@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tlake.functions import looked_up, own_key, time_bucket
-from tlake.operators.aggregates import trace_time_ranges
 from tlake.operators.flatten import unnest
 from tlake.operators.percentiles import exact_percentiles
 from tlake.operators.transforms import has_trace
@@ -144,14 +143,14 @@ def exemplar_spans(metrics: DataFrame, traces: DataFrame) -> DataFrame:
 
 
 def trace_days(ids: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(TraceId, event_date) pairs: the days on which the wanted traces can have spans."""
-    day = F.explode(F.sequence(F.to_date("Start"), F.to_date("End"), F.expr("INTERVAL 1 DAY")))
-    return ids.select("TraceId").distinct().join(ranges, "TraceId").select("TraceId", day.alias("event_date"))
+    """First and last day of each wanted trace."""
+    return (
+        ids.select("TraceId").distinct().join(ranges, "TraceId")
+        .select("TraceId", F.to_date("Start").alias("first_day"), F.to_date("End").alias("last_day"))
+    )
 
 
-def get_traces(traces: DataFrame, ids: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
-    """All spans of many traces (column ``TraceId`` of ``ids``)."""
-    wanted = trace_days(ids, trace_time_ranges(traces) if ranges is None else ranges)
-    if "event_date" not in traces.columns:
-        traces = traces.withColumn("event_date", F.to_date("Timestamp"))
-    return traces.join(wanted, ["event_date", "TraceId"], "left_semi")
+def get_traces(traces: DataFrame, ids: DataFrame) -> DataFrame:
+    """All spans of many traces (column ``TraceId`` of ``ids``); on stored tables use
+    ``Lake.get_traces``, which reads only the days the traces are on."""
+    return has_trace(traces).join(has_trace(ids).select("TraceId"), "TraceId", "left_semi")

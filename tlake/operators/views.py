@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tlake.functions import literal_time
+from tlake.functions import literal_time, trunc_second
 
 
 def logs_view(df: DataFrame) -> DataFrame:
@@ -28,10 +28,11 @@ def sessions_view(
     end: datetime | str | Column | None = None,
 ) -> DataFrame:
     """Session records, filtered on the second-precision time (end exclusive)."""
+    at = F.col("TimestampTime") if "TimestampTime" in df.columns else trunc_second("Timestamp")
     if start is not None:
-        df = df.filter(F.col("TimestampTime") >= literal_time(start))
+        df = df.filter(at >= literal_time(start))
     if end is not None:
-        df = df.filter(F.col("TimestampTime") < literal_time(end))
+        df = df.filter(at < literal_time(end))
     return df.select("Timestamp", "ServiceName", "Body")
 
 

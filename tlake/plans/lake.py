@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass, field
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,8 +144,9 @@ class Lake:
 
     def trace_ranges(self) -> DataFrame:
         """Time range per trace from the small range table (written with the spans)."""
-        r = self.spark.read.schema(self._schema(schemas.TRACE_RANGES)).parquet(self.path(schemas.TRACE_RANGES))
-        return r.groupBy("TraceId").agg(F.min("Start").alias("Start"), F.max("End").alias("End"))
+        return self.scan(schemas.TRACE_RANGES).groupBy("TraceId").agg(
+            F.min("Start").alias("Start"), F.max("End").alias("End")
+        )
 
     def get_trace(self, trace_id: str) -> DataFrame:
         """All spans of one trace: look its time range up, then read only that range."""
@@ -160,11 +161,14 @@ class Lake:
 
     def get_traces(self, ids: DataFrame) -> DataFrame:
         """All spans of many traces: the range table says on which days they can be, and only
-        those days are read. The list of days is bounded by the days stored."""
+        those days are read. What is collected is one row per day stored."""
         wanted = stored(trace_days(ids, self.trace_ranges()))
-        days = [r["event_date"] for r in wanted.select("event_date").distinct().collect()]
-        spans = self.scan("otel_traces").filter(F.col("event_date").isin(days))
-        return spans.join(wanted, ["event_date", "TraceId"], "left_semi")
+        first_last = wanted.groupBy("first_day").agg(F.max("last_day").alias("last_day")).collect()
+        on_days = F.lit(False)
+        for first, last in _merged([(r["first_day"], r["last_day"]) for r in first_last]):
+            on_days = on_days | F.col("event_date").between(F.lit(first), F.lit(last))
+        spans = self.scan("otel_traces").filter(on_days)
+        return spans.join(wanted.select("TraceId"), "TraceId", "left_semi")
 
     # -- write ---------------------------------------------------------------
 
@@ -234,5 +238,16 @@ class Lake:
         return segment
 
 
+def _merged(spans: list[tuple[date, date]]) -> list[tuple[date, date]]:
+    """Day ranges that touch or overlap as one."""
+    out: list[tuple[date, date]] = []
+    for first, last in sorted(spans):
+        if out and first <= out[-1][1] + timedelta(days=1):
+            out[-1] = (out[-1][0], max(out[-1][1], last))
+        else:
+            out.append((first, last))
+    return out
+
+
 def day_text(d: date | str) -> str:
     return d if isinstance(d, str) else d.isoformat()

@@ -12,7 +12,9 @@ pipeline                steps                                                 si
 ======================  ===================================================  =======================
 
 The input folder is the queue: writers add files, the checkpoint remembers which
-were read. Batch size is set by files or bytes per trigger.
+were read. Batch size is set by files or bytes per trigger (``maxFilesPerTrigger``,
+``maxBytesPerTrigger``), the tasks that write a batch by ``writers``; raise both together
+for a larger input.
 """
 
 from __future__ import annotations
@@ -70,22 +72,23 @@ def _log_records(spark: SparkSession, src: str, now, options: dict) -> DataFrame
 def logs(
     spark: SparkSession, src: str, lake: Lake, archive: str, checkpoint: str,
     trigger: str | None = TRIGGER, now: datetime | str | Column | None = None,
-    overwrite_type: bool = True, **options: str,
+    overwrite_type: bool = True, writers: int = LOG_WRITERS, **options: str,
 ) -> StreamingQuery:
     ordinary, _ = split_sessions(_log_records(spark, src, now, options))
     rows = counted(set_log_type(ordinary, "otel", overwrite_type))
     name = "logs"
-    sinks = [table_sink(lake, "otel_logs", name, LOG_WRITERS), archive_sink(archive, "otel", name)]
+    sinks = [table_sink(lake, "otel_logs", name, writers), archive_sink(archive, "otel", name)]
     return fan_out(rows, sinks, f"{checkpoint}/{name}", name, trigger)
 
 
 def sessions(
     spark: SparkSession, src: str, lake: Lake, checkpoint: str,
-    trigger: str | None = TRIGGER, now: datetime | str | Column | None = None, **options: str,
+    trigger: str | None = TRIGGER, now: datetime | str | Column | None = None,
+    writers: int = SESSION_WRITERS, **options: str,
 ) -> StreamingQuery:
     _, records = split_sessions(_log_records(spark, src, now, options))
     name = "logs/sessions"
-    sinks = [table_sink(lake, "sessions", name, SESSION_WRITERS)]
+    sinks = [table_sink(lake, "sessions", name, writers)]
     return fan_out(counted(records), sinks, f"{checkpoint}/{name}", name, trigger)
 
 
@@ -123,18 +126,20 @@ def journal(
 
 
 def traces(
-    spark: SparkSession, src: str, lake: Lake, checkpoint: str, trigger: str | None = TRIGGER, **options: str
+    spark: SparkSession, src: str, lake: Lake, checkpoint: str, trigger: str | None = TRIGGER,
+    writers: int = LOG_WRITERS, **options: str,
 ) -> StreamingQuery:
     options = _bounded(options)
     rows = read_otlp_traces(spark, src, streaming=True, **options)
     # Spans and their trace ranges are two writes of one batch.
     return fan_out(
-        rows, [span_sink(lake, "traces")], f"{checkpoint}/traces", "traces", trigger
+        rows, [span_sink(lake, "traces", writers)], f"{checkpoint}/traces", "traces", trigger
     )
 
 
 def metrics(
-    spark: SparkSession, src: str, lake: Lake, checkpoint: str, trigger: str | None = TRIGGER, **options: str
+    spark: SparkSession, src: str, lake: Lake, checkpoint: str, trigger: str | None = TRIGGER,
+    writers: int = LOG_WRITERS, **options: str,
 ) -> StreamingQuery:
     prepare(spark)
     options = _bounded(options)
@@ -146,7 +151,7 @@ def metrics(
     def write(batch: DataFrame, batch_id: int) -> None:
         parsed = batch.persist()  # five projections of one parse
         try:
-            lake.write_metrics(otlp_to_metrics(parsed), segment("metrics", batch_id), LOG_WRITERS)
+            lake.write_metrics(otlp_to_metrics(parsed), segment("metrics", batch_id), writers)
         finally:
             parsed.unpersist()
 

@@ -448,7 +448,7 @@ def traces_with_errors(spark, sf_dir):
 
 @query
 def traces_by_id(spark, sf_dir):
-    """The same without stored ranges: the ranges are taken from the spans."""
+    """The same on spans that are not stored."""
     ids = trf.has_trace(trf.filter_logs(fx.logs(spark, sf_dir), level="ERROR"))
     return trc.get_traces(fx.spans(spark, sf_dir), ids).select("TraceId", "SpanId", "SpanName")
 
