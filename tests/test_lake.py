@@ -260,3 +260,15 @@ def test_scan_from_a_computed_time(spark, sf_dir, logs):
     ev = fx.events(spark, sf_dir)
     top = ev.agg(F.max("ts")).first()[0]
     assert n == ev.filter(F.col("ts") >= F.lit(str(top)).cast("timestamp_ntz") - F.expr("INTERVAL 1 HOUR")).count() > 0
+
+
+def test_checksum_sees_every_column(spark, sf_dir, lake):
+    """Changing one value anywhere, in maps and nested lists too, changes the checksum."""
+    df = lake.table_rows(fx.spans(spark, sf_dir), "otel_traces")
+    whole = _fingerprint(df)
+    first = F.col("SpanId") == df.agg(F.min("SpanId")).first()[0]
+    for c, new in {
+        "SpanName": F.lit("?"), "Duration": F.col("Duration") + 1, "SpanAttributes": F.create_map(F.lit("k"), F.lit("?")),
+        "Events": F.array(F.struct(F.col("Timestamp"), F.lit("e").alias("Name"), F.create_map(F.lit("a"), F.lit("?")).alias("Attributes"))),
+    }.items():
+        assert _fingerprint(df.withColumn(c, F.when(first, new).otherwise(F.col(c)))) != whole

@@ -7,6 +7,7 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 from pyspark.sql.window import Window
 
 from tlake import schemas
@@ -75,10 +76,18 @@ def plan_moves(
     )
 
 
+def _hashable(f: StructField) -> Column:
+    """Maps as entry lists, lists that hold maps as text: hashes take neither."""
+    kind = f.dataType.typeName()
+    if kind == "map":
+        return F.map_entries(f.name)
+    return F.to_json(f.name) if "map" in f.dataType.simpleString() else F.col(f.name)
+
+
 def _fingerprint(df: DataFrame) -> dict:
     """Rows and an order-free checksum per day."""
     rows = df.drop("seg", "tier")
-    whole = F.xxhash64(F.to_json(F.struct(*[c for c in rows.columns if c != "event_date"])))
+    whole = F.xxhash64(*[_hashable(f) for f in rows.schema.fields if f.name != "event_date"])
     found = rows.groupBy("event_date").agg(
         F.count("*").alias("n"), F.sum(whole.cast("decimal(38,0)")).alias("h")
     )
