@@ -162,6 +162,19 @@ def test_space_and_size_rules(spark):
     assert plan_moves(inv, "2024-01-05", 1000, max_hot_bytes=1000).count() == 0
 
 
+def test_free_space_is_judged_over_all_tables(spark, sf_dir, logs):
+    logs.write(fx.logs(spark, sf_dir), "sessions")
+    used = inventories(logs, ["otel_logs", "sessions"]).agg(F.sum("file_bytes")).first()[0]
+    # Each table alone would fit; both together leave no room.
+    before = _fingerprint(logs.scan("otel_logs"))
+    out = apply_moves(logs, ["otel_logs", "sessions"], "2024-01-31", hot_capacity_bytes=used)
+    assert out["otel_logs"]["days"] > 0 and out["sessions"]["days"] > 0
+    hot = inventories(logs, ["otel_logs", "sessions"]).filter("tier = 'hot'").agg(F.sum("file_bytes")).first()[0]
+    assert hot <= 0.7 * used
+    assert _fingerprint(logs.scan("otel_logs")) == before
+    assert apply_moves(logs, "otel_logs", "2024-01-31", hot_capacity_bytes=2 * used)["days"] == 0
+
+
 def test_inventory_and_reports(spark, sf_dir, logs):
     n = fx.events(spark, sf_dir).count()
     inv = inventories(logs, ["otel_logs", "sessions"])

@@ -71,8 +71,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         ingest(spark, lake, a)
     elif a.job == "move":
         at = a.as_of or datetime.now(timezone.utc).replace(tzinfo=None)
-        for t in tables:
-            print(t, apply_moves(lake, t, at, hot_capacity_bytes=a.hot_capacity))
+        print(apply_moves(lake, tables, at, hot_capacity_bytes=a.hot_capacity))
     elif a.job == "compact":
         for t in tables:
             print(t, compact(lake, t, a.day))

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from tlake import schemas
 from tlake.functions import attr_pairs, literal_time, trunc_second
 from tlake.plans import hadoop
-from tlake.plans.inventory import inventory
+from tlake.plans.inventory import inventories, inventory
 from tlake.plans.lake import TASK_BYTES, TIERS, Lake, day_text
 from tlake.session import settings
 
@@ -149,12 +149,21 @@ def _rewrite(lake: Lake, table: str, units: list[tuple[str, str, str]], to_tier:
     return {"segment": segment, "rows": sum(n for n, _ in before.values()), "days": len(before)}
 
 
-def apply_moves(lake: Lake, table: str, as_of: datetime | str, **limits) -> dict:
-    """Evaluate the rules for a table now and move what is due: one job per table."""
-    due = plan_moves(inventory(lake, table), as_of, **limits).select("event_date", "seg").collect()
-    if not due:
-        return {"segment": None, "rows": 0, "days": 0}
-    return _rewrite(lake, table, [("hot", day_text(r["event_date"]), r["seg"]) for r in due], "cold", merge=False)
+def apply_moves(lake: Lake, tables: str | list[str], as_of: datetime | str, **limits) -> dict:
+    """Evaluate the rules now and move what is due, one job per table.
+
+    Free space is shared by all tables, so with a hot capacity all of them are
+    judged together, also when only some are to be moved.
+    """
+    wanted = [tables] if isinstance(tables, str) else list(tables)
+    judged = lake.tables if limits.get("hot_capacity_bytes") is not None else wanted
+    plan = plan_moves(inventories(lake, judged), as_of, **limits)
+    due: dict[str, list] = {t: [] for t in wanted}
+    for r in plan.filter(F.col("table").isin(wanted)).select("table", "event_date", "seg").collect():
+        due[r["table"]].append(("hot", day_text(r["event_date"]), r["seg"]))
+    nothing = {"segment": None, "rows": 0, "days": 0}
+    done = {t: _rewrite(lake, t, units, "cold", merge=False) if units else nothing for t, units in due.items()}
+    return done[tables] if isinstance(tables, str) else done
 
 
 def compact(lake: Lake, table: str, day: date | str, tier: str = "hot") -> dict:

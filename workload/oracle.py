@@ -183,8 +183,8 @@ ORACLE: dict[str, str] = {
         SELECT event_id, make_timestamp(fixed // 1000) AS "Timestamp", fixed AS "Timestamp_ns",
           CASE WHEN seen = 0 THEN fixed ELSE seen END AS "ObservedTimestamp_ns",
           date_trunc('second', make_timestamp(fixed // 1000)) AS "TimestampTime" FROM t""",
-    "split_no_session": L + """SELECT event_id, body AS "Body" FROM logs WHERE user_id % 3 <> 0""",
-    "split_session_only": L + "SELECT event_id, session_id FROM logs WHERE user_id % 3 = 0",
+    "split_no_session": L + """SELECT event_id, body AS "Body" FROM logs WHERE session_id = ''""",
+    "split_session_only": L + "SELECT event_id, session_id FROM logs WHERE session_id <> ''",
     "set_log_type_overwrite": L + """
         SELECT event_id, 'otel' AS log_type, k, CAST(CASE WHEN user_id % 3 = 0 THEN 3 ELSE 2 END AS INTEGER) AS n_attrs FROM logs""",
     "set_log_type_keep": "SELECT event_id, event_type AS log_type FROM events",
@@ -263,7 +263,7 @@ ORACLE: dict[str, str] = {
     "inventory_like_filter": _with(INV) + """
         SELECT tab AS "table", count(*) AS files FROM inv
         WHERE tab LIKE '%_local' AND (tab IN ('t1_local', 't2_local') OR tier = 'hot') GROUP BY tab ORDER BY tab""",
-    "traced_log_count": "SELECT count(*) AS n FROM events WHERE event_id % 10 <> 0",
+    "traced_log_count": L + "SELECT count(*) AS n FROM logs WHERE trace_id <> ''",
     # joins
     "trace_lookup": S + """
         SELECT trace_id AS "TraceId", span_id AS "SpanId", ts AS "Timestamp", dur AS "Duration" FROM spans
@@ -287,7 +287,7 @@ ORACLE: dict[str, str] = {
     "exemplar_spans": _with(LOGS, SPANS) + """
         SELECT l.event_type AS "MetricName", l.ts AS "TimeUnix", l.value, s.trace_id AS "TraceId", s.span_id AS "SpanId",
           s.span_name AS "SpanName", s.svc AS "SpanService"
-        FROM logs l JOIN spans s ON l.event_id = s.event_id WHERE l.event_id % 10 <> 0""",
+        FROM logs l JOIN spans s ON l.event_id = s.event_id WHERE l.trace_id <> ''""",
     "span_tree": _with(SPANS, _TREE) + """
         SELECT s.trace_id AS "TraceId", s.span_id AS "SpanId", s.parent_id = '' AS is_root,
           coalesce(p.span_name, '') AS parent_name, coalesce(p.svc, '') AS parent_service,
@@ -435,8 +435,8 @@ ORACLE: dict[str, str] = {
         SELECT trace_id AS "TraceId", count(*) AS n, CAST(sum(dur) AS BIGINT) AS ns, min(ts) AS "Start", max(ts) AS "End"
         FROM spans GROUP BY trace_id""",
     "stream_metrics": _STORED_METRICS,
-    "ingest_counters": """
-        SELECT 'InsertedRows' AS event, count(*) FILTER (user_id % 3 <> 0) AS value FROM events
+    "ingest_counters": L + """
+        SELECT 'InsertedRows' AS event, count(*) FILTER (session_id = '') AS value FROM logs
         UNION ALL SELECT 'RejectedInserts', 0""",
 }
 ORACLE["lake_recent_hour"] = ORACLE["recent_log_count"]
