@@ -56,7 +56,7 @@ def attr_profile(df: DataFrame, column: str = "LogAttributes") -> DataFrame:
     Counted per (key, value) first, so a key on every record is spread over its
     values and the second step sees one row per distinct value.
     """
-    pairs = df.select(F.explode(F.map_entries(column)).alias("e")).select("e.key", "e.value")
+    pairs = df.select(F.explode(column).alias("key", "value"))
     return (
         pairs.groupBy("key", "value").agg(F.count("*").alias("c"))
         .groupBy("key").agg(F.sum("c").alias("n"), F.count("value").alias("n_values"))

@@ -143,10 +143,12 @@ def exemplar_spans(metrics: DataFrame, traces: DataFrame) -> DataFrame:
 
 
 def trace_days(ids: DataFrame, ranges: DataFrame) -> DataFrame:
-    """First and last day of each wanted trace."""
+    """First and last day of each wanted trace. ``ranges`` may hold several partial ranges
+    per trace; only those of wanted traces are put together."""
+    wanted = has_trace(ids).select("TraceId").distinct()
     return (
-        ids.select("TraceId").distinct().join(ranges, "TraceId")
-        .select("TraceId", F.to_date("Start").alias("first_day"), F.to_date("End").alias("last_day"))
+        ranges.join(wanted, "TraceId", "left_semi").groupBy("TraceId")
+        .agg(F.to_date(F.min("Start")).alias("first_day"), F.to_date(F.max("End")).alias("last_day"))
     )
 
 

@@ -162,7 +162,7 @@ class Lake:
     def get_traces(self, ids: DataFrame) -> DataFrame:
         """All spans of many traces: the range table says on which days they can be, and only
         those days are read. What is collected is one row per day stored."""
-        wanted = stored(trace_days(ids, self.trace_ranges()))
+        wanted = stored(trace_days(ids, self.scan(schemas.TRACE_RANGES)))
         first_last = wanted.groupBy("first_day").agg(F.max("last_day").alias("last_day")).collect()
         on_days = F.lit(False)
         for first, last in _merged([(r["first_day"], r["last_day"]) for r in first_last]):

@@ -39,7 +39,8 @@ def read_otlp_traces(
 def read_otlp_metrics(
     spark: SparkSession, path: str, streaming: bool = False, **options: str
 ) -> dict[str, DataFrame]:
-    """Metric points in table layout, one frame per kind."""
+    """Metric points in table layout, one frame per kind. Each frame parses the input; to
+    write all of them, persist the requests as ``pipelines.metrics`` does."""
     return otlp_to_metrics(_requests(spark, path, schemas.OTLP_METRICS, streaming, options))
 
 
