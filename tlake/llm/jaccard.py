@@ -177,30 +177,53 @@ def linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 
 
 def residual_pairs(percent: int):
-    """Pairs of one bucket block that lie in different components and pass the bounds. A pair is given only at the first
-    shingle that both prefixes share, where the rest of both sets bounds its overlap."""
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        # Sets with fewer shared shingles come first: only sizes in a range fit to each.
-        g = group.sort_values(["kept", "key"]).reset_index(drop=True)
-        n, kept, pos, salt = (g[c].to_numpy(np.int64) for c in ("n", "kept", "pos", "salt"))
-        part = pd.factorize(g["part"])[0]
-        across = g["i"].iat[0] != g["j"].iat[0]
-        before = [set(p[:i].tolist()) for p, i in zip(g["prefix"], pos)]
-        a, b = [], []
-        for x in range(len(g) - 1):
-            y = np.arange(x + 1, len(g))
-            fit = (part[y] != part[x]) & ((100 + percent) * kept[x] >= percent * (n[x] + n[y]))
-            rest = np.minimum(kept[x] - pos[x], kept[y] - pos[y])
-            fit &= (100 + percent) * rest >= percent * (n[x] + n[y])
+    """Pairs of a bucket block that lie in different components and pass the bounds. A pair is given only at the first
+    shingle that both prefixes share, where the rest of both sets bounds its overlap. Blocks come sorted, one after
+    another; only one is held."""
+
+    def meet(rows: list[tuple]) -> Iterator[tuple[str, str]]:
+        rows.sort()  # sets with fewer shared shingles come first: they bound the overlap
+        kept, n, pos, salt, part = (np.array([r[c] for r in rows]) for c in range(5))
+        part = np.unique(part, return_inverse=True)[1]
+        across = salt.min() != salt.max()
+        before: dict[int, set[int]] = {}
+
+        def earlier(x: int) -> set[int]:
+            if x not in before:
+                before[x] = set(rows[x][6][: rows[x][2]].tolist())
+            return before[x]
+
+        for x in range(len(rows) - 1):
+            y = slice(x + 1, None)
+            need = percent * (n[x] + n[y])
+            fit = (part[y] != part[x]) & ((100 + percent) * np.minimum(kept[x] - pos[x], kept[y] - pos[y]) >= need)
             if across:
                 fit &= salt[y] != salt[x]
-            for k in y[fit]:
-                if before[x].isdisjoint(before[k]):
-                    a.append(g["key"].iat[x]), b.append(g["key"].iat[k])
-        return pd.DataFrame({"a": np.minimum(a, b) if a else [], "b": np.maximum(a, b) if a else []}, dtype="object")
+            for k in np.flatnonzero(fit) + x + 1:
+                if earlier(x).isdisjoint(earlier(k)):
+                    a, b = rows[x][5], rows[k][5]
+                    yield (a, b) if a < b else (b, a)
 
-    return meet
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            found: list[tuple[str, str]] = []
+            flat, ends = batch.column(9).flatten().to_numpy(), batch.column(9).value_lengths().to_numpy().cumsum()
+            prefixes = np.split(flat, ends[:-1])
+            for h, i, j, *rest, p in zip(*(batch.column(c).to_pylist() for c in range(9)), prefixes):
+                if (h, i, j) != now:
+                    if len(held) > 1:
+                        found.extend(meet(held))
+                    now, held = (h, i, j), []
+                held.append((*rest, p))
+            yield pairs_batch(found)
+        yield pairs_batch(list(meet(held)) if len(held) > 1 else [])
+
+    def pairs_batch(found: list[tuple[str, str]]) -> pa.RecordBatch:
+        found = sorted(set(found))
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.string()) for c in range(2)], ["a", "b"])
+
+    return stream
 
 
 def classes(docs: DataFrame, n_total: int, width: int, percent: int) -> DataFrame:
@@ -255,11 +278,12 @@ def classes(docs: DataFrame, n_total: int, width: int, percent: int) -> DataFram
         placed.join(mixed, "h")
         .withColumn("salt", F.pmod(F.xxhash64("key"), blocks))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        .select("h", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "key", "n", "kept", "part", "pos", "prefix")
+        .select("h", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "kept", "n", "pos", "salt", "part", "key", "prefix")
     )
     more = (
-        blocked.groupBy("h", "i", "j")
-        .applyInPandas(residual_pairs(percent), "a string, b string")
+        blocked.repartition("h", "i", "j")
+        .sortWithinPartitions("h", "i", "j")
+        .mapInArrow(residual_pairs(percent), "a string, b string")
         .distinct()
         .join(star, ["a", "b"], "left_anti")
     )
