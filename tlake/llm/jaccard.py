@@ -91,8 +91,12 @@ def members(docs: DataFrame, width: int = 4) -> DataFrame:
     return rows.mapInArrow(sized, out)
 
 
-def shared_shingles(docs: DataFrame, width: int, fragments: int) -> DataFrame:
-    """key, n, shingles, df: in each fragment, the shingles of a class that other classes have as well."""
+def candidates(docs: DataFrame, width: int, percent: int, fragments: int) -> DataFrame:
+    """key, n, kept, t: the classes of which ``percent`` of the shingles occur in other classes as well, with these
+    ``kept`` shingles in the global order: by number of classes (65,535 and more are one), then by hash.
+
+    Shingles travel in packed blocks: from the readers to the fragments, and from there to buckets of classes.
+    """
     edges = [(1 << 64) * i // fragments for i in range(1, fragments)]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,23 +136,43 @@ def shared_shingles(docs: DataFrame, width: int, fragments: int) -> DataFrame:
         _, inverse, df = np.unique(hashes, return_inverse=True, return_counts=True)
         df = df[inverse]
         many = df > 1
-        hashes, owner, df = hashes[many].view(np.int64), owner[many], df[many].astype(np.int32)
+        hashes, owner, df = hashes[many], owner[many], np.minimum(df[many], 65_535).astype(np.uint16)
         starts = np.flatnonzero(np.diff(owner, prepend=-1))
-        who = owner[starts]
-        return pd.DataFrame(
-            {
-                "key": [keys[i].tobytes() for i in who],
-                "n": sizes[who, 0],
-                "shingles": np.split(hashes, starts[1:]) if len(starts) else [],
-                "df": np.split(df, starts[1:]) if len(starts) else [],
-            }
-        )
+        who, ends = owner[starts], np.append(starts[1:], len(owner))
+        packed = []
+        bucket = keys.view(np.uint64).reshape(-1, 2)[who, 0] % np.uint64(fragments)
+        for x in np.unique(bucket):
+            rows = np.flatnonzero(bucket == x)
+            inside = np.concatenate([np.arange(starts[r], ends[r]) for r in rows])
+            lengths = np.stack([sizes[who[rows], 0], ends[rows] - starts[rows]], 1)
+            packed.append((int(x), keys[who[rows]].tobytes(), lengths.tobytes(), hashes[inside].tobytes(), df[inside].tobytes()))
+        return pd.DataFrame(packed, columns=["bucket", "keys", "sizes", "hashes", "df"])
+
+    def assemble(group: pd.DataFrame) -> pd.DataFrame:
+        keys = np.frombuffer(b"".join(group["keys"]), np.uint64).reshape(-1, 2)
+        sizes = np.frombuffer(b"".join(group["sizes"]), np.int64).reshape(-1, 2)
+        hashes = np.frombuffer(b"".join(group["hashes"]), np.int64)
+        df = np.frombuffer(b"".join(group["df"]), np.uint16)
+        names, first, number = np.unique(keys, axis=0, return_index=True, return_inverse=True)
+        number = number.reshape(-1)
+        kept = np.bincount(number, sizes[:, 1], len(names)).astype(np.int64)
+        n = sizes[first, 0]
+        alive = 100 * kept >= percent * n
+        owner = np.repeat(number, sizes[:, 1])
+        use = alive[owner]
+        hashes, df, owner = hashes[use], df[use], owner[use]
+        order = np.lexsort((hashes, df, owner))
+        lists = np.split(hashes[order], np.cumsum(kept[alive])[:-1]) if alive.any() else []
+        hexed = [names[i].tobytes().hex().upper() for i in np.flatnonzero(alive)]
+        return pd.DataFrame({"key": hexed, "n": n[alive], "kept": kept[alive], "t": lists})
 
     return (
         docs.select("text")
         .mapInArrow(cut, "fragment int, keys binary, sizes binary, hashes binary")
         .groupBy("fragment")
-        .applyInPandas(count, "key binary, n long, shingles array<long>, df array<int>")
+        .applyInPandas(count, "bucket long, keys binary, sizes binary, hashes binary, df binary")
+        .groupBy("bucket")
+        .applyInPandas(assemble, "key string, n long, kept long, t array<long>")
     )
 
 
@@ -229,22 +253,24 @@ def residual_pairs(percent: int):
 def classes(docs: DataFrame, n_total: int, width: int, percent: int) -> DataFrame:
     """key, part: for every class that links with another, the least key of its component."""
     fragments = max(1, -(-n_total // FRAGMENT_SHINGLES))
-    alive = (
-        shared_shingles(docs, width, fragments)
-        .groupBy("key", "n")
-        .agg(F.flatten(F.collect_list(F.arrays_zip("df", "shingles"))).alias("t"))
-        .filter(F.size("t") >= fewest(F.col("n"), percent))
-        .select(F.hex("key").alias("key"), "n", F.size("t").cast("long").alias("kept"), F.array_sort("t").alias("t"))
-        .select("key", "n", "kept", F.transform("t", lambda x: x["shingles"]).alias("t"))
-        .checkpoint()
-    )
+    alive = candidates(docs, width, percent, fragments).checkpoint()
     prefix = F.slice("t", 1, (F.col("kept") - fewest(F.col("n"), percent) + 1).cast("int"))
     buckets = alive.select("key", "n", "kept", F.posexplode(prefix).alias("pos", "h"))
+    # Near copies share many prefix shingles: of buckets with the same members, the first in the global order stands for all.
     pivots = (
         buckets.groupBy("h")
-        .agg(F.min(F.struct((F.col("n") - F.col("kept")).alias("own"), "n", "kept", "key")).alias("p"), F.count("*").alias("size"))
+        .agg(
+            F.count("*").alias("size"),
+            F.bit_xor(F.xxhash64("key")).alias("x"),
+            F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"),
+            F.min(F.struct("key", "pos"))["pos"].alias("pos"),
+            F.min(F.struct((F.col("n") - F.col("kept")).alias("own"), "n", "kept", "key")).alias("p"),
+        )
         .filter("size > 1")
-        .select("h", "size", F.col("p.key").alias("key_p"), F.col("p.n").alias("n_p"), F.col("p.kept").alias("kept_p"))
+        .groupBy("size", "x", "y")
+        .agg(F.min(F.struct("pos", "h", "p")).alias("m"))
+        .select("size", F.col("m.h").alias("h"), F.col("m.p.key").alias("key_p"), F.col("m.p.n").alias("n_p"), F.col("m.p.kept").alias("kept_p"))
+        .checkpoint()
     )
     star = (
         buckets.select("h", F.col("key").alias("key_q"), F.col("n").alias("n_q"), F.col("kept").alias("kept_q"))
@@ -272,6 +298,7 @@ def classes(docs: DataFrame, n_total: int, width: int, percent: int) -> DataFram
         .select("key", "n", "kept", "part", prefix.alias("prefix"))
         .select("*", F.posexplode("prefix").alias("pos", "h"))
     )
+    placed = placed.join(pivots.select("h"), "h", "left_semi")
     mixed = placed.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("h", "size")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("long")
     blocked = (
