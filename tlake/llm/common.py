@@ -42,7 +42,8 @@ def of_worker(key: tuple, make: Callable[[], Any]) -> Any:
 
 def remainder(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id's decimal text modulo ``n``; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string")) % n
+    text = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
+    return F.crc32(F.coalesce(text, F.lit(""))) % n
 
 
 def text_key(text: Column) -> Column:

@@ -3,7 +3,7 @@
 A page is read into blocks with their place: inside the article, open (nothing says what they are), or furniture by their
 tags or class names. The token streams of a host's pages, outside articles, are concatenated; sorting all suffixes by
 their first MIN_RUN tokens brings equal runs together, and runs that distinct pages share are covered. A page with an
-article gives its blocks. Where no article is marked, the open blocks are kept without the covered tokens: unique runs.
+article gives its blocks. Where no article is marked, the open blocks that are not mostly covered are kept: unique runs.
 """
 
 from __future__ import annotations
@@ -167,10 +167,12 @@ def host_texts(group: pd.DataFrame) -> pd.DataFrame:
             continue
         kept, at = [], 0
         for where, text in b:
-            tokens = text.split(" ")
-            if where == OPEN:
-                kept += [t for t, c in zip(tokens, mark[at : at + len(tokens)]) if not c]
-            at += len(tokens) + 1
+            if where == ARTICLE:
+                continue
+            n = text.count(" ") + 1
+            if where == OPEN and 2 * mark[at : at + n].sum() <= n:
+                kept.append(text)
+            at += n + 1
         texts.append(" ".join(kept))
     return pd.DataFrame({"page_id": group["page_id"].to_numpy(), "url": group["url"].to_numpy(), "text": texts, "n_repeated_tokens": repeated})
 

@@ -42,25 +42,51 @@ class PreTokens(dict):
         if len(self) > 300_000:
             self.clear()
         t = self.tokenizer
+        if word == SPECIAL:
+            return [SPECIAL]
         self[word] = v = [p for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(word))]
         return v
 
-    def counts(self, text: str) -> Counter:
-        """pre-token -> how often it occurs in the text."""
-        out: Counter = Counter()
+    def words(self, text: str) -> list[str]:
+        """The text's words, special tokens as SPECIAL."""
         if self.special and self.special.search(text):
             parts = self.special.split(text)
-            out[SPECIAL] = len(parts) - 1
+            out = [SPECIAL] * (len(parts) - 1)
         else:
-            parts = [text]
+            parts, out = [text], []
         for part in parts:
-            found = [w for w in UNICODE_SPACE.split(part) if w] if CONTROL.search(part) else part.split()
-            for word, n in Counter(found).items():
-                for p in self[word]:
-                    out[p] += n
+            out += [w for w in UNICODE_SPACE.split(part) if w] if CONTROL.search(part) else part.split()
         return out
 
 
+class Known(dict):
+    """word -> pieces of those of its pre-tokens whose number is known here; ``rare`` has the other ones of a word. Starts
+    anew when full."""
+
+    def __init__(self, pre_tokens: PreTokens, hot: dict[str, int]) -> None:
+        self.pre_tokens, self.hot, self.rare = pre_tokens, hot, {}
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+            self.rare.clear()
+        found = self.pre_tokens[word]
+        if other := [p for p in found if p not in self.hot]:
+            self.rare[word] = other
+        self[word] = v = sum(self.hot.get(p, 0) for p in found)
+        return v
+
+    def of(self, text: str) -> tuple[int, Counter]:
+        """Pieces of the known pre-tokens of a text, and how often each other one occurs in it."""
+        counts, sure, rest = Counter(self.pre_tokens.words(text)), 0, Counter()
+        for word, n in counts.items():
+            sure += n * self[word]
+            if word in self.rare:
+                for p in self.rare[word]:
+                    rest[p] += n
+        return sure, rest
+
+
 def count_tokens(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens of every whole text, as the tokenizer of the file gives them without added tokens.
 
@@ -78,14 +104,21 @@ def count_tokens(docs: DataFrame, tokenizer_file: str) -> DataFrame:
 
     def corpus_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = pre_tokens(), Counter()
+
+        def flushed() -> pa.RecordBatch:
+            sums: Counter = Counter()
+            for word, n in seen.items():
+                for p in own[word]:
+                    sums[p] += n
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["piece", "n"])
+
         for batch in batches:
             for text in batch.column(0):
-                for p, n in own.counts(text.as_py()).items():
-                    seen[p] += n
+                seen.update(own.words(text.as_py()))
                 if len(seen) > 300_000:  # bounded memory: partial counts go out, Spark adds them up
-                    yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
-                    seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
+                    yield flushed()
+        yield flushed()
 
     def piece_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pre_tokens().tokenizer.model
@@ -112,17 +145,15 @@ def count_tokens(docs: DataFrame, tokenizer_file: str) -> DataFrame:
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for the document with what the hot pre-tokens sum to, and one for each rarer pre-token."""
-        own, known = pre_tokens(), hot_counts.value
+        known = Known(pre_tokens(), hot_counts.value)
         for batch in batches:
             at, piece, number, copies = [], [], [], []
             for i, text in enumerate(batch.column(3)):
-                got, sure = own.counts(text.as_py()), 0
-                for p, n in got.items():
-                    k = known.get(p)
-                    if k is None:
-                        at.append(i), piece.append(p), number.append(n), copies.append(0)
-                    else:
-                        sure += k * n
+                sure, rest = known.of(text.as_py())
+                at += [i] * len(rest)
+                piece += rest.keys()
+                number += rest.values()
+                copies += [0] * len(rest)
                 at.append(i), piece.append(f"\x00{i}"), number.append(sure), copies.append(1)
             same = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_arrays(
