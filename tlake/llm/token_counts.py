@@ -36,17 +36,32 @@ class PreTokens(dict):
     def __init__(self, tokenizer: Tokenizer) -> None:
         self.tokenizer = tokenizer
         added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        # Plain words are most of a text. Where the rules only put them into lower case and split off an end mark, as a
+        # probe with every ASCII letter shows, neither needs the rules' own code.
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        probe = letters + letters.upper()
+        self.plain = self.by_rules(probe) == [letters * 2]
+        self.marks = {m for m in ".,;:!?" if self.plain and self.by_rules(probe + m) == [letters * 2, m]}
         self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
 
     def __missing__(self, word: str) -> list[str]:
         if len(self) > 300_000:
             self.clear()
-        t = self.tokenizer
         if word == SPECIAL:
             return [SPECIAL]
-        self[word] = v = [p for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(word))]
+        if self.plain and word.isascii() and word.isalpha():
+            v = [word.lower()]
+        elif word[-1] in self.marks and word.isascii() and word[:-1].isalpha():
+            v = [word[:-1].lower(), word[-1]]
+        else:
+            v = self.by_rules(word)
+        self[word] = v
         return v
 
+    def by_rules(self, word: str) -> list[str]:
+        t = self.tokenizer
+        return [p for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(word))]
+
     def words(self, text: str) -> list[str]:
         """The text's words, special tokens as SPECIAL."""
         if self.special and self.special.search(text):
