@@ -313,3 +313,16 @@ def test_fragments_against_a_plain_walk(spark):
         out = transforms.parse_container(df).select(
             map_text("ResourceAttributes", "k8s.pod.name"), map_text("LogAttributes", "log.iostream"), "Body")
         assert sorted(rows(out)) == sorted(want)
+
+
+def test_exemplars_leave_the_point_as_it_is(spark):
+    from pyspark.sql import functions as F
+
+    from tlake.sources.files import _samples
+
+    lines = ['h_bucket{le="1",note="a # {b"} 5 # {trace_id="abc"} 0.67', 'h_sum 3 # {trace_id="x"} 1 2', 'g{a="b"} 7 1000']
+    df = spark.createDataFrame([(x,) for x in lines], "value string").select(
+        "value", F.lit("f").alias("source"), F.lit("2024-01-01").cast("timestamp_ntz").alias("scraped_at")
+    )
+    got = {r.name: (dict(r.labels), r.x) for r in _samples(df).collect()}
+    assert got == {"h_bucket": ({"le": "1", "note": "a # {b"}, 5.0), "h_sum": ({}, 3.0), "g": ({"a": "b"}, 7.0)}

@@ -99,3 +99,13 @@ def test_journal_pipeline_sets_both_types(spark, lake, tmp_path):
     pipelines.journal(spark, f"{tmp_path}/j", pods, f"{tmp_path}/out", f"{tmp_path}/cp", trigger=None).awaitTermination()
     r = otlp_to_logs(read_otlp_logs(spark, f"{tmp_path}/out/journal")).first()
     assert r["LogAttributes"]["log_type"] == r["ResourceAttributes"]["log_type"] == "journal"
+
+
+def test_two_checkpoints_keep_all_rows(spark, sf_dir, lake, tmp_path):
+    """A new checkpoint starts again at batch 0 and must not write over what another one stored."""
+    src = archive(spark, sf_dir, tmp_path)
+    for cp in ("a", "b"):
+        pipelines.logs(spark, src, lake, f"{tmp_path}/out", f"{tmp_path}/{cp}", None, fx.AS_OF).awaitTermination()
+    once = split_sessions(fix_time(otlp_to_logs(read_otlp_logs(spark, src)), fx.AS_OF))[0].count()
+    assert lake.scan("otel_logs").count() == 2 * once
+    assert archive_logs(read_otlp_logs(spark, f"{tmp_path}/out/otel")).count() == 2 * once

@@ -33,7 +33,14 @@ def _args(argv: list[str] | None) -> argparse.Namespace:
     p.add_argument("--writers", type=int, help="ingest: tasks that write a batch")
     p.add_argument("--batch-bytes", help="ingest: input bytes per batch")
     p.add_argument("--once", action="store_true", help="ingest: work through what is there, then stop")
-    return p.parse_args(argv)
+    a = p.parse_args(argv)
+    if a.job == "ingest" and not a.checkpoint:
+        p.error("ingest needs --checkpoint, a folder that all executors share")
+    if a.job == "ingest" and not a.archive and (a.logs or a.container or a.journal):
+        p.error("logs, container and journal need --archive")
+    if a.job == "compact" and not a.day:
+        p.error("compact needs --day")
+    return a
 
 
 def ingest(spark: SparkSession, lake: Lake, a: argparse.Namespace) -> None:
@@ -50,7 +57,7 @@ def ingest(spark: SparkSession, lake: Lake, a: argparse.Namespace) -> None:
     if a.metrics:
         queries.append(pipelines.metrics(spark, a.metrics, lake, a.checkpoint, **how, **size))
     if a.scraped:
-        queries.append(pipelines.scraped_metrics(spark, a.scraped, lake, a.checkpoint, **how))
+        queries.append(pipelines.scraped_metrics(spark, a.scraped, lake, a.checkpoint, **how, **({"writers": a.writers} if a.writers else {})))
     if a.container or a.journal:
         pods = spark.read.schema(schemas.PODS).parquet(a.pods) if a.pods else spark.createDataFrame([], schemas.PODS)
         if a.container:

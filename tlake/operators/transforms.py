@@ -84,16 +84,16 @@ def enrich_k8s(df: DataFrame, pods: DataFrame) -> DataFrame:
     )
     p = unique_pods(pods).withColumn("_key", looked_up("pod_name"))
     joined = keyed.join(p, (keyed["_pod"] == p["_key"]) & (keyed["_ns"] == p["namespace"]), "left")
-    found = upsert(
-        "ResourceAttributes",
-        {
-            "k8s.pod.name": F.col("pod_name"),
-            "k8s.pod.uid": text("pod_uid"),
-            "k8s.namespace.name": F.col("namespace"),
-            "k8s.container.name": text("container_name"),
-            "k8s.node.name": text("node_name"),
-        },
-    )
+    # What a record says of itself stays: the pod table fills only keys that are absent or empty.
+    own = lambda key, c: F.coalesce(F.nullif(F.try_element_at("ResourceAttributes", F.lit(key)), F.lit("")), c)
+    told = {
+        "k8s.pod.name": F.col("pod_name"),
+        "k8s.pod.uid": text("pod_uid"),
+        "k8s.namespace.name": F.col("namespace"),
+        "k8s.container.name": text("container_name"),
+        "k8s.node.name": text("node_name"),
+    }
+    found = upsert("ResourceAttributes", {key: own(key, c) for key, c in told.items()})
     return joined.withColumn(
         "ResourceAttributes", F.when(F.col("pod_name").isNotNull(), found).otherwise(F.col("ResourceAttributes"))
     ).select(*df.columns)

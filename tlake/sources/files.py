@@ -112,13 +112,14 @@ def _labels(x: Column) -> Column:
 
 def _samples(lines: DataFrame) -> DataFrame:
     """``name{labels} value [time]`` lines; others are left out."""
-    v = F.col("value")
+    # An exemplar, `# {labels} value [time]` after the sample and outside quotes, is not part of the point.
+    v = F.regexp_replace("value", r'^((?:[^"#]|"(?:[^"\\]|\\.)*")*?)\s+# \{.*$', "$1")
     braces = v.contains("{")
     sample = F.struct(
         F.when(braces, F.substring_index(v, "{", 1)).otherwise(F.substring_index(v, " ", 1)).alias("name"),
         F.when(braces, F.regexp_extract(v, r"\{(.*)\}", 1)).otherwise("").alias("labels"),
         F.split(
-            F.trim(F.when(braces, F.substring_index(v, "}", -1)).otherwise(F.expr("substr(value, instr(value, ' '))"))),
+            F.trim(F.when(braces, F.substring_index(v, "}", -1)).otherwise(F.substr(v, F.instr(v, F.lit(" "))))),
             r"\s+",
         ).alias("rest"),
     )

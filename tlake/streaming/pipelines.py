@@ -40,8 +40,6 @@ from tlake.session import prepare
 from tlake.sources.files import parse_prom_text, read_journal_json
 from tlake.sources.otlp import read_otlp_logs, read_otlp_traces
 from tlake.streaming.sinks import (
-    LOG_WRITERS,
-    SESSION_WRITERS,
     TRIGGER,
     archive_sink,
     counted,
@@ -72,7 +70,7 @@ def _log_records(spark: SparkSession, src: str, now, options: dict) -> DataFrame
 def logs(
     spark: SparkSession, src: str, lake: Lake, archive: str, checkpoint: str,
     trigger: str | None = TRIGGER, now: datetime | str | Column | None = None,
-    overwrite_type: bool = True, writers: int = LOG_WRITERS, **options: str,
+    overwrite_type: bool = True, writers: int | None = None, **options: str,
 ) -> StreamingQuery:
     ordinary, _ = split_sessions(_log_records(spark, src, now, options))
     rows = counted(set_log_type(ordinary, "otel", overwrite_type))
@@ -84,7 +82,7 @@ def logs(
 def sessions(
     spark: SparkSession, src: str, lake: Lake, checkpoint: str,
     trigger: str | None = TRIGGER, now: datetime | str | Column | None = None,
-    writers: int = SESSION_WRITERS, **options: str,
+    writers: int | None = None, **options: str,
 ) -> StreamingQuery:
     _, records = split_sessions(_log_records(spark, src, now, options))
     name = "logs/sessions"
@@ -127,7 +125,7 @@ def journal(
 
 def traces(
     spark: SparkSession, src: str, lake: Lake, checkpoint: str, trigger: str | None = TRIGGER,
-    writers: int = LOG_WRITERS, **options: str,
+    writers: int | None = None, **options: str,
 ) -> StreamingQuery:
     options = _bounded(options)
     rows = read_otlp_traces(spark, src, streaming=True, **options)
@@ -139,7 +137,7 @@ def traces(
 
 def metrics(
     spark: SparkSession, src: str, lake: Lake, checkpoint: str, trigger: str | None = TRIGGER,
-    writers: int = LOG_WRITERS, **options: str,
+    writers: int | None = None, **options: str,
 ) -> StreamingQuery:
     prepare(spark)
     options = _bounded(options)
@@ -148,10 +146,10 @@ def metrics(
         .options(**options).json(src)
     )
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    def write(batch: DataFrame, name: str) -> None:
         parsed = batch.persist()  # five projections of one parse
         try:
-            lake.write_metrics(otlp_to_metrics(parsed), segment("metrics", batch_id), writers)
+            lake.write_metrics(otlp_to_metrics(parsed), segment("metrics", name), writers)
         finally:
             parsed.unpersist()
 
@@ -160,19 +158,19 @@ def metrics(
 
 def scraped_metrics(
     spark: SparkSession, src: str, lake: Lake, checkpoint: str, job: str = "",
-    trigger: str | None = "10 seconds",
+    trigger: str | None = "10 seconds", writers: int | None = None, **options: str,
 ) -> StreamingQuery:
     """The scraped input of the metrics pipeline: text snapshots, one scrape per file."""
     prepare(spark)
-    lines = spark.readStream.option("recursiveFileLookup", "true").text(src).select(
+    lines = spark.readStream.options(recursiveFileLookup="true", **_bounded(options)).text(src).select(
         "value", F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("scraped_at"),
     )
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    def write(batch: DataFrame, name: str) -> None:
         parsed = batch.persist()
         try:
-            lake.write_metrics(parse_prom_text(parsed, job), segment("metrics-scraped", batch_id), LOG_WRITERS)
+            lake.write_metrics(parse_prom_text(parsed, job), segment("metrics-scraped", name), writers)
         finally:
             parsed.unpersist()
 

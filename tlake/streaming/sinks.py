@@ -1,7 +1,8 @@
-"""Sinks for micro-batches. Each is idempotent per batch id."""
+"""Sinks for micro-batches. Each is idempotent per streaming query and batch."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -11,28 +12,27 @@ from pyspark.sql.streaming import StreamingQuery
 from tlake.plans.lake import Lake
 from tlake.streaming.archive import write_otlp_archive
 
-Sink = Callable[[DataFrame, int], None]
+Sink = Callable[[DataFrame, str], None]
 
-# Trigger interval, writers of the main and of the session sink.
+# Fixed value: trigger interval.
 TRIGGER = "5 seconds"
-LOG_WRITERS = 4
-SESSION_WRITERS = 2
 
 
-def segment(name: str, batch_id: int) -> str:
-    return f"a-{name.replace('/', '-')}-{batch_id:012d}"
+def segment(name: str, batch: str) -> str:
+    """``batch`` names the streaming query and its batch, so a new checkpoint never writes over stored rows."""
+    return f"a-{name.replace('/', '-')}-{batch}"
 
 
-def table_sink(lake: Lake, table: str, name: str, tasks: int = LOG_WRITERS) -> Sink:
-    return lambda df, batch_id: lake.write(df, table, segment(name, batch_id), tasks)
+def table_sink(lake: Lake, table: str, name: str, tasks: int | None = None) -> Sink:
+    return lambda df, batch: lake.write(df, table, segment(name, batch), tasks)
 
 
-def span_sink(lake: Lake, name: str, tasks: int = LOG_WRITERS) -> Sink:
-    return lambda df, batch_id: lake.write_spans(df, segment(name, batch_id), tasks)
+def span_sink(lake: Lake, name: str, tasks: int | None = None) -> Sink:
+    return lambda df, batch: lake.write_spans(df, segment(name, batch), tasks)
 
 
 def archive_sink(root: str, archive_type: str, name: str) -> Sink:
-    return lambda df, batch_id: write_otlp_archive(df, root, archive_type, segment(name, batch_id))
+    return lambda df, batch: write_otlp_archive(df, root, archive_type, segment(name, batch))
 
 
 def fan_out(
@@ -47,10 +47,15 @@ def fan_out(
 
     ``trigger=None`` works through what is there and stops. The checkpoint is the
     position in the source; a batch that is repeated after a failure replaces its
-    own segments. ``prepare_batch`` holds steps that need a batch frame.
+    own segments, which carry the query's id from the checkpoint. ``prepare_batch`` holds steps that need a batch frame.
     """
 
+    ids: list[str] = []
+
     def run(batch: DataFrame, batch_id: int) -> None:
+        if not ids:  # the query's id lives as long as its checkpoint, over restarts
+            ids.append(json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"])
+        written = f"{ids[0]}-{batch_id:012d}"
         # Streaming sessions come with adaptive execution off; the writes here are batch jobs.
         batch.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
         rows = prepare_batch(batch) if prepare_batch else batch
@@ -59,7 +64,7 @@ def fan_out(
             rows = rows.persist()
         try:
             for sink in sinks:
-                sink(rows, batch_id)
+                sink(rows, written)
         finally:
             if shared:
                 rows.unpersist()
