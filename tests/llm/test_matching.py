@@ -165,6 +165,17 @@ def test_repeated_runs_of_a_host(spark):
     assert html_text.main_texts(pages.limit(0)).count() == 0
 
 
+def test_large_hosts_are_dealt_out(spark, monkeypatch):
+    """Every page comes back once, whichever way the part counts are joined."""
+    data = [(i, f"https://h.example.com/{i}", f"<article>text {i}</article>") for i in range(60)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    monkeypatch.setattr(html_text, "PART_CHARS", 200)
+    for many in (20_000, 0):
+        monkeypatch.setattr(html_text, "MANY_HOSTS", many)
+        got = [(r.page_id, r.text) for r in html_text.main_texts(pages).collect()]
+        assert sorted(got) == [(i, f"text {i}") for i in range(60)]
+
+
 def test_covered_against_plain():
     draw = random.Random(2)
     for _ in range(30):

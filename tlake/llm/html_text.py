@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 MIN_RUN = 6  # tokens, block ends included
 PART_CHARS = 8_000_000  # characters of pages whose streams one task sorts together
+MANY_HOSTS = 20_000  # rows of (host, number of parts) that may be broadcast
 
 #: Elements whose content is never text of a page.
 RAW = frozenset("script style noscript template svg math iframe object head title textarea select button canvas audio video".split())
@@ -190,12 +191,18 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """
     p = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     size = F.sum(F.coalesce(F.length("html"), F.lit(0)))
-    parts = p.groupBy("host").agg(F.greatest(F.lit(1), F.ceil(size / PART_CHARS)).cast("long").alias("parts"))
-    dealt = p.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")))
+    large = p.groupBy("host").agg(F.ceil(size / PART_CHARS).cast("long").alias("parts")).filter("parts > 1")
+    # Few hosts are that large, and few enough of them are sent to all tasks; otherwise the join is Spark's to choose.
+    few = large.limit(MANY_HOSTS + 1).collect()
+    if len(few) <= MANY_HOSTS:
+        large = F.broadcast(pages.sparkSession.createDataFrame(few, large.schema))
+    part = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1)))
+    # One column names the group, or pages dealt by host alone would already count as grouped.
+    dealt = p.join(large, "host", "left").withColumn("group", F.concat_ws("#", part.cast("string"), "host"))
     out = f"page_id {p.schema['page_id'].dataType.simpleString()}, url string, text string, n_repeated_tokens long"
     return (
-        dealt.select("page_id", "url", "html", "host", "part")
-        .groupBy("host", "part")
+        dealt.select("page_id", "url", "html", "group")
+        .groupBy("group")
         .applyInPandas(host_texts, out)
         .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated_tokens")
     )
