@@ -129,9 +129,17 @@ def fit(
     base = float(np.log(share / (1 - share)))
     if not 0 < y.sum() < len(y):
         return ToxicityModel({}, base)
-    sets = [features(t) for t, _ in sample]
+    shared: dict[bytes, tuple[str, ...]] = {}  # one copy of each word's features; the sets are made anew when needed
+
+    def found(text: str) -> set[str]:
+        for w in (own := set(words(text))):
+            if w not in shared:
+                shared[w] = word_features(w.decode("utf-8", "replace"))
+        return {f for w in own for f in shared[w]}
+
     total, toxic = Counter(), Counter()
-    for s, v in zip(sets, y):
+    for t, v in sample:
+        s = found(t)
         total.update(s)
         if v:
             toxic.update(s)
@@ -140,8 +148,9 @@ def fit(
     lift = {f: z for f, z in lift.items() if z > 3}
     # Beginnings that occur in the same documents as a longer or shorter one are one feature: the shortest.
     holders: dict[str, list[int]] = {f: [] for f in lift}
-    for i, s in enumerate(sets):
-        for f in s & holders.keys():
+    total, toxic = Counter(), Counter()
+    for i, (t, _) in enumerate(sample):
+        for f in found(t) & holders.keys():
             holders[f].append(i)
     one = {tuple(holders[f]): f for f in sorted(lift, key=lambda f: (-len(f), f))}
     lift = {f: lift[f] for f in one.values()}
@@ -150,7 +159,7 @@ def fit(
     names = sorted(lift, key=lambda f: (-lift[f], f))[:max_features]
     names = sorted(set(names) | {f for a, b in changes for f in a ^ b})
     at = {f: i for i, f in enumerate(names)}
-    x = Sparse([sorted(at[f] for f in s if f in at) for s in sets], None, len(names))
+    x = Sparse([sorted(at[f] for f in found(t) & at.keys()) for t, _ in sample], None, len(names))
     ends = [(sorted(at[f] for f in a - b), sorted(at[f] for f in b - a)) for a, b in changes]
     d = Sparse([u + v for u, v in ends], [[1.0] * len(u) + [-1.0] * len(v) for u, v in ends], len(names)) if ends else None
     w, b, before, momentum = np.zeros(len(names)), base, np.zeros(len(names)), 1.0
