@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .components import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-FRAGMENT_SHINGLES = 2_000_000  # shingles that one task counts
+FRAGMENT_SHINGLES = 4_000_000  # shingles that one task counts; each class names itself once in each fragment
 VERTICAL = 8  # fragments in which a pair's overlap is counted
 BLOCK = 1024  # classes of one bucket that meet in one task
 
@@ -130,13 +130,15 @@ def candidates(docs: DataFrame, width: int, percent: int, fragments: int) -> Dat
         hashes = np.frombuffer(b"".join(group["hashes"]), np.uint64)
         first = np.zeros(len(keys), bool)  # equal sets from several tasks are one class
         first[np.unique(keys.view(np.uint64).reshape(-1, 2), axis=0, return_index=True)[1]] = True
-        owner = np.repeat(np.arange(len(keys)), sizes[:, 1])
+        owner = np.repeat(np.arange(len(keys), dtype=np.int32), sizes[:, 1])
         use = first[owner]
         hashes, owner = hashes[use], owner[use]
-        _, inverse, df = np.unique(hashes, return_inverse=True, return_counts=True)
-        df = df[inverse]
+        order = np.argsort(hashes)
+        runs = np.diff(np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[:1]], append=~hashes[order[-1:]])))
+        df = np.empty(len(hashes), np.uint16)
+        df[order] = np.repeat(np.minimum(runs, 65_535).astype(np.uint16), runs)
         many = df > 1
-        hashes, owner, df = hashes[many], owner[many], np.minimum(df[many], 65_535).astype(np.uint16)
+        hashes, owner, df = hashes[many], owner[many], df[many]
         starts = np.flatnonzero(np.diff(owner, prepend=-1))
         who, ends = owner[starts], np.append(starts[1:], len(owner))
         packed = []
@@ -163,8 +165,8 @@ def candidates(docs: DataFrame, width: int, percent: int, fragments: int) -> Dat
         hashes, df, owner = hashes[use], df[use], owner[use]
         order = np.lexsort((hashes, df, owner))
         lists = np.split(hashes[order], np.cumsum(kept[alive])[:-1]) if alive.any() else []
-        hexed = [names[i].tobytes().hex().upper() for i in np.flatnonzero(alive)]
-        return pd.DataFrame({"key": hexed, "n": n[alive], "kept": kept[alive], "t": lists})
+        which = [names[i].tobytes() for i in np.flatnonzero(alive)]
+        return pd.DataFrame({"key": which, "n": n[alive], "kept": kept[alive], "t": lists})
 
     return (
         docs.select("text")
@@ -172,7 +174,7 @@ def candidates(docs: DataFrame, width: int, percent: int, fragments: int) -> Dat
         .groupBy("fragment")
         .applyInPandas(count, "bucket long, keys binary, sizes binary, hashes binary, df binary")
         .groupBy("bucket")
-        .applyInPandas(assemble, "key string, n long, kept long, t array<long>")
+        .applyInPandas(assemble, "key binary, n long, kept long, t array<long>")
     )
 
 
@@ -202,10 +204,10 @@ def linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 
 def residual_pairs(percent: int):
     """Pairs of a bucket block that lie in different components and pass the bounds. A pair is given only at the first
-    shingle that both prefixes share, where the rest of both sets bounds its overlap. Blocks come sorted, one after
-    another; only one is held."""
+    shingle that both prefixes share (none of those before it, which come with each row, is in both), where the rest of
+    both sets bounds its overlap. Blocks come sorted, one after another; only one is held."""
 
-    def meet(rows: list[tuple]) -> Iterator[tuple[str, str]]:
+    def meet(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
         rows.sort()  # sets with fewer shared shingles come first: they bound the overlap
         kept, n, pos, salt, part = (np.array([r[c] for r in rows]) for c in range(5))
         part = np.unique(part, return_inverse=True)[1]
@@ -214,7 +216,7 @@ def residual_pairs(percent: int):
 
         def earlier(x: int) -> set[int]:
             if x not in before:
-                before[x] = set(rows[x][6][: rows[x][2]].tolist())
+                before[x] = set(rows[x][6].tolist())
             return before[x]
 
         for x in range(len(rows) - 1):
@@ -231,10 +233,10 @@ def residual_pairs(percent: int):
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            found: list[tuple[str, str]] = []
+            found: list[tuple[bytes, bytes]] = []
             flat, ends = batch.column(9).flatten().to_numpy(), batch.column(9).value_lengths().to_numpy().cumsum()
-            prefixes = np.split(flat, ends[:-1])
-            for h, i, j, *rest, p in zip(*(batch.column(c).to_pylist() for c in range(9)), prefixes):
+            earlier = np.split(flat, ends[:-1])
+            for h, i, j, *rest, p in zip(*(batch.column(c).to_pylist() for c in range(9)), earlier):
                 if (h, i, j) != now:
                     if len(held) > 1:
                         found.extend(meet(held))
@@ -243,9 +245,9 @@ def residual_pairs(percent: int):
             yield pairs_batch(found)
         yield pairs_batch(list(meet(held)) if len(held) > 1 else [])
 
-    def pairs_batch(found: list[tuple[str, str]]) -> pa.RecordBatch:
+    def pairs_batch(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         found = sorted(set(found))
-        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.string()) for c in range(2)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.binary()) for c in range(2)], ["a", "b"])
 
     return stream
 
@@ -280,43 +282,50 @@ def classes(docs: DataFrame, n_total: int, width: int, percent: int) -> DataFram
         .distinct()
         .checkpoint()
     )
-    segments = alive.select(
-        "key", "n",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(VERTICAL - 1)),
-                lambda v: F.struct(v.alias("v"), F.filter("t", lambda x: F.pmod(x, F.lit(VERTICAL)) == v).alias("s")),
-            )
-        ).alias("f"),
-    ).select("key", "n", "f.v", "f.s")
-    first = components(linked(star, segments, percent))
+    def segments(sets: DataFrame) -> DataFrame:
+        cut = F.transform(
+            F.sequence(F.lit(0), F.lit(VERTICAL - 1)),
+            lambda v: F.struct(v.alias("v"), F.filter("t", lambda x: F.pmod(x, F.lit(VERTICAL)) == v).alias("s")),
+        )
+        return sets.select("key", "n", F.explode(cut).alias("f")).select("key", "n", "f.v", "f.s")
+
+    first = components(linked(star, segments(alive), percent))
 
-    part = F.coalesce("part", "key")
     placed = (
-        alive.join(first.withColumnRenamed("v", "key"), "key", "left")
-        .withColumn("part", part)
-        .select("key", "n", "kept", "part", prefix.alias("prefix"))
-        .select("*", F.posexplode("prefix").alias("pos", "h"))
+        alive.select("key", "n", "kept", prefix.alias("prefix"))
+        .join(first.withColumnRenamed("v", "key"), "key", "left")
+        .select("key", "n", "kept", F.coalesce("part", "key").alias("part"), F.posexplode("prefix").alias("pos", "h"))
+        .join(pivots.select("h"), "h", "left_semi")
     )
-    placed = placed.join(pivots.select("h"), "h", "left_semi")
     mixed = placed.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("h", "size")
+    # Classes of different components that share a prefix shingle share it in a mixed bucket, so the shingles of other
+    # buckets need not travel with a class. A list holds no more than the prefix of one class.
+    listed = (
+        placed.join(mixed, "h")
+        .groupBy("key", "n", "kept", "part")
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "h", "size"))).alias("met"))
+        .checkpoint()
+    )
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("long")
     blocked = (
-        placed.join(mixed, "h")
+        listed.select("key", "n", "kept", "part", "met", F.posexplode("met").alias("at", "x"))
+        .select("key", "n", "kept", "part", "x.pos", "x.h", "x.size", F.slice(F.col("met.h"), F.lit(1), F.col("at")).alias("before"))
         .withColumn("salt", F.pmod(F.xxhash64("key"), blocks))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        .select("h", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "kept", "n", "pos", "salt", "part", "key", "prefix")
+        .select("h", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "kept", "n", "pos", "salt", "part", "key", "before")
     )
     more = (
         blocked.repartition("h", "i", "j")
         .sortWithinPartitions("h", "i", "j")
-        .mapInArrow(residual_pairs(percent), "a string, b string")
+        .mapInArrow(residual_pairs(percent), "a binary, b binary")
         .distinct()
         .join(star, ["a", "b"], "left_anti")
+        .checkpoint()
     )
+    named = more.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     name = lambda x: F.coalesce(F.col(f"part_{x}"), F.col(x))
     of = lambda x: first.select(F.col("v").alias(x), F.col("part").alias(f"part_{x}"))
-    bridges = linked(more, segments, percent).join(of("a"), "a", "left").join(of("b"), "b", "left").select(name("a").alias("a"), name("b").alias("b"))
+    bridges = linked(more, segments(alive.join(named, "key", "left_semi")), percent).join(of("a"), "a", "left").join(of("b"), "b", "left").select(name("a").alias("a"), name("b").alias("b"))
     second = components(bridges)
     joined = first.join(second.select(F.col("v").alias("part"), F.col("part").alias("whole")), "part", "left")
     return joined.select("v", F.coalesce("whole", "part").alias("part")).unionByName(
@@ -333,7 +342,7 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> Dat
     """
     every = members(docs, width).checkpoint()
     n_total = every.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    parts = classes(docs, n_total, width, percent).select(F.unhex("v").alias("key"), F.unhex("part").alias("part"))
+    parts = classes(docs, n_total, width, percent).select(F.col("v").alias("key"), "part")
     ids = every.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("least")).join(parts, "key", "left")
     ids = ids.select("key", "least", F.coalesce("part", "key").alias("part"))
     smallest = ids.groupBy("part").agg(F.min("least").alias("component_id"))
