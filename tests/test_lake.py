@@ -113,6 +113,16 @@ def test_repeated_write_of_a_segment_replaces_it(spark, sf_dir, lake):
     assert lake.scan("otel_logs").count() == fx.events(spark, sf_dir).count()
 
 
+def test_a_half_written_segment_does_not_count(spark, sf_dir, lake):
+    lake.write(fx.logs(spark, sf_dir), "otel_logs", "a-whole")
+    n, files = lake.scan("otel_logs").count(), inventory(lake, "otel_logs").count()
+    lake.write(fx.logs(spark, sf_dir), "otel_logs", "a-half")
+    os.remove(f"{lake.path('otel_logs')}/seg=a-half/_SUCCESS")
+    assert lake.scan("otel_logs").count() == n and inventory(lake, "otel_logs").count() == files
+    lake.write(fx.logs(spark, sf_dir), "otel_logs", "a-half")
+    assert lake.scan("otel_logs").count() == 2 * n
+
+
 def test_metric_tables_sort_by_attributes(spark, sf_dir, lake):
     import pyarrow.parquet as pq
 

@@ -101,7 +101,7 @@ def test_histogram_quantile(spark):
     assert q(mixed, 0.5) == [("[10.0]", 4, 5.0), ("[5.0]", 4, 5.0)]
     assert q(hist(spark, (0, [3], [])), 0.5) == [("[]", 3, None)]
     cumulative = hist(spark, (0, [1, 0], [10.0]), (10, [1, 4], [10.0]), (20, [3, 4], [10.0]), temporality=2)
-    assert q(cumulative, 0.5, cumulative=True) == [("[10.0]", 6, 10.0)]
+    assert q(cumulative, 0.5) == [("[10.0]", 6, 10.0)]
 
 
 def exps(spark, *points):

@@ -89,34 +89,32 @@ def histogram_quantile(
     q: float,
     bucket: str = "1 hour",
     keys: list[str] | None = None,
-    cumulative: bool = False,
     slice_width: str = "1 minute",
 ) -> DataFrame:
     """Merge histograms of equal bounds and interpolate a quantile.
 
     Counts are added per bound before any ordering, so the windows below see one
     row per bound. Histograms with other bounds are not mixed: the bounds are
-    part of the group. With ``cumulative`` each bound of each series is read as
-    a counter and its increase is merged.
+    part of the group. Points that say they are cumulative (temporality 2) are
+    read as one counter per bound of each series, and its increase is merged; the
+    counts of all others are added as they are.
     """
     keys = keys or ["ServiceName", "MetricName"]
     group = ["bucket", *keys, "bounds_key"]
     bounds = F.to_json("ExplicitBounds").alias("bounds_key")
-    if cumulative:
-        series = list(dict.fromkeys([*keys, *SERIES, "bounds_key", "i"]))
-        bounds_counts = _keyed(df).select(
-            *[c for c in series if c not in ("bounds_key", "i")], "TimeUnix", "TimeUnix_ns",
-            "AggregationTemporality", F.lit(True).alias("IsMonotonic"), bounds,
-            F.posexplode("BucketCounts").alias("i", "c"),
-        ).withColumn("Value", F.col("c").cast("double"))
-        counts = counter_increase(bounds_counts, series, bucket, slice_width).withColumn(
-            "c", F.col("increase").cast("bigint")
-        )
-    else:
-        counts = df.select(
-            time_bucket("TimeUnix", bucket).alias("bucket"), *keys, bounds,
-            F.posexplode("BucketCounts").alias("i", "c"),
-        )
+    cumulative = F.col("AggregationTemporality").eqNullSafe(F.lit(2))
+    series = list(dict.fromkeys([*keys, *SERIES, "bounds_key", "i"]))
+    bounds_counts = _keyed(df.filter(cumulative)).select(
+        *[c for c in series if c not in ("bounds_key", "i")], "TimeUnix", "TimeUnix_ns",
+        "AggregationTemporality", F.lit(True).alias("IsMonotonic"), bounds,
+        F.posexplode("BucketCounts").alias("i", "c"),
+    ).withColumn("Value", F.col("c").cast("double"))
+    increases = counter_increase(bounds_counts, series, bucket, slice_width)
+    added = df.filter(~cumulative).select(
+        time_bucket("TimeUnix", bucket).alias("bucket"), *keys, bounds,
+        F.posexplode("BucketCounts").alias("i", "c"),
+    )
+    counts = added.unionByName(increases.select("bucket", *keys, "bounds_key", "i", F.col("increase").cast("bigint").alias("c")))
     parts = counts.groupBy(*group, "i").agg(F.sum("c").alias("c")).withColumn(
         "b", F.from_json("bounds_key", "array<double>")
     )

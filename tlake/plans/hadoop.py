@@ -23,6 +23,12 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of the folders that hold the files a pattern finds."""
+    _, p, fs = _fs(spark, pattern)
+    return sorted(s.getPath().getParent().getName() for s in fs.globStatus(p) or [])
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     jvm, p, fs = _fs(spark, path)
     stream = fs.open(p)

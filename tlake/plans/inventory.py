@@ -66,6 +66,7 @@ def inventory(lake: Lake, table: str) -> DataFrame:
     column = f"{schemas.time_column(table)}_ns"
     out = None
     for tier in TIERS:
+        done = lake.finished(table, tier)
         # Only names and sizes are read: the content column is pruned.
         listed = (
             lake.spark.read.format("binaryFile")
@@ -79,6 +80,8 @@ def inventory(lake: Lake, table: str) -> DataFrame:
             "/", F.regexp_extract("path", r"/seg=([^/]+)/", 1), F.regexp_extract("path", r"/event_date=([^/]+)/", 1)
         )
         counts = unit.startswith("a-")
+        if open_ := lake.unfinished(table, tier, done):
+            counts = counts & ~F.regexp_extract("path", r"/seg=([^/]+)/", 1).isin(open_)
         if units["retired"]:
             counts = counts & ~unit.isin(units["retired"])
         if units["live"]:

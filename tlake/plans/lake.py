@@ -1,8 +1,8 @@
 """Tables on two storage roots, seen as one.
 
 Layout: ``<root>/<table>/seg=<segment>/event_date=<day>/*.parquet``. Every write
-makes a segment of its own. Appended segments (``a-…``) count as soon as they are
-there; segments made by a move or a compaction (``m-…``) count once the manifest
+makes a segment of its own. Appended segments (``a-…``) count once their write has
+left its ``_SUCCESS`` file; segments made by a move or a compaction (``m-…``) count once the manifest
 lists them, and the same manifest version takes the segments they replace out of
 sight. So a reader sees each row once, before, during and after a rewrite.
 """
@@ -98,17 +98,32 @@ class Lake:
         """Rows of one tier that count, with ``seg`` and ``event_date``. The test is on
         partition columns only, so hidden segments are never opened."""
         m = self.manifest(table) if manifest is None else manifest
+        done = self.finished(table, tier)
         df = self.spark.read.schema(self._schema(table)).parquet(self.path(table, tier))
+        open_ = self.unfinished(table, tier, done)
         unit = F.concat_ws("/", F.col("event_date").cast("string"), F.col("seg"))
         here = lambda rows: [f"{d}/{s}" for t, d, s in rows if t == tier]
         live, retired = here(m["live"]), here(m["retired"])
         counts = F.col("seg").startswith("a-")
+        if open_:
+            counts = counts & ~F.col("seg").isin(open_)
         if retired:
             counts = counts & ~unit.isin(retired)
         if live:
             counts = counts | unit.isin(live)
         return df.filter(counts)
 
+    def finished(self, table: str, tier: str) -> set[str]:
+        """Segments whose write has ended; to be taken before the files are listed."""
+        found = hadoop.matching(self.spark, f"{self.path(table, tier)}/seg=a-*/_SUCCESS")
+        return {n.removeprefix("seg=") for n in found}
+
+    def unfinished(self, table: str, tier: str, finished: set[str]) -> list[str]:
+        """Appended segments that had not ended before the files were listed: those being written now, and what
+        writes that died have left. Only these few names get into a plan."""
+        there = [n.removeprefix("seg=") for n in hadoop.names(self.spark, self.path(table, tier))]
+        return [s for s in there if s.startswith("a-") and s not in finished]
+
     def scan(
         self,
         table: str,
