@@ -125,7 +125,7 @@ def test_fragments_of_interleaved_streams(spark):
         df = transforms.parse_container(container(spark, *CRI, block=block))
         got = sorted(rows(df.select(map_text("LogAttributes", "log.iostream"), "Body", "Timestamp_ns")))
         t = 1704067200 * 10**9
-        assert got == [("stderr", "err end", t + 10**9), ("stdout", "one two three", t + 10**9 + 1), ("stdout", "whole", t + 2_500_000_000)]
+        assert got == [("", "not a log line", 0), ("stderr", "err end", t + 10**9), ("stdout", "one two three", t + 10**9 + 1), ("stdout", "whole", t + 2_500_000_000)]
     assert df.first()["ResourceAttributes"] == {
         "k8s.namespace.name": "ns", "k8s.pod.name": "pod", "k8s.pod.uid": "uid", "k8s.container.name": "app",
         "k8s.container.restart_count": "0",

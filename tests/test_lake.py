@@ -269,6 +269,7 @@ def test_jobs(spark, sf_dir, tmp_path, capsys):
     table = ["--table", "otel_traces"]
     run("move", *table, "--as-of", "2024-02-05 12:00:00")
     run("compact", *table, "--day", "2024-01-20")
+    run("compact", *table, "--min-segments", "1")
     run("vacuum", *table)
     run("report", *table)
     assert "otel_traces" in capsys.readouterr().out
@@ -292,6 +293,6 @@ def test_checksum_sees_every_column(spark, sf_dir, lake):
     first = F.col("SpanId") == df.agg(F.min("SpanId")).first()[0]
     for c, new in {
         "SpanName": F.lit("?"), "Duration": F.col("Duration") + 1, "SpanAttributes": F.create_map(F.lit("k"), F.lit("?")),
-        "Events": F.array(F.struct(F.col("Timestamp"), F.lit("e").alias("Name"), F.create_map(F.lit("a"), F.lit("?")).alias("Attributes"))),
+        "Events": F.array(F.struct(F.col("Timestamp"), F.col("Timestamp_ns"), F.lit("e").alias("Name"), F.create_map(F.lit("a"), F.lit("?")).alias("Attributes"))),
     }.items():
         assert _fingerprint(df.withColumn(c, F.when(first, new).otherwise(F.col(c)))) != whole

@@ -122,6 +122,47 @@ def test_exp_histogram_downscale(spark):
     assert q(1.0) == pytest.approx(8.0) and 2 < q(0.5) <= 4
 
 
+def test_cumulative_exp_histogram_against_a_plain_walk(spark):
+    """Growing buckets on both sides, changing scales and resets, many points in one time slice."""
+    rng = random.Random(5)
+    points, want = [], {}
+    for name in ("a", "b"):
+        held, before = {}, None
+        for t in range(120):
+            if rng.random() < 0.05 and sum(held.values()) > 20:
+                held = {}
+            for _ in range(rng.randrange(4)):
+                spot = (rng.choice((-1, 1)), rng.randrange(-9, 9)) if rng.random() < 0.9 else (0, 0)
+                held[spot] = held.get(spot, 0) + rng.randrange(1, 4)
+            scale = rng.choice((0, 0, 0, -1, -2))
+            on = lambda h, s: {k: sum(c for (d, i), c in h.items() if (d, i >> -s) == k) for k in {(d, i >> -s) for d, i in h}}
+            row = []
+            for side in (1, -1):
+                idx = sorted(i for d, i in on(held, scale) if d == side)
+                full = range(idx[0], idx[-1] + 1) if idx else range(0)
+                row += [idx[0] if idx else 0, [on(held, scale).get((side, i), 0) for i in full]]
+            points.append((name, "m", {}, T0 + timedelta(seconds=11 * t), int((T0.timestamp() + 11 * t) * 1e9), scale, sum(held.values()), held.get((0, 0), 0), *row, 2))
+            if before is not None:
+                fell = sum(held.values()) < sum(before.values())
+                s = scale if fell else min(scale, last)
+                for k, c in on(held, s).items():
+                    want[(name, s, *k)] = want.get((name, s, *k), 0) + c
+                for k, c in ({} if fell else on(before, s)).items():
+                    want[(name, s, *k)] -= c
+            before, last = dict(held), scale
+    df = spark.createDataFrame(
+        points,
+        "ServiceName string, MetricName string, Attributes map<string,string>, TimeUnix timestamp_ntz, TimeUnix_ns bigint, Scale int, "
+        "Count bigint, ZeroCount bigint, PositiveOffset int, PositiveBucketCounts array<bigint>, NegativeOffset int, "
+        "NegativeBucketCounts array<bigint>, AggregationTemporality int",
+    )
+    coarse = {}
+    for (name, s, side, i), c in want.items():
+        coarse[(name, -2, side, i >> (s + 2))] = coarse.get((name, -2, side, i >> (s + 2)), 0) + c
+    got = sorted(rows(metrics.exp_histogram_merge(df, ["ServiceName"]).select("ServiceName", "scale", "side", "idx", "c")))
+    assert got == sorted((*k, c) for k, c in coarse.items() if c)
+
+
 def test_gauge_last_and_summary(spark):
     df = counters(spark, [("a", 5, 1), ("a", 50, 7), ("a", 20, 3), ("b", 4000, 9)])
     got = {(r["attr_key"], r["bucket"].hour): (r["avg"], r["min"], r["max"], r["last"], r["n"]) for r in metrics.gauge_series(df).collect()}

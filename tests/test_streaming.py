@@ -75,7 +75,7 @@ def test_rejected_lines_are_counted(spark, sf_dir, lake, tmp_path):
     (tmp_path / "in" / "otel" / "bad.json").write_text("{broken\nnot json\n")
     q = pipelines.logs(spark, src, lake, f"{tmp_path}/out", f"{tmp_path}/cp", None, fx.AS_OF)
     q.awaitTermination()
-    got = dict(rows(reports.ingest_counters(reports.progress_rows(spark, q.recentProgress))))
+    got = dict(rows(reports.ingest_counters(reports.counter_rows(spark, pipelines.counters(f"{tmp_path}/cp")))))
     assert got["RejectedInserts"] == 2
     assert got["InsertedRows"] == lake.scan("otel_logs").count() and got["InsertedBytes"] > 0
     assert list(got) == sorted(reports.COUNTERS)

@@ -131,6 +131,11 @@ def _number(x: str) -> Column:
     return F.coalesce(as_bigint(x), F.lit(0).cast("bigint"))
 
 
+def _nanos(e: Column) -> Column:
+    """Time of a nested event or exemplar, 0 when it has none."""
+    return F.coalesce(as_bigint(e["timeUnixNano"]), F.lit(0).cast("bigint"))
+
+
 def finish_logs(df: DataFrame) -> DataFrame:
     """Derive the timestamp columns from ``Timestamp_ns``; call after time repair."""
     return df.withColumns(
@@ -236,7 +241,8 @@ def otlp_to_spans(df: DataFrame) -> DataFrame:
         F.transform(
             F.coalesce(F.col("item.events"), F.array()),
             lambda e: F.struct(
-                from_unix_nanos(F.coalesce(as_bigint(e["timeUnixNano"]), F.lit(0).cast("bigint"))).alias("Timestamp"),
+                from_unix_nanos(_nanos(e)).alias("Timestamp"),
+                _nanos(e).alias("Timestamp_ns"),
                 text(e["name"]).alias("Name"),
                 attrs_to_map(e["attributes"]).alias("Attributes"),
             ),
@@ -274,7 +280,8 @@ def _exemplars() -> Column:
         F.coalesce(F.col("p.exemplars"), F.array()),
         lambda e: F.struct(
             attrs_to_map(e["filteredAttributes"]).alias("FilteredAttributes"),
-            from_unix_nanos(F.coalesce(as_bigint(e["timeUnixNano"]), F.lit(0).cast("bigint"))).alias("TimeUnix"),
+            from_unix_nanos(_nanos(e)).alias("TimeUnix"),
+            _nanos(e).alias("TimeUnix_ns"),
             F.coalesce(e["asDouble"].try_cast("double"), e["asInt"].try_cast("double"), F.lit(0.0)).alias("Value"),
             text(e["spanId"]).alias("SpanId"),
             text(e["traceId"]).alias("TraceId"),

@@ -131,24 +131,74 @@ def histogram_quantile(
     return hit.select("bucket", *keys, "bounds_key", "n", value.alias("quantile"))
 
 
-def exp_histogram_merge(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Merge exponential histograms on the coarsest scale of each group.
-
-    Output: group keys, ``scale``, ``side`` (-1, 0, 1), ``idx`` and count ``c``.
-    """
+def _bucket_entries() -> Column:
+    """Buckets of an exponential histogram as (side, idx, c) entries."""
     zero = F.lit(0)
     side = lambda s, off, cnt: F.transform(
         F.col(cnt),
         lambda c, i: F.struct(F.lit(s).alias("side"), (F.col(off) + i).alias("idx"), c.alias("c")),
     )
-    entries = F.concat(
+    return F.concat(
         side(1, "PositiveOffset", "PositiveBucketCounts"),
         side(-1, "NegativeOffset", "NegativeBucketCounts"),
         F.array(F.struct(zero.alias("side"), zero.alias("idx"), F.col("ZeroCount").alias("c"))),
     )
+
+
+def _cumulative_buckets(df: DataFrame, keys: list[str], slice_width: str) -> DataFrame:
+    """Cumulative points → keys, scale ``s`` and entries ``e`` that each adds to the point before it in its series.
+
+    Both are put on the coarser of their scales; what the earlier one holds is entered with a minus sign. A fall of
+    the total count is a reset, after which the whole point counts. The first point of a series adds nothing. As with
+    counters, order is taken inside time slices, then between the slices' first and last points.
+    """
+    series = list(dict.fromkeys([*(k for k in keys if k != "bucket"), *SERIES]))
+    kept = list(dict.fromkeys([*series, *keys]))
+    point = F.struct(F.col("Count").alias("n"), F.col("Scale").alias("s"), _bucket_entries().alias("e"))
+    points = _keyed(df).select(*kept, "TimeUnix_ns", time_bucket("TimeUnix", slice_width).alias("slice"), point.alias("p"))
+    inside = Window.partitionBy(*kept, "slice").orderBy("TimeUnix_ns", "p.n")
+    ordered = points.withColumns({"before": F.lag("p").over(inside), "after": F.lead("p").over(inside)})
+    ends = (
+        ordered.filter(F.col("before").isNull() | F.col("after").isNull())
+        .groupBy(*kept, "slice")
+        .agg(
+            F.max(F.when(F.col("before").isNull(), F.col("p"))).alias("p"),
+            F.max(F.when(F.col("after").isNull(), F.col("p"))).alias("last"),
+        )
+        .withColumn("before", F.lag("last").over(Window.partitionBy(*series).orderBy("slice")))
+    )
+    steps = ordered.select(*keys, "p", "before").unionByName(ends.select(*keys, "p", "before")).filter(F.col("before").isNotNull())
+    reset = F.col("p.n") < F.col("before.n")
+    moved = lambda x, sign: F.transform(
+        F.col(f"{x}.e"),
+        lambda e: F.struct(
+            e["side"].alias("side"),
+            F.call_function("shiftright", e["idx"], F.col(f"{x}.s") - F.col("s")).alias("idx"),
+            (e["c"] * F.lit(sign)).alias("c"),
+        ),
+    )
+    return steps.withColumn("s", F.when(reset, F.col("p.s")).otherwise(F.least("p.s", "before.s"))).select(
+        *keys, "s", F.when(reset, moved("p", 1)).otherwise(F.concat(moved("p", 1), moved("before", -1))).alias("e")
+    )
+
+
+def exp_histogram_merge(df: DataFrame, keys: list[str], slice_width: str = "1 minute") -> DataFrame:
+    """Merge exponential histograms on the coarsest scale of each group.
+
+    Points that say they are cumulative (temporality 2) count with what they add to the point before, all others
+    as they are. A key ``bucket`` holds the time bucket of the point, of which the slice width is a divisor.
+
+    Output: group keys, ``scale``, ``side`` (-1, 0, 1), ``idx`` and count ``c``.
+    """
+    as_is = lambda x: x.select(*keys, F.col("Scale").alias("s"), _bucket_entries().alias("e"))
+    if "AggregationTemporality" in df.columns:
+        cumulative = F.col("AggregationTemporality").eqNullSafe(F.lit(2))
+        entries = as_is(df.filter(~cumulative)).unionByName(_cumulative_buckets(df.filter(cumulative), keys, slice_width))
+    else:
+        entries = as_is(df)
     # Adding up on the original scale first leaves a bounded number of rows per group.
     parts = (
-        df.select(*keys, F.col("Scale").alias("s"), F.explode(entries).alias("e"))
+        entries.select(*keys, "s", F.explode("e").alias("e"))
         .select(*keys, "s", "e.side", "e.idx", "e.c")
         .groupBy(*keys, "s", "side", "idx").agg(F.sum("c").alias("c"))
     )
@@ -159,11 +209,15 @@ def exp_histogram_merge(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def exp_histogram_quantile(df: DataFrame, q: float, bucket: str = "1 hour", keys: list[str] | None = None) -> DataFrame:
+def exp_histogram_quantile(
+    df: DataFrame, q: float, bucket: str = "1 hour", keys: list[str] | None = None, slice_width: str = "1 minute"
+) -> DataFrame:
     """Quantile of merged exponential histograms, geometric inside a bucket."""
+    if bucket_micros(bucket) % bucket_micros(slice_width):
+        raise ValueError("the slice width must divide the bucket width")
     keys = keys or ["ServiceName", "MetricName"]
     group = ["bucket", *keys]
-    merged = exp_histogram_merge(df.withColumn("bucket", time_bucket("TimeUnix", bucket)), group)
+    merged = exp_histogram_merge(df.withColumn("bucket", time_bucket("TimeUnix", bucket)), group, slice_width)
     w = Window.partitionBy(*group)
     # Ascending by value: negative buckets from large to small index, zero, positive.
     order = w.orderBy("side", F.col("side") * F.col("idx"))

@@ -17,7 +17,7 @@ def exact_percentiles(
     """Linear-interpolated percentiles of a BIGINT column per group, NULLs left out.
 
     ``qs`` maps output names to fractions; ``flags`` maps output names to
-    conditions that are counted. ``n`` is the count and ``total`` the sum.
+    conditions that are counted. ``n`` is the count and ``total`` the sum, a DECIMAL(38,0).
 
     Rows are first counted per (group, value). Then, for each wanted rank, the
     bucket of leading bits that holds it is found from bucket totals, and only
@@ -56,7 +56,7 @@ def exact_percentiles(
             whole = Window.partitionBy("_k")
             rows = grouped.agg(
                 F.sum("_c").alias("_c"),
-                F.sum(F.col("_v") * F.col("_c")).alias("total"),
+                F.sum((F.col("_v").cast("decimal(19,0)") * F.col("_c")).cast("decimal(38,0)")).alias("total"),
                 *[F.sum(F.when(F.col(n), F.col("_c")).otherwise(0)).alias(n) for n in flags],
             ).withColumns({"_n": F.sum("_c").over(whole), **{n: F.sum(n).over(whole) for n in extra}})
             rows = rows.withColumn("_want", ranks)

@@ -79,13 +79,14 @@ def span_self_time(spans: DataFrame) -> DataFrame:
 def service_edges(spans: DataFrame) -> DataFrame:
     """Calls from parent service to child service.
 
-    Children are counted per (parent, child service) before the join.
+    Children are counted per (parent, child service) before the join. Nanoseconds are added up as DECIMAL(38,0): the spans of
+    a large table last longer together than a BIGINT can say.
     """
     s = has_trace(spans)
     calls = (
         s.filter(F.col("ParentSpanId") != "")
         .groupBy("TraceId", F.col("ParentSpanId").alias("SpanId"), F.col("ServiceName").alias("child_service"))
-        .agg(F.count("*").alias("c"), F.sum("Duration").alias("d"))
+        .agg(F.count("*").alias("c"), F.sum(F.col("Duration").cast("decimal(38,0)")).alias("d"))
     )
     parents = s.select("TraceId", "SpanId", F.col("ServiceName").alias("parent_service"))
     return (

@@ -115,7 +115,8 @@ def container_lines(df: DataFrame) -> DataFrame:
     """Single lines of both formats → file, position, stream, full flag, message, time.
 
     JSON lines carry log, stream and time; the others are ``time stream tag message``.
-    Lines of neither format are left out.
+    A line of neither format is passed on as a whole message without stream and time;
+    empty lines are left out.
     """
     v = F.col("value")
     is_json = v.startswith("{")
@@ -123,17 +124,17 @@ def container_lines(df: DataFrame) -> DataFrame:
         F.when(is_json, F.from_json(v, "log STRING, stream STRING, time STRING")).alias("j"),
         F.when(~is_json, F.split(v, " ", 4)).alias("p"),
     )
-    rows = computed_once(df, line, "line")
+    rows = computed_once(df.filter(v != ""), line, "line")
     part = lambda i: F.get("line.p", i)
     j = F.col("line.j")
     plain = part(1).isin("stdout", "stderr") & F.substring(part(2), 1, 1).isin("F", "P")
-    return rows.filter(j["log"].isNotNull() | plain).select(
+    docker = j["log"].isNotNull()
+    return rows.select(
         "file_path", "block_start", "line_no",
-        F.when(j.isNotNull(), text(j["stream"])).otherwise(part(1)).alias("stream"),
-        F.when(j.isNotNull(), j["log"].endswith("\n")).otherwise(part(2).startswith("F")).alias("full"),
-        F.when(j.isNotNull(), F.regexp_replace(j["log"], r"\n$", "")).otherwise(text(part(3))).alias("msg"),
-        F.coalesce(rfc3339_nanos(F.when(j.isNotNull(), j["time"]).otherwise(part(0))),
-                   F.lit(0).cast("bigint")).alias("ns"),
+        F.when(docker, text(j["stream"])).when(plain, part(1)).otherwise("").alias("stream"),
+        F.when(docker, j["log"].endswith("\n")).when(plain, part(2).startswith("F")).otherwise(True).alias("full"),
+        F.when(docker, F.regexp_replace(j["log"], r"\n$", "")).when(plain, text(part(3))).otherwise(v).alias("msg"),
+        F.coalesce(rfc3339_nanos(F.when(docker, j["time"]).when(plain, part(0))), F.lit(0).cast("bigint")).alias("ns"),
     )
 
 
@@ -176,9 +177,9 @@ def parse_container(df: DataFrame) -> DataFrame:
     message is one row, so its fragments meet in one task.
     """
     runs = _messages(container_lines(df))
-    # …/<namespace>_<pod>_<uid>/<container>/<restart>.log
+    # …/<namespace>_<pod>_<uid>/<container>/<restart>.log, with the time of rotation behind it
     steps = runs.withColumn("_d", F.split("file_path", "/")).withColumn("_pod", F.split(F.try_element_at("_d", F.lit(-3)), "_"))
-    known = (F.size("_pod") == 3) & F.col("file_path").endswith(".log")
+    known = (F.size("_pod") == 3) & F.try_element_at("_d", F.lit(-1)).rlike(r"\.log(\..+)?$")
     resource = F.when(
         known,
         F.create_map(

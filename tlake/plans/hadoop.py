@@ -52,6 +52,16 @@ def create_text(spark: SparkSession, path: str, text: str) -> None:
         raise FileExistsError(path)
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a file, in place of one that is there."""
+    _, p, fs = _fs(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     _, p, fs = _fs(spark, path)
     fs.delete(p, True)

@@ -37,6 +37,13 @@ WRITER_OPTIONS = {
 }
 
 
+# Trace ids are looked up one by one: a filter per file says whether it may hold one.
+ID_FILTERS = {
+    "parquet.bloom.filter.enabled#TraceId": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
+}
+HAS_ID_FILTERS = ("otel_traces", schemas.TRACE_RANGES)
+
 # Shuffled bytes per writing task of a bulk load: files of some hundred megabytes.
 TASK_BYTES = "512m"
 
@@ -229,7 +236,7 @@ class Lake:
             rows.sortWithinPartitions("event_date", *keys).drop("_attrs")
             .write.mode("overwrite")
             .partitionBy("event_date")
-            .options(**WRITER_OPTIONS)
+            .options(**WRITER_OPTIONS, **(ID_FILTERS if table in HAS_ID_FILTERS else {}))
             .parquet(f"{self.path(table, tier)}/seg={segment}")
         )
 

@@ -176,6 +176,16 @@ def compact(lake: Lake, table: str, day: date | str, tier: str = "hot") -> dict:
     return _rewrite(lake, table, [(tier, d, s) for s in segs], tier, merge=True)
 
 
+def compact_due(lake: Lake, table: str, min_segments: int = 8, tier: str = "hot") -> dict:
+    """Merge all days that lie in at least ``min_segments`` segments of a tier, in one job."""
+    units = lake.files(table, tier).select("event_date", "seg").distinct()
+    days = units.groupBy("event_date").count().filter(F.col("count") >= min_segments).select("event_date")
+    due = [(tier, day_text(r["event_date"]), r["seg"]) for r in units.join(days, "event_date").collect()]
+    if not due:
+        return {"segment": None, "rows": 0, "days": 0}
+    return _rewrite(lake, table, due, tier, merge=True)
+
+
 def vacuum(lake: Lake, table: str) -> int:
     """Remove the files of retired units; run when no reader older than the flip is left."""
     base = lake.manifest(table)

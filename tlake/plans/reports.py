@@ -66,7 +66,7 @@ def cold_count(inv: DataFrame) -> DataFrame:
 
 
 # Names of the ingest counters.
-COUNTERS = ["DelayedInserts", "InsertQuery", "InsertedBytes", "InsertedRows", "RejectedInserts"]
+COUNTERS = ["InsertQuery", "InsertedRows", "InsertedBytes", "RejectedInserts", "DelayedInserts"]
 
 
 def ingest_counters(progress: DataFrame) -> DataFrame:
@@ -117,21 +117,7 @@ def size_comparison(df: DataFrame, inv: DataFrame) -> DataFrame:
     )
 
 
-def progress_rows(spark: SparkSession, progress: list, trigger_ms: int = 5000) -> DataFrame:
-    """Progress reports of a streaming query → counter rows ``(event, value)``.
-
-    A batch that took longer than the trigger interval delayed the next one.
-    """
-    rows = []
-    for p in progress:
-        seen = {k: v.asDict() for k, v in (p.observedMetrics or {}).items()}
-        written, read = seen.get("written", {}), seen.get("read", {})
-        if p.numInputRows:
-            rows += [
-                ("InsertQuery", 1),
-                ("InsertedRows", int(written.get("rows") or 0)),
-                ("InsertedBytes", int(written.get("bytes") or 0)),
-                ("RejectedInserts", int(read.get("rejected") or 0)),
-                ("DelayedInserts", int(p.batchDuration > trigger_ms)),
-            ]
-    return spark.createDataFrame(rows, "event STRING, value BIGINT")
+def counter_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """What streams have counted, one file per batch → rows ``(query, batch, event, value)``."""
+    fields = ", ".join(["query STRING", "batch BIGINT", *[f"{c} BIGINT" for c in COUNTERS]])
+    return spark.read.schema(fields).json(folder).unpivot(["query", "batch"], COUNTERS, "event", "value")

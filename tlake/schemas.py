@@ -40,7 +40,7 @@ _LOGS = _struct(
     EventName=S, TimestampTime=TS,
 )
 
-EVENTS_TYPE = ArrayType(_struct(Timestamp=TS, Name=S, Attributes=MAP))
+EVENTS_TYPE = ArrayType(_struct(Timestamp=TS, Timestamp_ns=L, Name=S, Attributes=MAP))
 LINKS_TYPE = ArrayType(_struct(TraceId=S, SpanId=S, TraceState=S, Attributes=MAP))
 
 _SPANS = _struct(
@@ -51,7 +51,7 @@ _SPANS = _struct(
 )
 
 EXEMPLARS_TYPE = ArrayType(
-    _struct(FilteredAttributes=MAP, TimeUnix=TS, Value=D, SpanId=S, TraceId=S)
+    _struct(FilteredAttributes=MAP, TimeUnix=TS, TimeUnix_ns=L, Value=D, SpanId=S, TraceId=S)
 )
 QUANTILES_TYPE = ArrayType(_struct(Quantile=D, Value=D))
 

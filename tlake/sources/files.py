@@ -79,12 +79,13 @@ def read_journal_json(
     path: str,
     since: datetime | str | None = None,
     streaming: bool = False,
+    **options: str,
 ) -> DataFrame:
     """Journal exports (JSON lines). ``since`` is the start position "from the end":
     files last written before it are not read and older entries are dropped."""
     prepare(spark)
     reader = spark.readStream if streaming else spark.read
-    lines = reader.option("recursiveFileLookup", "true").text(path)
+    lines = reader.option("recursiveFileLookup", "true").options(**options).text(path)
     if since is None:
         return parse_journal(lines)
     at = literal_time(since)

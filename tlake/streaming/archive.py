@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,65 +18,50 @@ def key_values(m: str | Column) -> Column:
     )
 
 
-def record_json() -> Column:
-    seen = "ObservedTimestamp_ns"
-    return F.to_json(
-        F.struct(
-            F.col("Timestamp_ns").cast("string").alias("timeUnixNano"),
-            F.col(seen).cast("string").alias("observedTimeUnixNano"),
-            F.col("SeverityText").alias("severityText"),
-            F.col("SeverityNumber").alias("severityNumber"),
-            F.struct(F.col("Body").alias("stringValue")).alias("body"),
-            F.col("TraceId").alias("traceId"),
-            F.col("SpanId").alias("spanId"),
-            F.col("TraceFlags").alias("flags"),
-            F.col("EventName").alias("eventName"),
-            key_values("LogAttributes").alias("attributes"),
-        )
+def _record() -> Column:
+    return F.struct(
+        F.col("Timestamp_ns").cast("string").alias("timeUnixNano"),
+        F.col("ObservedTimestamp_ns").cast("string").alias("observedTimeUnixNano"),
+        F.col("SeverityText").alias("severityText"),
+        F.col("SeverityNumber").alias("severityNumber"),
+        F.struct(F.col("Body").alias("stringValue")).alias("body"),
+        F.col("TraceId").alias("traceId"),
+        F.col("SpanId").alias("spanId"),
+        F.col("TraceFlags").alias("flags"),
+        F.col("EventName").alias("eventName"),
+        key_values("LogAttributes").alias("attributes"),
     )
 
 
-def _pack(rows_per_request: int):
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            lines = []
-            for (res, res_url, sc, sc_url), g in pdf.groupby(["res", "res_url", "sc", "sc_url"], sort=False):
-                recs = g["rec"].tolist()
-                for i in range(0, len(recs), rows_per_request):
-                    lines.append(
-                        f'{{"resourceLogs":[{{"resource":{res},"schemaUrl":{res_url},'
-                        f'"scopeLogs":[{{"scope":{sc},"schemaUrl":{sc_url},'
-                        f'"logRecords":[{",".join(recs[i:i + rows_per_request])}]}}]}}]}}'
-                    )
-            yield pd.DataFrame({"value": lines})
-
-    return pack
-
-
-def otlp_requests(df: DataFrame, rows_per_request: int = ROWS_PER_REQUEST) -> DataFrame:
-    """Log rows → request lines (column ``value``).
+def packed(df: DataFrame, rows_per_request: int = ROWS_PER_REQUEST) -> DataFrame:
+    """Log rows → requests (column ``resourceLogs``).
 
-    Records are rendered in the JVM. Those of one resource and scope are put into
-    one request per Arrow batch of a task: no shuffle, and no request grows with
-    the number of records a service has.
+    Records of one resource and scope are put into one request per block of neighbouring rows, so no request grows with
+    the number of records a service has. The lists are made before the shuffle, in the task that reads the block.
     """
     if "ObservedTimestamp_ns" not in df.columns:
         df = df.withColumn("ObservedTimestamp_ns", F.col("Timestamp_ns"))
-    # A JSON text literal: the array form without its brackets.
-    text_json = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
-    rendered = df.select(
-        F.to_json(F.struct(key_values("ResourceAttributes").alias("attributes"))).alias("res"),
-        text_json("ResourceSchemaUrl").alias("res_url"),
-        F.to_json(
-            F.struct(
-                F.col("ScopeName").alias("name"), F.col("ScopeVersion").alias("version"),
-                key_values("ScopeAttributes").alias("attributes"),
-            )
-        ).alias("sc"),
-        text_json("ScopeSchemaUrl").alias("sc_url"),
-        record_json().alias("rec"),
+    rows = df.select(
+        F.expr(f"monotonically_increasing_id() div {int(rows_per_request)}").alias("block"),
+        F.struct(key_values("ResourceAttributes").alias("attributes")).alias("resource"),
+        F.col("ResourceSchemaUrl").alias("res_url"),
+        F.struct(
+            F.col("ScopeName").alias("name"), F.col("ScopeVersion").alias("version"),
+            key_values("ScopeAttributes").alias("attributes"),
+        ).alias("scope"),
+        F.col("ScopeSchemaUrl").alias("scope_url"),
+        _record().alias("record"),
+    )
+    lists = rows.groupBy("block", "resource", "res_url", "scope", "scope_url").agg(F.collect_list("record").alias("logRecords"))
+    of_scope = F.struct("scope", F.col("scope_url").alias("schemaUrl"), "logRecords")
+    return lists.select(
+        F.array(F.struct("resource", F.col("res_url").alias("schemaUrl"), F.array(of_scope).alias("scopeLogs"))).alias("resourceLogs")
     )
-    return rendered.mapInPandas(_pack(rows_per_request), "value STRING")
+
+
+def otlp_requests(df: DataFrame, rows_per_request: int = ROWS_PER_REQUEST) -> DataFrame:
+    """Log rows → request lines (column ``value``)."""
+    return packed(df, rows_per_request).select(F.to_json(F.struct("resourceLogs")).alias("value"))
 
 
 def write_otlp_archive(
@@ -87,5 +70,5 @@ def write_otlp_archive(
     """Archive log rows below ``<root>/<archive_type>/<segment>``; a repeated write of a
     segment replaces the first attempt."""
     path = f"{root.rstrip('/')}/{archive_type or 'unknown'}/{segment or uuid.uuid4().hex}"
-    otlp_requests(df).write.mode("overwrite").text(path)
+    packed(df).write.mode("overwrite").json(path)
     return path

@@ -3,6 +3,7 @@
 ======================  ===================================================  =======================
 pipeline                steps                                                 sinks
 ======================  ===================================================  =======================
+``logs/records``        the next two in one stream                            table, archive, sessions
 ``logs``                fix_time, drop sessions, log_type=otel                table, archive ``otel``
 ``logs/sessions``       fix_time, keep sessions                               session table
 ``logs/container``      parse, pod metadata, log_type=container               archive ``k8s``
@@ -42,8 +43,8 @@ from tlake.sources.otlp import read_otlp_logs, read_otlp_traces
 from tlake.streaming.sinks import (
     TRIGGER,
     archive_sink,
-    counted,
     fan_out,
+    only,
     segment,
     span_sink,
     table_sink,
@@ -58,13 +59,32 @@ def _bounded(options: dict) -> dict:
     return options if "maxFilesPerTrigger" in options else {"maxBytesPerTrigger": BATCH_BYTES, **options}
 
 
-def _log_records(spark: SparkSession, src: str, now, options: dict) -> DataFrame:
-    options = _bounded(options)
-    requests = read_otlp_logs(spark, src, streaming=True, **options)
-    checked = requests.observe(
-        "read", F.count("*").alias("requests"), F.count_if(F.col("resourceLogs").isNull()).alias("rejected")
+def counters(checkpoint: str) -> str:
+    """Folder of the batch counters of the pipelines under one checkpoint root."""
+    return f"{checkpoint}/counters"
+
+
+REJECTED = "resourceLogs IS NULL"  # a line that is no request
+
+
+def records(
+    spark: SparkSession, src: str, lake: Lake, archive: str, checkpoint: str,
+    trigger: str | None = TRIGGER, now: datetime | str | Column | None = None,
+    overwrite_type: bool = True, writers: int | None = None, **options: str,
+) -> StreamingQuery:
+    """``logs`` and ``logs/sessions`` in one stream: the input is read and parsed once for all three sinks."""
+    requests = read_otlp_logs(spark, src, streaming=True, **_bounded(options))
+    plain = lambda df: set_log_type(split_sessions(df)[0], "otel", overwrite_type)
+    name = "logs/records"
+    sinks = [
+        only(plain, table_sink(lake, "otel_logs", name, writers)),
+        only(plain, archive_sink(archive, "otel", name)),
+        only(lambda df: split_sessions(df)[1], table_sink(lake, "sessions", name, writers)),
+    ]
+    return fan_out(
+        requests, sinks, f"{checkpoint}/{name}", name, trigger, lambda df: fix_time(otlp_to_logs(df), now),
+        counters(checkpoint), REJECTED,
     )
-    return fix_time(otlp_to_logs(checked), now)
 
 
 def logs(
@@ -72,11 +92,14 @@ def logs(
     trigger: str | None = TRIGGER, now: datetime | str | Column | None = None,
     overwrite_type: bool = True, writers: int | None = None, **options: str,
 ) -> StreamingQuery:
-    ordinary, _ = split_sessions(_log_records(spark, src, now, options))
-    rows = counted(set_log_type(ordinary, "otel", overwrite_type))
+    requests = read_otlp_logs(spark, src, streaming=True, **_bounded(options))
     name = "logs"
     sinks = [table_sink(lake, "otel_logs", name, writers), archive_sink(archive, "otel", name)]
-    return fan_out(rows, sinks, f"{checkpoint}/{name}", name, trigger)
+
+    def ordinary(batch: DataFrame) -> DataFrame:
+        return set_log_type(split_sessions(fix_time(otlp_to_logs(batch), now))[0], "otel", overwrite_type)
+
+    return fan_out(requests, sinks, f"{checkpoint}/{name}", name, trigger, ordinary, counters(checkpoint), REJECTED)
 
 
 def sessions(
@@ -84,10 +107,11 @@ def sessions(
     trigger: str | None = TRIGGER, now: datetime | str | Column | None = None,
     writers: int | None = None, **options: str,
 ) -> StreamingQuery:
-    _, records = split_sessions(_log_records(spark, src, now, options))
+    requests = read_otlp_logs(spark, src, streaming=True, **_bounded(options))
     name = "logs/sessions"
     sinks = [table_sink(lake, "sessions", name, writers)]
-    return fan_out(counted(records), sinks, f"{checkpoint}/{name}", name, trigger)
+    only_sessions = lambda df: split_sessions(fix_time(otlp_to_logs(df), now))[1]
+    return fan_out(requests, sinks, f"{checkpoint}/{name}", name, trigger, only_sessions)
 
 
 def container(
@@ -95,7 +119,8 @@ def container(
     trigger: str | None = TRIGGER, **options: str,
 ) -> StreamingQuery:
     """Container log files from the beginning: a new checkpoint reads every file. A file
-    is read when it is complete (rotated), so no message spans two batches."""
+    is read once, so ``glob`` is to find closed files, such as ``/var/log/pods/*/*/*.log.*``; then no message
+    but one cut by the rotation itself spans two batches."""
     prepare(spark)
     options = _bounded(options)
     lines = spark.readStream.options(**options).text(glob).select(
@@ -114,10 +139,10 @@ def container(
 
 def journal(
     spark: SparkSession, src: str, pods: DataFrame, archive: str, checkpoint: str,
-    since: datetime | str | None = None, trigger: str | None = TRIGGER,
+    since: datetime | str | None = None, trigger: str | None = TRIGGER, **options: str,
 ) -> StreamingQuery:
     """Journal exports; ``since`` set to the start time reads "from the end"."""
-    rows = enrich_k8s(read_journal_json(spark, src, since, streaming=True), pods)
+    rows = enrich_k8s(read_journal_json(spark, src, since, streaming=True, **_bounded(options)), pods)
     rows = set_log_type(upsert_attr(rows, "ResourceAttributes", "log_type", "journal"), "journal")
     name = "logs/journal"
     return fan_out(rows, [archive_sink(archive, "journal", name)], f"{checkpoint}/{name}", name, trigger)

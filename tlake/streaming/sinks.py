@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tlake.functions.scalar import bucket_micros
+from tlake.plans import hadoop
 from tlake.plans.lake import Lake
 from tlake.streaming.archive import write_otlp_archive
 
@@ -31,6 +34,11 @@ def span_sink(lake: Lake, name: str, tasks: int | None = None) -> Sink:
     return lambda df, batch: lake.write_spans(df, segment(name, batch), tasks)
 
 
+def only(rows: Callable[[DataFrame], DataFrame], sink: Sink) -> Sink:
+    """The sink gets a part of the batch."""
+    return lambda df, batch: sink(rows(df), batch)
+
+
 def archive_sink(root: str, archive_type: str, name: str) -> Sink:
     return lambda df, batch: write_otlp_archive(df, root, archive_type, segment(name, batch))
 
@@ -42,13 +50,20 @@ def fan_out(
     name: str,
     trigger: str | None = TRIGGER,
     prepare_batch: Callable[[DataFrame], DataFrame] | None = None,
+    counters: str | None = None,
+    rejected: str | None = None,
 ) -> StreamingQuery:
     """One pipeline into several sinks; the batch is read and transformed once.
 
     ``trigger=None`` works through what is there and stops. The checkpoint is the
     position in the source; a batch that is repeated after a failure replaces its
     own segments, which carry the query's id from the checkpoint. ``prepare_batch`` holds steps that need a batch frame.
+
+    With ``counters`` each batch leaves a file in that folder once all sinks are done: rows and body bytes that were
+    written, input rows that ``rejected`` holds for, and whether the batch took longer than the trigger interval. A
+    repeated batch replaces its file, so sums over the folder are right after failures and for any number of batches.
     """
+    seconds = bucket_micros(trigger) / 1e6 if trigger else None
 
     ids: list[str] = []
 
@@ -58,24 +73,34 @@ def fan_out(
         written = f"{ids[0]}-{batch_id:012d}"
         # Streaming sessions come with adaptive execution off; the writes here are batch jobs.
         batch.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
+        began, read, put = time.monotonic(), Observation(), Observation()
+        if counters:
+            refused = F.count_if(F.expr(rejected)) if rejected else F.lit(0).cast("bigint")
+            batch = batch.observe(read, F.count("*").alias("read"), refused.alias("rejected"))
         rows = prepare_batch(batch) if prepare_batch else batch
+        if counters:
+            rows = rows.observe(put, F.count("*").alias("rows"), F.sum(F.octet_length("Body")).alias("bytes"))
         shared = len(sinks) > 1
         if shared:
             rows = rows.persist()
         try:
+            if shared and counters:
+                rows.count()  # fills the cache, and with it the counts
             for sink in sinks:
                 sink(rows, written)
         finally:
             if shared:
                 rows.unpersist()
+        if counters:
+            late = seconds is not None and time.monotonic() - began > seconds
+            seen = {
+                "query": ids[0], "batch": batch_id, "InsertQuery": 1, "InsertedRows": put.get["rows"],
+                "InsertedBytes": put.get["bytes"] or 0, "RejectedInserts": read.get["rejected"], "DelayedInserts": int(late),
+            }
+            hadoop.put_text(batch.sparkSession, f"{counters}/{written}.json", json.dumps(seen))
 
     writer = (
         stream.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(run)
     )
     writer = writer.trigger(availableNow=True) if trigger is None else writer.trigger(processingTime=trigger)
     return writer.start()
-
-
-def counted(df: DataFrame) -> DataFrame:
-    """Let the query report rows and body bytes per batch."""
-    return df.observe("written", F.count("*").alias("rows"), F.sum(F.octet_length("Body")).alias("bytes"))

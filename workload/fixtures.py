@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tlake import schemas
 from tlake.functions import empty_map, epoch_micros, time_bucket, unix_nanos
@@ -29,14 +30,6 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
 
-def spread(df: DataFrame, tasks: int = 16) -> DataFrame:
-    """Use the cores where a table is one small file and would be one task; larger tables,
-    which are read in many splits, pass through without a shuffle. For narrow plans only:
-    asking a plan with shuffles for its partitions would run it."""
-    tasks = min(tasks, df.sparkSession.sparkContext.defaultParallelism)
-    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
-
-
 def hex_id(n: Column, width: int) -> Column:
     return F.lpad(F.lower(F.hex(n)), width, "0")
 
@@ -106,7 +99,7 @@ def spans(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) ->
     rn = F.col("event_id") % 8 + 1
     parent = F.expr("(event_id div 8) * 8 + (event_id % 8 + 1) div 2 - 1")
     error = F.col("event_type") == "error"
-    ev = F.array(F.struct(F.col("ts").alias("Timestamp"), F.lit("exception").alias("Name"),
+    ev = F.array(F.struct(F.col("ts").alias("Timestamp"), (unix_nanos("ts") + 7).alias("Timestamp_ns"), F.lit("exception").alias("Name"),
                           F.create_map(F.lit("k"), k()).alias("Attributes")))
     links = F.array(F.struct(hex_id(F.expr("event_id div 8"), 32).alias("TraceId"), span_id().alias("SpanId"),
                              F.lit("").alias("TraceState"), empty_map().alias("Attributes")))
@@ -150,7 +143,7 @@ def _points(df: DataFrame, kind: str, own: dict[str, Column], attrs: Column, at:
 def gauge(spark: SparkSession, sf_dir: str, value: Column | None = None) -> DataFrame:
     v = F.col("value") if value is None else value
     ex = F.array(F.struct(F.create_map(F.lit("k"), k()).alias("FilteredAttributes"), F.col("ts").alias("TimeUnix"),
-                          F.col("value").alias("Value"), span_id().alias("SpanId"), trace_id().alias("TraceId")))
+                          (unix_nanos("ts") + 7).alias("TimeUnix_ns"), F.col("value").alias("Value"), span_id().alias("SpanId"), trace_id().alias("TraceId")))
     return _points(
         events(spark, sf_dir).withColumn("svc", service()), "gauge",
         {"Value": v, "Exemplars": F.when(F.col("event_id") % 10 != 0, ex).otherwise(F.array().cast(schemas.EXEMPLARS_TYPE))},
@@ -192,6 +185,13 @@ def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cumulative_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly histograms of each series added up to running ones."""
+    upto = Window.partitionBy("ServiceName", "MetricName").orderBy("TimeUnix").rowsBetween(Window.unboundedPreceding, 0)
+    running = F.array(*[F.sum(F.get("BucketCounts", F.lit(i))).over(upto) for i in range(len(BOUNDS) + 1)])
+    return histogram(spark, sf_dir).withColumns({"BucketCounts": running, "AggregationTemporality": F.lit(2)})
+
+
 def log2_index() -> Column:
     """Index of the base-2 bucket (2^i, 2^(i+1)] that holds the value, from whole cents."""
     x = F.expr("(c * 128 + 99) div 100")
@@ -225,6 +225,43 @@ def exp_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cumulative_exp_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running histograms per (service, type), one point per hour with events: base 2 (scale 0) in even hours, base 4
+    (scale -1) in odd ones."""
+    series, zero = ["svc", "event_type"], F.lit(-1000)
+    counts = (
+        events(spark, sf_dir)
+        .select(service().alias("svc"), "event_type", time_bucket("ts", "1 hour").alias("at"), cents().alias("c"))
+        .groupBy(*series, "at", F.when(F.col("c") > 0, log2_index()).otherwise(zero).alias("i"))
+        .agg(F.count("*").alias("n"))
+    )
+    points = counts.select(*series, "at").distinct().join(counts.select(*series, "i").distinct(), series)
+    upto = Window.partitionBy(*series, "i").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    coarse = F.hour("at") % 2
+    g = (
+        points.join(counts, [*series, "at", "i"], "left")
+        .withColumn("n", F.sum(F.coalesce("n", F.lit(0))).over(upto))
+        .withColumn("i", F.when(F.col("i") != zero, F.call_function("shiftright", F.col("i"), coarse)))
+        .groupBy(*series, "at", "i").agg(F.sum("n").alias("n"))
+        .groupBy(*series, "at")
+        .agg(
+            F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("i").isNull(), F.col("n"))), F.lit(0)).alias("zero"),
+            F.min("i").alias("lo"), F.max("i").alias("hi"),
+            F.map_from_entries(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "n")))).alias("m"),
+        )
+    )
+    filled = F.when(
+        F.col("lo").isNotNull(),
+        F.transform(F.sequence("lo", "hi"), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))),
+    ).otherwise(F.array())
+    return _points(
+        g, "exp_histogram",
+        {"Count": F.col("n"), "Scale": -coarse, "ZeroCount": F.col("zero"), "PositiveOffset": F.coalesce("lo", F.lit(0)),
+         "PositiveBucketCounts": filled, "AggregationTemporality": F.lit(2)},
+        empty_map(), F.col("at"), F.col("event_type"),
+    )
+
+
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact quantiles of the cents per (service, hour)."""
     qs = {"q50": 0.5, "q90": 0.9, "q99": 0.99}
@@ -323,14 +360,14 @@ def container_request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ).alias("resourceLogs")
     )
-    return spread(events(spark, sf_dir)).select(F.to_json(req).alias("value"))
+    return events(spark, sf_dir).select(F.to_json(req).alias("value"))
 
 
 def container_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CRI lines: events with an id divisible by 3 are cut into three fragments, the others
     are one full line. Two streams per file are interleaved, blocks cut the files."""
     n = F.when(F.col("event_id") % 3 == 0, 3).otherwise(1)
-    frag = spread(events(spark, sf_dir)).select("*", n.alias("n"), F.explode(F.sequence(F.lit(1), n)).alias("i"))
+    frag = events(spark, sf_dir).select("*", n.alias("n"), F.explode(F.sequence(F.lit(1), n)).alias("i"))
     ts = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("000Z"))
     text = F.when(F.col("n") == 1, body()).otherwise(
         F.when(F.col("i") == 1, F.col("event_type")).when(F.col("i") == 2, F.lit(" by user "))
@@ -355,7 +392,7 @@ def journal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         body().alias("MESSAGE"), prio.alias("PRIORITY"),
         F.concat(service(), F.lit(".service")).alias("_SYSTEMD_UNIT"), k().alias("_PID"),
     )
-    return spread(events(spark, sf_dir)).select(F.to_json(entry).alias("value"))
+    return events(spark, sf_dir).select(F.to_json(entry).alias("value"))
 
 
 def prom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -413,7 +450,7 @@ def span_requests(df: DataFrame) -> DataFrame:
         key_values("SpanAttributes").alias("attributes"),
         F.struct(F.when(F.col("StatusCode") == "Error", 2).otherwise(1).alias("code"),
                  F.col("StatusMessage").alias("message")).alias("status"),
-        F.transform("Events", lambda e: F.struct(unix_nanos(e["Timestamp"]).cast("string").alias("timeUnixNano"),
+        F.transform("Events", lambda e: F.struct(e["Timestamp_ns"].cast("string").alias("timeUnixNano"),
                                                  e["Name"].alias("name"), key_values(e["Attributes"]).alias("attributes"))).alias("events"),
         F.transform("Links", lambda e: F.struct(e["TraceId"].alias("traceId"), e["SpanId"].alias("spanId"))).alias("links"),
     )
@@ -428,7 +465,7 @@ def metric_requests(frames: dict[str, DataFrame]) -> DataFrame:
         txt("TimeUnix_ns").alias("timeUnixNano"), F.col("Flags").alias("flags"),
     ]
     ex = F.transform("Exemplars", lambda e: F.struct(
-        unix_nanos(e["TimeUnix"]).cast("string").alias("timeUnixNano"), e["Value"].alias("asDouble"),
+        e["TimeUnix_ns"].cast("string").alias("timeUnixNano"), e["Value"].alias("asDouble"),
         e["SpanId"].alias("spanId"), e["TraceId"].alias("traceId"))).alias("exemplars")
     cnt = [txt("Count").alias("count"), F.col("Sum").alias("sum")]
     strs = lambda c: F.transform(c, lambda x: x.cast("string"))

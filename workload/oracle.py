@@ -97,6 +97,13 @@ SUMMARY = SUMMARY.format(
 )
 
 
+def readable(n: str) -> str:
+    """Byte count as text with a binary unit, two decimals."""
+    units = ["B", "KiB", "MiB", "GiB", "TiB", "PiB"]
+    cases = [f"WHEN {n} < {1024 ** (i + 1)} THEN printf('%.2f {u}', {n} / {1024 ** i}::DOUBLE)" for i, u in enumerate(units)]
+    return f"CASE {' '.join(cases)} END"
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ", ".join(p.strip() for p in parts) + "\n"
 
@@ -402,8 +409,9 @@ ORACLE: dict[str, str] = {
         SELECT tab AS "table", CAST(sum(n) AS BIGINT) AS rows, min(oldest) AS oldest, max(newest) AS newest
         FROM inv GROUP BY tab ORDER BY tab""",
     "tier_report": _with(INV) + """
-        SELECT tier, tab AS "table", count(*) AS files, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(comp) AS BIGINT) AS bytes
-        FROM inv GROUP BY tier, tab ORDER BY tier, tab""",
+        SELECT *, """ + readable("bytes") + """ AS size FROM (
+          SELECT tier, tab AS "table", count(*) AS files, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(comp) AS BIGINT) AS bytes
+          FROM inv GROUP BY tier, tab) ORDER BY tier, "table\"""",
     "file_report": _with(INV) + """
         SELECT tab AS "table", d AS event_date, tab || '/' || d AS path, tier, n AS rows, comp AS bytes
         FROM inv ORDER BY tab, tier, d""",
@@ -435,9 +443,52 @@ ORACLE: dict[str, str] = {
         SELECT trace_id AS "TraceId", count(*) AS n, CAST(sum(dur) AS BIGINT) AS ns, min(ts) AS "Start", max(ts) AS "End"
         FROM spans GROUP BY trace_id""",
     "stream_metrics": _STORED_METRICS,
+    "stream_records": L + """
+        SELECT 'logs' AS sink, svc AS service, count(*) AS n FROM logs WHERE session_id = '' GROUP BY svc
+        UNION ALL SELECT 'archive', svc, count(*) FROM logs WHERE session_id = '' GROUP BY svc
+        UNION ALL SELECT 'sessions', svc, count(*) FROM logs WHERE session_id <> '' GROUP BY svc""",
+    "stream_two_checkpoints": L + """
+        SELECT span_id AS "SpanId", CAST(2 AS BIGINT) AS n FROM logs WHERE session_id = ''""",
     "ingest_counters": L + """
         SELECT 'InsertedRows' AS event, count(*) FILTER (session_id = '') AS value FROM logs
+        UNION ALL SELECT 'InsertedBytes', CAST(coalesce(sum(strlen(body)) FILTER (session_id = ''), 0) AS BIGINT) FROM logs
         UNION ALL SELECT 'RejectedInserts', 0""",
+    "lake_compression_report": """
+        SELECT 'otel_logs' AS "table", count(*) AS rows, TRUE AS smaller, TRUE AS fewer_bytes FROM events""",
+    "lake_balance_report": """
+        SELECT 'otel_logs' AS "table", CAST(3 AS BIGINT) AS shards, count(*) AS rows, TRUE AS even FROM events""",
+    "json_vs_columnar_order": "SELECT count(*) AS rows, TRUE AS plain_below_json, TRUE AS stored_below_plain FROM events",
+    "stored_order": "SELECT count(*) AS n, CAST(0 AS BIGINT) AS broken FROM events",
+    "scalar_functions": """
+        SELECT event_id, json_extract_string(props, '$.k') AS k, '' AS none, epoch_us(ts) // 1000000 AS seconds,
+          """ + readable("CAST(user_id AS BIGINT) * user_id * user_id") + """ AS size, TRUE AS is_now FROM events""",
+    "otlp_span_events": S + """
+        SELECT trace_id AS "TraceId", span_id AS "SpanId", 'exception' AS name, ts AS at, ns + 7 AS at_ns, k
+        FROM spans WHERE status = 'Error'""",
+    "otlp_exemplars": _with(LOGS) + """
+        SELECT event_type AS "MetricName", ts AS at, ns + 7 AS at_ns, value,
+          lpad(lower(hex(event_id // 8 + 1)), 32, '0') AS trace_id, span_id FROM logs WHERE event_id % 10 <> 0""",
+    "service_edges_long_spans": S + """
+        SELECT p.svc AS parent_service, s.svc AS child_service, count(*) AS n_calls,
+          CAST(CAST(sum(s.dur * CAST(5000000000 AS HUGEINT)) AS DECIMAL(38, 0)) AS VARCHAR) AS total_ns
+        FROM spans s JOIN spans p ON s.trace_id = p.trace_id AND s.parent_id = p.span_id GROUP BY ALL""",
+    "exp_histogram_quantile_cumulative": _with(LOGS, EXP) + """
+        , hours AS (SELECT DISTINCT svc, event_type, hr, -(CAST(extract('hour' FROM hr) AS INTEGER) % 2) AS s FROM expo),
+        steps AS (SELECT *, lag(s) OVER (PARTITION BY svc, event_type ORDER BY hr) AS before,
+          CAST(date_trunc('day', hr) AS TIMESTAMP) AS bucket FROM hours),
+        scales AS (SELECT svc, event_type, bucket, min(least(s, before)) AS scale FROM steps WHERE before IS NOT NULL GROUP BY ALL),
+        c AS (SELECT bucket, e.svc, e.event_type, scale,
+          CASE WHEN e.i IS NULL THEN -1000 ELSE CAST(floor(e.i / pow(2.0::DOUBLE, -scale)) AS INTEGER) END AS i, count(*) AS c
+          FROM expo e JOIN steps t ON e.svc = t.svc AND e.event_type = t.event_type AND e.hr = t.hr
+          JOIN scales x USING (bucket) WHERE x.svc = e.svc AND x.event_type = e.event_type AND before IS NOT NULL GROUP BY ALL),
+        r AS (SELECT *, sum(c) OVER w AS upto, sum(c) OVER (PARTITION BY bucket, svc, event_type) AS n
+          FROM c WINDOW w AS (PARTITION BY bucket, svc, event_type ORDER BY i)),
+        h AS (SELECT *, row_number() OVER (PARTITION BY bucket, svc, event_type ORDER BY i) AS rn
+          FROM r WHERE upto >= 0.5::DOUBLE * n)
+        SELECT bucket, svc AS "ServiceName", event_type AS "MetricName", CAST(n AS BIGINT) AS n,
+          round(CASE WHEN i = -1000 THEN 0.0::DOUBLE
+            ELSE pow(2.0::DOUBLE, (i + (0.5::DOUBLE * n - (upto - c)) / c) * pow(2.0::DOUBLE, -scale)) END, 6) AS p50
+        FROM h WHERE rn = 1""",
 }
 ORACLE["lake_recent_hour"] = ORACLE["recent_log_count"]
 ORACLE["traces_by_id"] = ORACLE["traces_with_errors"]
@@ -446,3 +497,10 @@ ORACLE["tier_filter_scan"] = f"""
     WITH d AS ({ORACLE['hot_cold_scan']})
     SELECT t.tier, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM (VALUES ('hot'), ('cold')) t(tier)
     LEFT JOIN d ON t.tier = d.tier GROUP BY t.tier"""
+ORACLE["histogram_quantile_cumulative"] = (
+    ORACLE["histogram_quantile"]
+    .replace("edges AS (", "opened AS (SELECT svc, event_type, date_trunc('hour', min(ts)) AS h0 FROM logs GROUP BY ALL),\n        edges AS (", 1)
+    .replace("FROM logs GROUP BY ALL),\n        r AS", "FROM logs JOIN opened USING (svc, event_type) WHERE date_trunc('hour', ts) > h0 GROUP BY ALL),\n        r AS", 1)
+)
+ORACLE["compact_due_days"] = f"""
+    SELECT {DAY_OF} AS event_date, 2 * count(*) AS n, CAST(1 AS BIGINT) AS segments, count(*) AS spans FROM events GROUP BY {DAY_OF}"""

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tlake import schemas
-from tlake.functions import map_text
+from tlake.functions import json_string, map_text, readable_size, unix_seconds
 from tlake.operators import aggregates as agg
 from tlake.operators import metrics as met
 from tlake.operators import traces as trc
@@ -24,7 +25,7 @@ from tlake.operators.flatten import (
     otlp_to_spans,
     unnest,
 )
-from tlake.plans import Lake, apply_moves, compact, inventory, plan_moves, reports
+from tlake.plans import Lake, apply_moves, compact, compact_due, inventory, plan_moves, reports
 from tlake.plans.lake import TIERS
 from tlake.session import scratch_dir
 from tlake.sources import (
@@ -101,7 +102,7 @@ def exact_distinct_services(spark, sf_dir):
 
 
 def _log_requests(spark, sf_dir):
-    return parse_lines(otlp_requests(fx.logs(spark, sf_dir, fx.spread(fx.events(spark, sf_dir)))), schemas.OTLP_LOGS)
+    return parse_lines(otlp_requests(fx.logs(spark, sf_dir)), schemas.OTLP_LOGS)
 
 
 @query
@@ -303,7 +304,7 @@ def prom_summary(spark, sf_dir):
 
 @query
 def otlp_spans(spark, sf_dir):
-    parsed = otlp_to_spans(parse_lines(fx.span_requests(fx.spans(spark, sf_dir, fx.spread(fx.events(spark, sf_dir)))), schemas.OTLP_TRACES))
+    parsed = otlp_to_spans(parse_lines(fx.span_requests(fx.spans(spark, sf_dir)), schemas.OTLP_TRACES))
     return parsed.select(
         "Timestamp", "Timestamp_ns", "TraceId", "SpanId", "ParentSpanId", "SpanName", "SpanKind", "ServiceName",
         "Duration", "StatusCode", "StatusMessage", F.size("Events").alias("n_events"), F.size("Links").alias("n_links"),
@@ -311,21 +312,42 @@ def otlp_spans(spark, sf_dir):
     )
 
 
+@query
+def otlp_span_events(spark, sf_dir):
+    """What is inside the lists of parsed spans, with nanoseconds."""
+    parsed = otlp_to_spans(parse_lines(fx.span_requests(fx.spans(spark, sf_dir)), schemas.OTLP_TRACES))
+    return unnest(parsed.select("TraceId", "SpanId", "Events"), "Events").select(
+        "TraceId", "SpanId", F.col("Events_Name").alias("name"), F.col("Events_Timestamp").alias("at"),
+        F.col("Events_Timestamp_ns").alias("at_ns"), map_text("Events_Attributes", "k").alias("k"),
+    )
+
+
 def _otlp_metric(spark, sf_dir, kind, df):
     return otlp_to_metrics(parse_lines(fx.metric_requests({kind: df}), schemas.OTLP_METRICS))[kind]
 
 
 @query
 def otlp_metrics_gauge(spark, sf_dir):
-    return _otlp_metric(spark, sf_dir, "gauge", fx.spread(fx.gauge(spark, sf_dir))).select(
+    return _otlp_metric(spark, sf_dir, "gauge", fx.gauge(spark, sf_dir)).select(
         "ServiceName", "MetricName", "TimeUnix", "TimeUnix_ns", "Value", map_text("Attributes", "k").alias("k"),
         F.size("Exemplars").alias("n_exemplars"),
     )
 
 
+@query
+def otlp_exemplars(spark, sf_dir):
+    """Exemplars of parsed points, with nanoseconds."""
+    points = _otlp_metric(spark, sf_dir, "gauge", fx.gauge(spark, sf_dir)).select("MetricName", "Exemplars")
+    return unnest(points, "Exemplars").select(
+        "MetricName", F.col("Exemplars_TimeUnix").alias("at"), F.col("Exemplars_TimeUnix_ns").alias("at_ns"),
+        F.col("Exemplars_Value").alias("value"), F.col("Exemplars_TraceId").alias("trace_id"),
+        F.col("Exemplars_SpanId").alias("span_id"),
+    )
+
+
 @query
 def otlp_metrics_sum(spark, sf_dir):
-    return _otlp_metric(spark, sf_dir, "sum", fx.spread(fx.counter(spark, sf_dir))).select(
+    return _otlp_metric(spark, sf_dir, "sum", fx.counter(spark, sf_dir)).select(
         "ServiceName", "MetricName", "TimeUnix", "Value", map_text("Attributes", "user").alias("user"),
         "AggregationTemporality", "IsMonotonic",
     )
@@ -494,7 +516,14 @@ def span_self_time(spark, sf_dir):
 
 @query
 def service_edges(spark, sf_dir):
-    return trc.service_edges(fx.spans(spark, sf_dir))
+    return trc.service_edges(fx.spans(spark, sf_dir)).withColumn("total_ns", F.col("total_ns").cast("bigint"))
+
+
+@query
+def service_edges_long_spans(spark, sf_dir):
+    """Spans of months and years: their sums do not fit a BIGINT any more and are compared as text."""
+    long = fx.spans(spark, sf_dir).withColumn("Duration", F.col("Duration") * F.lit(5_000_000_000))
+    return trc.service_edges(long).withColumn("total_ns", F.col("total_ns").cast("string"))
 
 
 @query
@@ -544,6 +573,19 @@ def histogram_quantile(spark, sf_dir):
     return out.select("bucket", "ServiceName", "MetricName", "n", F.round("quantile", 6).alias("p90"))
 
 
+@query
+def histogram_quantile_cumulative(spark, sf_dir):
+    out = met.histogram_quantile(fx.cumulative_histogram(spark, sf_dir), 0.9, "1 day")
+    return out.select("bucket", "ServiceName", "MetricName", "n", F.round("quantile", 6).alias("p90"))
+
+
+@query
+def exp_histogram_quantile_cumulative(spark, sf_dir):
+    """Running points whose scale changes from hour to hour."""
+    out = met.exp_histogram_quantile(fx.cumulative_exp_histogram(spark, sf_dir), 0.5, "1 day")
+    return out.select("bucket", "ServiceName", "MetricName", "n", F.round("quantile", 6).alias("p50"))
+
+
 @query
 def exp_histogram_quantile(spark, sf_dir):
     out = met.exp_histogram_quantile(fx.exp_histogram(spark, sf_dir), 0.5, "1 day")
@@ -644,6 +686,17 @@ def compact_day(spark, sf_dir):
     return rows
 
 
+@query
+def compact_due_days(spark, sf_dir):
+    """Two appended segments; every day that has both is merged in one job."""
+    lake = _logs_lake(spark, sf_dir, "due")
+    lake.write(fx.logs(spark, sf_dir), "otel_logs")
+    compact_due(lake, "otel_logs", min_segments=2)
+    return lake.files("otel_logs", "hot").groupBy("event_date").agg(
+        F.count("*").alias("n"), F.count_distinct("seg").alias("segments"), F.count_distinct("SpanId").alias("spans")
+    )
+
+
 @query
 def ttl_move_plan(spark, sf_dir):
     lake = _logs_lake(spark, sf_dir, "ttl")
@@ -681,7 +734,7 @@ def ingest_report(spark, sf_dir):
 
 @query
 def tier_report(spark, sf_dir):
-    return reports.tier_report(fx.file_inventory(spark, sf_dir)).drop("size")
+    return reports.tier_report(fx.file_inventory(spark, sf_dir))
 
 
 @query
@@ -709,30 +762,78 @@ def lake_ingest_report(spark, sf_dir):
 
 @query
 def lake_compression_report(spark, sf_dir):
-    return reports.compression_report(inventory(_logs_lake(spark, sf_dir, "ratio"), "otel_logs"))
+    """Report on real files; their sizes are not known to SQL, so what holds for them is returned."""
+    report = reports.compression_report(inventory(_logs_lake(spark, sf_dir, "ratio"), "otel_logs"))
+    return report.select(
+        "table", "rows", (F.col("compress_ratio") > 1).alias("smaller"),
+        (F.col("compressed_bytes") < F.col("uncompressed_bytes")).alias("fewer_bytes"),
+    )
 
 
 @query
 def lake_balance_report(spark, sf_dir):
+    """Rows over the tasks that wrote them, per table."""
     lake = lake_at(spark, "balance", ["otel_logs"])
     lake.write(fx.logs(spark, sf_dir), "otel_logs", tasks=3)
     shard = F.regexp_extract("path", r"/part-(\d+)-", 1)
-    return reports.balance_report(inventory(lake, "otel_logs"), shard)
+    return reports.balance_report(inventory(lake, "otel_logs"), shard).groupBy("table").agg(
+        F.count("*").alias("shards"), F.sum("rows").alias("rows"), (F.max("skew") < 1.1).alias("even")
+    )
 
 
 @query
 def json_vs_columnar(spark, sf_dir):
+    """Sizes of the same rows as line JSON, as plain columns and as stored."""
     lake = _logs_lake(spark, sf_dir, "sizes")
     rows = lake.scan("otel_logs").drop("tier", "event_date", "Timestamp_ns")
     return reports.size_comparison(rows, inventory(lake, "otel_logs"))
 
 
+@query
+def json_vs_columnar_order(spark, sf_dir):
+    """The same in what SQL can know: rows, and that each form is smaller than the one before."""
+    return json_vs_columnar(spark, sf_dir).select(
+        "rows", (F.col("json_bytes") > F.col("plain_bytes")).alias("plain_below_json"),
+        (F.col("plain_bytes") > F.col("compressed_bytes")).alias("stored_below_plain"),
+    )
+
+
+@query
+def stored_order(spark, sf_dir):
+    """Neighbouring rows of each stored file that break the table's order (service, time): none."""
+    lake = _logs_lake(spark, sf_dir, "order")
+    place = Window.partitionBy("path").orderBy("row")
+    rows = lake.files("otel_logs", "hot").select(
+        "ServiceName", "Timestamp_ns", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row")
+    )
+    key = F.struct("ServiceName", "Timestamp_ns")
+    return rows.select((F.lag(key).over(place) > key).alias("broken")).agg(
+        F.count("*").alias("n"), F.count_if("broken").alias("broken")
+    )
+
+
+@query
+def scalar_functions(spark, sf_dir):
+    """Text at a JSON path, whole seconds of a time, a readable size, and a time that falls back to the present."""
+    now = F.localtimestamp()
+    unset = trf.fix_time(fx.events(spark, sf_dir).select(
+        "event_id", "ts", "props", "user_id", F.lit(0).cast("bigint").alias("Timestamp_ns"),
+        F.lit(0).cast("bigint").alias("ObservedTimestamp_ns"),
+    ))
+    size = F.pow(F.col("user_id").cast("double"), F.lit(3.0)).cast("bigint")
+    return unset.select(
+        "event_id", json_string("props", "k").alias("k"), json_string("props", "none", 1).alias("none"),
+        unix_seconds("ts").alias("seconds"), readable_size(size).alias("size"),
+        F.col("Timestamp").between(now - F.expr("INTERVAL 1 HOUR"), now + F.expr("INTERVAL 1 HOUR")).alias("is_now"),
+    )
+
+
 # -- archive and streams ------------------------------------------------------------
 
 
 def _archive(spark, sf_dir):
     root = scratch_dir(spark, "archive")
-    write_otlp_archive(fx.logs(spark, sf_dir, fx.spread(fx.events(spark, sf_dir))), root, "otel")
+    write_otlp_archive(fx.logs(spark, sf_dir), root, "otel")
     return root
 
 
@@ -814,7 +915,7 @@ def journal_since(spark, sf_dir):
 @query
 def stream_traces(spark, sf_dir):
     src, lake = scratch_dir(spark, "spans"), lake_at(spark, "stream", ["otel_traces", schemas.TRACE_RANGES])
-    fx.span_requests(fx.spans(spark, sf_dir, fx.spread(fx.events(spark, sf_dir)))).write.text(src)
+    fx.span_requests(fx.spans(spark, sf_dir)).write.text(src)
     pipelines.traces(spark, src, lake, scratch_dir(spark, "cp"), trigger=None).awaitTermination()
     spans = lake.scan("otel_traces").groupBy("TraceId").agg(F.count("*").alias("n"), F.sum("Duration").alias("ns"))
     return spans.join(lake.trace_ranges(), "TraceId")
@@ -831,14 +932,35 @@ def stream_metrics(spark, sf_dir):
     )
 
 
+@query
+def stream_records(spark, sf_dir):
+    """One stream, three sinks: log table, archive and session table."""
+    root, lake = _archive(spark, sf_dir), lake_at(spark, "stream", ["otel_logs", "sessions"])
+    out = scratch_dir(spark, "stream-archive")
+    pipelines.records(spark, f"{root}/otel", lake, out, scratch_dir(spark, "cp"), trigger=None, now=fx.AS_OF).awaitTermination()
+    seen = lambda df, name: df.groupBy(F.lit(name).alias("sink"), F.col("ServiceName").alias("service")).agg(F.count("*").alias("n"))
+    archived = otlp_to_logs(read_otlp_logs(spark, f"{out}/otel"))
+    return seen(lake.scan("otel_logs"), "logs").unionByName(seen(lake.scan("sessions"), "sessions")).unionByName(seen(archived, "archive"))
+
+
+@query
+def stream_two_checkpoints(spark, sf_dir):
+    """The input through each of two checkpoints into one lake: nothing is written over."""
+    root, lake = _archive(spark, sf_dir), lake_at(spark, "stream", ["otel_logs"])
+    for name in ("cp-a", "cp-b"):
+        out, cp = scratch_dir(spark, "stream-archive"), scratch_dir(spark, name)
+        pipelines.logs(spark, f"{root}/otel", lake, out, cp, trigger=None, now=fx.AS_OF).awaitTermination()
+    return lake.scan("otel_logs").groupBy("SpanId").agg(F.count("*").alias("n"))
+
+
 @query
 def ingest_counters(spark, sf_dir):
-    """Counters from the progress reports of the logs pipeline."""
+    """Counters that the logs pipeline has written with its batches."""
     root, lake = _archive(spark, sf_dir), lake_at(spark, "stream", ["otel_logs"])
-    q = pipelines.logs(spark, f"{root}/otel", lake, scratch_dir(spark, "a"), scratch_dir(spark, "cp"), trigger=None, now=fx.AS_OF)
-    q.awaitTermination()
-    counters = reports.ingest_counters(reports.progress_rows(spark, q.recentProgress))
-    return counters.filter(F.col("event").isin("InsertedRows", "RejectedInserts"))
+    cp = scratch_dir(spark, "cp")
+    pipelines.logs(spark, f"{root}/otel", lake, scratch_dir(spark, "a"), cp, trigger=None, now=fx.AS_OF).awaitTermination()
+    counters = reports.ingest_counters(reports.counter_rows(spark, pipelines.counters(cp)))
+    return counters.filter(F.col("event").isin("InsertedRows", "InsertedBytes", "RejectedInserts"))
 
 
 @query
