@@ -142,7 +142,10 @@ def test_container_files(spark, tmp_path):
     d.mkdir(parents=True)
     (d / "0.log").write_text("\n".join(CRI) + "\n")
     df = transforms.parse_container(read_container_logs(spark, f"{tmp_path}/pods/*/*/*.log"))
-    assert sorted(r["Body"] for r in df.collect()) == ["err end", "one two three", "whole"]
+    assert sorted(r["Body"] for r in df.collect()) == ["err end", "not a log line", "one two three", "whole"]
+    (d / "0.log.20240101-000000").write_text(CRI[5] + "\n")
+    closed = transforms.parse_container(read_container_logs(spark, f"{tmp_path}/pods/*/*/*.log.*")).first()
+    assert (closed["Body"], closed["ResourceAttributes"]["k8s.pod.uid"], closed["ResourceAttributes"]["k8s.container.restart_count"]) == ("whole", "uid", "0")
     assert df.first()["ResourceAttributes"]["k8s.pod.name"] == "pod"
 
 
@@ -290,7 +293,7 @@ def test_absurd_numbers_do_not_stop_the_job(spark):
     assert (h["Count"], h["Sum"], len(h["BucketCounts"])) == (0, 0.0, 2)
     assert m["gauge"].first()["TimeUnix"] == datetime(2024, 1, 1)
     bad = container(spark, "2024-99-99T00:00:00Z stdout F x", "stdout F", "")
-    assert [(r["Body"], r["Timestamp_ns"]) for r in transforms.parse_container(bad).collect()] == [("x", 0)]
+    assert sorted((r["Body"], r["Timestamp_ns"]) for r in transforms.parse_container(bad).collect()) == [("stdout F", 0), ("x", 0)]
 
 
 def test_fragments_against_a_plain_walk(spark):

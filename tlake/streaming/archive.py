@@ -42,7 +42,9 @@ def packed(df: DataFrame, rows_per_request: int = ROWS_PER_REQUEST) -> DataFrame
     if "ObservedTimestamp_ns" not in df.columns:
         df = df.withColumn("ObservedTimestamp_ns", F.col("Timestamp_ns"))
     rows = df.select(
-        F.expr(f"monotonically_increasing_id() div {int(rows_per_request)}").alias("block"),
+        F.spark_partition_id().alias("task"),
+        # The lower 33 bits count the rows of a task.
+        F.expr(f"(monotonically_increasing_id() & {(1 << 33) - 1}) div {int(rows_per_request)}").alias("block"),
         F.struct(key_values("ResourceAttributes").alias("attributes")).alias("resource"),
         F.col("ResourceSchemaUrl").alias("res_url"),
         F.struct(
@@ -52,7 +54,7 @@ def packed(df: DataFrame, rows_per_request: int = ROWS_PER_REQUEST) -> DataFrame
         F.col("ScopeSchemaUrl").alias("scope_url"),
         _record().alias("record"),
     )
-    lists = rows.groupBy("block", "resource", "res_url", "scope", "scope_url").agg(F.collect_list("record").alias("logRecords"))
+    lists = rows.groupBy("task", "block", "resource", "res_url", "scope", "scope_url").agg(F.collect_list("record").alias("logRecords"))
     of_scope = F.struct("scope", F.col("scope_url").alias("schemaUrl"), "logRecords")
     return lists.select(
         F.array(F.struct("resource", F.col("res_url").alias("schemaUrl"), F.array(of_scope).alias("scopeLogs"))).alias("resourceLogs")
