@@ -25,6 +25,7 @@ from .common import of_worker, text_key
 
 CHUNK, OVERLAP = 32_768, 512
 NO_RANK = 1 << 60
+SLICE = 512
 SHORT = 48  # bytes up to which looking at all pairs is faster than a heap
 
 
@@ -133,6 +134,13 @@ def stitch(chunks: list[dict], encoder: Encoder) -> np.ndarray:
     return np.concatenate(out)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most SLICE rows, so that results of a few rows only are held at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
+
+
 def cut(text: str) -> list[str]:
     """Chunks of CHUNK characters, each with the next OVERLAP ones; none but the last is shorter."""
     n = max(1, -(-(len(text) - OVERLAP) // CHUNK))
@@ -152,13 +160,15 @@ def encode(docs: DataFrame, rank_file: str, pattern: str = public_tokenizers.PAT
     fits = F.length("text") <= CHUNK + OVERLAP
     ids_type = T.ArrayType(T.IntegerType())
 
-    @F.pandas_udf(ids_type)
-    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = of_worker(("bpe", rank_file, pattern), lambda: Encoder(ranks, pattern))
-        for texts in batches:
-            yield pd.Series([encoder.encode(t) for t in texts], dtype="object")
+        for part in slices(batches):
+            ids = [encoder.encode(text.as_py()) for text in part.column(1)]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
 
-    short = rows.filter(fits).select("doc_id", whole("text").alias("ids"))
+    short = rows.filter(fits).mapInArrow(whole, T.StructType([rows.schema["doc_id"], T.StructField("ids", ids_type)]))
 
     keyed = rows.filter(~fits).select("doc_id", text_key(F.col("text")).alias("key"), "text")
     chunk_type = T.StructType([*keyed.schema.fields[:2], T.StructField("n", T.IntegerType()), keyed.schema.fields[2]])
@@ -206,12 +216,14 @@ def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
     """The rows of ``encoded`` with the column ``decoded``: the bytes of the ids, one after another. Null ids: none."""
     tokens = {rank: token for token, rank in load_ranks(rank_file).items()}
 
-    @F.pandas_udf("binary")
-    def joined(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rows in batches:
-            yield pd.Series([b"".join(map(tokens.__getitem__, r.tolist())) if r is not None else b"" for r in rows], dtype="object")
+    at = encoded.columns.index("ids")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            decoded = [b"".join(map(tokens.__getitem__, r.values.to_pylist())) if r.is_valid else b"" for r in part.column(at)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], [*part.schema.names, "decoded"])
 
-    return encoded.withColumn("decoded", joined("ids"))
+    return encoded.mapInArrow(joined, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def digests(encoded: DataFrame) -> DataFrame:
