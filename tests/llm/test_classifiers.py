@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -105,6 +106,33 @@ def test_op2_keeps_clean_and_drops_junk(spark):
     assert np.mean([k for k, v in judged if v == 0]) < 0.3
 
 
+POLISH = (
+    "wczesnym rankiem stary rybak wyszedł z domu nad jeziorem i powoli poszedł w stronę przystani gdzie czekała jego łódź "
+    "nikt nie wiedział dlaczego co roku płynął właśnie tam gdzie woda była najgłębsza a wiatr najsilniejszy mówiono że szuka "
+    "dzwonu który przed laty zatonął razem z promem ale on sam nigdy o tym nie opowiadał tylko uśmiechał się i naprawiał sieci"
+).split()
+
+
+def test_op2_drops_text_of_no_known_language(spark):
+    """Random letters and a language without reference, at three lengths; drawn words of a known language stay."""
+    references = divergence.count_references(spark.read.parquet(f"{MEDIUM}/documents.parquet"))
+    draw = random.Random(5)
+    letters = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(2, 9)))
+    q = references.shares[1]
+    rest = ["".join(draw.choice("aeinrst") for _ in range(6)) for _ in range(3000)]
+    known = lambda: (references.vocabulary[1][k].decode() if (k := draw.choices(range(len(q)), q)[0]) < len(q) - 1 else draw.choice(rest))
+    data = []
+    for n in (50, 300, 5000):
+        for kind, word in (("letters", letters), ("polish", lambda: draw.choice(POLISH)), ("known", known)):
+            for _ in range(5):
+                w = [word() for _ in range(n)]
+                data.append((f"{kind} {n}", ". ".join(" ".join(w[i : i + 12]).capitalize() for i in range(0, n, 12)) + "."))
+    got = divergence.judge(spark.createDataFrame(data, "doc_id string, text string"), references).collect()
+    assert len(got) == 45 and not any(r.base_failed for r in got)
+    assert {r.doc_id for r in got if r.kept} == {"known 50", "known 300", "known 5000"}
+    assert sum(r.kept for r in got) == 15
+
+
 def test_op2_on_odd_rows(spark, odd_docs):
     got = divergence.judge(odd_docs, divergence.count_references(odd_docs, min_words=1)).collect()
     assert len(got) == 10 and all(r.base_failed and not r.kept for r in got if r.doc_id != 6)

@@ -4,6 +4,10 @@ Each language has two references, counted over all its documents: the share of e
 each of its most common words (all others together are one more bin). A document is compared with the language whose word
 reference is nearest, by the Jensen-Shannon distance (base 2, so 0 to 1). Few words make any histogram ragged, so the
 limits widen with the square root of bins per word, and documents under a minimum length are not judged at all.
+
+A document must also be like one of the languages. A text without common words is never far from a reference (0.44 where
+they hold a third of all words), so what counts is the distance beyond that of a random draw of as many words from the
+reference, and the share of all common words together, which few words tell already.
 """
 
 from __future__ import annotations
@@ -137,6 +141,17 @@ def count_references(docs: DataFrame, n_words: int = 100, min_words: int = 2000)
     return References(np.array(classes), vocabulary, shares)
 
 
+LENGTHS = np.unique(np.geomspace(1, 20_000, 40).astype(int))
+DRAWS = 200
+
+
+def drawn_distances(references: References) -> np.ndarray:
+    """For each language and each of LENGTHS: mean distance of that many words, drawn from the reference, from it."""
+    random = np.random.default_rng(20240229)
+    draw = lambda q, n: distance(random.multinomial(n, q / q.sum(), size=DRAWS) / n, q).mean()
+    return np.array([[draw(q, n) for n in LENGTHS] for q in references.shares])
+
+
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distance of the rows of ``p`` from ``q``."""
     m = (p + q) / 2
@@ -148,13 +163,19 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 RESULT = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "word_distance double, class_distance double"
+    "word_distance double, class_distance double, unlike boolean"
 )
 
 
-def measures(text: Column, references: References) -> Column:
-    """struct of the counts and both distances of a text; null text as empty; distances are null without references or
-    without words."""
+def measures(text: Column, references: References, max_beyond: float = 0.12, max_share: float = 0.05, slack: float = 0.25) -> Column:
+    """struct of the counts and both distances of a text, and whether it is unlike every language; null text as empty;
+    distances are null without references or without words.
+
+    A text of n words is like a language when its distance is at most ``max_beyond`` + ``slack / sqrt(n)`` above that of
+    n words drawn from the reference, and the distance of its share of common words, where that is smaller than the
+    reference's, at most ``max_share`` and three standard deviations (sqrt(1 / (8 ln 2 n)) each).
+    """
+    drawn = drawn_distances(references)
 
     @F.pandas_udf(RESULT)
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -191,18 +212,25 @@ def measures(text: Column, references: References) -> Column:
             out = pd.DataFrame(counts, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
             if places:
                 total = np.maximum(counts[:, :1], 1)
-                by_word = []
-                for at, q in zip(places, references.shares):
+                by_word, unlike = [], np.ones(n, bool)
+                root = np.sqrt(total[:, 0])
+                for at, q, expected in zip(places, references.shares, drawn):
                     p = common[:, at] / total
-                    by_word.append(distance(np.column_stack([p, 1 - p.sum(axis=1)]), q))
+                    share = p.sum(axis=1)
+                    by_word.append(distance(np.column_stack([p, 1 - share]), q))
+                    beyond = by_word[-1] - np.interp(np.log(total[:, 0]), np.log(LENGTHS), expected)
+                    fewer = np.where(share < 1 - q[-1], distance(np.column_stack([share, 1 - share]), np.array([1 - q[-1], q[-1]])), 0)
+                    unlike &= (beyond > max_beyond + slack / root) | (fewer > max_share + 3 / np.sqrt(8 * np.log(2)) / root)
                 nearest = np.argmin(by_word, axis=0)
                 p = classes / np.maximum(classes.sum(axis=1, keepdims=True), 1)
                 by_class = distance(p, references.classes[nearest])
                 none = counts[:, 0] == 0
                 out["word_distance"] = np.where(none, np.nan, np.min(by_word, axis=0))
                 out["class_distance"] = np.where(none, np.nan, by_class)
+                out["unlike"] = ~none & unlike
             else:
                 out["word_distance"] = out["class_distance"] = np.nan
+                out["unlike"] = False
             yield out
 
     return measured(text)
@@ -219,7 +247,8 @@ def judge(
     """doc_id, the counts, base_failed, kept, both distances, for every row, repeated rows too.
 
     ``base_failed``: under 20 words, or over 30 % of the words in repeated windows. Other rows are kept unless they have
-    ``min_words`` words and a distance above its limit plus ``slack * sqrt(bins / n)``. Null and empty texts fail the base
+    ``min_words`` words and a distance above its limit plus ``slack * sqrt(bins / n)``, or are unlike every language that
+    has a reference (see measures), as gibberish and texts in other languages are. Null and empty texts fail the base
     rules; without references nothing else fails. Columns other than doc_id and text are not read.
     """
     m = docs.select("doc_id", measures(F.col("text"), references).alias("m")).select("doc_id", "m.*")
@@ -230,6 +259,7 @@ def judge(
     far = F.coalesce(nan_as_null("word_distance") > words_limit, F.lit(False)) | F.coalesce(
         nan_as_null("class_distance") > class_limit, F.lit(False)
     )
+    far = far | F.col("unlike")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return m.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
