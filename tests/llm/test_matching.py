@@ -176,6 +176,32 @@ def test_large_hosts_are_dealt_out(spark, monkeypatch):
         assert sorted(got) == [(i, f"text {i}") for i in range(60)]
 
 
+def test_parts_do_not_change_texts(spark, monkeypatch):
+    """Menus on all pages, notices on two or three: as many tokens repeat, and the same go, whatever the parts of a host."""
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(5))
+    some = lambda n: " ".join(word() for _ in range(n))
+    menu, notices, twin = some(9), [some(12) for _ in range(40)], f"<p>{some(15)}</p>"
+    data, want = [], {}
+    for i in range(90):
+        own = some(30)
+        data.append((i, f"https://h.example.com/{i}", f"<div>{menu}</div><p>{own}</p><div>{notices[i % 40]}</div>"))
+        want[i] = own
+    data += [(i, f"https://h.example.com/{i}", twin) for i in (100, 101, 102)]  # alike pages are one
+    data += [(200, "https://other.example.com/", f"<p>{notices[0]}</p>"), (201, "https://h.example.com/201", None)]
+    data.append(data[0])
+    want |= {i: twin[3:-4] for i in (100, 101, 102)} | {200: notices[0], 201: ""}
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").repartition(5)
+    got = []
+    for chars, many, held in ((8_000_000, 20_000, 1_000_000), (1_000, 20_000, 1_000_000), (1_000, 0, 100)):
+        monkeypatch.setattr(html_text, "PART_CHARS", chars)
+        monkeypatch.setattr(html_text, "MANY_HOSTS", many)
+        monkeypatch.setattr(html_text, "HELD_RUNS", held)
+        got.append(sorted((r.page_id, r.text, r.n_repeated_tokens) for r in html_text.main_texts(pages).collect()))
+        assert [(i, t) for i, t, _ in got[-1]] == sorted([*want.items(), (0, want[0])])
+    assert got[0] == got[1] == got[2]
+
+
 def test_covered_against_plain():
     draw = random.Random(2)
     for _ in range(30):

@@ -4,20 +4,27 @@ A page is read into blocks with their place: inside the article, open (nothing s
 tags or class names. The token streams of a host's pages, outside articles, are concatenated; sorting all suffixes by
 their first MIN_RUN tokens brings equal runs together, and runs that distinct pages share are covered. A page with an
 article gives its blocks. Where no article is marked, the open blocks that are not mostly covered are kept: unique runs.
+
+A large host is dealt into parts with an array each. Runs that pages of different parts share meet by their hashes, and
+each part gets those that concern it, so what counts as repeated does not depend on the parts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_RUN = 6  # tokens, block ends included
 PART_CHARS = 8_000_000  # characters of pages whose streams one task sorts together
+HELD_RUNS = 1_000_000  # runs that a task holds before it gives them out
 MANY_HOSTS = 20_000  # rows of (host, number of parts) that may be broadcast
 
 #: Elements whose content is never text of a page.
@@ -155,11 +162,75 @@ def covered(streams: list[list[str]], width: int = MIN_RUN) -> list[np.ndarray]:
     return np.split(np.cumsum(edge[:-1]) > 0, ends[:-1])
 
 
-def host_texts(group: pd.DataFrame) -> pd.DataFrame:
-    """Texts of the pages of one part of a host."""
+def stream(page: list[tuple[int, str]]) -> list[str]:
+    """Tokens of the blocks outside the article, each block with an end."""
+    return [t for where, text in page if where != ARTICLE for t in (*text.split(" "), "\n")]
+
+
+def run_hashes(tokens: list[str], host: str, width: int = MIN_RUN) -> np.ndarray:
+    """64-bit hashes of a host's runs that begin at each token; alike in all tasks."""
+    if len(tokens) < width:
+        return np.zeros(0, np.int64)
+    of = pd.util.hash_array(np.array([host, *tokens], object))
+    h = np.full(len(tokens) - width + 1, of[0])
+    for k in range(width):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + of[1 + k : len(h) + 1 + k]
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+def runs_of_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(html, host, group) to (h, group, lo, hi): each run of a part, with its least and largest digest of a page."""
+    number: dict[str, int] = {}
+    held: list[np.ndarray] = []  # rows of h, number of the group, lo, hi
+
+    def merged() -> np.ndarray:
+        rows = np.concatenate(held)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        first = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
+        low, high = np.minimum.reduceat(rows[:, 2], first), np.maximum.reduceat(rows[:, 3], first)
+        return np.column_stack([rows[first, :2], low, high])
+
+    def given(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names = pa.array(list(number), pa.string())
+        for at in range(0, len(rows), 100_000):
+            h, group, low, high = rows[at : at + 100_000].T
+            arrays = [pa.array(h), names.take(pa.array(group)), pa.array(low), pa.array(high)]
+            yield pa.RecordBatch.from_arrays(arrays, ["h", "group", "lo", "hi"])
+
+    size = 0
+    for batch in batches:
+        for html, host_name, group in zip(*(batch.column(c) for c in range(3))):
+            tokens = stream(blocks(html.as_py()))
+            h = np.unique(run_hashes(tokens, host_name.as_py()))
+            if not len(h):
+                continue
+            digest = hashlib.blake2b("\0".join(tokens).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+            page = np.full(len(h), np.frombuffer(digest, np.int64)[0])
+            held.append(np.column_stack([h, np.full(len(h), number.setdefault(group.as_py(), len(number))), page, page]))
+            size += len(h)
+            if size > HELD_RUNS:
+                held = [merged()]
+                size = len(held[0])
+                if size > HELD_RUNS // 2:
+                    yield from given(held[0])
+                    held, size = [], 0
+    if held:
+        yield from given(merged())
+
+
+def host_texts(group: pd.DataFrame, elsewhere: pd.DataFrame) -> pd.DataFrame:
+    """Texts of the pages of one part of a host; ``elsewhere``: hashes (h) of its runs that pages of the host share."""
     pages = [blocks(h) for h in group["html"]]
-    streams = [[t for where, text in b if where != ARTICLE for t in (*text.split(" "), "\n")] for b in pages]
+    streams = [stream(b) for b in pages]
     marks = covered(streams)
+    if len(elsewhere):
+        shared = np.sort(elsewhere["h"].to_numpy())
+        for tokens, mark, name in zip(streams, marks, group["host"]):
+            h = run_hashes(tokens, name)
+            at = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
+            for k in np.flatnonzero(shared[at] == h):
+                mark[k : k + MIN_RUN] = True
     texts, repeated = [], []
     for b, mark in zip(pages, marks):
         repeated.append(int(mark.sum()))
@@ -187,7 +258,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     Null html: empty text. Null or odd url: the host ''. Repeated rows give repeated results and count as one page. A host
     whose pages have more than PART_CHARS characters is dealt by a hash of the url into parts that stay near that size,
-    each with an array of its own; furniture repeats in every part. Other columns are not read.
+    each with an array of its own; the runs that parts share are found by hash over the whole host, for which its pages
+    are read twice. Other columns are not read.
     """
     p = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     size = F.sum(F.coalesce(F.length("html"), F.lit(0)))
@@ -199,10 +271,23 @@ def main_texts(pages: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1)))
     # One column names the group, or pages dealt by host alone would already count as grouped.
     dealt = p.join(large, "host", "left").withColumn("group", F.concat_ws("#", part.cast("string"), "host"))
+    runs = dealt.filter("parts > 1").select("html", "host", "group").mapInArrow(runs_of_parts, "h long, group string, lo long, hi long")
+    # A run comes once from each task and part, so one on all pages does not weigh a task down; its list of parts is as long
+    # as the host has parts.
+    shared = (
+        runs.repartition("h")
+        .groupBy("h", "group")
+        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .groupBy("h")
+        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list("group").alias("groups"))
+        .filter("lo < hi")
+        .select("h", F.explode("groups").alias("group"))
+    )
     out = f"page_id {p.schema['page_id'].dataType.simpleString()}, url string, text string, n_repeated_tokens long"
     return (
-        dealt.select("page_id", "url", "html", "group")
+        dealt.select("page_id", "url", "html", "host", "group")
         .groupBy("group")
+        .cogroup(shared.groupBy("group"))
         .applyInPandas(host_texts, out)
         .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated_tokens")
     )
