@@ -33,3 +33,21 @@ def test_stages_on_odd_rows(spark, odd_docs):
         assert name == corpus_pipeline.STAGES[-1][0] or got.columns == odd_docs.columns
         got.count()
         assert stage(spark, odd_docs.limit(0), SMALL).count() == 0
+
+
+def test_one_document_of_each_group(spark, odd_docs):
+    """Repeated rows, an id with two texts, null ids with and without words."""
+    got = corpus_pipeline.ngram_jaccard(spark, odd_docs, SMALL)
+    assert got.columns == odd_docs.columns
+    got = [(r.doc_id, r.text) for r in got.collect()]
+    text = {r.doc_id: r.text for r in odd_docs.collect()}
+    assert sorted(got, key=lambda x: x[0]) == [(i, text[i]) for i in (1, 3, 4, 5, 6, 7, 8)]
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a + " end"
+    given = [(3, near), (5, a), (5, b), (5, b), (None, a), (None, near), (None, c), (None, c + " end"), (None, ""), (None, ""), (None, None), (7, ""), (7, ""), (8, "")]
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.ngram_jaccard(spark, docs, SMALL).collect()]
+    c_kept = [x for x in kept if x[0] is None and x[1] in (c, c + " end")]
+    assert len(c_kept) == 1
+    rest = [(3, near), (5, b), (None, ""), (None, None), (7, ""), (8, "")]
+    assert sorted(map(str, kept)) == sorted(map(str, rest + c_kept))

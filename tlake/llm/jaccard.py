@@ -74,18 +74,21 @@ def set_key(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def members(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id, n_shingles, key (null without words) of every row."""
-    rows = docs.select("doc_id", "text")
-    out = T.StructType([rows.schema.fields[0], T.StructField("n_shingles", T.LongType()), T.StructField("key", T.BinaryType())])
+def members(docs: DataFrame, width: int = 4, also: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, key (null without words) of every row, and the columns of ``also``."""
+    rows = docs.select("doc_id", "text", *also)
+    given = rows.schema.fields
+    out = T.StructType([given[0], T.StructField("n_shingles", T.LongType()), T.StructField("key", T.BinaryType()), *given[2:]])
+
+    names = out.names
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
             sets = [shingler.distinct(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())],
-                ["doc_id", "n_shingles", "key"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()), *batch.columns[2:]],
+                names,
             )
 
     return rows.mapInArrow(sized, out)
@@ -333,21 +336,44 @@ def classes(docs: DataFrame, n_total: int, width: int, percent: int) -> DataFram
     )
 
 
-def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id: documents that chains of links (Jaccard of ``percent`` or more) connect.
-
-    component_id is the smallest doc_id of the component. A document without words (null text too) is linked with nothing
-    and is its own component, as are its repeats. A null id takes part like any other but is never the smallest, unless
-    all are null. Repeated rows give repeated results; other columns are not read. A-Z are compared as a-z.
-    """
-    every = members(docs, width).checkpoint()
+def grouped(docs: DataFrame, width: int = 4, percent: int = 85, also: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, key, part, component_id and the columns of ``also`` of every row. ``part`` names the component,
+    which ids that repeat cannot; it is null without words."""
+    every = members(docs, width, also).checkpoint()
     n_total = every.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     parts = classes(docs, n_total, width, percent).select(F.col("v").alias("key"), "part")
     ids = every.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("least")).join(parts, "key", "left")
     ids = ids.select("key", "least", F.coalesce("part", "key").alias("part"))
     smallest = ids.groupBy("part").agg(F.min("least").alias("component_id"))
-    component = ids.join(smallest, "part").select("key", "component_id")
+    component = ids.join(smallest, "part").select("key", "part", "component_id")
     # Documents without words get a join key of their own kind; nothing matches it.
-    return every.join(component, "key", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return every.join(component, "key", "left").withColumn(
+        "component_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     )
+
+
+def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id: documents that chains of links (Jaccard of ``percent`` or more) connect.
+
+    component_id is the smallest doc_id of the component. A document without words (null text too) is linked with nothing
+    and is its own component, as are its repeats. A null id takes part like any other but is never the smallest, unless
+    all are null. Repeated rows give repeated results; other columns are not read. A-Z are compared as a-z.
+    """
+    return grouped(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def first_of_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """One row of each component: that with the smallest id (null only where all are), of several texts with that id the
+    one with the smallest digest, of equal rows any. Rows without words are linked with nothing: those with equal ids and
+    texts count as one, all others stay."""
+    # A null text is not an empty one here.
+    digest = F.unhex(F.md5(F.coalesce(F.concat(F.lit("+"), "text"), F.lit("")))).alias("first_text")
+    rows = grouped(docs, width, percent, (digest,)).groupBy("part", "doc_id", "first_text").agg(F.count("*").alias("first_rows"))
+    alone = F.when(F.col("part").isNull(), F.struct("doc_id", "first_text"))
+    order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("first_id"), "first_text", "first_rows")
+    chosen = rows.groupBy("part", alone.alias("alone")).agg(F.min(order).alias("m")).select("m.first_id", "m.first_text", "m.first_rows").checkpoint()
+    given = docs.withColumn("text_digest", digest)
+    same = given["doc_id"].eqNullSafe(chosen["first_id"]) & (given["text_digest"] == chosen["first_text"])
+    left = given.join(chosen, same)
+    single, repeated = left.filter("first_rows = 1"), left.filter("first_rows > 1").dropDuplicates(["doc_id", "first_text"])
+    return single.select(*docs.columns).unionByName(repeated.select(*docs.columns))
