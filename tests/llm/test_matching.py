@@ -2,6 +2,8 @@ import collections
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tlake.llm import decontam, html_text, jaccard, queries
 from tlake.llm.components import components
 
@@ -148,6 +150,17 @@ def test_op8_query(spark, rows):
         assert (got[page_id].text, got[page_id].n_chars, got[page_id].url) == (want, len(want), url)
 
 
+def test_pages_without_their_article_tags(spark):
+    """Blocks and runs alone give the same text, but for the parts that other pages of the host have as well."""
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url", "html")
+    want = {r.page_id: r.text for r in html_text.main_texts(pages).collect()}
+    bare = pages.withColumn("html", F.regexp_replace("html", "</?article[^>]*>", ""))
+    got = {r.page_id: r.text for r in html_text.main_texts(bare).collect()}
+    assert got.keys() == want.keys()
+    assert sum(got[i] == want[i] for i in want) >= 0.9 * len(want)
+    assert all(got[i] in want[i] for i in want)
+
+
 def test_repeated_runs_of_a_host(spark):
     """Pages without an article element: what other pages of the host repeat goes."""
     menu, legal = "Start page About us Contact Archive Search", "All rights reserved by the owners of this place"
