@@ -12,6 +12,8 @@ from .common import text_key
 
 #: Blank and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
+#: One line in so many repeated ones is frequent.
+FREQUENT = 1000
 
 
 def line_key(line: Column) -> Column:
@@ -33,7 +35,7 @@ def hashed_lines(docs: DataFrame, min_chars: int, *columns: str) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """h, first_doc: hashes of lines that ``min_docs`` documents hold, and the smallest id among these.
+    """h, n, first_doc: hashes of lines that ``min_docs`` documents hold, how many do, and the smallest id among these.
 
     Every step aggregates before it shuffles. A document counts once for a line: pairs (h, doc_id) are made distinct, then
     counted by h, so a line that all documents hold costs one partial count a task.
@@ -43,7 +45,6 @@ def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
         pairs.groupBy("h")
         .agg(F.count("one").alias("n"), F.min("doc_id").alias("first_doc"))
         .filter(F.col("n") >= min_docs)
-        .select("h", "first_doc")
     )
 
 
@@ -58,14 +59,23 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2)
     If all lines go, the text is empty. Other columns are not read.
 
     What is joined per line is its hash, place and row key (id and digest of the text). Only the places of dropped lines
-    are gathered per row key, and meet the texts again in the one shuffle of those. A frequent line's rows are dealt
-    out by the skew handling of that join, whose other side has one row per hash.
+    are gathered per row key, and meet the texts again in the one shuffle of those. Hashes that hold a thousandth of all
+    repeated (line, document) pairs, so at most ``FREQUENT`` of them, are broadcast; the lines with such a hash are dealt
+    out evenly where the others are dealt by hash.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_md5", text_key(F.col("text")))
+    repeated = repeated_lines(rows, min_chars, min_docs).checkpoint()
+    frequent = F.col("n") * FREQUENT >= (repeated.agg(F.sum("n")).first()[0] or 0)
+    often = repeated.filter(frequent).select(F.col("h").alias("often"), F.col("first_doc").alias("often_first"))
+    rarely = repeated.filter(~frequent).select(F.col("h").alias("rarely"), F.col("first_doc").alias("rarely_first"))
+    lines = hashed_lines(rows, min_chars, "doc_id", "text_md5").join(F.broadcast(often), F.col("h") == F.col("often"), "left")
+    own = F.unhex(F.md5(F.concat("text_md5", F.col("pos").cast("string").cast("binary"), F.col("h"))))  # meets nothing
+    lines = lines.withColumn("dealt", F.when(F.col("often").isNull(), F.col("h")).otherwise(own))
+    held = F.col("often").isNotNull() | F.col("rarely").isNotNull()
+    first_doc = F.when(F.col("often").isNotNull(), F.col("often_first")).otherwise(F.col("rarely_first"))
     dropped = (
-        hashed_lines(rows, min_chars, "doc_id", "text_md5")
-        .join(repeated_lines(rows, min_chars, min_docs), "h")
-        .filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+        lines.join(rarely, F.col("dealt") == F.col("rarely"), "left")
+        .filter(held & ~F.col("doc_id").eqNullSafe(first_doc))
         .groupBy(F.col("doc_id").alias("in_doc"), F.col("text_md5").alias("in_text"))
         .agg(F.collect_set("pos").alias("gone"))
     )
