@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCALE = 256
-LEVELS, PLANES = 4, 8
-ROW_TILE, ANCHOR_TILE = 32_768, 2_048
+LEVELS, PLANES = 6, 7
+ROW_TILE, ANCHOR_TILE = 32_768, 16_384
+LEAST_TILE = 512  # rows, where smaller tiles give every core a few cells
+MOST_TASKS = 10_000
 NO_ID = 2**63 - 1  # stands for a null id inside, so it sorts last
 CODED = T.StructType([
     T.StructField("slot", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("label", T.LongType()),
@@ -212,19 +214,22 @@ def coded_rows(vectors: DataFrame, levels: int, seed: int) -> tuple[DataFrame, i
     return spark.read.schema(CODED).parquet(folder), width
 
 
-def tiles(df: DataFrame, size: int, rows: int) -> tuple[Column, int]:
-    """A tile number from the slot's hash, and how many tiles of about ``size`` rows there are."""
-    n = max(1, -(-rows // size))
-    return F.pmod(F.xxhash64("slot"), F.lit(n)).cast("int"), n
+def tile(n: int) -> Column:
+    """One of ``n`` tiles, by the slot's hash."""
+    return F.pmod(F.xxhash64("slot"), F.lit(n)).cast("int")
 
 
 def in_cells(anchors: DataFrame, rows: DataFrame, counts: tuple[int, int], sizes: tuple[int, int]):
-    """Every tile of anchors meets every tile of rows in a cell of bounded size."""
-    own, n_own = tiles(anchors, sizes[0], counts[0])
-    other, n_other = tiles(rows, sizes[1], counts[1])
-    left = anchors.withColumn("a", own).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-    right = rows.withColumn("b", other).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n_own - 1))))
-    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b"))
+    """Every tile of anchors meets every tile of rows in a cell of bounded size.
+
+    The number of tasks is set here: cells are small in bytes and long in work, so they must not be joined by their size."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    n_own = max(1, -(-counts[0] // sizes[0]))
+    n_other = max(1, -(-counts[1] // sizes[1]), min(3 * cores, counts[1] // LEAST_TILE))
+    tasks = min(n_own * n_other, MOST_TASKS)
+    left = anchors.withColumn("a", tile(n_own)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+    right = rows.withColumn("b", tile(n_other)).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n_own - 1))))
+    return left.repartition(tasks, "a", "b").groupBy("a", "b").cogroup(right.repartition(tasks, "a", "b").groupBy("a", "b"))
 
 
 def hard_negatives(
