@@ -329,3 +329,25 @@ def test_exemplars_leave_the_point_as_it_is(spark):
     )
     got = {r.name: (dict(r.labels), r.x) for r in _samples(df).collect()}
     assert got == {"h_bucket": ({"le": "1", "note": "a # {b"}, 5.0), "h_sum": ({}, 3.0), "g": ({"a": "b"}, 7.0)}
+
+
+def prom(spark, *values):
+    return spark.createDataFrame([(v, "s", datetime(2024, 1, 1)) for v in values], "value string, source string, scraped_at timestamp_ntz")
+
+
+def test_prom_exemplars(spark):
+    out = parse_prom_text(prom(
+        spark, "# TYPE h histogram", "# TYPE c counter", "# TYPE q summary",
+        'h_bucket{p="a # {b}",le="1"} 2 # {trace_id="t1",span_id="s1",x="a\\"}# "} 0.5 1704067200.000000123',
+        'h_bucket{p="a # {b}",le="+Inf"} 3 1704067200000 # {trace_id="t2"} 7', 'h_sum{p="a # {b}"} 8', 'h_count{p="a # {b}"} 3',
+        'c_total 5 # {} 1.5 bad', "c_total{x=\"y\"} 6 # {trace_id=\"t3\"} 2e0", "c_total{x=\"z\"} 6 # words", 'g{a="}"} NaN', "not a sample line here", "1x 2", "g2 1 2 3",
+    ))
+    sums = {r["Attributes"].get("x", ""): r["Exemplars"] for r in out["sum"].collect()}
+    assert sums[""] == [] and sums["z"] == []
+    assert [(e["TraceId"], e["Value"], e["TimeUnix_ns"]) for e in sums["y"]] == [("t3", 2.0, 0)]
+    points = out["histogram"].collect()
+    of = {e["TraceId"]: e for p in points for e in p["Exemplars"]}
+    assert of["t1"]["SpanId"] == "s1" and of["t1"]["FilteredAttributes"] == {"x": 'a"}# '}
+    assert of["t1"]["TimeUnix_ns"] == 1704067200 * 10**9 + 123 and of["t2"]["Value"] == 7.0
+    assert {p["Attributes"]["p"] for p in points} == {"a # {b}"}
+    assert [r["MetricName"] for r in out["gauge"].collect()] == ["g"]

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tlake import schemas
-from tlake.operators import views
-from tlake.plans import apply_moves, compact, inventory, plan_moves, reports, vacuum
+from tlake.functions import map_text
+from tlake.operators import transforms, views
+from tlake.operators.flatten import log_rows
+from tlake.plans import apply_moves, compact, inventory, plan_moves, reports, textindex, vacuum
 from tlake.plans.inventory import inventories
 from tlake.plans.lifecycle import _fingerprint
 from workload import fixtures as fx
@@ -296,3 +298,93 @@ def test_checksum_sees_every_column(spark, sf_dir, lake):
         "Events": F.array(F.struct(F.col("Timestamp"), F.col("Timestamp_ns"), F.lit("e").alias("Name"), F.create_map(F.lit("a"), F.lit("?")).alias("Attributes"))),
     }.items():
         assert _fingerprint(df.withColumn(c, F.when(first, new).otherwise(F.col(c)))) != whole
+
+
+def scanned_rows(df):
+    """Rows that the scans of a finished query gave on, after row groups and pages were skipped."""
+    df.collect()
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        if name.startswith("Scan parquet"):
+            total += node.metrics().get("numOutputRows").get().value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def session_logs(spark, n=40_000, per_session=100):
+    return log_rows(
+        spark.range(n).withColumn("s", F.concat(F.lit("s-"), F.xxhash64(F.expr(f"id div {per_session}")).cast("string"))),
+        {"Timestamp_ns": F.col("id") * 1_000_000 + 1704067200 * 10**9, "ServiceName": F.lit("web"), "Body": F.concat(F.lit("row "), F.col("id").cast("string")),
+         "LogAttributes": F.create_map(F.lit("sessionId"), F.col("s"), F.lit("log_type"), F.lit("web"))},
+    )
+
+
+def test_promoted_attribute_skips_row_groups(spark, lake):
+    logs = session_logs(spark)
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("parquet.block.size", str(64 << 10))  # some hundred row groups
+    try:
+        lake.write(logs.coalesce(1), "sessions", tasks=1)
+    finally:
+        hadoop.unset("parquet.block.size")
+    wanted = logs.select(map_text("LogAttributes", "sessionId").alias("v")).first()["v"]
+    plain = lake.scan("sessions").filter(map_text("LogAttributes", "sessionId") == wanted)
+    fast = lake.scan("sessions", attrs={"sessionId": wanted}).select("Body", "LogAttributes")
+    assert sorted(r["Body"] for r in fast.collect()) == sorted(r["Body"] for r in plain.collect()) and fast.count() == 100
+    assert "EqualTo(attr_sessionId" in fast._jdf.queryExecution().toString()
+    assert scanned_rows(fast) < 0.1 * 40_000
+    assert scanned_rows(plain.select("Body", "LogAttributes")) == 40_000
+    assert lake.scan("sessions").columns == lake.scan("sessions", attrs={"other": ""}).columns
+
+
+def test_promoted_condition_on_files_without_the_column(spark, lake, monkeypatch):
+    logs = session_logs(spark, 300)
+    monkeypatch.setattr(schemas, "PROMOTED", {})
+    lake.write(logs, "otel_logs")
+    monkeypatch.undo()
+    lake.write(logs, "otel_logs")
+    one = logs.select(map_text("LogAttributes", "sessionId")).first()[0]
+    assert lake.scan("otel_logs", attrs={"sessionId": one, "log_type": "web"}).count() == 200
+    assert lake.scan("otel_logs", attrs={"sessionId": ""}).count() == 0
+    assert lake.scan("otel_logs", resource={"k8s.pod.name": ""}).count() == 600
+
+
+def test_text_index_gives_the_rows_of_the_scan(spark, lake, tmp_path):
+    index = f"{tmp_path}/index"
+    words = ["Ünïcode ǅ İstanbul", "plain text", "a", "", "日本語のログ", "Error 4711 in module"]
+    rows_ = spark.createDataFrame([(i, words[i % 6] + ("" if i % 6 in (2, 3) else f" no{i}")) for i in range(600)], "i int, Body string")
+    logs = log_rows(rows_, {"Timestamp_ns": (F.col("i") % 30).cast("bigint") * 86_400 * 10**9, "Body": F.col("Body")})
+    queries = ["no123", "NO12", "error 4711 in", "日本語", "本", "", "a", "İstanbul", "nowhere to be found", "ünï"]
+    same = lambda text: sorted(r["Body"] for r in textindex.search_files(lake, "otel_logs", index, text).collect()) == sorted(
+        r["Body"] for r in transforms.search(lake.scan("otel_logs"), text).collect())
+    lake.write(logs, "otel_logs")
+    assert same("no123")  # no index yet
+    textindex.update_text_index(lake, "otel_logs", index)
+    lake.write(logs, "otel_logs")
+    assert all(same(q) for q in queries)
+    textindex.update_text_index(lake, "otel_logs", index)
+    assert all(same(q) for q in queries)
+    rare = textindex.search_report(lake, "otel_logs", index, "no124").first()
+    assert rare["files"] == 60 and rare["hold"] == 2 and rare["missed"] == 0 and rare["false_share"] < 0.1
+    short = textindex.search_report(lake, "otel_logs", index, "no").first()
+    assert short["opened"] == 60 and short["missed"] == 0
+    n = spark.read.parquet(f"{index}/*").count()
+    textindex.update_text_index(lake, "otel_logs", index)  # nothing new
+    assert spark.read.parquet(f"{index}/*").count() == n
+
+
+def test_text_index_opens_only_candidates(spark, lake, tmp_path):
+    index = f"{tmp_path}/index"
+    logs = log_rows(spark.range(2000), {"Timestamp_ns": (F.col("id") % 40) * 86_400 * 10**9, "Body": F.concat(F.lit("entry "), F.md5(F.col("id").cast("string")))})
+    lake.write(logs, "otel_logs")
+    textindex.update_text_index(lake, "otel_logs", index)
+    one = logs.first()["Body"]
+    found = textindex.search_files(lake, "otel_logs", index, one).select("Body")
+    assert [r["Body"] for r in found.collect()] == [one]
+    assert scanned_rows(found) <= 100  # of 2,000: the file of one day, and at most one opened for nothing

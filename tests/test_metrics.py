@@ -242,3 +242,126 @@ def test_skewed_lookups_are_split(spark, sf_dir):
             got = df.collect()
             assert len(got) == n and all(r["SpanName"] for r in got)
             assert "skewed" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def started(spark, points, temporality=2):
+    """(series, start second, second, value)"""
+    ns = lambda s: int((T0.timestamp() + s) * 1e9) if s is not None else 0
+    data = [("s", "m", {"k": k}, T0 + timedelta(seconds=t), ns(t), ns(s), float(v), temporality, True) for k, s, t, v in points]
+    return spark.createDataFrame(data, "ServiceName string, MetricName string, Attributes map<string,string>, TimeUnix timestamp_ntz, "
+                                       "TimeUnix_ns bigint, StartTimeUnix_ns bigint, Value double, AggregationTemporality int, IsMonotonic boolean")
+
+
+def shared_out(points, temporality, width=3600):
+    """Plain version: increase per (series, hour)."""
+    out, last = {}, {}
+
+    def add(k, begin, end, amount):
+        for hour in range(int(begin // width), int(end // width) + 1):
+            part = 1.0 if begin == end else (min(end, (hour + 1) * width) - max(begin, hour * width)) / (end - begin)
+            out[k, hour] = out.get((k, hour), 0.0) + amount * part
+
+    for k, s, t, v in sorted(points, key=lambda p: (p[0], p[2], p[1] or 0)):
+        if temporality == 1:
+            add(k, s if s is not None and s < t else t, t, v)
+            continue
+        if k in last:
+            s0, t0, v0 = last[k]
+            restart = s0 is not None and s is not None and s > s0
+            begin = min(max(t0, s), t) if restart else t0
+            add(k, begin, t, v if restart or v < v0 else v - v0)
+        else:
+            add(k, t, t, 0.0)
+        last[k] = (s, t, v)
+    return out
+
+
+@pytest.mark.parametrize("temporality", [1, 2])
+def test_restarts_and_shares_equal_plain_code(spark, temporality):
+    rnd = random.Random(7)
+    points = []
+    for k in "abcd":
+        start, value, at = rnd.randrange(100), 0, 100
+        for _ in range(60):
+            at += rnd.choice((1, 20, 400, 9000))
+            if rnd.random() < 0.2:
+                start, value = at - rnd.randrange(1, 50), rnd.randrange(1000)  # may overtake the old value
+            value += rnd.randrange(50)
+            points.append((k, None if k == "d" else start, at, value if temporality == 2 else rnd.randrange(9)))
+    want = shared_out(points, temporality)
+    for width in ("1 minute", "1 hour"):
+        got = {(r["attr_key"].split('"')[7], int((r["bucket"] - T0).total_seconds()) // 3600): r["increase"]
+               for r in metrics.counter_rate_by_start(started(spark, points, temporality), "1 hour", width).collect()}
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-6 for x in want)
+
+
+def test_restart_that_overtakes_the_old_value(spark):
+    inc = lambda pts: sum(r["increase"] for r in metrics.counter_rate_by_start(started(spark, pts)).collect())
+    assert inc([("a", 1, 10, 5), ("a", 1, 20, 9), ("a", 25, 30, 12)]) == 4 + 12
+    assert inc([("a", None, 10, 5), ("a", None, 20, 9), ("a", None, 30, 12)]) == 7
+
+
+def mixed(spark, layouts):
+    data = [("s", "m", T0, [int(c) for c in counts], [float(b) for b in bounds]) for bounds, counts in layouts]
+    return spark.createDataFrame(data, "ServiceName string, MetricName string, TimeUnix timestamp_ntz, BucketCounts array<bigint>, ExplicitBounds array<double>")
+
+
+def test_merged_bounds_keep_all_counts(spark):
+    rnd = random.Random(2)
+    for _ in range(4):
+        layouts = []
+        for _ in range(5):
+            bounds = sorted(rnd.sample(range(-20, 100), rnd.randrange(0, 6)))
+            layouts.append((bounds, [rnd.randrange(20) for _ in range(len(bounds) + 1)]))
+        df = mixed(spark, layouts).select("ServiceName", "ExplicitBounds", F.posexplode("BucketCounts").alias("i", "c"))
+        merged = metrics.merge_bounds(df, ["ServiceName"]).collect()
+        assert abs(sum(r["c"] for r in merged) - sum(sum(c) for _, c in layouts)) < 1e-9
+        all_bounds = sorted({float(b) for bounds, _ in layouts for b in bounds})
+        inner = [(r["lo"], r["hi"]) for r in merged if r["hi"] is not None and r["lo"] < r["hi"]]
+        assert all(not any(lo < b < hi for b in all_bounds) for lo, hi in inner)
+
+
+def test_mixed_bounds_by_hand(spark):
+    df = mixed(spark, [([10, 20], [4, 0, 0]), ([5, 20], [0, 6, 2])])
+    # 5..20 holds 6: 2 of them up to 10; 0..10 holds 4: 2 up to 5. Refined: 2, 4, 4, open 2.
+    value = lambda q: metrics.histogram_quantile_mixed(df, q).first()
+    assert value(0.5)["n"] == 12
+    assert abs(value(0.5)["quantile"] - 10.0) < 1e-9
+    assert abs(value(2 / 12)["quantile"] - 5.0) < 1e-9
+    assert value(0.99)["quantile"] == 20.0
+    assert metrics.histogram_quantile_mixed(df.limit(0), 0.5).collect() == []
+
+
+def plain_roots(parents):
+    out = {}
+    for trace, span in parents:
+        seen, at = [], span
+        while True:
+            seen.append(at)
+            above = parents[trace, at]
+            if above == "" or (trace, above) not in parents:
+                out[trace, span] = (at, len(seen) - 1, "rooted" if above == "" else "orphan")
+                break
+            if above in seen:
+                out[trace, span] = ("", -1, "cycle")
+                break
+            at = above
+    return out
+
+
+def test_span_roots_equal_plain_walk(spark):
+    rnd = random.Random(11)
+    parents = {("chain", f"c{i}"): f"c{i - 1}" if i else "" for i in range(1000)}
+    parents |= {("lost", f"l{i}"): f"l{i - 1}" if i else "gone" for i in range(300)}
+    parents |= {("ring", f"r{i}"): f"r{(i + 1) % 7}" for i in range(7)}
+    parents |= {("ring", f"h{i}"): f"r{i % 7}" if i < 20 else f"h{i - 20}" for i in range(60)}
+    parents[("self", "x")] = "x"
+    for t in range(30):
+        n = rnd.randrange(1, 40)
+        parents |= {(f"t{t}", f"s{i}"): rnd.choice(["", "none", *[f"s{j}" for j in range(n)]]) for i in range(n)}
+    data = [(t, s, p) for (t, s), p in parents.items()]
+    data += data[:50] + [("", "no", "trace")]
+    got = traces.span_roots(spark.createDataFrame(data, "TraceId string, SpanId string, ParentSpanId string"))
+    assert {(r["TraceId"], r["SpanId"]): (r["root"], r["depth"], r["state"]) for r in got.collect()} == plain_roots(parents)
+    assert got.count() == len(parents)
+    assert traces.span_roots(got.limit(0).withColumn("ParentSpanId", F.lit(""))).collect() == []

@@ -38,6 +38,57 @@ def attrs_to_map(attrs: Column | str) -> Column:
     )
 
 
+# The kinds of a value in a request.
+VALUE_KINDS = ("stringValue", "intValue", "doubleValue", "boolValue", "arrayValue", "kvlistValue", "bytesValue")
+
+_TYPED = {
+    "stringValue": ("", "string"), "intValue": ("", "bigint"), "doubleValue": ("", "double"), "boolValue": ("", "boolean"),
+    "arrayValue": (".values", "array<variant>"), "kvlistValue": (".values", "array<struct<key:string,value:variant>>"),
+    "bytesValue": ("", "string"),
+}
+
+
+def value_kind(v: Column) -> Column:
+    """Which kind a VARIANT value is of, '' when it holds none."""
+    out = F.lit("")
+    for kind in reversed(VALUE_KINDS):
+        out = F.when(F.try_variant_get(v, f"$.{kind}", "string").isNotNull(), F.lit(kind)).otherwise(out)
+    return out
+
+
+def typed_value(v: Column, kind: str) -> Column:
+    """The value of one kind out of a VARIANT, NULL when it is of another; lists and pairs hold VARIANTs again, bytes are binary."""
+    path, type_ = _TYPED[kind]
+    out = F.try_variant_get(v, f"$.{kind}{path}", type_)
+    return F.try_to_binary(out, F.lit("base64")) if kind == "bytesValue" else out
+
+
+def variant_text(v: Column) -> Column:
+    """A VARIANT value as text, whatever kind it holds; NULL when it holds none."""
+    return F.coalesce(*[F.try_variant_get(v, f"$.{kind}", "string") for kind in VALUE_KINDS])
+
+
+def attrs_to_values(attrs: Column | str) -> Column:
+    """Key/value list with VARIANT values → MAP of these; the last one of equal keys wins."""
+    return F.coalesce(
+        F.map_from_entries(F.filter(_c(attrs), lambda a: a["key"].isNotNull())), F.create_map().cast("map<string,variant>")
+    )
+
+
+def values_text(m: Column | str) -> Column:
+    """MAP of VARIANT values → the text map of the tables."""
+    return F.transform_values(_c(m), lambda _, v: F.coalesce(variant_text(v), F.lit("")))
+
+
+def as_value(text: Column) -> Column:
+    return F.to_variant_object(F.struct(text.alias("stringValue")))
+
+
+def same_or_text(value: Column, text: Column) -> Column:
+    """The value as it came where the text is still the value's, else the text as a value."""
+    return F.when(variant_text(value) == text, value).otherwise(as_value(text))
+
+
 def empty_map() -> Column:
     return F.create_map().cast("map<string,string>")
 

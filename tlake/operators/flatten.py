@@ -10,12 +10,16 @@ from tlake.functions import (
     as_bigint,
     any_value_text,
     attrs_to_map,
+    attrs_to_values,
     empty_map,
     first_attr,
     from_unix_nanos,
     json_value,
+    map_text,
     text,
     trunc_second,
+    values_text,
+    variant_text,
 )
 
 
@@ -167,22 +171,43 @@ def log_rows(df: DataFrame, given: dict[str, Column]) -> DataFrame:
     )
 
 
+def _values_are_typed(df: DataFrame) -> bool:
+    resource = df.schema["resourceLogs"].dataType.elementType["resource"].dataType
+    return resource["attributes"].dataType.elementType["value"].dataType.typeName() == "variant"
+
+
 def otlp_to_logs(df: DataFrame) -> DataFrame:
-    """Requests → rows in table layout plus ``ObservedTimestamp_ns`` (0 = not set)."""
-    flat = _three_levels(
-        df, "resourceLogs", "scopeLogs", "logRecords",
-        [
-            text("res_url").alias("ResourceSchemaUrl"),
+    """Requests → rows in table layout plus ``ObservedTimestamp_ns`` (0 = not set).
+
+    Requests read with typed values give ``ResourceValues``, ``LogValues`` (maps of VARIANT) and ``BodyValue`` besides, for the archive.
+    """
+    typed = _values_are_typed(df)
+    if typed:
+        of_resource = [attrs_to_values("resource.attributes").alias("ResourceValues")]
+        attributes, body = values_text(attrs_to_values("scope.attributes")), text(variant_text(F.col("item.body")))
+    else:
+        of_resource = [
             attrs_to_map("resource.attributes").alias("ResourceAttributes"),
             first_attr("resource.attributes", "service.name").alias("ServiceName"),
-        ],
+        ]
+        attributes, body = attrs_to_map("scope.attributes"), text(any_value_text(F.col("item.body")))
+    flat = _three_levels(
+        df, "resourceLogs", "scopeLogs", "logRecords",
+        [text("res_url").alias("ResourceSchemaUrl"), *of_resource],
         [
             text("scope_url").alias("ScopeSchemaUrl"),
             text("scope.name").alias("ScopeName"),
             text("scope.version").alias("ScopeVersion"),
-            attrs_to_map("scope.attributes").alias("ScopeAttributes"),
+            attributes.alias("ScopeAttributes"),
         ],
     )
+    values = []
+    if typed:
+        # Maps of text are made from those of values; both are columns before anything reads them.
+        flat = flat.withColumn("ResourceAttributes", values_text("ResourceValues"))
+        flat = flat.withColumn("ServiceName", map_text("ResourceAttributes", "service.name"))
+        values = ["ResourceValues", attrs_to_values("item.attributes").alias("LogValues"), F.col("item.body").alias("BodyValue")]
+    record = values_text(attrs_to_values("item.attributes")) if typed else attrs_to_map("item.attributes")
     rows = flat.select(
         "ResourceSchemaUrl", "ResourceAttributes", "ServiceName",
         "ScopeSchemaUrl", "ScopeName", "ScopeVersion", "ScopeAttributes",
@@ -193,12 +218,13 @@ def otlp_to_logs(df: DataFrame) -> DataFrame:
         _number("item.flags").alias("TraceFlags"),
         text("item.severityText").alias("SeverityText"),
         F.coalesce(F.col("item.severityNumber").try_cast("int"), F.lit(0)).alias("SeverityNumber"),
-        text(any_value_text(F.col("item.body"))).alias("Body"),
-        attrs_to_map("item.attributes").alias("LogAttributes"),
+        body.alias("Body"),
+        record.alias("LogAttributes"),
         text("item.eventName").alias("EventName"),
+        *values,
     )
     names = schemas.TABLES["otel_logs"].names
-    return finish_logs(rows).select(*names, "ObservedTimestamp_ns")
+    return finish_logs(rows).select(*names, "ObservedTimestamp_ns", *(["ResourceValues", "LogValues", "BodyValue"] if typed else []))
 
 
 # Text forms of the span kind and status numbers of the OTLP standard.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tlake import schemas
-from tlake.functions import attr_pairs, time_bucket
+from tlake.functions import attr_pairs, from_unix_nanos, time_bucket
 from tlake.functions.scalar import bucket_micros
 
 SERIES = ["ServiceName", "MetricName", "attr_key"]
@@ -84,6 +84,77 @@ def counter_rate(df: DataFrame, bucket: str = "1 hour", slice_width: str = "1 mi
     return _rendered(increase).withColumn("rate", F.col("increase") / F.lit(seconds))
 
 
+def counter_increase_by_start(df: DataFrame, series: list[str], bucket: str, slice_width: str) -> DataFrame:
+    """Increase of ``Value`` per series and time bucket, with restarts told by ``StartTimeUnix_ns`` and shared out by time.
+
+    Points of a series with the same start time are one run of the counter. A later start (both known, not 0) is a
+    restart, also if the new run has overtaken the old value: the whole value has been counted since the start. Without
+    start times a fall of a monotonic counter is the restart. Every step, and every delta point (temporality 1, counted
+    since its start), stands for the time from its begin to its point; where that crosses bucket edges, the
+    step is shared out in proportion. The first point of a series opens it and adds nothing. ``n`` counts points.
+
+    As in ``counter_increase`` order is taken inside short slices, then between the slices' first and last points.
+    A step over a long silence gives a row for each bucket it covers.
+    """
+    if bucket_micros(bucket) % bucket_micros(slice_width):
+        raise ValueError("the slice width must divide the bucket width")
+    line = [*series, "AggregationTemporality", "IsMonotonic"]
+    width = F.lit(bucket_micros(bucket) * 1000).cast("bigint")
+    edge = lambda ns: ns - F.pmod(ns, width)
+    p = F.struct(F.col("TimeUnix_ns").alias("t"), F.coalesce("StartTimeUnix_ns", F.lit(0)).alias("s"), F.col("Value").alias("v"))
+    points = df.select(*line, time_bucket("TimeUnix", slice_width).alias("slice"), p.alias("p"))
+    delta = F.col("AggregationTemporality") == 1
+
+    def step(prev: Column, cur: Column) -> Column:
+        """begin, end and amount of what a cumulative point adds to the one before it."""
+        restart = (prev["s"] > 0) & (cur["s"] > prev["s"])
+        reset = restart | (F.col("IsMonotonic") & (cur["v"] < prev["v"]))
+        return F.struct(
+            F.when(restart, F.least(F.greatest(prev["t"], cur["s"]), cur["t"])).otherwise(F.coalesce(prev["t"], cur["t"])).alias("begin"),
+            cur["t"].alias("end"),
+            F.when(prev.isNull(), 0.0).when(reset, cur["v"]).otherwise(cur["v"] - prev["v"]).alias("amount"),
+        )
+
+    of_delta = F.struct(
+        F.when((F.col("p.s") > 0) & (F.col("p.s") < F.col("p.t")), F.col("p.s")).otherwise(F.col("p.t")).alias("begin"),
+        F.col("p.t").alias("end"), F.col("p.v").alias("amount"),
+    )
+    inside = Window.partitionBy(*line, "slice").orderBy("p.t", "p.s", "p.v")
+    steps = points.withColumns({"_prev": F.lag("p").over(inside), "_next": F.lead("p").over(inside)}).withColumn(
+        "_step", F.when(delta, of_delta).otherwise(step(F.col("_prev"), F.col("p")))
+    )
+    within = edge(F.col("_step.begin")) == edge(F.col("_step.end"))
+    slices = steps.groupBy(*line, "slice").agg(
+        F.sum(F.when(within, F.col("_step.amount"))).alias("inside"), F.count("*").alias("n"),
+        F.max(F.when(F.col("_prev").isNull(), F.col("p"))).alias("first"),
+        F.max(F.when(F.col("_next").isNull(), F.col("p"))).alias("last"),
+    )
+    between = (
+        slices.filter(~delta).withColumn("_before", F.lag("last").over(Window.partitionBy(*line).orderBy("slice")))
+        .filter(F.col("_before").isNotNull()).select(*series, step(F.col("_before"), F.col("first")).alias("_step"))
+    )
+    begin, end = F.col("_step.begin"), F.col("_step.end")
+    covered = F.sequence(edge(begin), edge(end), width)
+    spread = between.unionByName(steps.filter(~within).select(*series, "_step")).select(
+        *series, "_step", F.explode(covered).alias("_edge")
+    )
+    share = F.when(begin == end, 1.0).otherwise(
+        (F.least(end, F.col("_edge") + width) - F.greatest(begin, F.col("_edge"))) / (end - begin).cast("double")
+    )
+    parts = slices.select(
+        *series, time_bucket("slice", bucket).alias("bucket"), F.coalesce("inside", F.lit(0.0)).alias("x"), "n"
+    ).unionByName(
+        spread.select(*series, from_unix_nanos("_edge").alias("bucket"), (F.col("_step.amount") * share).alias("x"), F.lit(0).cast("bigint").alias("n"))
+    )
+    return parts.groupBy("bucket", *series).agg(F.sum("x").alias("increase"), F.sum("n").alias("n"))
+
+
+def counter_rate_by_start(df: DataFrame, bucket: str = "1 hour", slice_width: str = "1 minute") -> DataFrame:
+    """As ``counter_rate``, with restarts by start time and steps shared out over bucket edges."""
+    increase = counter_increase_by_start(_keyed(df), SERIES, bucket, slice_width)
+    return _rendered(increase).withColumn("rate", F.col("increase") / F.lit(bucket_micros(bucket) / 1e6))
+
+
 def histogram_quantile(
     df: DataFrame,
     q: float,
@@ -131,6 +202,58 @@ def histogram_quantile(
     return hit.select("bucket", *keys, "bounds_key", "n", value.alias("quantile"))
 
 
+def merge_bounds(counts: DataFrame, group: list[str]) -> DataFrame:
+    """Histogram counts of any bounds on the common refinement of the bounds of each group.
+
+    Input: the group, ``ExplicitBounds``, bucket number ``i`` (from 0) and count ``c``. Output: the group, ``lo`` and ``hi`` of a
+    refined bucket, NULL above the last bound, and its count, now a fraction. A bucket is shared out over the refined
+    ones inside it in proportion to their width, so no count is lost. The first bucket begins at 0, or at the group's smallest
+    bound where that is negative; the open last bucket of any histogram goes to the open one of the group, since nothing is
+    known about its inside.
+    """
+    added = counts.groupBy(*group, "ExplicitBounds", "i").agg(F.sum("c").alias("c"))
+    layouts = added.groupBy(*group).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("ExplicitBounds")))).alias("_all")
+    )
+    floor = F.least(F.lit(0.0), F.coalesce(F.get("_all", F.lit(0)), F.lit(0.0)))
+    own = lambda k: F.get("ExplicitBounds", k)
+    joined = added.join(layouts, group).select(
+        *group, "c", F.coalesce(own(F.col("i") - 1), floor).alias("from"), own(F.col("i")).alias("to"), "_all", floor.alias("_floor")
+    )
+    open_ = F.col("to").isNull()
+    edges = F.concat(F.array("from"), F.filter("_all", lambda b: (b > F.col("from")) & (b < F.col("to"))), F.array("to"))
+    pieces = F.when(open_, F.array(F.struct(F.coalesce(F.element_at("_all", -1), F.col("from")).alias("lo"), F.col("to").alias("hi")))).otherwise(
+        F.transform(F.slice(edges, 1, F.size(edges) - 1), lambda e, k: F.struct(e.alias("lo"), F.get(edges, k + 1).alias("hi")))
+    )
+    width = F.col("to") - F.col("from")
+    share = F.when(open_ | (width <= 0), 1.0).otherwise((F.col("_b.hi") - F.col("_b.lo")) / width)
+    return (
+        joined.withColumn("_b", F.explode(pieces))
+        .groupBy(*group, F.col("_b.lo").alias("lo"), F.col("_b.hi").alias("hi"))
+        .agg(F.sum(F.col("c") * share).alias("c"))
+    )
+
+
+def histogram_quantile_mixed(df: DataFrame, q: float, bucket: str = "1 hour", keys: list[str] | None = None) -> DataFrame:
+    """Quantile of histograms whose bounds differ, merged by ``merge_bounds``. Counts are added as they are (temporality 1)."""
+    keys = keys or ["ServiceName", "MetricName"]
+    group = ["bucket", *keys]
+    counts = df.select(
+        time_bucket("TimeUnix", bucket).alias("bucket"), *keys, "ExplicitBounds", F.posexplode("BucketCounts").alias("i", "c")
+    )
+    merged = merge_bounds(counts, group).filter(F.col("c") > 0)
+    w = Window.partitionBy(*group)
+    run = F.sum("c").over(w.orderBy("lo", F.asc_nulls_last("hi")).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = merged.withColumns({"upto": run, "n": F.sum("c").over(w)}).withColumn("rank", F.lit(q) * F.col("n"))
+    # Sums of fractions: the last bucket reaches every rank.
+    last = F.row_number().over(w.orderBy(F.desc("lo"), F.desc_nulls_first("hi"))) == 1
+    reached = ranked.withColumn("_last", last).filter((F.col("upto") >= F.col("rank")) | F.col("_last"))
+    first = reached.withColumn("_k", F.row_number().over(w.orderBy("lo", F.asc_nulls_last("hi")))).filter("_k = 1")
+    inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("rank") - (F.col("upto") - F.col("c"))) / F.col("c")))
+    value = F.when(F.col("hi").isNull(), F.col("lo")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * inside)
+    return first.select(*group, "n", value.alias("quantile"))
+
+
 def _bucket_entries() -> Column:
     """Buckets of an exponential histogram as (side, idx, c) entries."""
     zero = F.lit(0)

@@ -9,6 +9,7 @@ from tlake.functions import looked_up, own_key, time_bucket
 from tlake.operators.flatten import unnest
 from tlake.operators.percentiles import exact_percentiles
 from tlake.operators.transforms import has_trace
+from tlake.session import stored
 
 
 def red_metrics(spans: DataFrame, bucket: str = "1 hour") -> DataFrame:
@@ -61,6 +62,47 @@ def span_tree(spans: DataFrame) -> DataFrame:
     )
 
 
+def span_roots(spans: DataFrame) -> DataFrame:
+    """TraceId, SpanId, root, depth and state of every span, by pointer jumping.
+
+    Each span points to its parent at first. In a round every pointer jumps to where the span it points to points, so the
+    distance covered doubles and a chain of n spans is done after log2(n) rounds. States: ``rooted``; ``orphan``, if the topmost
+    span there is names a parent that is not stored (it stands for the root); ``cycle``, if the way up never ends, with root ''
+    and depth -1. Twice as far as the largest trace has spans there can be nothing but cycles, which ends the rounds.
+
+    A repeated span id counts once, with its smallest parent id. Each round is kept in the shared checkpoint folder; only spans
+    that are not at the top yet are looked up again.
+    """
+    s = has_trace(spans).groupBy("TraceId", "SpanId").agg(F.min("ParentSpanId").alias("ParentSpanId"))
+    parents = s.select("TraceId", F.col("SpanId").alias("_p"), F.lit(True).alias("_there"))
+    start = stored(
+        s.withColumn("_p", own_key("ParentSpanId", F.col("ParentSpanId") != "", "TraceId", "SpanId"))
+        .join(parents.withColumn("_p", looked_up("_p")), ["TraceId", "_p"], "left")
+        .select(
+            "TraceId", "SpanId", F.when(F.col("_there"), F.col("ParentSpanId")).otherwise(F.col("SpanId")).alias("to"),
+            F.when(F.col("_there"), 1).otherwise(0).cast("bigint").alias("depth"), F.col("_there").isNull().alias("top"),
+            F.when(F.col("_there"), "").when(F.col("ParentSpanId") == "", "rooted").otherwise("orphan").alias("state"),
+        )
+    )
+    most = start.groupBy("TraceId").count().agg(F.max("count")).first()[0] or 0
+    now, reach = start, 1
+    while reach <= 2 * most and not now.filter(~F.col("top")).isEmpty():
+        above = now.select(
+            "TraceId", F.col("SpanId").alias("to"), F.col("to").alias("_to"), F.col("depth").alias("_depth"),
+            F.col("top").alias("_top"), F.col("state").alias("_state"),
+        )
+        jumped = now.filter(~F.col("top")).join(above, ["TraceId", "to"]).select(
+            "TraceId", "SpanId", F.col("_to").alias("to"), (F.col("depth") + F.col("_depth")).alias("depth"),
+            F.col("_top").alias("top"), F.col("_state").alias("state"),
+        )
+        now = stored(now.filter("top").unionByName(jumped))
+        reach *= 2
+    return now.select(
+        "TraceId", "SpanId", F.when(F.col("top"), F.col("to")).otherwise("").alias("root"),
+        F.when(F.col("top"), F.col("depth")).otherwise(-1).alias("depth"), F.when(F.col("top"), F.col("state")).otherwise("cycle").alias("state"),
+    )
+
+
 def span_self_time(spans: DataFrame) -> DataFrame:
     """Self time alone: one join less than the full tree."""
     s = has_trace(spans).select("TraceId", "SpanId", "ParentSpanId", "SpanName", "ServiceName", "Duration")

@@ -20,7 +20,9 @@ from tlake.functions import (
     upsert,
 )
 from tlake.functions.attributes import empty_map
+from tlake.functions.scalar import bucket_micros
 from tlake.operators.flatten import finish_logs, log_rows
+from tlake.schemas import PODS
 
 
 def fix_time(df: DataFrame, now: datetime | str | Column | None = None) -> DataFrame:
@@ -84,19 +86,60 @@ def enrich_k8s(df: DataFrame, pods: DataFrame) -> DataFrame:
     )
     p = unique_pods(pods).withColumn("_key", looked_up("pod_name"))
     joined = keyed.join(p, (keyed["_pod"] == p["_key"]) & (keyed["_ns"] == p["namespace"]), "left")
-    # What a record says of itself stays: the pod table fills only keys that are absent or empty.
-    own = lambda key, c: F.coalesce(F.nullif(F.try_element_at("ResourceAttributes", F.lit(key)), F.lit("")), c)
+    return _with_pod(joined.withColumn("_p", F.when(F.col("pod_name").isNotNull(), F.struct(*PODS.names))), "_p").select(*df.columns)
+
+
+def _with_pod(df: DataFrame, pod: str) -> DataFrame:
+    """Resource attributes with what a pod (a struct, NULL: none) has for them. What a record says of itself stays: only
+    keys that are absent or empty are filled."""
+    own = lambda key, c: F.coalesce(F.nullif(F.try_element_at("ResourceAttributes", F.lit(key)), F.lit("")), text(c))
     told = {
-        "k8s.pod.name": F.col("pod_name"),
-        "k8s.pod.uid": text("pod_uid"),
-        "k8s.namespace.name": F.col("namespace"),
-        "k8s.container.name": text("container_name"),
-        "k8s.node.name": text("node_name"),
+        "k8s.pod.name": "pod_name",
+        "k8s.pod.uid": "pod_uid",
+        "k8s.namespace.name": "namespace",
+        "k8s.container.name": "container_name",
+        "k8s.node.name": "node_name",
     }
-    found = upsert("ResourceAttributes", {key: own(key, c) for key, c in told.items()})
-    return joined.withColumn(
-        "ResourceAttributes", F.when(F.col("pod_name").isNotNull(), found).otherwise(F.col("ResourceAttributes"))
-    ).select(*df.columns)
+    found = upsert("ResourceAttributes", {key: own(key, F.col(f"{pod}.{c}")) for key, c in told.items()})
+    return df.withColumn(
+        "ResourceAttributes", F.when(F.col(pod).isNotNull(), found).otherwise(F.col("ResourceAttributes"))
+    )
+
+
+def enrich_k8s_as_of(df: DataFrame, lives: DataFrame, bucket: str = "1 day") -> DataFrame:
+    """As ``enrich_k8s``, with the pod that bore the name when the record was made.
+
+    ``lives`` has the columns of the pod table with ``valid_from_ns`` and ``valid_to_ns`` (exclusive, NULL: still there).
+    A life also ends where the next one of the same name begins. A StatefulSet gives the same name to pod after pod, so
+    a name has any number of lives. Those that have ended are cut at the borders of fixed time buckets, and a record looks
+    up (name, namespace, bucket), where only the lives of that bucket are compared; of those without an end there is at
+    most one per name, so it is looked up by name alone. Records at a time without a life stay as they are.
+    """
+    width = F.lit(bucket_micros(bucket) * 1000).cast("bigint")
+    div = lambda a, b: F.call_function("div", a, b)
+    rest = ("pod_uid", "container_name", "node_name")
+    own = Window.partitionBy("pod_name", "namespace").orderBy("valid_from_ns", F.coalesce("pod_uid", F.lit("")))
+    given = lives.select("pod_name", "namespace", *rest, "valid_from_ns", F.least("valid_to_ns", F.lead("valid_from_ns").over(own)).alias("end"))
+    given = given.filter(F.col("valid_from_ns").isNotNull()).withColumn("_key", looked_up("pod_name"))
+    here = F.struct("pod_name", "namespace", *rest)
+    ended = given.filter(F.col("end") > F.col("valid_from_ns")).select(
+        F.col("_key").alias("_k1"), F.col("namespace").alias("_n1"), F.col("valid_from_ns").alias("_f1"), F.col("end").alias("_e1"),
+        here.alias("_p1"), F.explode(F.sequence(div(F.col("valid_from_ns"), width), div(F.col("end") - 1, width))).alias("_b1"),
+    )
+    lasting = given.filter(F.col("end").isNull()).select(
+        F.col("_key").alias("_k2"), F.col("namespace").alias("_n2"), F.col("valid_from_ns").alias("_f2"), here.alias("_p2")
+    )
+    pod, ns = (F.try_element_at("ResourceAttributes", F.lit(f"k8s.{x}.name")) for x in ("pod", "namespace"))
+    both, at = pod.isNotNull() & ns.isNotNull(), F.col("Timestamp_ns")
+    keyed = df.withColumns({
+        "_pod": own_key(pod, both, "Timestamp_ns", "TraceId", "SpanId", "Body"), "_ns": F.coalesce(ns, F.lit("")),
+        "_bucket": div(at, width),
+    })
+    k = F.col
+    joined = keyed.join(
+        ended, (k("_pod") == k("_k1")) & (k("_ns") == k("_n1")) & (k("_bucket") == k("_b1")) & (at >= k("_f1")) & (at < k("_e1")), "left"
+    ).join(lasting, (k("_pod") == k("_k2")) & (k("_ns") == k("_n2")) & (at >= k("_f2")), "left")
+    return _with_pod(joined.withColumn("_p", F.coalesce("_p1", "_p2")), "_p").select(*df.columns)
 
 
 def rfc3339_nanos(x: Column) -> Column:
@@ -111,12 +154,18 @@ def rfc3339_nanos(x: Column) -> Column:
     return micros * 1000 + F.when(long_fraction, as_bigint(rest)).otherwise(F.lit(0))
 
 
+# A log file's path up to ``.log``, and what a rotation has put behind it.
+_LOG_FILE = r"^(.*\.log)(?:\.(.+))?$"
+_LIVE = "~"  # sorts behind every time of rotation
+
+
 def container_lines(df: DataFrame) -> DataFrame:
     """Single lines of both formats → file, position, stream, full flag, message, time.
 
     JSON lines carry log, stream and time; the others are ``time stream tag message``.
     A line of neither format is passed on as a whole message without stream and time;
-    empty lines are left out.
+    empty lines are left out. ``source`` is the file without the time of its rotation, ``file_no``
+    that time, which orders the files of one source; the file still written to is the last.
     """
     v = F.col("value")
     is_json = v.startswith("{")
@@ -129,8 +178,11 @@ def container_lines(df: DataFrame) -> DataFrame:
     j = F.col("line.j")
     plain = part(1).isin("stdout", "stderr") & F.substring(part(2), 1, 1).isin("F", "P")
     docker = j["log"].isNotNull()
+    path = F.col("file_path")
     return rows.select(
         "file_path", "block_start", "line_no",
+        F.coalesce(F.nullif(F.regexp_extract(path, _LOG_FILE, 1), F.lit("")), path).alias("source"),
+        F.coalesce(F.nullif(F.regexp_extract(path, _LOG_FILE, 2), F.lit("")), F.lit(_LIVE)).alias("file_no"),
         F.when(docker, text(j["stream"])).when(plain, part(1)).otherwise("").alias("stream"),
         F.when(docker, j["log"].endswith("\n")).when(plain, part(2).startswith("F")).otherwise(True).alias("full"),
         F.when(docker, F.regexp_replace(j["log"], r"\n$", "")).when(plain, text(part(3))).otherwise(v).alias("msg"),
@@ -138,48 +190,69 @@ def container_lines(df: DataFrame) -> DataFrame:
     )
 
 
-def _messages(lines: DataFrame) -> DataFrame:
-    """Runs of lines up to the next full line of the same (file, stream), in line order.
+#: What is kept of a message without its last line until the next batch.
+FRAGMENTS = (
+    "source STRING, stream STRING, file_path STRING, "
+    "parts ARRAY<STRUCT<line_no: BIGINT, ns: BIGINT, msg: STRING>>, carried INT"
+)
+
+
+def merge_fragments(lines: DataFrame, fragments: DataFrame | None = None) -> DataFrame:
+    """Runs of lines up to the next full line of the same (source, stream), in line order, also over a rotation.
+
+    Result: source, stream, file_path, parts, ``closed`` (a full line ends the run) and ``carried``, the batches it has been
+    open for. ``fragments`` are the open runs of the batch before; lines that follow continue them.
 
     Runs are found per input block, so one long file is spread over its blocks. Inside a
     block a run is numbered by the full lines before it. Only the first run of a block and
-    an open last one can belong to a message that crosses blocks: at most two rows per
-    block and stream, which are numbered again over the whole file. Both parts read the
+    an open last one can belong to a message that crosses blocks or files: at most two rows per
+    block and stream, which are numbered again over the whole source. Both parts read the
     same shuffled lines.
     """
     full = F.col("full").cast("bigint")
-    block = ("file_path", "stream", "block_start")
+    block = ("source", "stream", "file_no", "block_start")
     up_to_here = Window.partitionBy(*block).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     runs = (
         lines.withColumn("local", F.coalesce(F.sum(full).over(up_to_here), F.lit(0)))
         .groupBy(*block, "local")
-        .agg(F.array_sort(F.collect_list(F.struct("line_no", "ns", "msg"))).alias("parts"), F.max("full").alias("closed"))
+        .agg(
+            F.array_sort(F.collect_list(F.struct("line_no", "ns", "msg"))).alias("parts"),
+            F.max("full").alias("closed"), F.min("file_path").alias("file_path"),
+        )
     )
     edge = (F.col("local") == 0) | ~F.col("closed")
-    along_file = (
-        Window.partitionBy("file_path", "stream").orderBy("block_start", "local")
+    pieces = runs.filter(edge).withColumn("carried", F.lit(0))
+    if fragments is not None:
+        before = fragments.select(
+            "source", "stream", F.lit("").alias("file_no"), F.lit(-1).cast("bigint").alias("block_start"),
+            F.lit(0).cast("bigint").alias("local"), "parts", F.lit(False).alias("closed"), "file_path", "carried",
+        )
+        pieces = pieces.unionByName(before)
+    along_source = (
+        Window.partitionBy("source", "stream").orderBy("file_no", "block_start", "local")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     crossing = (
-        runs.filter(edge)
-        .withColumn("run", F.coalesce(F.sum(F.col("closed").cast("bigint")).over(along_file), F.lit(0)))
-        .groupBy("file_path", "stream", "run")
-        .agg(F.array_sort(F.collect_list(F.struct("block_start", "local", "parts"))).alias("pieces"))
-        .select("file_path", "stream", F.flatten(F.transform("pieces", lambda x: x["parts"])).alias("parts"))
+        pieces.withColumn("run", F.coalesce(F.sum(F.col("closed").cast("bigint")).over(along_source), F.lit(0)))
+        .groupBy("source", "stream", "run")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("file_no", "block_start", "local", "file_path", "parts"))).alias("pieces"),
+            F.max("closed").alias("closed"), (F.max("carried") + 1).alias("carried"),
+        )
+        .select(
+            "source", "stream", F.col("pieces")[0]["file_path"].alias("file_path"),
+            F.flatten(F.transform("pieces", lambda x: x["parts"])).alias("parts"), "closed", "carried",
+        )
     )
-    return runs.filter(~edge).select("file_path", "stream", "parts").unionByName(crossing)
+    inner = runs.filter(~edge).select("source", "stream", "file_path", "parts", "closed", F.lit(0).alias("carried"))
+    return inner.unionByName(crossing)
 
 
-def parse_container(df: DataFrame) -> DataFrame:
-    """Container log lines → log rows; fragments of one message are joined.
-
-    Input: ``value``, ``file_path`` and the line position ``block_start, line_no``. A
-    message is one row, so its fragments meet in one task.
-    """
-    runs = _messages(container_lines(df))
-    # …/<namespace>_<pod>_<uid>/<container>/<restart>.log, with the time of rotation behind it
-    steps = runs.withColumn("_d", F.split("file_path", "/")).withColumn("_pod", F.split(F.try_element_at("_d", F.lit(-3)), "_"))
-    known = (F.size("_pod") == 3) & F.try_element_at("_d", F.lit(-1)).rlike(r"\.log(\..+)?$")
+def container_rows(messages: DataFrame) -> DataFrame:
+    """Merged messages → log rows, with what the path says of pod and container."""
+    # …/<namespace>_<pod>_<uid>/<container>/<restart>.log
+    steps = messages.withColumn("_d", F.split("source", "/")).withColumn("_pod", F.split(F.try_element_at("_d", F.lit(-3)), "_"))
+    known = (F.size("_pod") == 3) & F.try_element_at("_d", F.lit(-1)).endswith(".log")
     resource = F.when(
         known,
         F.create_map(
@@ -201,6 +274,15 @@ def parse_container(df: DataFrame) -> DataFrame:
     )
 
 
+def parse_container(df: DataFrame) -> DataFrame:
+    """Container log lines → log rows; fragments of one message are joined.
+
+    Input: ``value``, ``file_path`` and the line position ``block_start, line_no``. A
+    message is one row, so its fragments meet in one task. What is still open at the end becomes a message.
+    """
+    return container_rows(merge_fragments(container_lines(df)))
+
+
 def filter_logs(
     df: DataFrame,
     level: str | None = None,

@@ -65,3 +65,27 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
 def delete(spark: SparkSession, path: str) -> None:
     _, p, fs = _fs(spark, path)
     fs.delete(p, True)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    _, p, fs = _fs(spark, path)
+    target = _fs(spark, to)[1]
+    fs.mkdirs(target.getParent())
+    if not fs.rename(p, target):
+        raise FileExistsError(to)
+
+
+def size(spark: SparkSession, path: str) -> int:
+    _, p, fs = _fs(spark, path)
+    return fs.getFileStatus(p).getLen()
+
+
+def copy_start(spark: SparkSession, path: str, to: str, length: int) -> None:
+    """The first bytes of a file as another file, in place of one that is there."""
+    jvm, p, fs = _fs(spark, path)
+    source, sink = fs.open(p), fs.create(_fs(spark, to)[1], True)
+    try:
+        jvm.org.apache.commons.io.IOUtils.copyLarge(source, sink, 0, length)
+    finally:
+        source.close()
+        sink.close()

@@ -13,13 +13,15 @@ import json
 import uuid
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tlake import schemas
-from tlake.functions import attr_pairs, literal_time, unix_nanos
+from tlake.functions import attr_pairs, literal_time, map_text, unix_nanos
 from tlake.functions.scalar import trunc_second
 from tlake.plans import hadoop
 from tlake.operators.aggregates import trace_time_ranges
@@ -37,13 +39,36 @@ WRITER_OPTIONS = {
 }
 
 
-# Trace ids are looked up one by one: a filter per file says whether it may hold one.
-ID_FILTERS = {
-    "parquet.bloom.filter.enabled#TraceId": "true",
-    "parquet.bloom.filter.adaptive.enabled": "true",
-}
+# Trace ids are looked up one by one: a filter per row group says whether it may hold one.
 HAS_ID_FILTERS = ("otel_traces", schemas.TRACE_RANGES)
 
+
+def value_filters(table: str) -> dict[str, str]:
+    """Writer options: Bloom filters of trace ids and of promoted attributes."""
+    columns = [*(["TraceId"] if table in HAS_ID_FILTERS else []), *schemas.PROMOTED.get(table, ())]
+    enabled = {f"parquet.bloom.filter.enabled#{c}": "true" for c in columns}
+    return {**enabled, "parquet.bloom.filter.adaptive.enabled": "true"} if columns else {}
+
+
+def with_attributes(df: DataFrame, table: str, wanted: list[tuple[str, str, str]]) -> DataFrame:
+    """Rows whose attributes (map column, key, value) have all the values; a missing key reads as ''.
+
+    Promoted keys are asked for by their columns. Files written without these have NULL there; their rows are an arm of its
+    own, which skips all other files by their null counts. One condition for both arms would be a disjunction, and no
+    Bloom filter can answer that.
+    """
+    columns = [schemas.promoted_column(table, m, key) for m, key, _ in wanted]
+    in_map = [map_text(m, key) == value for m, key, value in wanted]
+    own = [F.col(c) == value for c, (_, _, value) in zip(columns, wanted) if c]
+    for c, condition in zip(columns, in_map):
+        df = df if c else df.filter(condition)
+    if not own:
+        return df
+    absent = reduce(or_, [F.col(c).isNull() for c in columns if c])
+    said = reduce(and_, [condition for c, condition in zip(columns, in_map) if c])
+    return df.filter(reduce(and_, own)).unionByName(df.filter(absent & said))
+
+
 # Shuffled bytes per writing task of a bulk load: files of some hundred megabytes.
 TASK_BYTES = "512m"
 
@@ -99,6 +124,8 @@ class Lake:
 
     def _schema(self, table: str) -> StructType:
         s = StructType(list(schemas.table_schema(table).fields))
+        for c in schemas.PROMOTED.get(table, ()):  # NULL in files written without them
+            s = s.add(c, "string")
         return s.add("seg", "string").add("event_date", "date")
 
     def files(self, table: str, tier: str, manifest: dict | None = None) -> DataFrame:
@@ -138,9 +165,14 @@ class Lake:
         end: datetime | str | Column | None = None,
         tier: str | None = None,
         materialized: bool = False,
+        attrs: dict[str, str] | None = None,
+        resource: dict[str, str] | None = None,
     ) -> DataFrame:
         """One table over both tiers, ``start`` inclusive and ``end`` exclusive.
 
+        ``attrs`` and ``resource`` are values wanted of log and resource attributes (a missing key reads as ''). Of promoted
+        keys the condition is on their column, whose statistics and Bloom filter let a scan skip row groups.
+
         The bounds are put on the time column and on the partition day, because
         Spark does not derive the one from the other. ``tier`` is a literal per
         arm: a filter on it removes the other arm from the plan.
@@ -157,7 +189,9 @@ class Lake:
         if end is not None:
             at = literal_time(end)
             df = df.filter((F.col(ts) < at) & (F.col("event_date") <= F.to_date(at)))
-        hidden = () if materialized else schemas.MATERIALIZED.get(table, ())
+        wanted = [("LogAttributes", *x) for x in (attrs or {}).items()] + [("ResourceAttributes", *x) for x in (resource or {}).items()]
+        df = with_attributes(df, table, wanted)
+        hidden = () if materialized else (*schemas.PROMOTED.get(table, ()), *schemas.MATERIALIZED.get(table, ()))
         return df.drop("seg", *hidden)
 
     def scan_metrics(self, kinds: list[str] | None = None, **bounds) -> DataFrame:
@@ -202,7 +236,8 @@ class Lake:
         if f"{ts}_ns" not in df.columns:
             df = df.withColumn(f"{ts}_ns", unix_nanos(ts))
         s = schemas.table_schema(table)
-        return df.select(*[F.col(f.name).cast(f.dataType) for f in s.fields], F.to_date(ts).alias("event_date"))
+        own = [map_text(m, key).alias(c) for c, (m, key) in schemas.PROMOTED.get(table, {}).items()]
+        return df.select(*[F.col(f.name).cast(f.dataType) for f in s.fields], *own, F.to_date(ts).alias("event_date"))
 
     def write(
         self,
@@ -236,7 +271,7 @@ class Lake:
             rows.sortWithinPartitions("event_date", *keys).drop("_attrs")
             .write.mode("overwrite")
             .partitionBy("event_date")
-            .options(**WRITER_OPTIONS, **(ID_FILTERS if table in HAS_ID_FILTERS else {}))
+            .options(**WRITER_OPTIONS, **value_filters(table))
             .parquet(f"{self.path(table, tier)}/seg={segment}")
         )
 

@@ -103,6 +103,21 @@ SORT_KEYS: dict[str, tuple[str, ...]] = {
 MATERIALIZED = {"otel_logs": ("TimestampTime",), "sessions": ("TimestampTime",)}
 
 
+# Attributes that are also stored as columns of their own, so that a search for a value can skip row groups.
+PROMOTED: dict[str, dict[str, tuple[str, str]]] = {
+    t: {
+        "attr_sessionId": ("LogAttributes", "sessionId"),
+        "attr_log_type": ("LogAttributes", "log_type"),
+        "attr_k8s_pod_name": ("ResourceAttributes", "k8s.pod.name"),
+    }
+    for t in ("otel_logs", "sessions")
+}
+
+
+def promoted_column(table: str, map_column: str, key: str) -> str | None:
+    return next((c for c, source in PROMOTED.get(table, {}).items() if source == (map_column, key)), None)
+
+
 def metric_table(kind: str) -> str:
     return f"otel_metrics_{kind}"
 
@@ -173,6 +188,8 @@ def _request(outer: str, mid: str, leaf: str, item: str) -> str:
 
 
 OTLP_LOGS = _request("resourceLogs", "scopeLogs", "logRecords", LOG_RECORD)
+# The same with values as VARIANT, which keeps their kind at any depth.
+OTLP_LOGS_TYPED = OTLP_LOGS.replace(_ANY, "VARIANT")
 OTLP_TRACES = _request("resourceSpans", "scopeSpans", "spans", _SPAN)
 OTLP_METRICS = _request("resourceMetrics", "scopeMetrics", "metrics", _METRIC)
 

@@ -93,10 +93,15 @@ def read_journal_json(
     return parse_journal(fresh).filter(F.col("Timestamp") >= at)
 
 
-_NAME = r"^[a-zA-Z_:][a-zA-Z0-9_:]*$"
 _LABEL = r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:[^"\\]|\\.)*)"'
 _TYPE = r"^#\s+TYPE\s+(\S+)\s+(\S+)\s*$"
 _HELP = r"^#\s+HELP\s+(\S+)\s+(.*)$"
+# Inside braces: anything but quotes and a closing brace, and quoted text. Possessive, so that no line is tried twice.
+_INSIDE = r'[^"}]*+(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"[^"}]*+)*+'
+# name {labels} value time # exemplar; the exemplar, if it is one, {labels} value time.
+_SAMPLE = rf"^\s*([a-zA-Z_:][a-zA-Z0-9_:]*)(?:\s*\{{({_INSIDE})\}}\s*|\s+)([^\s#]+)(?:\s+([^\s#]+))?\s*(?:#\s*(.*))?$"
+_EXEMPLAR = rf"^\{{({_INSIDE})\}}\s+(\S+)(?:\s+(\S+))?\s*$"
+_CUT = "\ufdd0"  # no character, so it stands in no text
 
 
 def _unescape(v: Column) -> Column:
@@ -111,26 +116,46 @@ def _labels(x: Column) -> Column:
     return F.map_from_arrays(F.regexp_extract_all(x, F.lit(_LABEL), 1), values)
 
 
-def _samples(lines: DataFrame) -> DataFrame:
-    """``name{labels} value [time]`` lines; others are left out."""
-    # An exemplar, `# {labels} value [time]` after the sample and outside quotes, is not part of the point.
-    v = F.regexp_replace("value", r'^((?:[^"#]|"(?:[^"\\]|\\.)*")*?)\s+# \{.*$', "$1")
-    braces = v.contains("{")
-    sample = F.struct(
-        F.when(braces, F.substring_index(v, "{", 1)).otherwise(F.substring_index(v, " ", 1)).alias("name"),
-        F.when(braces, F.regexp_extract(v, r"\{(.*)\}", 1)).otherwise("").alias("labels"),
-        F.split(
-            F.trim(F.when(braces, F.substring_index(v, "}", -1)).otherwise(F.substr(v, F.instr(v, F.lit(" "))))),
-            r"\s+",
-        ).alias("rest"),
+def _parts(x: Column, grammar: str, n: int) -> Column:
+    """The groups of a grammar that the whole text follows, by one pass over it; other text is one part."""
+    return F.split(F.regexp_replace(x, grammar, _CUT.join(f"${i + 1}" for i in range(n))), _CUT)
+
+
+def _exemplar(x: Column) -> Column:
+    """What stands behind ``#`` as a struct that can be compared; NULL where it is no exemplar. Its time is in seconds."""
+    e = _parts(x, _EXEMPLAR, 3)
+    nanos = (F.get(e, 2).try_cast("decimal(38,9)") * 1_000_000_000).try_cast("bigint")
+    value = F.get(e, 1).try_cast("double")
+    return F.when(
+        (x != "") & (F.size(e) == 3) & value.isNotNull() & ((F.get(e, 2) == "") | nanos.isNotNull()),
+        F.struct(F.coalesce(nanos, F.lit(0)).alias("ns"), value.alias("value"), F.get(e, 0).alias("labels")),
     )
-    at = as_bigint(F.get("s.rest", 1))
-    x = F.get("s.rest", 0).try_cast("double")
-    rows = computed_once(lines.filter(~v.startswith("#")), sample, "s")
-    valid = F.trim("s.name").rlike(_NAME) & x.isNotNull() & (F.size("s.rest") <= 2)
+
+
+def _exemplars(list_: Column) -> Column:
+    """Compared structs → the exemplars of a point: ids of their own, other labels as attributes."""
+
+    def one(e: Column) -> Column:
+        labels = _labels(e["labels"])
+        return F.struct(
+            F.map_filter(labels, lambda k, _: ~k.isin("trace_id", "span_id")).alias("FilteredAttributes"),
+            from_unix_nanos(e["ns"]).alias("TimeUnix"), e["ns"].alias("TimeUnix_ns"), e["value"].alias("Value"),
+            map_text(labels, "span_id").alias("SpanId"), map_text(labels, "trace_id").alias("TraceId"),
+        )
+
+    return F.transform(list_, one)
+
+
+def _samples(lines: DataFrame) -> DataFrame:
+    """``name{labels} value [time] [# exemplar]`` lines; others are left out, and what is no exemplar behind a sample."""
+    rows = computed_once(lines.filter(~F.col("value").startswith("#")), _parts(F.col("value"), _SAMPLE, 5), "s")
+    part = lambda i: F.get("s", i)
+    at = as_bigint(part(3))
+    x = part(2).try_cast("double")
+    valid = (F.size("s") == 5) & x.isNotNull()
     return rows.filter(valid).select(
         "source", F.coalesce(from_micros(F.try_multiply(at, F.lit(1000))), F.col("scraped_at")).alias("at"),
-        F.trim("s.name").alias("name"), _labels(F.col("s.labels")).alias("labels"), x.alias("x"),
+        part(0).alias("name"), _labels(part(1)).alias("labels"), x.alias("x"), _exemplar(part(4)).alias("exemplar"),
     )
 
 
@@ -141,7 +166,8 @@ def _without(m: str, key: str) -> Column:
 def parse_prom_text(lines: DataFrame, job: str = "") -> dict[str, DataFrame]:
     """Exposition text → metric rows by kind (gauge, sum, histogram, summary).
 
-    Input columns: ``value`` (line), ``source`` (snapshot id), ``scraped_at``.
+    Input columns: ``value`` (line), ``source`` (snapshot id), ``scraped_at``. Exemplars go to the point of their
+    sample, those of buckets to the histogram's point, in order of time.
     """
     prepare(lines.sparkSession)
     v = F.col("value")
@@ -177,7 +203,8 @@ def parse_prom_text(lines: DataFrame, job: str = "") -> dict[str, DataFrame]:
         .withColumns({"family": F.coalesce("family", "name"), "type": F.coalesce("type", F.lit("unknown"))})
     )
     simple = samples.filter(~F.col("type").isin("histogram", "summary"))
-    number = [F.col("x").alias("Value")]
+    own_exemplar = F.when(F.col("exemplar").isNotNull(), F.array("exemplar")).otherwise(F.slice(F.array("exemplar"), 1, 0))
+    number = [F.col("x").alias("Value"), _exemplars(own_exemplar).alias("Exemplars")]
     counter = F.col("type") == "counter"
     out = {
         "gauge": _metric_rows(simple.filter(~counter), "gauge", job, F.col("name"), number),
@@ -192,12 +219,15 @@ def parse_prom_text(lines: DataFrame, job: str = "") -> dict[str, DataFrame]:
         series = _without("labels", label)
         points = (
             samples.filter(F.col("type") == kind)
-            .select("source", "at", "family", "help", "role", "x", series.alias("labels"),
+            .select("source", "at", "family", "help", "role", "x", "exemplar", series.alias("labels"),
                     F.try_element_at("labels", F.lit(label)).try_cast("double").alias("edge"))
             .withColumn("key", attr_key("labels"))
             # Repeated lines become one value, so the list below has one entry per edge.
             .groupBy("source", "at", "family", "key", "role", "edge")
-            .agg(F.max("x").alias("x"), F.first("labels").alias("labels"), F.max("help").alias("help"))
+            .agg(
+                F.max("x").alias("x"), F.first("labels").alias("labels"), F.max("help").alias("help"),
+                F.max("exemplar").alias("exemplar"),
+            )
             .groupBy("source", "at", "family", "key")
             .agg(
                 F.first("labels").alias("labels"), F.max("help").alias("help"),
@@ -206,6 +236,7 @@ def parse_prom_text(lines: DataFrame, job: str = "") -> dict[str, DataFrame]:
                 F.array_sort(
                     F.collect_list(F.when(F.col("edge").isNotNull(), F.struct("edge", "x")))
                 ).alias("parts"),
+                F.array_sort(F.collect_list("exemplar")).alias("exemplars"),
             )
         )
         head = [F.coalesce(F.col("n").try_cast("bigint"), F.lit(0)).alias("Count"), F.coalesce("total", F.lit(0.0)).alias("Sum")]
@@ -218,7 +249,7 @@ def parse_prom_text(lines: DataFrame, job: str = "") -> dict[str, DataFrame]:
                 ),
             )
             body = [steps.alias("BucketCounts"), F.transform(finite, lambda p: p["edge"]).alias("ExplicitBounds"),
-                    F.lit(2).alias("AggregationTemporality")]
+                    F.lit(2).alias("AggregationTemporality"), _exemplars(F.col("exemplars")).alias("Exemplars")]
         else:
             body = [F.transform("parts", lambda p: F.struct(p["edge"].alias("Quantile"), p["x"].alias("Value")))
                     .alias("ValueAtQuantiles")]

@@ -23,10 +23,10 @@ def _requests(spark, path, schema, streaming, options) -> DataFrame:
 
 
 def read_otlp_logs(
-    spark: SparkSession, path: str, streaming: bool = False, **options: str
+    spark: SparkSession, path: str, streaming: bool = False, typed: bool = False, **options: str
 ) -> DataFrame:
-    """Log requests, still nested (see ``operators.flatten``)."""
-    return _requests(spark, path, schemas.OTLP_LOGS, streaming, options)
+    """Log requests, still nested (see ``operators.flatten``). ``typed`` reads values as VARIANT, which keeps their kinds."""
+    return _requests(spark, path, schemas.OTLP_LOGS_TYPED if typed else schemas.OTLP_LOGS, streaming, options)
 
 
 def read_otlp_traces(

@@ -29,17 +29,23 @@ from pyspark.sql.streaming import StreamingQuery
 from tlake import schemas
 from tlake.operators.flatten import otlp_to_logs, otlp_to_metrics
 from tlake.operators.transforms import (
+    FRAGMENTS,
+    container_lines,
+    container_rows,
     enrich_k8s,
     fix_time,
-    parse_container,
+    merge_fragments,
     set_log_type,
     split_sessions,
     upsert_attr,
 )
+from tlake.plans import hadoop
 from tlake.plans.lake import Lake
 from tlake.session import prepare
 from tlake.sources.files import parse_prom_text, read_journal_json
 from tlake.sources.otlp import read_otlp_logs, read_otlp_traces
+from tlake.sources.tail import tail_container_logs
+from tlake.plans import hadoop
 from tlake.streaming.sinks import (
     TRIGGER,
     archive_sink,
@@ -64,25 +70,51 @@ def counters(checkpoint: str) -> str:
     return f"{checkpoint}/counters"
 
 
+class Fragments:
+    """Unfinished messages of a pipeline: a small table per batch, written last. Batch n reads the table of n - 1, so a
+    repeated batch finds what its first attempt found."""
+
+    def __init__(self, root: str, patience: int) -> None:
+        self.root, self.patience = root, patience
+
+    def path(self, batch_id: int) -> str:
+        return f"{self.root}/{batch_id:012d}"
+
+    def before(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
+        return spark.read.schema(FRAGMENTS).parquet(self.path(batch_id - 1)) if batch_id else None
+
+    def finished(self, messages: DataFrame) -> DataFrame:
+        return messages.filter(F.col("closed") | (F.col("carried") >= self.patience))
+
+    def sink(self, messages: DataFrame, batch: str) -> None:
+        spark, batch_id = messages.sparkSession, int(batch[-12:])
+        still_open = messages.filter(~F.col("closed") & (F.col("carried") < self.patience))
+        columns = ("source", "stream", "file_path", "parts", "carried")
+        still_open.select(*columns).coalesce(1).write.mode("overwrite").parquet(self.path(batch_id))
+        if batch_id >= 2:  # the batch that read it is done
+            hadoop.delete(spark, self.path(batch_id - 2))
+
+
 REJECTED = "resourceLogs IS NULL"  # a line that is no request
 
 
 def records(
     spark: SparkSession, src: str, lake: Lake, archive: str, checkpoint: str,
     trigger: str | None = TRIGGER, now: datetime | str | Column | None = None,
-    overwrite_type: bool = True, writers: int | None = None, **options: str,
+    overwrite_type: bool = True, writers: int | None = None, archive_type: str | None = "otel", **options: str,
 ) -> StreamingQuery:
-    """``logs`` and ``logs/sessions`` in one stream: the input is read and parsed once for all three sinks."""
-    requests = read_otlp_logs(spark, src, streaming=True, **_bounded(options))
+    """``logs`` and ``logs/sessions`` in one stream: the input is read and parsed once for all three sinks. The archive keeps
+    the kinds of values; ``archive_type=None`` takes its prefix from the resource's ``log_type``."""
+    requests = read_otlp_logs(spark, src, streaming=True, typed=True, **_bounded(options))
     plain = lambda df: set_log_type(split_sessions(df)[0], "otel", overwrite_type)
     name = "logs/records"
     sinks = [
         only(plain, table_sink(lake, "otel_logs", name, writers)),
-        only(plain, archive_sink(archive, "otel", name)),
+        only(plain, archive_sink(archive, archive_type, name)),
         only(lambda df: split_sessions(df)[1], table_sink(lake, "sessions", name, writers)),
     ]
     return fan_out(
-        requests, sinks, f"{checkpoint}/{name}", name, trigger, lambda df: fix_time(otlp_to_logs(df), now),
+        requests, sinks, f"{checkpoint}/{name}", name, trigger, lambda df, _: fix_time(otlp_to_logs(df), now),
         counters(checkpoint), REJECTED,
     )
 
@@ -90,13 +122,13 @@ def records(
 def logs(
     spark: SparkSession, src: str, lake: Lake, archive: str, checkpoint: str,
     trigger: str | None = TRIGGER, now: datetime | str | Column | None = None,
-    overwrite_type: bool = True, writers: int | None = None, **options: str,
+    overwrite_type: bool = True, writers: int | None = None, archive_type: str | None = "otel", **options: str,
 ) -> StreamingQuery:
-    requests = read_otlp_logs(spark, src, streaming=True, **_bounded(options))
+    requests = read_otlp_logs(spark, src, streaming=True, typed=True, **_bounded(options))
     name = "logs"
-    sinks = [table_sink(lake, "otel_logs", name, writers), archive_sink(archive, "otel", name)]
+    sinks = [table_sink(lake, "otel_logs", name, writers), archive_sink(archive, archive_type, name)]
 
-    def ordinary(batch: DataFrame) -> DataFrame:
+    def ordinary(batch: DataFrame, _: int) -> DataFrame:
         return set_log_type(split_sessions(fix_time(otlp_to_logs(batch), now))[0], "otel", overwrite_type)
 
     return fan_out(requests, sinks, f"{checkpoint}/{name}", name, trigger, ordinary, counters(checkpoint), REJECTED)
@@ -110,42 +142,53 @@ def sessions(
     requests = read_otlp_logs(spark, src, streaming=True, **_bounded(options))
     name = "logs/sessions"
     sinks = [table_sink(lake, "sessions", name, writers)]
-    only_sessions = lambda df: split_sessions(fix_time(otlp_to_logs(df), now))[1]
+    only_sessions = lambda df, _: split_sessions(fix_time(otlp_to_logs(df), now))[1]
     return fan_out(requests, sinks, f"{checkpoint}/{name}", name, trigger, only_sessions)
 
 
 def container(
     spark: SparkSession, glob: str, pods: DataFrame, archive: str, checkpoint: str,
-    trigger: str | None = TRIGGER, **options: str,
+    trigger: str | None = TRIGGER, follow: bool = False, patience: int = 100, **options: str,
 ) -> StreamingQuery:
-    """Container log files from the beginning: a new checkpoint reads every file. A file
-    is read once, so ``glob`` is to find closed files, such as ``/var/log/pods/*/*/*.log.*``; then no message
-    but one cut by the rotation itself spans two batches."""
-    prepare(spark)
-    options = _bounded(options)
-    lines = spark.readStream.options(**options).text(glob).select(
-        "value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("block_start")
-    )
+    """Container log files from the beginning: a new checkpoint reads every file.
 
-    def merge(batch: DataFrame) -> DataFrame:
-        numbered = batch.withColumn("line_no", F.monotonically_increasing_id())
-        return set_log_type(enrich_k8s(parse_container(numbered), pods), "container")
+    ``follow`` reads files while they grow, by byte positions; ``glob`` then finds the live files. Otherwise a file is read
+    once, and ``glob`` is to find closed files, such as ``/var/log/pods/*/*/*.log.*``.
 
+    A message that is not finished in a batch, because its file is not or because a rotation has cut it, is kept below the
+    checkpoint, in a version per batch, and continued by the next batch; a repeated batch starts from the version before
+    its own again. After ``patience`` batches it is passed on as it is, so what is kept stays small.
+    """
+    prepare(spark)
     name = "logs/container"
-    return fan_out(
-        lines, [archive_sink(archive, "k8s", name)], f"{checkpoint}/{name}", name, trigger, merge
-    )
+    kept = Fragments(f"{checkpoint}/{name}-fragments", patience)
+    if follow:
+        lines = tail_container_logs(spark, glob)
+    else:
+        lines = spark.readStream.options(**_bounded(options)).text(glob).select(
+            "value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("block_start"),
+        )
+
+    def merge(batch: DataFrame, batch_id: int) -> DataFrame:
+        numbered = batch if follow else batch.withColumn("line_no", F.monotonically_increasing_id())
+        return merge_fragments(container_lines(numbered), kept.before(batch.sparkSession, batch_id))
+
+    def rows(messages: DataFrame) -> DataFrame:
+        return set_log_type(enrich_k8s(container_rows(kept.finished(messages)), pods), "container")
+
+    sinks = [only(rows, archive_sink(archive, "k8s", name)), kept.sink]
+    return fan_out(lines, sinks, f"{checkpoint}/{name}", name, trigger, merge)
 
 
 def journal(
     spark: SparkSession, src: str, pods: DataFrame, archive: str, checkpoint: str,
-    since: datetime | str | None = None, trigger: str | None = TRIGGER, **options: str,
+    since: datetime | str | None = None, trigger: str | None = TRIGGER, archive_type: str | None = "journal", **options: str,
 ) -> StreamingQuery:
-    """Journal exports; ``since`` set to the start time reads "from the end"."""
+    """Journal exports; ``since`` set to the start time reads "from the end". The resource's ``log_type`` is ``journal`` too."""
     rows = enrich_k8s(read_journal_json(spark, src, since, streaming=True, **_bounded(options)), pods)
     rows = set_log_type(upsert_attr(rows, "ResourceAttributes", "log_type", "journal"), "journal")
     name = "logs/journal"
-    return fan_out(rows, [archive_sink(archive, "journal", name)], f"{checkpoint}/{name}", name, trigger)
+    return fan_out(rows, [archive_sink(archive, archive_type, name)], f"{checkpoint}/{name}", name, trigger)
 
 
 def traces(

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tlake.functions.scalar import bucket_micros
 from tlake.plans import hadoop
 from tlake.plans.lake import Lake
-from tlake.streaming.archive import write_otlp_archive
+from tlake.streaming.archive import write_archive_by_type, write_otlp_archive
 
 Sink = Callable[[DataFrame, str], None]
 
@@ -39,7 +39,10 @@ def only(rows: Callable[[DataFrame], DataFrame], sink: Sink) -> Sink:
     return lambda df, batch: sink(rows(df), batch)
 
 
-def archive_sink(root: str, archive_type: str, name: str) -> Sink:
+def archive_sink(root: str, archive_type: str | None, name: str) -> Sink:
+    """Without ``archive_type`` each record goes below the ``log_type`` of its resource."""
+    if archive_type is None:
+        return lambda df, batch: write_archive_by_type(df, root, segment(name, batch))
     return lambda df, batch: write_otlp_archive(df, root, archive_type, segment(name, batch))
 
 
@@ -49,7 +52,7 @@ def fan_out(
     checkpoint: str,
     name: str,
     trigger: str | None = TRIGGER,
-    prepare_batch: Callable[[DataFrame], DataFrame] | None = None,
+    prepare_batch: Callable[[DataFrame, int], DataFrame] | None = None,
     counters: str | None = None,
     rejected: str | None = None,
 ) -> StreamingQuery:
@@ -57,7 +60,8 @@ def fan_out(
 
     ``trigger=None`` works through what is there and stops. The checkpoint is the
     position in the source; a batch that is repeated after a failure replaces its
-    own segments, which carry the query's id from the checkpoint. ``prepare_batch`` holds steps that need a batch frame.
+    own segments, which carry the query's id from the checkpoint. ``prepare_batch`` holds steps that need a batch frame
+    and its number.
 
     With ``counters`` each batch leaves a file in that folder once all sinks are done: rows and body bytes that were
     written, input rows that ``rejected`` holds for, and whether the batch took longer than the trigger interval. A
@@ -77,7 +81,7 @@ def fan_out(
         if counters:
             refused = F.count_if(F.expr(rejected)) if rejected else F.lit(0).cast("bigint")
             batch = batch.observe(read, F.count("*").alias("read"), refused.alias("rejected"))
-        rows = prepare_batch(batch) if prepare_batch else batch
+        rows = prepare_batch(batch, batch_id) if prepare_batch else batch
         if counters:
             rows = rows.observe(put, F.count("*").alias("rows"), F.sum(F.octet_length("Body")).alias("bytes"))
         shared = len(sinks) > 1

@@ -6,15 +6,18 @@ and parents follow from the id, without ordering any group.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tlake import schemas
-from tlake.functions import empty_map, epoch_micros, time_bucket, unix_nanos
+from tlake.functions import empty_map, epoch_micros, time_bucket, unix_nanos, unix_seconds
 from tlake.operators.flatten import log_rows
 from tlake.operators.percentiles import exact_percentiles
-from tlake.session import prepare
+from tlake.plans import hadoop
+from tlake.session import prepare, scratch_dir
 from tlake.streaming.archive import key_values
 
 BOUNDS = [5.0, 10.0, 25.0, 50.0, 100.0, 250.0]
@@ -385,6 +388,128 @@ def container_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OTHER_BOUNDS = [10.0, 50.0, 100.0, 500.0]
+
+
+def histogram_of_two_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly histograms; services of odd number count on bounds of their own."""
+    def counts(bounds: list[float]) -> Column:
+        edges = [None, *bounds, None]
+        return F.array(*[
+            F.count_if((F.lit(True) if lo is None else F.col("value") > lo) & (F.lit(True) if hi is None else F.col("value") <= hi))
+            for lo, hi in zip(edges, edges[1:])
+        ])
+
+    odd = F.substring("svc", 5, 1).cast("int") % 2 == 1
+    g = (
+        events(spark, sf_dir).groupBy(service().alias("svc"), "event_type", time_bucket("ts", "1 hour").alias("at"))
+        .agg(counts(BOUNDS).alias("one"), counts(OTHER_BOUNDS).alias("other"), F.count("*").alias("n"))
+    )
+    bounds = lambda xs: F.array(*[F.lit(b) for b in xs])
+    return _points(
+        g, "histogram",
+        {"Count": F.col("n"), "BucketCounts": F.when(odd, F.col("other")).otherwise(F.col("one")),
+         "ExplicitBounds": F.when(odd, bounds(OTHER_BOUNDS)).otherwise(bounds(BOUNDS)), "AggregationTemporality": F.lit(1)},
+        empty_map(), F.col("at"), F.col("event_type"),
+    )
+
+
+def restarting_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters with a restart at the begin of every third day, told by the start time."""
+    days = F.expr("unix_date(CAST(TimeUnix AS DATE)) div 3 * 3").cast("bigint")
+    return counter(spark, sf_dir).withColumn("StartTimeUnix_ns", days * F.lit(86_400_000_000_000).cast("bigint"))
+
+
+def span_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces that are chains of up to 1,000 spans: of three events in a row each goes to a chain of its own. The first of
+    the chains is whole, the second one's first span names a parent that is not there, the third one's first span
+    names the tenth as its parent, which makes a cycle."""
+    pos, kind = F.expr("event_id % 3000 div 3"), F.col("event_id") % 3
+    first = F.when(kind == 0, "").when(kind == 1, "f" * 16).otherwise(span_id(F.col("event_id") + 27))
+    return events(spark, sf_dir).select(
+        hex_id(F.expr("event_id div 3000 * 3 + event_id % 3 + 1"), 32).alias("TraceId"), span_id().alias("SpanId"),
+        F.when(pos == 0, first).otherwise(span_id(F.col("event_id") - 3)).alias("ParentSpanId"),
+    )
+
+
+def typed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request lines with a value of every kind; the resource of views has no ``log_type``."""
+    quoted = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    pair = lambda key, value: F.concat(F.lit(f'{{"key":"{key}","value":{{'), *value, F.lit("}}"))
+    n, type_ = F.col("event_id").cast("string"), quoted(F.col("event_type"))
+    attributes = F.concat_ws(
+        ",",
+        pair("n", [F.lit('"intValue":"'), n, F.lit('"')]),
+        pair("ok", [F.lit('"boolValue":'), (F.col("event_id") % 2 == 0).cast("string")]),
+        pair("x", [F.lit('"doubleValue":'), (F.col("event_id") % 8 / F.lit(8.0)).cast("string")]),
+        pair("raw", [F.lit('"bytesValue":"'), F.base64(F.encode("event_type", "UTF-8")), F.lit('"')]),
+        pair("list", [F.lit('"arrayValue":{"values":[{"intValue":"'), n, F.lit('"},{"stringValue":'), type_, F.lit("}]}")]),
+        pair("pairs", [F.lit('"kvlistValue":{"values":[{"key":"k","value":{"arrayValue":{"values":[{"boolValue":true}]}}}]}')]),
+        pair("s", [F.lit('"stringValue":'), type_]),
+    )
+    own = F.when(F.col("event_type") == "view", "").otherwise(F.concat(F.lit(","), pair("log_type", [F.lit('"stringValue":'), type_])))
+    resource = F.concat(pair("service.name", [F.lit('"stringValue":"'), service(), F.lit('"')]), own, F.lit(","), pair("zone", [F.lit('"intValue":"7"')]))
+    record = F.concat(
+        F.lit('{"timeUnixNano":"'), unix_nanos("ts").cast("string"), F.lit('","spanId":"'), span_id(),
+        F.lit('","body":{"intValue":"'), n, F.lit('"},"attributes":['), attributes, F.lit("]}"),
+    )
+    return events(spark, sf_dir).select(F.concat(
+        F.lit('{"resourceLogs":[{"resource":{"attributes":['), resource, F.lit(']},"scopeLogs":[{"scope":{},"logRecords":['), record, F.lit("]}]}]}"),
+    ).alias("value"))
+
+
+def log_files(lines: DataFrame, root: str) -> list[str]:
+    """Write lines as files with the names a node gives them, each in line order; returns their paths. Spark writes one file
+    per name, which is then given that name."""
+    spark = lines.sparkSession
+    staged = scratch_dir(spark, "staged")
+    (
+        lines.select("value", F.regexp_extract("file_path", "/var/log/pods/(.*)", 1).alias("name"), "line_no")
+        .repartition("name").sortWithinPartitions("name", "line_no").drop("line_no")
+        .write.partitionBy("name").text(staged)
+    )
+    paths = []
+    for folder in hadoop.names(spark, staged):
+        for part in hadoop.names(spark, f"{staged}/{folder}") if folder.startswith("name=") else []:
+            if part.startswith("part-"):
+                paths.append(f"{root}/{unquote(folder.removeprefix('name='))}")
+                hadoop.rename(spark, f"{staged}/{folder}/{part}", paths[-1])
+    return paths
+
+
+def rotated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container lines, each file rotated in the middle of a message: of the middle one of its messages with three
+    fragments the first is in the rotated file, the others in the live one."""
+    lines = container_lines(spark, sf_dir).withColumn("event", F.expr("line_no div 4"))
+    middle = lines.agg((F.max("event") / 2).alias("m")).scalar()
+    cut = (
+        lines.filter((F.col("event") % 3 == 0) & (F.col("event") >= middle))
+        .groupBy("file_path").agg((F.min("event") * 4 + 1).alias("cut"))
+    )
+    old = F.col("line_no") <= F.col("cut")
+    return lines.join(cut, "file_path", "left").select(
+        "value", "block_start", "line_no", F.coalesce(old, F.lit(True)).alias("rotated"),
+        F.when(F.coalesce(old, F.lit(True)), F.concat("file_path", F.lit(".20240131-000000"))).otherwise(F.col("file_path")).alias("file_path"),
+    )
+
+
+def pod_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pods over time: every pod has been made anew on 2024-01-08 and 2024-01-15, those of an odd number have ended on the 20th."""
+    lives = []
+    for life, (start, end) in enumerate([("2024-01-01", "2024-01-08"), ("2024-01-08", "2024-01-15"), ("2024-01-15", None)]):
+        ended = F.when(F.col("n") % 2 == 1, F.lit("2024-01-20")) if end is None else F.lit(end)
+        lives.append(F.struct(
+            F.concat("pod_uid", F.lit(f"-{life}")).alias("pod_uid"),
+            F.concat(F.lit("node-"), ((F.col("n") + life) % 3).cast("string")).alias("node_name"),
+            unix_nanos(F.lit(start).cast("timestamp_ntz")).alias("valid_from_ns"),
+            unix_nanos(ended.cast("timestamp_ntz")).alias("valid_to_ns"),
+        ))
+    known = pods(spark, sf_dir).withColumn("n", F.col("pod_uid").cast("int"))
+    return known.select("pod_name", "namespace", "container_name", F.explode(F.array(*lives)).alias("life")).select(
+        "pod_name", "namespace", "container_name", "life.*"
+    )
+
+
 def journal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     prio = F.when(F.col("event_type") == "error", "3").when(F.col("event_type") == "purchase", "4").otherwise("6")
     entry = F.struct(
@@ -406,11 +531,16 @@ def prom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("Count").cast("string")
     s = F.col("s").cast("string")
     line = lambda name, lab, v: F.concat(F.lit(name), F.lit("{"), lab, F.lit("} "), v)
+    # The counter has an exemplar without a time, two buckets of the histogram have one with time and another label.
+    seen = F.concat(F.lit(' # {trace_id="'), hex_id(F.col("Count"), 32), F.lit('",span_id="'), hex_id(F.col("Count") + 1, 16))
+    second = F.concat(unix_seconds("TimeUnix").cast("string"), F.lit(".25"))
+    of_bucket = lambda i: F.concat(
+        seen, F.lit('",note="a \\"}# b"} '), F.lit(f"{BOUNDS[i]} "), second) if i in (1, 3) else F.lit("")
     lines = [
         line("events_now", label, n),
-        line("cents_total", label, s),
+        F.concat(line("cents_total", label, s), seen, F.lit('"} 1.0')),
         *[
-            line("value_dist_bucket", F.concat(label, F.lit(f',le="{b}"')), cum(i).cast("string"))
+            F.concat(line("value_dist_bucket", F.concat(label, F.lit(f',le="{b}"')), cum(i).cast("string")), of_bucket(i))
             for i, b in enumerate([*[str(x) for x in BOUNDS], "+Inf"])
         ],
         line("value_dist_sum", label, s), line("value_dist_count", label, n),

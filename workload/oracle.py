@@ -143,6 +143,9 @@ SELECT session_id AS "sessionId", min(ts) AS start, max(ts) AS "end", count(*) A
 FROM logs WHERE session_id <> '' GROUP BY session_id
 """
 
+# What the path of a container log file says.
+_ORIGIN = "ns_name AS namespace, pod, 'uid' AS uid, 'app' AS container, '0' AS restart"
+
 ORACLE: dict[str, str] = {
     # recent windows, extents, top-k
     "top_metrics_by_service": L + """
@@ -204,9 +207,21 @@ ORACLE: dict[str, str] = {
     "container_log_merge": L + """
         SELECT ts AS "Timestamp", body AS "Body", CASE WHEN user_id % 2 = 0 THEN 'stdout' ELSE 'stderr' END AS stream,
           ns_name AS namespace, pod, 'uid' AS uid, 'app' AS container FROM logs""",
-    "container_log_files": L + """
-        SELECT CASE WHEN user_id % 2 = 0 THEN 'stdout' ELSE 'stderr' END AS stream, body AS "Body", count(*) AS n
-        FROM logs GROUP BY ALL""",
+    "container_log_files": L + f"""
+        SELECT CASE WHEN user_id % 2 = 0 THEN 'stdout' ELSE 'stderr' END AS stream, body AS "Body", {_ORIGIN},
+          '' AS node, count(*) AS n FROM logs GROUP BY ALL""",
+    "container_log_rotated": L + f"""
+        SELECT ts AS "Timestamp", body AS "Body", CASE WHEN user_id % 2 = 0 THEN 'stdout' ELSE 'stderr' END AS stream,
+          {_ORIGIN}, '' AS node FROM logs""",
+    "enrich_pods_as_of": L + """
+        , lives AS (SELECT n_nationkey AS n, 'pod-' || n_nationkey AS pod, 'ns-' || n_regionkey AS ns_name, n_name, life,
+            TIMESTAMP '2024-01-01' + life * INTERVAL 7 DAY AS start,
+            CASE WHEN life < 2 THEN TIMESTAMP '2024-01-08' + life * INTERVAL 7 DAY
+              WHEN n_nationkey % 2 = 1 THEN TIMESTAMP '2024-01-20' ELSE TIMESTAMP '9999-01-01' END AS stop
+          FROM nation, (VALUES (0), (1), (2)) t(life))
+        SELECT event_id, logs.ns_name AS namespace, logs.pod, coalesce(n || '-' || life, '') AS uid, coalesce(n_name, '') AS container,
+          '' AS restart, coalesce('node-' || ((n + life) % 3), '') AS node
+        FROM logs LEFT JOIN lives ON logs.pod = lives.pod AND logs.ns_name = lives.ns_name AND ts >= start AND ts < stop""",
     "journal_entries": L + """
         SELECT ts AS "Timestamp", body AS "Body",
           CASE event_type WHEN 'error' THEN 'err' WHEN 'purchase' THEN 'warning' ELSE 'info' END AS "SeverityText",
@@ -224,6 +239,13 @@ ORACLE: dict[str, str] = {
     "prom_summary": _with(LOGS, HIST) + f"""
         SELECT 'value_q' AS "MetricName", {_PROM}, n AS "Count", CAST(s AS DOUBLE) AS "Sum",
           CAST(0.5 AS DOUBLE) AS q, CAST(n AS DOUBLE) AS v FROM hist""",
+    "prom_exemplars": _with(LOGS, HIST) + f"""
+        , own AS (SELECT {_PROM}, lpad(lower(hex(n)), 32, '0') AS trace_id, lpad(lower(hex(n + 1)), 16, '0') AS span_id,
+            epoch_us(hr) * 1000 + 250000000 AS ns FROM hist)
+        SELECT 'cents_total' AS "MetricName", "TimeUnix", svc, type, CAST(1 AS DOUBLE) AS value, CAST(0 AS BIGINT) AS at_ns,
+          trace_id, span_id, '' AS note, CAST(0 AS INTEGER) AS n_labels FROM own
+        UNION ALL SELECT 'value_dist', "TimeUnix", svc, type, CAST(b AS DOUBLE), ns, trace_id, span_id, 'a "}}# b', 1
+        FROM own, (VALUES (10), (50)) t(b)""",
     "otlp_spans": S + """
         SELECT ts AS "Timestamp", ns AS "Timestamp_ns", trace_id AS "TraceId", span_id AS "SpanId",
           parent_id AS "ParentSpanId", span_name AS "SpanName", kind AS "SpanKind", svc AS "ServiceName",
@@ -301,6 +323,11 @@ ORACLE: dict[str, str] = {
           coalesce(c, 0) AS n_children, coalesce(d, 0) AS children_ns, greatest(s.dur - coalesce(d, 0), 0) AS self_ns
         FROM spans s LEFT JOIN spans p ON s.trace_id = p.trace_id AND s.parent_id = p.span_id
         LEFT JOIN kids ON s.trace_id = kids.trace_id AND s.span_id = kids.parent_id""",
+    "span_roots": """
+        SELECT lpad(lower(hex(event_id // 3000 * 3 + event_id % 3 + 1)), 32, '0') AS "TraceId", lpad(lower(hex(event_id + 1)), 16, '0') AS "SpanId",
+          CASE WHEN event_id % 3 = 2 THEN '' ELSE lpad(lower(hex(event_id // 3000 * 3000 + event_id % 3 + 1)), 16, '0') END AS root,
+          CASE WHEN event_id % 3 = 2 THEN -1 ELSE event_id % 3000 // 3 END AS depth,
+          CASE event_id % 3 WHEN 0 THEN 'rooted' WHEN 1 THEN 'orphan' ELSE 'cycle' END AS state FROM events""",
     "span_self_time": _with(SPANS, _TREE) + """
         SELECT s.span_id AS "SpanId", s.dur AS "Duration", greatest(s.dur - coalesce(d, 0), 0) AS self_ns
         FROM spans s LEFT JOIN kids ON s.trace_id = kids.trace_id AND s.span_id = kids.parent_id""",
@@ -361,6 +388,31 @@ ORACLE: dict[str, str] = {
           round(CASE WHEN i = -1000 THEN 0.0::DOUBLE
             ELSE pow(2.0::DOUBLE, i + (0.5::DOUBLE * n - (upto - c)) / c) END, 6) AS p50
         FROM h WHERE rn = 1""",
+    "histogram_quantile_mixed_bounds": L + """
+        , layout AS (SELECT * FROM (VALUES (0, 0.0::DOUBLE, 5.0::DOUBLE), (0, 5.0, 10.0), (0, 10.0, 25.0), (0, 25.0, 50.0), (0, 50.0, 100.0),
+          (0, 100.0, 250.0), (0, 250.0, NULL), (1, 0.0, 10.0), (1, 10.0, 50.0), (1, 50.0, 100.0), (1, 100.0, 500.0), (1, 500.0, NULL)) t(odd, a, b)),
+        fine AS (SELECT * FROM (VALUES (0.0::DOUBLE, 5.0::DOUBLE), (5.0, 10.0), (10.0, 25.0), (25.0, 50.0), (50.0, 100.0), (100.0, 250.0),
+          (250.0, 500.0), (500.0, NULL)) t(lo, hi)),
+        c AS (SELECT make_timestamp(epoch_us(ts) // 8640000000000 * 8640000000000) AS bucket, event_type, a, b, count(*) AS c
+          FROM logs JOIN layout ON odd = user_id % 5 % 2 AND (value > a OR a = 0) AND (b IS NULL OR value <= b) GROUP BY ALL),
+        shared AS (SELECT bucket, event_type, lo, hi, sum(CASE WHEN b IS NULL THEN c ELSE c * (hi - lo) / (b - a) END) AS c
+          FROM c JOIN fine ON (b IS NULL AND hi IS NULL) OR (lo >= a AND hi <= b) GROUP BY ALL),
+        r AS (SELECT *, sum(c) OVER w AS upto, sum(c) OVER (PARTITION BY bucket, event_type) AS n
+          FROM shared WHERE c > 0 WINDOW w AS (PARTITION BY bucket, event_type ORDER BY lo)),
+        h AS (SELECT *, row_number() OVER (PARTITION BY bucket, event_type ORDER BY lo) AS rn FROM r WHERE upto >= 0.9::DOUBLE * n)
+        SELECT bucket, event_type AS "MetricName", round(n, 6) AS n,
+          round(CASE WHEN hi IS NULL THEN lo ELSE lo + (hi - lo) * ((0.9::DOUBLE * n - (upto - c)) / c) END, 6) AS p90 FROM h WHERE rn = 1""",
+    "counter_rate_restarts": L + """
+        , runs AS (SELECT *, epoch_us(ts) AS us, epoch_us(ts) // 259200000000 * 259200000000 AS start FROM logs),
+        steps AS (SELECT *, lag(cents) OVER w AS prev, lag(us) OVER w AS before, lag(start) OVER w AS was FROM runs
+          WINDOW w AS (PARTITION BY svc, event_type, user_id ORDER BY ts)),
+        taken AS (SELECT svc, event_type, user_id, us, CASE WHEN prev IS NULL THEN us WHEN start > was THEN greatest(before, start) ELSE before END AS began,
+            CASE WHEN prev IS NULL THEN 0 WHEN start > was OR cents < prev THEN cents ELSE cents - prev END AS amount FROM steps),
+        days AS (SELECT *, unnest(range(began // 86400000000, us // 86400000000 + 1)) * 86400000000 AS d FROM taken),
+        parts AS (SELECT make_timestamp(d) AS bucket, svc, event_type, user_id, CASE WHEN d = us // 86400000000 * 86400000000 THEN 1 ELSE 0 END AS point,
+            CASE WHEN us = began THEN amount ELSE amount * ((least(us, d + 86400000000) - greatest(began, d))::DOUBLE / (us - began)) END AS part FROM days)
+        SELECT bucket, svc AS "ServiceName", event_type AS "MetricName", CAST(user_id AS VARCHAR) AS "user",
+          round(CAST(sum(part) AS DOUBLE), 4) AS increase, CAST(sum(point) AS BIGINT) AS n FROM parts GROUP BY ALL""",
     "summary_quantile": _with(LOGS, SUMMARY) + """
         SELECT svc AS "ServiceName", hr AS "TimeUnix", n AS "Count", q90 AS quantile FROM summ""",
     "metrics_by_kind": _with(LOGS, HIST, SUMMARY) + """
@@ -373,6 +425,10 @@ ORACLE: dict[str, str] = {
     "lake_logs_round_trip": L + f"""
         SELECT ts AS "Timestamp", ns AS "Timestamp_ns", ts_s AS "TimestampTime", trace_id AS "TraceId", span_id AS "SpanId",
           sev AS "SeverityText", svc AS "ServiceName", body AS "Body", k, 'hot' AS tier, {DAY_OF} AS event_date FROM logs""",
+    "filter_logs_promoted": L + """
+        SELECT span_id AS "SpanId", body AS "Body", k FROM logs WHERE event_type = 'purchase' AND pod = 'pod-3'""",
+    "search_logs_indexed": L + """
+        SELECT span_id AS "SpanId", body AS "Body" FROM logs WHERE lower(body) LIKE '%chase by user 1%'""",
     "lake_sessions_round_trip": _with(SESSIONS) + """
         SELECT ts AS "Timestamp", 'web' AS "ServiceName", text AS "Body", sid FROM sess""",
     "lake_traces_round_trip": S + f"""
@@ -430,9 +486,18 @@ ORACLE: dict[str, str] = {
     "stream_archive_sink": L + """
         SELECT svc AS service_name, sev AS severity, count(*) AS n FROM logs WHERE session_id = '' GROUP BY ALL""",
     "stream_sessions": L + _SESSION_LIST,
-    "stream_container": L + """
-        SELECT ts AS timestamp, body, 'container' AS log_type,
-          CASE WHEN user_id % 2 = 0 THEN 'stdout' ELSE 'stderr' END AS stream FROM logs""",
+    "stream_container": L + f"""
+        SELECT ts AS timestamp, body, 'container' AS log_type, CASE WHEN user_id % 2 = 0 THEN 'stdout' ELSE 'stderr' END AS stream,
+          {_ORIGIN}, coalesce('node-' || (n_nationkey % 3), '') AS node
+        FROM logs LEFT JOIN nation ON pod = 'pod-' || n_nationkey AND ns_name = 'ns-' || n_regionkey""",
+    "archive_by_type": """
+        SELECT CASE WHEN event_type = 'view' THEN 'unknown' ELSE event_type END AS prefix,
+          CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS log_type, count(*) AS n FROM events GROUP BY ALL""",
+    "archive_value_kinds": """
+        SELECT lpad(lower(hex(event_id + 1)), 16, '0') AS "SpanId",
+          'intValue,boolValue,doubleValue,bytesValue,arrayValue,kvlistValue,stringValue,intValue' AS kinds, event_id AS body, event_id AS n,
+          event_id % 2 = 0 AS ok, event_id % 8 / 8.0::DOUBLE AS x, event_type AS raw, event_id AS list_n, event_type AS list_s,
+          'k' AS pair_key, TRUE AS pair_value, event_type AS s, 'otel' AS log_type FROM events""",
     "stream_journal": L + """
         SELECT ts AS "Timestamp", body AS "Body",
           CASE event_type WHEN 'error' THEN 'err' WHEN 'purchase' THEN 'warning' ELSE 'info' END AS "SeverityText",
@@ -490,6 +555,7 @@ ORACLE: dict[str, str] = {
             ELSE pow(2.0::DOUBLE, (i + (0.5::DOUBLE * n - (upto - c)) / c) * pow(2.0::DOUBLE, -scale)) END, 6) AS p50
         FROM h WHERE rn = 1""",
 }
+ORACLE["stream_container_rotated"] = ORACLE["container_tail"] = ORACLE["stream_container"]
 ORACLE["lake_recent_hour"] = ORACLE["recent_log_count"]
 ORACLE["traces_by_id"] = ORACLE["traces_with_errors"]
 ORACLE["container_flatten_all"] = ORACLE["container_path_extract"]

@@ -9,12 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tlake import schemas
-from tlake.functions import json_string, map_text, readable_size, unix_seconds
+from tlake.functions import (
+    attrs_to_values,
+    json_string,
+    map_text,
+    readable_size,
+    typed_value,
+    unix_seconds,
+    value_kind,
+    values_text,
+)
 from tlake.operators import aggregates as agg
 from tlake.operators import metrics as met
 from tlake.operators import traces as trc
 from tlake.operators import transforms as trf
 from tlake.operators import views
+from tlake.operators.metrics import union_metrics
 from tlake.operators.flatten import (
     archive_logs,
     container_fields,
@@ -26,7 +36,9 @@ from tlake.operators.flatten import (
     unnest,
 )
 from tlake.plans import Lake, apply_moves, compact, compact_due, inventory, plan_moves, reports
+from tlake.plans import hadoop
 from tlake.plans.lake import TIERS
+from tlake.plans.textindex import search_files, update_text_index
 from tlake.session import scratch_dir
 from tlake.sources import (
     parse_lines,
@@ -238,23 +250,41 @@ def container_log_merge(spark, sf_dir):
 
 
 def _container_files(spark, sf_dir):
-    """Log files in one folder per pod. The fragments of a message go to one file, in order;
-    a busy pod gets several files."""
+    """Log files as on a node: one folder per pod, one per container."""
     root = scratch_dir(spark, "pods")
-    (
-        fx.container_lines(spark, sf_dir)
-        .select("value", F.element_at(F.split("file_path", "/"), -3).alias("pod_dir"), "line_no")
-        .repartition("pod_dir", F.expr("line_no div 4")).sortWithinPartitions("pod_dir", "line_no").drop("line_no")
-        .write.partitionBy("pod_dir").text(root)
-    )
-    return f"{root}/pod_dir=*"
+    fx.log_files(fx.container_lines(spark, sf_dir), root)
+    return f"{root}/*/*/*.log"
+
+
+def _of_pod(column: str = "ResourceAttributes") -> list:
+    """What path and pod table say of a record's origin."""
+    names = {
+        "namespace": "k8s.namespace.name", "pod": "k8s.pod.name", "uid": "k8s.pod.uid", "container": "k8s.container.name",
+        "restart": "k8s.container.restart_count", "node": "k8s.node.name",
+    }
+    return [map_text(column, key).alias(name) for name, key in names.items()]
 
 
 @query
 def container_log_files(spark, sf_dir):
     """Real log files, read back with their line positions and parsed."""
     parsed = trf.parse_container(read_container_logs(spark, _container_files(spark, sf_dir)))
-    return parsed.groupBy(map_text("LogAttributes", "log.iostream").alias("stream"), "Body").agg(F.count("*").alias("n"))
+    return parsed.groupBy(map_text("LogAttributes", "log.iostream").alias("stream"), "Body", *_of_pod()).agg(F.count("*").alias("n"))
+
+
+@query
+def container_log_rotated(spark, sf_dir):
+    """Rotated and live files in one read: a message cut by the rotation is one row."""
+    root = scratch_dir(spark, "pods")
+    fx.log_files(fx.rotated_lines(spark, sf_dir), root)
+    parsed = trf.parse_container(read_container_logs(spark, f"{root}/*/*/*.log*"))
+    return parsed.select("Timestamp", "Body", map_text("LogAttributes", "log.iostream").alias("stream"), *_of_pod())
+
+
+@query
+def enrich_pods_as_of(spark, sf_dir):
+    """The pod that bore the name at the time of the record."""
+    return trf.enrich_k8s_as_of(fx.logs(spark, sf_dir), fx.pod_lives(spark, sf_dir)).select("event_id", *_of_pod())
 
 
 @query
@@ -302,6 +332,19 @@ def prom_summary(spark, sf_dir):
     )
 
 
+@query
+def prom_exemplars(spark, sf_dir):
+    """Exemplars behind samples, of a counter and of buckets, at the point of their series."""
+    points = _prom(spark, sf_dir)
+    both = union_metrics({kind: points[kind] for kind in ("sum", "histogram")})
+    return unnest(both.select("MetricName", "TimeUnix", "Attributes", "Exemplars"), "Exemplars").select(
+        "MetricName", "TimeUnix", map_text("Attributes", "svc").alias("svc"), map_text("Attributes", "type").alias("type"),
+        F.col("Exemplars_Value").alias("value"), F.col("Exemplars_TimeUnix_ns").alias("at_ns"),
+        F.col("Exemplars_TraceId").alias("trace_id"), F.col("Exemplars_SpanId").alias("span_id"),
+        map_text("Exemplars_FilteredAttributes", "note").alias("note"), F.size("Exemplars_FilteredAttributes").alias("n_labels"),
+    )
+
+
 @query
 def otlp_spans(spark, sf_dir):
     parsed = otlp_to_spans(parse_lines(fx.span_requests(fx.spans(spark, sf_dir)), schemas.OTLP_TRACES))
@@ -509,6 +552,12 @@ def span_tree(spark, sf_dir):
     )
 
 
+@query
+def span_roots(spark, sf_dir):
+    """Root, depth, orphans and cycles of chains of spans."""
+    return trc.span_roots(fx.span_chains(spark, sf_dir))
+
+
 @query
 def span_self_time(spark, sf_dir):
     return trc.span_self_time(fx.spans(spark, sf_dir)).select("SpanId", "Duration", "self_ns")
@@ -592,6 +641,21 @@ def exp_histogram_quantile(spark, sf_dir):
     return out.select("bucket", "ServiceName", "MetricName", "n", F.round("quantile", 6).alias("p50"))
 
 
+@query
+def histogram_quantile_mixed_bounds(spark, sf_dir):
+    """Histograms on two layouts of bounds in one group; the number of all values is kept."""
+    out = met.histogram_quantile_mixed(fx.histogram_of_two_layouts(spark, sf_dir), 0.9, "100 days", ["MetricName"])
+    return out.select("bucket", "MetricName", F.round("n", 6).alias("n"), F.round("quantile", 6).alias("p90"))
+
+
+@query
+def counter_rate_restarts(spark, sf_dir):
+    """Restarts told by the start time, steps shared out over the days they cross."""
+    out = met.counter_rate_by_start(fx.restarting_counter(spark, sf_dir), "1 day")
+    user = F.regexp_extract("attr_key", r'"value":"([^"]*)"', 1).alias("user")
+    return out.select("bucket", "ServiceName", "MetricName", user, F.round("increase", 4).alias("increase"), "n")
+
+
 @query
 def summary_quantile(spark, sf_dir):
     return met.summary_quantile(fx.summary(spark, sf_dir), 0.9).select("ServiceName", "TimeUnix", "Count", "quantile")
@@ -620,6 +684,26 @@ def lake_logs_round_trip(spark, sf_dir):
     )
 
 
+@query
+def filter_logs_promoted(spark, sf_dir):
+    """Attribute conditions on stored logs, answered by promoted columns."""
+    lake = lake_at(spark, "lake", ["otel_logs"])
+    lake.write(fx.logs(spark, sf_dir), "otel_logs")
+    found = lake.scan("otel_logs", attrs={"log_type": "purchase"}, resource={"k8s.pod.name": "pod-3"})
+    return found.select("SpanId", "Body", map_text("LogAttributes", "k").alias("k"))
+
+
+@query
+def search_logs_indexed(spark, sf_dir):
+    """Text search through sketches of the files; a part written after the index is searched as well."""
+    lake, index = lake_at(spark, "lake", ["otel_logs"]), scratch_dir(spark, "text-index")
+    logs = fx.logs(spark, sf_dir)
+    lake.write(logs.filter("event_id % 2 = 0"), "otel_logs")
+    update_text_index(lake, "otel_logs", index)
+    lake.write(logs.filter("event_id % 2 = 1"), "otel_logs")
+    return search_files(lake, "otel_logs", index, "CHASE by user 1").select("SpanId", "Body")
+
+
 @query
 def lake_sessions_round_trip(spark, sf_dir):
     lake = lake_at(spark, "sessions", ["sessions"])
@@ -883,15 +967,88 @@ def stream_sessions(spark, sf_dir):
     return agg.session_summary(lake.scan("sessions"))
 
 
+def _archived_containers(spark, out):
+    rows = otlp_to_logs(read_otlp_logs(spark, f"{out}/k8s"))
+    return rows.select(
+        F.col("Timestamp").alias("timestamp"), F.col("Body").alias("body"), map_text("LogAttributes", "log_type").alias("log_type"),
+        map_text("LogAttributes", "log.iostream").alias("stream"), *_of_pod(),
+    )
+
+
 @query
 def stream_container(spark, sf_dir):
     """Container files → pod metadata → archive."""
     src, out = _container_files(spark, sf_dir), scratch_dir(spark, "k8s")
     q = pipelines.container(spark, src, fx.pods(spark, sf_dir), out, scratch_dir(spark, "cp"), trigger=None)
     q.awaitTermination()
-    flat = archive_logs(read_otlp_logs(spark, f"{out}/k8s"))
-    return flat.select("timestamp", "body", map_text("log_attributes", "log_type").alias("log_type"),
-                       map_text("log_attributes", "log.iostream").alias("stream"))
+    return _archived_containers(spark, out)
+
+
+@query
+def stream_container_rotated(spark, sf_dir):
+    """Rotated files in a first batch, the live ones in a second: the cut messages are carried from one to the other."""
+    root, out, cp = (scratch_dir(spark, n) for n in ("pods", "k8s", "cp"))
+    lines = fx.rotated_lines(spark, sf_dir)
+    for part in (F.col("rotated"), ~F.col("rotated")):
+        fx.log_files(lines.filter(part), root)
+        pipelines.container(spark, f"{root}/*/*/*.log*", fx.pods(spark, sf_dir), out, cp, trigger=None).awaitTermination()
+    return _archived_containers(spark, out)
+
+
+@query
+def container_tail(spark, sf_dir):
+    """Files read while they grow, at three sizes that cut lines and messages, and once more after a rotation."""
+    full, root, out, cp = (scratch_dir(spark, n) for n in ("full", "pods", "k8s", "cp"))
+    names = [p.removeprefix(f"{full}/") for p in fx.log_files(fx.container_lines(spark, sf_dir), full)]
+    for third in (1, 2, 3):
+        for name in names:
+            hadoop.copy_start(spark, f"{full}/{name}", f"{root}/{name}", hadoop.size(spark, f"{full}/{name}") * third // 3)
+        pipelines.container(spark, f"{root}/*/*/*.log", fx.pods(spark, sf_dir), out, cp, None, follow=True).awaitTermination()
+    for name in names:
+        hadoop.rename(spark, f"{root}/{name}", f"{root}/{name}.20240201-000000")
+    pipelines.container(spark, f"{root}/*/*/*.log", fx.pods(spark, sf_dir), out, cp, None, follow=True).awaitTermination()
+    return _archived_containers(spark, out)
+
+
+def _archived_values(spark, sf_dir):
+    src, out = scratch_dir(spark, "in"), scratch_dir(spark, "archive")
+    fx.typed_requests(spark, sf_dir).write.text(src)
+    lake = lake_at(spark, "lake", ["otel_logs", "sessions"])
+    pipelines.records(spark, src, lake, out, scratch_dir(spark, "cp"), None, fx.AS_OF, archive_type=None).awaitTermination()
+    return out
+
+
+@query
+def archive_by_type(spark, sf_dir):
+    """The archive's prefix is the log type of each record's resource, in all requests of the stream."""
+    requests = read_otlp_logs(spark, f"{_archived_values(spark, sf_dir)}/log_type=*", typed=True)
+    kind = F.regexp_extract("_metadata.file_path", "log_type=([^/]*)/", 1).alias("prefix")
+    records = requests.select(kind, F.explode("resourceLogs").alias("r")).select("prefix", "r.resource", F.explode("r.scopeLogs").alias("s"))
+    named = values_text(attrs_to_values("resource.attributes"))
+    return (
+        records.select("prefix", map_text(named, "log_type").alias("log_type"), F.size("s.logRecords").alias("c"))
+        .groupBy("prefix", "log_type").agg(F.sum("c").alias("n"))
+    )
+
+
+@query
+def archive_value_kinds(spark, sf_dir):
+    """Values of every kind through the stream and the archive: kinds and values are those that came."""
+    rows = otlp_to_logs(read_otlp_logs(spark, f"{_archived_values(spark, sf_dir)}/log_type=*", typed=True))
+    v = lambda key: F.try_element_at("LogValues", F.lit(key))
+    keys = ("n", "ok", "x", "raw", "list", "pairs", "s")
+    in_list = typed_value(v("list"), "arrayValue")
+    in_pairs = F.get(typed_value(v("pairs"), "kvlistValue"), 0)
+    return rows.select(
+        "SpanId", F.concat_ws(",", *[value_kind(v(key)) for key in keys], value_kind(F.try_element_at("ResourceValues", F.lit("zone")))).alias("kinds"),
+        typed_value(F.col("BodyValue"), "intValue").alias("body"), typed_value(v("n"), "intValue").alias("n"),
+        typed_value(v("ok"), "boolValue").alias("ok"), typed_value(v("x"), "doubleValue").alias("x"),
+        F.decode(typed_value(v("raw"), "bytesValue"), "UTF-8").alias("raw"),
+        typed_value(F.get(in_list, 0), "intValue").alias("list_n"), typed_value(F.get(in_list, 1), "stringValue").alias("list_s"),
+        in_pairs["key"].alias("pair_key"),
+        typed_value(F.get(typed_value(in_pairs["value"], "arrayValue"), 0), "boolValue").alias("pair_value"),
+        typed_value(v("s"), "stringValue").alias("s"), map_text("LogAttributes", "log_type").alias("log_type"),
+    )
 
 
 @query
