@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import of_worker, text_key
+from .common import of_worker, slices, text_key
 
 CHUNK, OVERLAP = 32_768, 512
 NO_RANK = 1 << 60
-SLICE = 512
+TOKENS = 1 << 20  # decoded at once
 SHORT = 48  # bytes up to which looking at all pairs is faster than a heap
+ROWS = 2048  # pieces merged at once
+KEPT = 300_000  # pieces whose ids a worker keeps
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -79,36 +81,103 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Pieces(dict):
-    """piece -> ids; starts anew when full."""
+class Merges:
+    """The merges of many pieces at once. A piece is a row of ids, at first of its bytes; in a round every row merges its pair of
+    least rank, leftmost first, until no row has a pair with a rank. The pairs are kept sorted, so a round is array work."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks = ranks
-
-    def __missing__(self, piece: str) -> list[int]:
-        if len(self) > 300_000:
-            self.clear()
-        self[piece] = v = merge(piece.encode("utf-8", "surrogatepass"), self.ranks)
-        return v
+        pairs = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = rank
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, NO_RANK where it has none or the row has ended (-1)."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.values[at], NO_RANK)
+
+    def __call__(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece as 32-bit numbers one after another. Pieces of like length are merged together."""
+        out: list[bytes] = [b""] * len(pieces)
+        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
+        for start in range(0, len(order), ROWS):
+            block = order[start : start + ROWS]
+            for i, ids in zip(block, self.block([pieces[i] for i in block])):
+                out[i] = ids
+        return out
+
+    def block(self, pieces: list[bytes]) -> list[bytes]:
+        sizes = np.array([len(p) for p in pieces])
+        wide = int(sizes.max()) + 1  # one more, so that every row ends with a -1
+        ids = np.full((len(pieces), wide), -1, np.int64)
+        ids[np.arange(wide) < sizes[:, None]] = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        found = self.rank(ids[:, :-1], ids[:, 1:])
+        todo, done = np.arange(len(pieces)), [b""] * len(pieces)
+        place = np.arange(wide)
+        while True:
+            at = found.argmin(axis=1)
+            least = found[np.arange(len(todo)), at]
+            if (ended := least == NO_RANK).any():
+                for i, row in zip(todo[ended].tolist(), ids[ended].astype(np.int32)):
+                    done[i] = row[row >= 0].tobytes()
+                todo, ids, found, at, least = (x[~ended] for x in (todo, ids, found, at, least))
+                if not len(todo):
+                    return done
+            rows = np.arange(len(todo))
+            ids = np.take_along_axis(ids, np.minimum(place + (place > at[:, None]), wide - 1), axis=1)
+            ids[:, -1] = -1
+            ids[rows, at] = least
+            found = np.take_along_axis(found, np.minimum(place[:-1] + (place[:-1] > at[:, None]), wide - 2), axis=1)
+            found[:, -1] = NO_RANK
+            found[rows, at] = self.rank(least, ids[rows, at + 1])
+            left = np.maximum(at - 1, 0)
+            found[rows, left] = np.where(at > 0, self.rank(ids[rows, left], least), found[rows, left])
 
 
 class Encoder:
+    """Ids of pieces are kept as bytes, which are joined once for each text. What is kept starts anew when full."""
+
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.pieces, self.findall = Pieces(ranks), regex.compile(pattern).findall
+        self.ranks, self.merges, self.findall = ranks, Merges(ranks), regex.compile(pattern).findall
+        self.pieces: dict[str, bytes] = {}
+
+    def learn(self, found: list[list[str]]) -> None:
+        """Make sure that all pieces are known."""
+        if len(self.pieces) > KEPT:
+            self.pieces.clear()
+        new = list(set().union(*found) - self.pieces.keys())
+        raw = [p.encode("utf-8", "surrogatepass") for p in new]
+        short = [i for i, p in enumerate(raw) if len(p) <= SHORT]
+        ids = dict(zip(short, self.merges([raw[i] for i in short])))
+        for i, p in enumerate(new):
+            self.pieces[p] = ids[i] if i in ids else np.array(merge(raw[i], self.ranks), np.int32).tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit numbers one after another."""
+        found = [self.findall(t) for t in texts]
+        self.learn(found)
+        return [b"".join(map(self.pieces.__getitem__, f)) for f in found]
 
     def encode(self, text: str) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.pieces.__getitem__, self.findall(text))), np.int32)
+        return np.frombuffer(self.encode_all([text])[0], np.int32)
 
     def encode_chunk(self, text: str) -> tuple[bytes, bytes, bytes]:
         """Ids, and for each piece that begins in the first or last OVERLAP characters its place and its first id's index,
         each as 32-bit numbers one after another, which take an eighth of what lists of them take in Python.
         The begins of the last two pieces are left out: what the cut hides could still change them."""
         found = self.findall(text)
+        self.learn([found])
         ids = [self.pieces[p] for p in found]
         at = [0, *accumulate(map(len, found))][: max(1, len(found) - 1)]
-        first = [0, *accumulate(map(len, ids))]
+        first = [0, *accumulate(len(x) // 4 for x in ids)]
         near = [i for i, a in enumerate(at) if a <= OVERLAP or a >= len(text) - OVERLAP]
-        return tuple(np.fromiter(x, np.int32).tobytes() for x in (chain.from_iterable(ids), (at[i] for i in near), (first[i] for i in near)))
+        return b"".join(ids), *(np.fromiter(x, np.int32).tobytes() for x in ((at[i] for i in near), (first[i] for i in near)))
 
 
 def numbers(packed: bytes) -> np.ndarray:
@@ -134,13 +203,6 @@ def stitch(chunks: list[dict], encoder: Encoder) -> np.ndarray:
     return np.concatenate(out)
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of at most SLICE rows, so that results of a few rows only are held at a time."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, SLICE):
-            yield batch.slice(start, SLICE)
-
-
 def cut(text: str) -> list[str]:
     """Chunks of CHUNK characters, each with the next OVERLAP ones; none but the last is shorter."""
     n = max(1, -(-(len(text) - OVERLAP) // CHUNK))
@@ -163,9 +225,9 @@ def encode(docs: DataFrame, rank_file: str, pattern: str = public_tokenizers.PAT
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = of_worker(("bpe", rank_file, pattern), lambda: Encoder(ranks, pattern))
         for part in slices(batches):
-            ids = [encoder.encode(text.as_py()) for text in part.column(1)]
-            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+            ids = encoder.encode_all(part.column(1).to_pylist())
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
             yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
 
     short = rows.filter(fits).mapInArrow(whole, T.StructType([rows.schema["doc_id"], T.StructField("ids", ids_type)]))
@@ -212,15 +274,36 @@ def encode(docs: DataFrame, rank_file: str, pattern: str = public_tokenizers.PAT
     return short.unionByName(long).withColumn("doc_id", F.col("doc_id").cast(id_type))
 
 
+class Decoder:
+    """The bytes of all tokens in one array; ids become places in it."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        tokens = {rank: token for token, rank in ranks.items()}
+        self.sizes = np.zeros(max(tokens) + 1, np.int64)
+        for rank, token in tokens.items():
+            self.sizes[rank] = len(token)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(len(self.sizes))), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        out = []
+        for start in range(0, len(ids), TOKENS):
+            part = ids[start : start + TOKENS]
+            sizes = self.sizes[part]
+            begins = np.cumsum(sizes) - sizes
+            out.append(self.data[np.repeat(self.starts[part] - begins, sizes) + np.arange(int(sizes.sum()))].tobytes())
+        return b"".join(out)
+
+
 def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
     """The rows of ``encoded`` with the column ``decoded``: the bytes of the ids, one after another. Null ids: none."""
-    tokens = {rank: token for token, rank in load_ranks(rank_file).items()}
-
+    ranks = load_ranks(rank_file)
     at = encoded.columns.index("ids")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = of_worker(("decoder", rank_file), lambda: Decoder(ranks))
         for part in slices(batches):
-            decoded = [b"".join(map(tokens.__getitem__, r.values.to_pylist())) if r.is_valid else b"" for r in part.column(at)]
+            decoded = [decoder.decode(r.values.to_numpy()) if r.is_valid else b"" for r in part.column(at)]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(joined, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))

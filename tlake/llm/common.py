@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import sys
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from types import ModuleType
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SLICE = 512
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,6 +44,13 @@ def of_worker(key: tuple, make: Callable[[], Any]) -> Any:
     return kept[key]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows, so that results of a few rows only are held at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def remainder(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id's decimal text modulo ``n``; a null id counts as the empty text."""
     text = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
