@@ -1,10 +1,11 @@
 """Token counts without ids: pieces are counted once for each distinct pre-token.
 
-1. Every text is normalised and cut into pre-tokens; their numbers in the whole corpus are summed.
-2. The merges run once for each distinct pre-token, which gives its number of pieces.
-3. Each document's pre-token frequencies are joined with these numbers and summed. Pre-tokens that make up at least a
-   millionth of the corpus (at most a million, by that bound) are joined inside the task that reads the document;
-   only the rarer ones are shuffled.
+1. A sample of at most SAMPLE documents says which pre-tokens are frequent. It decides nothing but the way a pre-token goes:
+   frequent ones are joined inside the task that reads the document, the others are shuffled.
+2. Every text is normalised and cut into pre-tokens. Each document gives what its frequent ones sum to, and a row for
+   each other distinct one.
+3. These rows are dealt out and sorted by pre-token, so the merges run once for each distinct one, and its number of pieces
+   meets all documents that hold it. The products are summed per document.
 """
 
 from __future__ import annotations
@@ -14,13 +15,15 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import of_worker, text_key
+from .common import of_worker, slices, text_key
 
+SAMPLE = 20_000
 HOT_SHARE = 1_000_000
 UNICODE_SPACE = re.compile("[ \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 CONTROL = re.compile("[\\x1c-\\x1f]")
@@ -117,7 +120,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     def pre_tokens() -> PreTokens:
         return of_worker(("pre-tokens", tokenizer_file), lambda: PreTokens(Tokenizer.from_str(small.value)))
 
-    def corpus_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = pre_tokens(), Counter()
 
         def flushed() -> pa.RecordBatch:
@@ -135,23 +138,24 @@ def count_tokens(docs: DataFrame, tokenizer_file: str) -> DataFrame:
                     yield flushed()
         yield flushed()
 
-    def piece_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pre_tokens().tokenizer.model
+    def size(piece: str) -> int:
+        return 1 if piece == SPECIAL else len(pre_tokens().tokenizer.model.tokenize(piece))
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [1 if p == SPECIAL else len(model.tokenize(p)) for p in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32()), batch.column(1)], ["piece", "pieces", "n"])
-
-    vocabulary = (
-        rows.select("text")
-        .mapInArrow(corpus_counts, "piece string, n long")
-        .groupBy("piece")
-        .agg(F.sum("n").alias("n"))
-        .mapInArrow(piece_counts, "piece string, pieces int, n long")
-        .checkpoint()
-    )
-    total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = {r.piece: r.pieces for r in vocabulary.filter(F.col("n") * HOT_SHARE >= total).select("piece", "pieces").toLocalIterator()}
-    hot_counts = docs.sparkSession.sparkContext.broadcast(hot)  # at most HOT_SHARE entries
+            counts = [size(p) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32())], ["piece", "pieces"])
+
+    n_docs = rows.count()
+    sample = (
+        rows.select("text").sample(min(1.0, SAMPLE / max(n_docs, 1)), seed=5)
+        .mapInArrow(sample_counts, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).checkpoint()
+    )
+    total = sample.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = sample.filter((F.col("n") * HOT_SHARE >= total) & (F.col("n") > 1)).select("piece")
+    # At most HOT_SHARE entries, whatever the corpus.
+    hot = {r.piece: r.pieces for r in frequent.mapInArrow(sizes, "piece string, pieces int").toLocalIterator()}
+    hot_counts = docs.sparkSession.sparkContext.broadcast(hot)
 
     keyed = rows.select("doc_id", text_key(F.col("text")).alias("key"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
     out_type = T.StructType(
@@ -159,9 +163,9 @@ def count_tokens(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     )
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for the document with what the hot pre-tokens sum to, and one for each rarer pre-token."""
+        """A row for the document with what the frequent pre-tokens sum to, and one for each other pre-token."""
         known = Known(pre_tokens(), hot_counts.value)
-        for batch in batches:
+        for batch in slices(batches):
             at, piece, number, copies = [], [], [], []
             for i, text in enumerate(batch.column(3)):
                 sure, rest = known.of(text.as_py())
@@ -173,16 +177,30 @@ def count_tokens(docs: DataFrame, tokenizer_file: str) -> DataFrame:
             same = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c).take(same) for c in range(3)), pa.array(piece, pa.string()), pa.array(number, pa.int64()), pa.array(copies, pa.int64())],
-                ["doc_id", "key", "n_bytes", "piece", "n", "copies"],
+                out_type.names,
             )
 
-    rare = vocabulary.filter(F.col("n") * HOT_SHARE < F.lit(total)).select("piece", "pieces")
-    # Document rows carry a name that no pre-token has, which also spreads them over the join.
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by pre-token: each is counted when it first comes."""
+        last, pieces = None, 0
+        for batch in batches:
+            coded = batch.column(3).dictionary_encode()
+            table = []
+            for p in coded.dictionary.to_pylist():
+                if p != last:
+                    # Rows of documents carry a name that no pre-token has; it also spreads them.
+                    last, pieces = p, 1 if p[0] == "\x00" and p != SPECIAL else size(p)
+                table.append(pieces)
+            counts = pa.array(table, pa.int64()).take(coded.indices)
+            columns = [batch.column(c) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([*columns, pc.multiply(batch.column(4), counts), batch.column(5)], summed.names)
+
+    summed = T.StructType([*out_type.fields[:3], *out_type.fields[4:]])
+    dealt = keyed.mapInArrow(frequencies, out_type).repartition("piece").sortWithinPartitions("piece")
     return (
-        keyed.mapInArrow(frequencies, out_type)
-        .join(rare, "piece", "left")
+        dealt.mapInArrow(multiplied, summed)
         .groupBy("doc_id", "key", "n_bytes")
-        .agg(F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("all"), F.sum("copies").alias("copies"))
+        .agg(F.sum("n").alias("all"), F.sum("copies").alias("copies"))
         .select(
             "doc_id", "n_bytes", F.expr("all div copies").alias("n_tokens"),
             F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
