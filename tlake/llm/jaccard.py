@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
 from .components import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -85,11 +86,12 @@ def members(docs: DataFrame, width: int = 4, also: tuple[Column, ...] = ()) -> D
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
-            sets = [shingler.distinct(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()), *batch.columns[2:]],
-                names,
-            )
+            sizes, keys = [], []
+            for t in batch.column(1):
+                h = shingler.distinct(t.as_py())
+                sizes.append(len(h))
+                keys.append(set_key(h) if len(h) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), *batch.columns[2:]], names)
 
     return rows.mapInArrow(sized, out)
 
@@ -104,7 +106,7 @@ def candidates(docs: DataFrame, width: int, percent: int, fragments: int) -> Dat
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, bounds = Shingler(width), np.array(edges, np.uint64)
-        for batch in batches:
+        for batch in slices(batches, 2048):
             seen: set[bytes] = set()
             parts: list[list[tuple[bytes, int, np.ndarray]]] = [[] for _ in range(fragments)]
             for t in batch.column(0):

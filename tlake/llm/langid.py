@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,19 +20,28 @@ from .common import remainder
 
 BITS, DIM = 15, 16
 LETTER = re.compile(r"[^\W\d_]")
+BLOCK = 1 << 15  # characters of a long text counted at once
 UNKNOWN = "und"
 
 
-def subwords(text: str) -> np.ndarray:
-    """Numbers of the hashed bigrams and trigrams of the lower-cased text, one for each position."""
-    c = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+def characters(text: str) -> np.ndarray:
+    return np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def hashed(c: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Numbers of the hashed bigrams and trigrams that begin at the first ``most`` characters."""
     two = c[:-1] * np.uint32(0x9E3779B1) + c[1:] * np.uint32(0x85EBCA6B)
     three = two[:-1] * np.uint32(0xC2B2AE35) + c[2:] * np.uint32(0x27D4EB2F) + np.uint32(1)
-    ids = np.concatenate([two, three])
+    ids = np.concatenate([two[:most], three[:most]])
     ids ^= ids >> np.uint32(15)
     return (ids * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BITS)
 
 
+def subwords(text: str) -> np.ndarray:
+    """Numbers of the hashed bigrams and trigrams of the lower-cased text, one for each position."""
+    return hashed(characters(text))
+
+
 @dataclass
 class LanguageModel:
     """``table`` holds each subword's logits; ``reject_below`` is the least score that is accepted."""
@@ -44,7 +53,14 @@ class LanguageModel:
     reject_below: float
 
     def logits(self, text: str) -> np.ndarray:
-        return self.table[subwords(text)].mean(axis=0, dtype=np.float64) + self.bias
+        c = characters(text)
+        if len(c) <= BLOCK:
+            return self.table[hashed(c)].mean(axis=0, dtype=np.float64) + self.bias
+        # A long text is counted block by block: memory is that of its characters and the table.
+        counts = np.zeros(len(self.table), np.int64)
+        for i in range(0, len(c) - 1, BLOCK):
+            counts += np.bincount(hashed(c[i : i + BLOCK + 2], BLOCK), minlength=len(counts))
+        return counts @ self.table.astype(np.float64) / counts.sum() + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if text is None or not self.languages or not LETTER.search(text):
@@ -128,17 +144,16 @@ def language(text: Column, model: LanguageModel) -> Column:
     """struct(lang, score, rejected) of a text. Null texts, texts without a letter and scores below the calibrated level
     are rejected. The model has 2^15 rows of one float per language."""
 
-    @F.pandas_udf("lang string, score double, rejected boolean")
-    def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double, rejected boolean")
+    def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = [model.predict(t) for t in texts]
-            yield pd.DataFrame(
-                {
-                    "lang": pd.Series([x for x, _ in rows], dtype="object"),
-                    "score": pd.Series([x for _, x in rows], dtype="float64"),
-                    "rejected": pd.Series([x == UNKNOWN or s < model.reject_below for x, s in rows], dtype="bool"),
-                }
-            )
+            rows = [model.predict(t.as_py()) for t in texts]
+            columns = {
+                "lang": pa.array([x for x, _ in rows], pa.string()),
+                "score": pa.array([x for _, x in rows], pa.float64()),
+                "rejected": pa.array([x == UNKNOWN or s < model.reject_below for x, s in rows], pa.bool_()),
+            }
+            yield pa.StructArray.from_arrays(list(columns.values()), list(columns))
 
     return told(text)
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +45,7 @@ class Hashes(dict):
     """word -> hash of its shape (high half) and of itself (low half); starts anew when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         high = zlib.crc32(shape(word.decode("utf-8", "replace")).encode()) >> 1
         self[word] = v = high << 32 | zlib.crc32(word)
@@ -159,11 +159,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = 6000) -> NBS
 def score(text: Column, model: NBSVM) -> Column:
     """P(label 1) of a text; null as empty. The model is two arrays of 2^18 floats, whatever the corpus."""
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = Hashes()
         for texts in batches:
-            yield pd.Series([model.score(indicators(t, hashes)) for t in texts], dtype="float64")
+            yield pa.array([model.score(indicators(t.as_py(), hashes)) for t in texts], pa.float64())
 
     return scored(text)
 
