@@ -235,8 +235,8 @@ def test_op12_intervals_hold_and_filter(rows):
     bits, aligned, rest = negatives.encode(numbers, turns)
     ones = np.bitwise_count(bits).sum(axis=2, dtype=np.int64)
     scored = 0
-    for q in numbers[::50]:
-        low, high = negatives.Query(q, turns).intervals(bits, ones, aligned, rest)
+    lows, highs = negatives.Queries(numbers[::50], turns).intervals(slice(None), bits, ones, aligned, rest)
+    for q, low, high in zip(numbers[::50], lows, highs):
         exact = numbers.astype(np.int64) @ q.astype(np.int64)
         assert (low <= exact).all() and (exact <= high).all()
         scored += int((high >= np.partition(low, -5)[-5]).sum())

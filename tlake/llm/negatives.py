@@ -26,6 +26,7 @@ LEVELS, PLANES = 6, 7
 ROW_TILE, ANCHOR_TILE = 32_768, 16_384
 LEAST_TILE = 512  # rows, where smaller tiles give every core a few cells
 MOST_TASKS = 10_000
+PAIRS = 1 << 18  # intervals computed at once
 NO_ID = 2**63 - 1  # stands for a null id inside, so it sorts last
 CODED = T.StructType([
     T.StructField("slot", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("label", T.LongType()),
@@ -78,37 +79,43 @@ def encode(numbers: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return bits, aligned, np.linalg.norm(rest, axis=1) + 1e-9 * (1 + np.abs(numbers).sum(axis=1))
 
 
-class Query:
-    """A rotated query as bit planes for popcounts."""
+class Queries:
+    """Rotated queries as bit planes for popcounts, for a block of anchors at once."""
 
     def __init__(self, numbers: np.ndarray, turns: np.ndarray, planes: int = PLANES) -> None:
         q = numbers.astype(np.float64)
         levels, width, _ = turns.shape
-        self.width, self.length, self.planes = width, float(np.linalg.norm(q)), planes
-        turned = np.einsum("d,ldk->lk", q, turns)
-        self.low = turned.min(axis=1)
-        self.step = np.maximum((turned.max(axis=1) - self.low) / (2**planes - 1), 1e-300)
-        steps = np.rint((turned - self.low[:, None]) / self.step[:, None]).astype(np.int64)
-        back = self.low[:, None] + self.step[:, None] * steps
-        self.sum = back.sum(axis=1)
-        self.off = np.linalg.norm(turned - back, axis=1) * (1 + 1e-9) + 1e-9 * (1 + self.length)
-        self.masks = np.empty((levels, planes, width // 64), np.uint64)
+        self.numbers, self.width, self.planes = numbers, width, planes
+        self.length = np.linalg.norm(q, axis=1)
+        turned = np.stack([q @ turn for turn in turns], axis=1)  # anchor, level, coordinate
+        self.low = turned.min(axis=2)
+        self.step = np.maximum((turned.max(axis=2) - self.low) / (2**planes - 1), 1e-300)
+        steps = np.rint((turned - self.low[..., None]) / self.step[..., None]).astype(np.int64)
+        back = self.low[..., None] + self.step[..., None] * steps
+        self.sum = back.sum(axis=2)
+        self.off = np.linalg.norm(turned - back, axis=2) * (1 + 1e-9) + 1e-9 * (1 + self.length[:, None])
+        self.masks = np.empty((len(q), levels, planes, width // 64), np.uint64)
         for b in range(planes):
-            self.masks[:, b] = np.packbits((steps >> b) & 1 == 1, axis=1, bitorder="little").view("<u8")
-
-    def intervals(self, bits: np.ndarray, ones: np.ndarray, aligned: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least and greatest possible score of each coded row."""
-        middle, wide = np.zeros(len(rest)), rest * self.length
+            self.masks[:, :, b] = np.packbits((steps >> b) & 1 == 1, axis=2, bitorder="little").view("<u8")
+
+    def intervals(
+        self, own: slice, bits: np.ndarray, ones: np.ndarray, aligned: np.ndarray, rest: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest possible score of each coded row, for each of the own anchors."""
+        length, masks = self.length[own, None], self.masks[own]
+        middle, wide = np.zeros((len(length), len(rest))), rest * length
         for level in range(bits.shape[1]):
-            marked = np.zeros(len(rest), np.int64)
+            marked = np.zeros(middle.shape, np.int32)
             for b in range(self.planes):
-                both = np.bitwise_count(bits[:, level] & self.masks[level, b])
-                marked += both.sum(axis=1, dtype=np.int64) << b
+                for w in range(bits.shape[2]):
+                    both = np.bitwise_count(bits[:, level, w] & masks[:, level, b, w, None])
+                    marked += both.astype(np.int32) << b
             # The coordinates under one bits count positive, the others negative.
-            positive = self.low[level] * ones[:, level] + self.step[level] * marked
-            middle += aligned[:, level] * (2 * positive - self.sum[level]) / self.width**0.5
-            wide = wide + np.abs(aligned[:, level]) * self.off[level]
-        wide = wide + 1e-9 * (1 + np.abs(middle))
+            low, step, total, off = (x[own, level, None] for x in (self.low, self.step, self.sum, self.off))
+            positive = low * ones[:, level] + step * marked
+            middle += aligned[:, level] * (2 * positive - total) / self.width**0.5
+            wide += np.abs(aligned[:, level]) * off
+        wide += 1e-9 * (1 + np.abs(middle))
         return middle - wide, middle + wide
 
 
@@ -134,8 +141,8 @@ class Tile:
     def same(self, label: int) -> slice:
         return slice(*np.searchsorted(self.label, [label, label + 1]).tolist())
 
-    def intervals(self, query: Query, rows: slice | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return query.intervals(self.bits[rows], self.ones[rows], self.aligned[rows], self.rest[rows])
+    def intervals(self, queries: Queries, own: slice, rows: slice | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return queries.intervals(own, self.bits[rows], self.ones[rows], self.aligned[rows], self.rest[rows])
 
     def scores(self, rows: np.ndarray, numbers: np.ndarray) -> np.ndarray:
         return self.numbers[rows].astype(np.int64) @ numbers.astype(np.int64)
@@ -150,24 +157,18 @@ def kth_largest(values: np.ndarray, k: int) -> float:
     return float(np.partition(values, -k)[-k]) if len(values) >= k else -np.inf
 
 
-def best_same(tile: Tile, slot: int, label: int, numbers: np.ndarray, query: Query, k: int) -> list[tuple[int, int]]:
-    """The anchor's first k other rows of its label in the tile."""
-    part = tile.same(label)
-    rows = np.arange(part.start, part.stop)
-    low, high = tile.intervals(query, part)
-    other = tile.slot[part] != slot
+def best_same(tile: Tile, slot: int, rows: np.ndarray, low: np.ndarray, high: np.ndarray, numbers: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """The anchor's first k other rows among those of its label, by their intervals."""
+    other = tile.slot[rows] != slot
     rows, low, high = rows[other], low[other], high[other]
     rows = rows[high >= kth_largest(low, k)]
     return tile.first(rows, tile.scores(rows, numbers), k)
 
 
 def best_between(
-    tile: Tile, label: int, numbers: np.ndarray, query: Query, bounds: list[int], share: tuple[int, int], k: int
+    tile: Tile, rows: np.ndarray, low: np.ndarray, high: np.ndarray, numbers: np.ndarray, bounds: list[int], share: tuple[int, int], k: int
 ) -> list[list[tuple[int, int]]]:
-    """For each positive score the first k rows of other labels whose score is within its band of percentages."""
-    part = tile.same(label)
-    rows = np.concatenate([np.arange(part.start), np.arange(part.stop, len(tile.label))])
-    low, high = tile.intervals(query, rows)
+    """For each positive score the first k of the rows whose score is within its band of percentages, by their intervals."""
     wanted = np.zeros(len(rows), bool)
     for score in bounds:
         floor, ceiling = share[0] * score / 100, share[1] * score / 100
@@ -264,27 +265,38 @@ def hard_negatives(
     anchors = coded.filter(is_anchor).select("slot", "vec_id", "label", "numbers")
     counts = (total[1], total[0])
 
-    def each(table: pa.Table) -> Iterator[tuple[dict, np.ndarray, Query]]:
-        for start in range(0, table.num_rows, 256):
-            for row in table.slice(start, 256).to_pylist():
-                numbers = np.frombuffer(row["numbers"], "<i4")
-                yield row, numbers, Query(numbers, turns)
+    def each(own: pa.Table, tile: Tile, same: bool) -> Iterator[tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Every anchor with the tile's rows of its label, or of all others, and their intervals. Anchors of one label
+        go together, in blocks of some hundred thousand pairs."""
+        own = own.sort_by("label")
+        labels = own.column("label").to_numpy()
+        for label in np.unique(labels):
+            part = tile.same(label)
+            outside = np.arange(part.start), np.arange(part.stop, len(tile.label))
+            rows = np.arange(part.start, part.stop) if same else np.concatenate(outside)
+            begin, end = np.searchsorted(labels, [label, label + 1]).tolist()
+            size = max(1, PAIRS // max(1, len(rows)))
+            for start in range(begin, end, size):
+                block = own.slice(start, min(size, end - start))
+                queries = Queries(fixed(block.column("numbers"), "<i4", width), turns)
+                low, high = tile.intervals(queries, slice(None), rows)
+                for i, row in enumerate(block.drop_columns("numbers").to_pylist()):
+                    yield row, queries.numbers[i], rows, low[i], high[i]
 
     def positives(own: pa.Table, rows: pa.Table) -> pa.Table:
         out = []
         tile = Tile(rows, width, levels)
-        for row, numbers, query in each(own):
-            for vec_id, score in best_same(tile, row["slot"], row["label"], numbers, query, n_positives):
-                out.append((row["slot"], row["vec_id"], row["label"], row["numbers"], vec_id, score))
+        for row, numbers, at, low, high in each(own, tile, True):
+            for vec_id, score in best_same(tile, row["slot"], at, low, high, numbers, n_positives):
+                out.append((row["slot"], row["vec_id"], row["label"], numbers.tobytes(), vec_id, score))
         return arrow_table(out, POSITIVES)
 
     def negatives(own: pa.Table, rows: pa.Table) -> pa.Table:
         out = []
         tile = Tile(rows, width, levels)
-        for row, numbers, query in each(own):
+        for row, numbers, at, low, high in each(own, tile, False):
             bounds = [p["score"] for p in row["positives"]]
-            lists = best_between(tile, row["label"], numbers, query, bounds, share, n_negatives)
-            for positive, found in zip(row["positives"], lists):
+            for positive, found in zip(row["positives"], best_between(tile, at, low, high, numbers, bounds, share, n_negatives)):
                 known = (row["slot"], row["anchor_id"], positive["place"], positive["vec_id"], positive["score"])
                 out.extend((*known, vec_id, score) for vec_id, score in found)
         return arrow_table(out, NEGATIVES)
