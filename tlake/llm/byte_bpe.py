@@ -25,9 +25,11 @@ from .common import of_worker, slices, text_key
 
 CHUNK, OVERLAP = 32_768, 512
 NO_RANK = 1 << 60
+NONE = np.int32((1 << 31) - 1)
 TOKENS = 1 << 20  # decoded at once
 SHORT = 48  # bytes up to which looking at all pairs is faster than a heap
 ROWS = 2048  # pieces merged at once
+GROUP = 16  # chunks encoded together
 KEPT = 300_000  # pieces whose ids a worker keeps
 
 
@@ -93,14 +95,14 @@ class Merges:
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = rank
         self.keys = np.array(sorted(pairs), np.int64)
-        self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
-        self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
+        self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank of each pair, NO_RANK where it has none or the row has ended (-1)."""
-        key = left << 32 | right
+        """Rank of each pair, NONE where it has none or the row has ended (-1)."""
+        key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.values[at], NO_RANK)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.values[at], NONE)
 
     def __call__(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece as 32-bit numbers one after another. Pieces of like length are merged together."""
@@ -115,7 +117,7 @@ class Merges:
     def block(self, pieces: list[bytes]) -> list[bytes]:
         sizes = np.array([len(p) for p in pieces])
         wide = int(sizes.max()) + 1  # one more, so that every row ends with a -1
-        ids = np.full((len(pieces), wide), -1, np.int64)
+        ids = np.full((len(pieces), wide), -1, np.int32)
         ids[np.arange(wide) < sizes[:, None]] = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
         found = self.rank(ids[:, :-1], ids[:, 1:])
         todo, done = np.arange(len(pieces)), [b""] * len(pieces)
@@ -123,9 +125,11 @@ class Merges:
         while True:
             at = found.argmin(axis=1)
             least = found[np.arange(len(todo)), at]
-            if (ended := least == NO_RANK).any():
-                for i, row in zip(todo[ended].tolist(), ids[ended].astype(np.int32)):
-                    done[i] = row[row >= 0].tobytes()
+            if (ended := least == NONE).any():
+                left_over = ids[ended]
+                whole, sizes = left_over.tobytes(), (left_over >= 0).sum(axis=1) * 4
+                for k, (i, size) in enumerate(zip(todo[ended].tolist(), sizes.tolist())):
+                    done[i] = whole[k * wide * 4 : k * wide * 4 + size]
                 todo, ids, found, at, least = (x[~ended] for x in (todo, ids, found, at, least))
                 if not len(todo):
                     return done
@@ -134,7 +138,7 @@ class Merges:
             ids[:, -1] = -1
             ids[rows, at] = least
             found = np.take_along_axis(found, np.minimum(place[:-1] + (place[:-1] > at[:, None]), wide - 2), axis=1)
-            found[:, -1] = NO_RANK
+            found[:, -1] = NONE
             found[rows, at] = self.rank(least, ids[rows, at + 1])
             left = np.maximum(at - 1, 0)
             found[rows, left] = np.where(at > 0, self.rank(ids[rows, left], least), found[rows, left])
@@ -168,16 +172,20 @@ class Encoder:
         return np.frombuffer(self.encode_all([text])[0], np.int32)
 
     def encode_chunk(self, text: str) -> tuple[bytes, bytes, bytes]:
-        """Ids, and for each piece that begins in the first or last OVERLAP characters its place and its first id's index,
-        each as 32-bit numbers one after another, which take an eighth of what lists of them take in Python.
+        return next(self.encode_chunks([text]))
+
+    def encode_chunks(self, texts: list[str]) -> Iterator[tuple[bytes, bytes, bytes]]:
+        """For each chunk its ids, and for each piece that begins in the first or last OVERLAP characters its place and its first
+        id's index, each as 32-bit numbers one after another, which take an eighth of what lists of them take in Python.
         The begins of the last two pieces are left out: what the cut hides could still change them."""
-        found = self.findall(text)
-        self.learn([found])
-        ids = [self.pieces[p] for p in found]
-        at = [0, *accumulate(map(len, found))][: max(1, len(found) - 1)]
-        first = [0, *accumulate(len(x) // 4 for x in ids)]
-        near = [i for i, a in enumerate(at) if a <= OVERLAP or a >= len(text) - OVERLAP]
-        return b"".join(ids), *(np.fromiter(x, np.int32).tobytes() for x in ((at[i] for i in near), (first[i] for i in near)))
+        all_found = [self.findall(t) for t in texts]
+        self.learn(all_found)
+        for text, found in zip(texts, all_found):
+            ids = [self.pieces[p] for p in found]
+            at = [0, *accumulate(map(len, found))][: max(1, len(found) - 1)]
+            first = [0, *accumulate(len(x) // 4 for x in ids)]
+            near = [i for i, a in enumerate(at) if a <= OVERLAP or a >= len(text) - OVERLAP]
+            yield b"".join(ids), *(np.fromiter(x, np.int32).tobytes() for x in ((at[i] for i in near), (first[i] for i in near)))
 
 
 def numbers(packed: bytes) -> np.ndarray:
@@ -251,7 +259,8 @@ def encode(docs: DataFrame, rank_file: str, pattern: str = public_tokenizers.PAT
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = of_worker(("bpe", rank_file, pattern), lambda: Encoder(ranks, pattern))
         for texts in batches:
-            yield pd.DataFrame([encoder.encode_chunk(t) for t in texts], columns=["ids", "at", "first"])
+            groups = (texts.iloc[i : i + GROUP].tolist() for i in range(0, len(texts), GROUP))
+            yield pd.DataFrame([c for g in groups for c in encoder.encode_chunks(g)], columns=["ids", "at", "first"])
 
     chunks = keyed.mapInArrow(cut_batches, chunk_type).repartition("key", "n")
     chunks = chunks.select("doc_id", "key", "n", "text", coded("text").alias("c")).select("doc_id", "key", "n", "text", "c.*")
