@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -11,7 +12,7 @@ from tlake.operators.flatten import archive_logs, otlp_to_logs
 from tlake.operators.transforms import fix_time, set_log_type, split_sessions
 from tlake.plans import reports
 from tlake.sources import read_otlp_logs
-from tlake.streaming import fan_out, pipelines, write_otlp_archive
+from tlake.streaming import fan_out, otlp_requests, pipelines, write_otlp_archive
 from workload import fixtures as fx
 
 COLS = ["Timestamp_ns", "TraceId", "SpanId", "ServiceName", "Body", "SeverityText"]
@@ -109,3 +110,53 @@ def test_two_checkpoints_keep_all_rows(spark, sf_dir, lake, tmp_path):
     once = split_sessions(fix_time(otlp_to_logs(read_otlp_logs(spark, src)), fx.AS_OF))[0].count()
     assert lake.scan("otel_logs").count() == 2 * once
     assert archive_logs(read_otlp_logs(spark, f"{tmp_path}/out/otel")).count() == 2 * once
+
+
+def test_rejected_lines_are_kept_once(spark, sf_dir, lake, tmp_path, monkeypatch):
+    """Broken lines of a batch that is repeated, and of a later one, with their files and reasons."""
+    from tlake.streaming import sinks
+
+    src = tmp_path / "in"
+    src.mkdir()
+    good = '{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"timeUnixNano":"1704067200000000000","body":{"stringValue":"x"}}]}]}]}'
+    (src / "a.json").write_text(f'{good}\n{{"broken\n\n[]\n{{"resourceLogs":"text"}}\n{good}\n')
+    run = lambda: pipelines.records(spark, str(src), lake, f"{tmp_path}/out", f"{tmp_path}/cp", None, "2024-01-02").awaitTermination()
+    real = sinks.hadoop.put_text
+    monkeypatch.setattr(sinks.hadoop, "put_text", lambda *a: 1 / 0)  # the last step of the batch fails
+    with pytest.raises(Exception):  # noqa: B017
+        run()
+    monkeypatch.setattr(sinks.hadoop, "put_text", real)
+    run()
+    (src / "b.json").write_text("{}\n")
+    run()
+    kept = sinks.rejected_lines(spark, pipelines.rejected(f"{tmp_path}/cp")).collect()
+    assert sorted((r["line"], r["reason"].split(":")[0], r["batch"], r["source_file"].rpartition("/")[2]) for r in kept) == [
+        ("[]", "no request", 0, "a.json"), ('{"broken', "no JSON", 0, "a.json"),
+        ('{"resourceLogs":"text"}', "no request", 0, "a.json"), ("{}", "no request", 1, "b.json"),
+    ]
+    assert lake.scan("otel_logs").count() == 2
+    counted = dict(rows(reports.ingest_counters(reports.counter_rows(spark, pipelines.counters(f"{tmp_path}/cp")))))
+    assert (counted["InsertedRows"], counted["RejectedInserts"], counted["InsertQuery"]) == (2, 4, 2)
+    assert sinks.rejected_lines(spark, f"{tmp_path}/nowhere").collect() == []
+
+
+def test_backlog_with_a_real_trigger(spark, sf_dir, lake, tmp_path):
+    src = f"{tmp_path}/in"
+    otlp_requests(fx.logs(spark, sf_dir).limit(40), 5).repartition(4).write.text(src)
+    q = pipelines.logs(spark, src, lake, f"{tmp_path}/out", f"{tmp_path}/cp", "1 second", fx.AS_OF, watch=True, maxFilesPerTrigger="1")
+    q.processAllAvailable()
+    q.stop()
+    left = sorted(rows(reports.backlog_rows(spark, pipelines.counters(f"{tmp_path}/cp")).select("batch", "files")))
+    assert left == [(0, 3), (1, 2), (2, 1), (3, 0)]
+    otlp_requests(fx.logs(spark, sf_dir).limit(5)).write.mode("append").text(src)
+    now = reports.backlog(spark, src, f"{tmp_path}/cp/logs").first()
+    assert now["files"] >= 1 and now["bytes"] > 0 and now["oldest"] is not None
+
+
+def test_units_of_rows(spark, sf_dir, tmp_path):
+    from tlake.plans import Lake, inventory
+
+    lake = Lake(spark, f"{tmp_path}/hot", f"{tmp_path}/cold", ["otel_logs"], rows_per_file=7).create_tables()
+    lake.write(fx.logs(spark, sf_dir), "otel_logs")
+    sizes = [r["rows"] for r in inventory(lake, "otel_logs").collect()]
+    assert max(sizes) <= 7 and sum(sizes) == fx.logs(spark, sf_dir).count()

@@ -190,6 +190,15 @@ def container_lines(df: DataFrame) -> DataFrame:
     )
 
 
+def unknown_format(value: str = "value") -> Column:
+    """A line, not empty, of neither container log format; ``container_lines`` passes it on as a whole message."""
+    v = F.col(value)
+    p = F.split(v, " ", 4)
+    plain = F.get(p, 1).isin("stdout", "stderr") & F.substring(F.get(p, 2), 1, 1).isin("F", "P")
+    docker = v.startswith("{") & F.from_json(v, "log STRING")["log"].isNotNull()
+    return (v != "") & ~F.coalesce(docker, F.lit(False)) & ~F.coalesce(plain & ~v.startswith("{"), F.lit(False))
+
+
 #: What is kept of a message without its last line until the next batch.
 FRAGMENTS = (
     "source STRING, stream STRING, file_path STRING, "

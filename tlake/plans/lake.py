@@ -79,6 +79,7 @@ class Lake:
     hot_root: str
     cold_root: str
     tables: list[str] = field(default_factory=lambda: [*schemas.TABLES, schemas.TRACE_RANGES])
+    rows_per_file: int = 0  # 0: files are as large as their task
 
     def __post_init__(self) -> None:
         prepare(self.spark)
@@ -271,7 +272,7 @@ class Lake:
             rows.sortWithinPartitions("event_date", *keys).drop("_attrs")
             .write.mode("overwrite")
             .partitionBy("event_date")
-            .options(**WRITER_OPTIONS, **value_filters(table))
+            .options(**WRITER_OPTIONS, **value_filters(table), maxRecordsPerFile=self.rows_per_file)
             .parquet(f"{self.path(table, tier)}/seg={segment}")
         )
 

@@ -77,6 +77,23 @@ def ingest_counters(progress: DataFrame) -> DataFrame:
     )
 
 
+def backlog(spark: SparkSession, src: str, checkpoint: str) -> DataFrame:
+    """Files, bytes and age of what lies in the input folder and no batch of the query has taken yet; one row.
+
+    Compares a listing (the files are not opened) with the log of files that Spark keeps in the checkpoint.
+    """
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(src).select(
+        plain("path").alias("path"), "length", "modificationTime"
+    )
+    taken = spark.read.text(f"{checkpoint}/sources/0").filter(F.col("value").startswith("{")).select(
+        plain(F.get_json_object("value", "$.path")).alias("path")
+    )
+    return there.join(taken.distinct(), "path", "left_anti").agg(
+        F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.min("modificationTime").alias("oldest")
+    )
+
+
 def plain_bytes(c: Column, t: DataType) -> Column:
     """Size of a value in plain columns: fixed-width numbers, text with a length byte."""
     kind = t.typeName()
@@ -117,7 +134,18 @@ def size_comparison(df: DataFrame, inv: DataFrame) -> DataFrame:
     )
 
 
+# What a watched pipeline notes besides.
+BACKLOG = ["OutstandingFiles", "OutstandingBytes"]
+
+
+def backlog_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """What was outstanding when each batch of the watched pipelines ended: ``(query, pipeline, batch, files, bytes)``."""
+    fields = ", ".join(["query STRING", "pipeline STRING", "batch BIGINT", *[f"{c} BIGINT" for c in BACKLOG]])
+    rows = spark.read.schema(fields).json(folder).filter(F.col(BACKLOG[0]).isNotNull())
+    return rows.select("query", "pipeline", "batch", F.col(BACKLOG[0]).alias("files"), F.col(BACKLOG[1]).alias("bytes"))
+
+
 def counter_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """What streams have counted, one file per batch → rows ``(query, batch, event, value)``."""
-    fields = ", ".join(["query STRING", "batch BIGINT", *[f"{c} BIGINT" for c in COUNTERS]])
-    return spark.read.schema(fields).json(folder).unpivot(["query", "batch"], COUNTERS, "event", "value")
+    """What streams have counted, one file per batch → rows ``(query, pipeline, batch, event, value)``."""
+    fields = ", ".join(["query STRING", "pipeline STRING", "batch BIGINT", *[f"{c} BIGINT" for c in COUNTERS]])
+    return spark.read.schema(fields).json(folder).unpivot(["query", "pipeline", "batch"], COUNTERS, "event", "value")

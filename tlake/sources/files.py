@@ -83,14 +83,24 @@ def read_journal_json(
 ) -> DataFrame:
     """Journal exports (JSON lines). ``since`` is the start position "from the end":
     files last written before it are not read and older entries are dropped."""
+    lines = read_journal_lines(spark, path, since, streaming, **options)
+    return journal_since(parse_journal(lines), since)
+
+
+def read_journal_lines(
+    spark: SparkSession, path: str, since: datetime | str | None = None, streaming: bool = False, **options: str
+) -> DataFrame:
+    """Lines of journal exports with their file; without files that were last written before ``since``."""
     prepare(spark)
     reader = spark.readStream if streaming else spark.read
     lines = reader.option("recursiveFileLookup", "true").options(**options).text(path)
-    if since is None:
-        return parse_journal(lines)
-    at = literal_time(since)
-    fresh = lines.filter(F.col("_metadata.file_modification_time").cast("timestamp_ntz") >= at)
-    return parse_journal(fresh).filter(F.col("Timestamp") >= at)
+    if since is not None:
+        lines = lines.filter(F.col("_metadata.file_modification_time").cast("timestamp_ntz") >= literal_time(since))
+    return lines.select("value", F.col("_metadata.file_path").alias("source_file"))
+
+
+def journal_since(rows: DataFrame, since: datetime | str | None) -> DataFrame:
+    return rows if since is None else rows.filter(F.col("Timestamp") >= literal_time(since))
 
 
 _LABEL = r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:[^"\\]|\\.)*)"'
@@ -159,6 +169,13 @@ def _samples(lines: DataFrame) -> DataFrame:
     )
 
 
+def is_sample(value: str = "value") -> Column:
+    """A line of scraped text that is a comment, blank or a sample."""
+    v = F.col(value)
+    s = _parts(v, _SAMPLE, 5)
+    return v.startswith("#") | (F.trim(v) == "") | ((F.size(s) == 5) & F.get(s, 2).try_cast("double").isNotNull())
+
+
 def _without(m: str, key: str) -> Column:
     return F.map_filter(m, lambda k, _: k != F.lit(key))
 

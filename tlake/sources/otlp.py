@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tlake import schemas
+from tlake.functions import computed_once
 from tlake.operators.flatten import otlp_to_metrics, otlp_to_spans
 from tlake.session import prepare
 
@@ -57,3 +58,13 @@ def parse_lines(lines: DataFrame, schema: str, column: str = "value") -> DataFra
     """Requests from a text column (a queue payload, for example)."""
     prepare(lines.sparkSession)
     return lines.select(F.from_json(column, schema).alias("_r")).select("_r.*")
+
+
+def read_request_lines(spark: SparkSession, path: str, schema: str, streaming: bool = True, **options: str) -> DataFrame:
+    """Request lines with their file: ``value``, ``source_file`` and the parsed request ``req``. Blank lines are left out; in
+    a line that is no request the fields of ``req`` are NULL."""
+    prepare(spark)
+    reader = spark.readStream if streaming else spark.read
+    lines = reader.option("recursiveFileLookup", "true").options(**options).text(path)
+    given = lines.filter(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("source_file"))
+    return computed_once(given, F.from_json("value", schema), "req")

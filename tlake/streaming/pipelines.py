@@ -15,19 +15,21 @@ pipeline                steps                                                 si
 The input folder is the queue: writers add files, the checkpoint remembers which
 were read. Batch size is set by files or bytes per trigger (``maxFilesPerTrigger``,
 ``maxBytesPerTrigger``), the tasks that write a batch by ``writers``; raise both together
-for a larger input.
+for a larger input. Files of at most so many rows are set with ``Lake(rows_per_file=…)``.
+Each pipeline leaves counters and rejected lines below its checkpoint root; ``watch`` adds what is still to be read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tlake import schemas
-from tlake.operators.flatten import otlp_to_logs, otlp_to_metrics
+from tlake.operators.flatten import otlp_to_logs, otlp_to_metrics, otlp_to_spans
 from tlake.operators.transforms import (
     FRAGMENTS,
     container_lines,
@@ -37,19 +39,24 @@ from tlake.operators.transforms import (
     merge_fragments,
     set_log_type,
     split_sessions,
+    unknown_format,
     upsert_attr,
 )
 from tlake.plans import hadoop
 from tlake.plans.lake import Lake
 from tlake.session import prepare
-from tlake.sources.files import parse_prom_text, read_journal_json
-from tlake.sources.otlp import read_otlp_logs, read_otlp_traces
+from tlake.sources.files import is_sample, journal_since, parse_journal, parse_prom_text, read_journal_lines
+from tlake.sources.otlp import read_request_lines
 from tlake.sources.tail import tail_container_logs
 from tlake.plans import hadoop
 from tlake.streaming.sinks import (
     TRIGGER,
+    Rejects,
+    Sink,
     archive_sink,
+    counted,
     fan_out,
+    observed,
     only,
     segment,
     span_sink,
@@ -95,43 +102,54 @@ class Fragments:
             hadoop.delete(spark, self.path(batch_id - 2))
 
 
-REJECTED = "resourceLogs IS NULL"  # a line that is no request
+def rejected(checkpoint: str) -> str:
+    """Folder of the lines that the pipelines under one checkpoint root have turned away."""
+    return f"{checkpoint}/rejected"
+
+
+def _no_request(checkpoint: str, field: str) -> Rejects:
+    """Lines that are no request with the field."""
+    reason = F.when(F.try_parse_json("value").isNull(), "no JSON").otherwise(f"no request: {field} is missing or no list")
+    return Rejects(rejected(checkpoint), F.col(f"req.{field}").isNull(), reason)
 
 
 def records(
     spark: SparkSession, src: str, lake: Lake, archive: str, checkpoint: str,
     trigger: str | None = TRIGGER, now: datetime | str | Column | None = None,
-    overwrite_type: bool = True, writers: int | None = None, archive_type: str | None = "otel", **options: str,
+    overwrite_type: bool = True, writers: int | None = None, archive_type: str | None = "otel", watch: bool = False, **options: str,
 ) -> StreamingQuery:
     """``logs`` and ``logs/sessions`` in one stream: the input is read and parsed once for all three sinks. The archive keeps
     the kinds of values; ``archive_type=None`` takes its prefix from the resource's ``log_type``."""
-    requests = read_otlp_logs(spark, src, streaming=True, typed=True, **_bounded(options))
+    requests = read_request_lines(spark, src, schemas.OTLP_LOGS_TYPED, **_bounded(options))
     plain = lambda df: set_log_type(split_sessions(df)[0], "otel", overwrite_type)
     name = "logs/records"
     sinks = [
-        only(plain, table_sink(lake, "otel_logs", name, writers)),
+        only(plain, counted(table_sink(lake, "otel_logs", name, writers))),
         only(plain, archive_sink(archive, archive_type, name)),
-        only(lambda df: split_sessions(df)[1], table_sink(lake, "sessions", name, writers)),
+        only(lambda df: split_sessions(df)[1], counted(table_sink(lake, "sessions", name, writers))),
     ]
     return fan_out(
-        requests, sinks, f"{checkpoint}/{name}", name, trigger, lambda df, _: fix_time(otlp_to_logs(df), now),
-        counters(checkpoint), REJECTED,
+        requests, sinks, f"{checkpoint}/{name}", name, trigger, lambda df, _: fix_time(otlp_to_logs(df.select("req.*")), now),
+        counters(checkpoint), _no_request(checkpoint, "resourceLogs"), src if watch else None,
     )
 
 
 def logs(
     spark: SparkSession, src: str, lake: Lake, archive: str, checkpoint: str,
     trigger: str | None = TRIGGER, now: datetime | str | Column | None = None,
-    overwrite_type: bool = True, writers: int | None = None, archive_type: str | None = "otel", **options: str,
+    overwrite_type: bool = True, writers: int | None = None, archive_type: str | None = "otel", watch: bool = False, **options: str,
 ) -> StreamingQuery:
-    requests = read_otlp_logs(spark, src, streaming=True, typed=True, **_bounded(options))
+    requests = read_request_lines(spark, src, schemas.OTLP_LOGS_TYPED, **_bounded(options))
     name = "logs"
-    sinks = [table_sink(lake, "otel_logs", name, writers), archive_sink(archive, archive_type, name)]
+    sinks = [counted(table_sink(lake, "otel_logs", name, writers)), archive_sink(archive, archive_type, name)]
 
     def ordinary(batch: DataFrame, _: int) -> DataFrame:
-        return set_log_type(split_sessions(fix_time(otlp_to_logs(batch), now))[0], "otel", overwrite_type)
+        return set_log_type(split_sessions(fix_time(otlp_to_logs(batch.select("req.*")), now))[0], "otel", overwrite_type)
 
-    return fan_out(requests, sinks, f"{checkpoint}/{name}", name, trigger, ordinary, counters(checkpoint), REJECTED)
+    return fan_out(
+        requests, sinks, f"{checkpoint}/{name}", name, trigger, ordinary, counters(checkpoint),
+        _no_request(checkpoint, "resourceLogs"), src if watch else None,
+    )
 
 
 def sessions(
@@ -139,11 +157,13 @@ def sessions(
     trigger: str | None = TRIGGER, now: datetime | str | Column | None = None,
     writers: int | None = None, **options: str,
 ) -> StreamingQuery:
-    requests = read_otlp_logs(spark, src, streaming=True, **_bounded(options))
+    requests = read_request_lines(spark, src, schemas.OTLP_LOGS, **_bounded(options))
     name = "logs/sessions"
-    sinks = [table_sink(lake, "sessions", name, writers)]
-    only_sessions = lambda df, _: split_sessions(fix_time(otlp_to_logs(df), now))[1]
-    return fan_out(requests, sinks, f"{checkpoint}/{name}", name, trigger, only_sessions)
+    sinks = [counted(table_sink(lake, "sessions", name, writers))]
+    only_sessions = lambda df, _: split_sessions(fix_time(otlp_to_logs(df.select("req.*")), now))[1]
+    return fan_out(
+        requests, sinks, f"{checkpoint}/{name}", name, trigger, only_sessions, counters(checkpoint), _no_request(checkpoint, "resourceLogs")
+    )
 
 
 def container(
@@ -176,8 +196,9 @@ def container(
     def rows(messages: DataFrame) -> DataFrame:
         return set_log_type(enrich_k8s(container_rows(kept.finished(messages)), pods), "container")
 
-    sinks = [only(rows, archive_sink(archive, "k8s", name)), kept.sink]
-    return fan_out(lines, sinks, f"{checkpoint}/{name}", name, trigger, merge)
+    sinks = [only(rows, counted(archive_sink(archive, "k8s", name))), kept.sink]
+    odd = Rejects(rejected(checkpoint), unknown_format(), F.lit("unknown format"), source_file="file_path", passed=True)
+    return fan_out(lines, sinks, f"{checkpoint}/{name}", name, trigger, merge, counters(checkpoint), odd)
 
 
 def journal(
@@ -185,43 +206,59 @@ def journal(
     since: datetime | str | None = None, trigger: str | None = TRIGGER, archive_type: str | None = "journal", **options: str,
 ) -> StreamingQuery:
     """Journal exports; ``since`` set to the start time reads "from the end". The resource's ``log_type`` is ``journal`` too."""
-    rows = enrich_k8s(read_journal_json(spark, src, since, streaming=True, **_bounded(options)), pods)
-    rows = set_log_type(upsert_attr(rows, "ResourceAttributes", "log_type", "journal"), "journal")
+    lines = read_journal_lines(spark, src, since, streaming=True, **_bounded(options))
     name = "logs/journal"
-    return fan_out(rows, [archive_sink(archive, archive_type, name)], f"{checkpoint}/{name}", name, trigger)
+
+    def entries(batch: DataFrame, _: int) -> DataFrame:
+        rows = enrich_k8s(journal_since(parse_journal(batch), since), pods)
+        return set_log_type(upsert_attr(rows, "ResourceAttributes", "log_type", "journal"), "journal")
+
+    no_entry = (F.trim("value") != "") & F.from_json("value", "map<string,string>").isNull()
+    odd = Rejects(rejected(checkpoint), no_entry, F.lit("no JSON object"))
+    sinks = [counted(archive_sink(archive, archive_type, name))]
+    return fan_out(lines, sinks, f"{checkpoint}/{name}", name, trigger, entries, counters(checkpoint), odd)
 
 
 def traces(
     spark: SparkSession, src: str, lake: Lake, checkpoint: str, trigger: str | None = TRIGGER,
     writers: int | None = None, **options: str,
 ) -> StreamingQuery:
-    options = _bounded(options)
-    rows = read_otlp_traces(spark, src, streaming=True, **options)
+    requests = read_request_lines(spark, src, schemas.OTLP_TRACES, **_bounded(options))
     # Spans and their trace ranges are two writes of one batch.
     return fan_out(
-        rows, [span_sink(lake, "traces", writers)], f"{checkpoint}/traces", "traces", trigger
+        requests, [counted(span_sink(lake, "traces", writers), "SpanName")], f"{checkpoint}/traces", "traces", trigger,
+        lambda df, _: otlp_to_spans(df.select("req.*")), counters(checkpoint), _no_request(checkpoint, "resourceSpans"),
     )
 
 
-def metrics(
-    spark: SparkSession, src: str, lake: Lake, checkpoint: str, trigger: str | None = TRIGGER,
-    writers: int | None = None, **options: str,
-) -> StreamingQuery:
-    prepare(spark)
-    options = _bounded(options)
-    requests = (
-        spark.readStream.schema(schemas.OTLP_METRICS).option("recursiveFileLookup", "true")
-        .options(**options).json(src)
-    )
+def _points_sink(lake: Lake, name: str, writers: int | None, points: Callable[[DataFrame], dict[str, DataFrame]]) -> Sink:
+    """Points by kind into their tables, from one parse of the batch."""
 
-    def write(batch: DataFrame, name: str) -> None:
+    def write(batch: DataFrame, written: str) -> dict:
         parsed = batch.persist()  # five projections of one parse
+        seen = {kind: Observation() for kind in schemas.METRIC_KINDS}
+        numbers = (F.count("*").alias("rows"), F.sum(F.octet_length("MetricName")).alias("bytes"))
         try:
-            lake.write_metrics(otlp_to_metrics(parsed), segment("metrics", name), writers)
+            frames = {kind: df.observe(seen[kind], *numbers) for kind, df in points(parsed).items()}
+            lake.write_metrics(frames, segment(name, written), writers)
         finally:
             parsed.unpersist()
+        told = [observed(seen[kind], "rows", "bytes") for kind in frames]
+        return {n: sum(t[n] for t in told) for n in ("rows", "bytes")}
 
-    return fan_out(requests, [write], f"{checkpoint}/metrics", "metrics", trigger)
+    return write
+
+
+def metrics(
+    spark: SparkSession, src: str, lake: Lake, checkpoint: str, trigger: str | None = TRIGGER,
+    writers: int | None = None, **options: str,
+) -> StreamingQuery:
+    requests = read_request_lines(spark, src, schemas.OTLP_METRICS, **_bounded(options))
+    sink = _points_sink(lake, "metrics", writers, otlp_to_metrics)
+    return fan_out(
+        requests, [sink], f"{checkpoint}/metrics", "metrics", trigger, lambda df, _: df.select("req.*"),
+        counters(checkpoint), _no_request(checkpoint, "resourceMetrics"),
+    )
 
 
 def scraped_metrics(
@@ -235,11 +272,8 @@ def scraped_metrics(
         F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("scraped_at"),
     )
 
-    def write(batch: DataFrame, name: str) -> None:
-        parsed = batch.persist()
-        try:
-            lake.write_metrics(parse_prom_text(parsed, job), segment("metrics-scraped", name), writers)
-        finally:
-            parsed.unpersist()
-
-    return fan_out(lines, [write], f"{checkpoint}/metrics-scraped", "metrics-scraped", trigger)
+    odd = Rejects(rejected(checkpoint), ~is_sample(), F.lit("no sample"), source_file="source")
+    sink = _points_sink(lake, "metrics-scraped", writers, lambda df: parse_prom_text(df, job))
+    return fan_out(
+        lines, [sink], f"{checkpoint}/metrics-scraped", "metrics-scraped", trigger, None, counters(checkpoint), odd
+    )

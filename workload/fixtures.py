@@ -458,6 +458,26 @@ def typed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).alias("value"))
 
 
+def odd_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that no pipeline can read: of seven events one gives broken JSON, one JSON that is no request."""
+    n = F.col("event_id").cast("string")
+    broken = F.concat(F.lit('{"broken '), n)
+    other = F.concat(F.lit('{"x":'), n, F.lit("}"))
+    return events(spark, sf_dir).filter(F.col("event_id") % 7 < 2).select(
+        F.when(F.col("event_id") % 7 == 0, broken).otherwise(other).alias("value"), "event_id"
+    )
+
+
+def odd_container_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container lines, and before some messages a line of no known format."""
+    odd = events(spark, sf_dir).filter(F.col("event_id") % 7 == 0).select(
+        F.concat(F.lit("odd line "), F.col("event_id").cast("string")).alias("value"),
+        F.concat(F.lit("file:/var/log/pods/"), namespace(), F.lit("_"), pod(), F.lit("_uid"), F.lit("/app/0.log")).alias("file_path"),
+        (F.col("event_id") * 4).alias("line_no"),
+    )
+    return container_lines(spark, sf_dir).select("value", "file_path", "line_no").unionByName(odd)
+
+
 def log_files(lines: DataFrame, root: str) -> list[str]:
     """Write lines as files with the names a node gives them, each in line order; returns their paths. Spark writes one file
     per name, which is then given that name."""

@@ -279,7 +279,7 @@ ORACLE: dict[str, str] = {
           span_name AS "SpanName" FROM spans""",
     "sessions_default_view": _with(SESSIONS) + """
         SELECT ts AS "Timestamp", 'web' AS "ServiceName", text AS "Body" FROM sess
-        WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01'""",
+        WHERE ts < (SELECT max(ts) - INTERVAL 1 HOUR FROM sess)""",
     "logs_context_view": L + """
         SELECT ts AS time, sev AS level, body AS message, trace_id AS "TraceId", span_id AS "SpanId",
           svc AS "ServiceName", k, pod FROM logs""",
@@ -515,9 +515,34 @@ ORACLE: dict[str, str] = {
     "stream_two_checkpoints": L + """
         SELECT span_id AS "SpanId", CAST(2 AS BIGINT) AS n FROM logs WHERE session_id = ''""",
     "ingest_counters": L + """
-        SELECT 'InsertedRows' AS event, count(*) FILTER (session_id = '') AS value FROM logs
+        SELECT 'InsertQuery' AS event, CAST(1 AS BIGINT) AS value
+        UNION ALL SELECT 'InsertedRows', count(*) FILTER (session_id = '') FROM logs
         UNION ALL SELECT 'InsertedBytes', CAST(coalesce(sum(strlen(body)) FILTER (session_id = ''), 0) AS BIGINT) FROM logs
-        UNION ALL SELECT 'RejectedInserts', 0""",
+        UNION ALL SELECT 'RejectedInserts', 0 UNION ALL SELECT 'DelayedInserts', 0""",
+    "stream_backlog": """
+        SELECT CAST(b AS BIGINT) AS batch, CAST(2 - b AS BIGINT) AS files, b < 2 AS has_bytes, (SELECT count(*) FROM events) AS rows,
+          TRUE AS small_units FROM range(3) t(b)""",
+    "rejected_lines": """
+        SELECT pipeline, CASE WHEN event_id % 7 = 0 THEN '{"broken ' || event_id ELSE '{"x":' || event_id || '}' END AS line,
+          CASE WHEN event_id % 7 = 0 THEN 'no JSON' ELSE 'no request: ' || field || ' is missing or no list' END AS reason,
+          FALSE AS passed, CAST(0 AS BIGINT) AS batch, TRUE AS has_file, TRUE AS has_query
+        FROM events, (VALUES ('logs/records', 'resourceLogs'), ('traces', 'resourceSpans'), ('metrics', 'resourceMetrics')) t(pipeline, field)
+        WHERE event_id % 7 < 2
+        UNION ALL SELECT 'logs/journal', '{"broken ' || event_id, 'no JSON object', FALSE, 0, TRUE, TRUE FROM events WHERE event_id % 7 = 0
+        UNION ALL SELECT 'logs/container', 'odd line ' || event_id, 'unknown format', TRUE, 0, TRUE, TRUE FROM events WHERE event_id % 7 = 0""",
+    "ingest_counters_by_pipeline": L + """
+        , odd AS (SELECT count(*) FILTER (event_id % 7 = 0) AS broken, count(*) FILTER (event_id % 7 = 1) AS other,
+            CAST(coalesce(sum(strlen('odd line ' || event_id)) FILTER (event_id % 7 = 0), 0) AS BIGINT) AS odd_bytes FROM events),
+        sums AS (SELECT count(*) AS n, CAST(sum(strlen(body)) AS BIGINT) AS body_bytes, CAST(sum(strlen(event_type)) AS BIGINT) AS name_bytes FROM logs),
+        t AS (SELECT 'logs/records' AS pipeline, n AS InsertedRows, body_bytes AS InsertedBytes, broken + other AS RejectedInserts FROM sums, odd
+          UNION ALL SELECT 'traces', n, name_bytes, broken + other FROM sums, odd
+          UNION ALL SELECT 'metrics', n, name_bytes, broken + other FROM sums, odd
+          -- A journal line with other fields is an entry without a message.
+          UNION ALL SELECT 'logs/journal', n + other, body_bytes, broken FROM sums, odd
+          UNION ALL SELECT 'logs/container', n + broken, body_bytes + odd_bytes, broken FROM sums, odd)
+        SELECT pipeline, 'InsertedRows' AS event, InsertedRows AS value FROM t UNION ALL SELECT pipeline, 'InsertedBytes', InsertedBytes FROM t
+        UNION ALL SELECT pipeline, 'RejectedInserts', RejectedInserts FROM t UNION ALL SELECT pipeline, 'InsertQuery', 1 FROM t
+        UNION ALL SELECT pipeline, 'DelayedInserts', 0 FROM t""",
     "lake_compression_report": """
         SELECT 'otel_logs' AS "table", count(*) AS rows, TRUE AS smaller, TRUE AS fewer_bytes FROM events""",
     "lake_balance_report": """

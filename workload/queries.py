@@ -49,7 +49,7 @@ from tlake.sources import (
     read_raw_lines,
 )
 from tlake.sources.files import parse_journal
-from tlake.streaming import otlp_requests, pipelines, write_otlp_archive
+from tlake.streaming import otlp_requests, pipelines, sinks, write_otlp_archive
 from workload import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -440,7 +440,10 @@ def spans_default_view(spark, sf_dir):
 
 @query
 def sessions_default_view(spark, sf_dir):
-    return views.sessions_view(fx.sessions(spark, sf_dir), start="2024-01-01", end="2024-02-01")
+    """From the oldest session record to an hour before the newest one."""
+    rows = fx.sessions(spark, sf_dir)
+    ends = rows.agg(F.min("Timestamp").alias("first"), (F.max("Timestamp") - F.expr("INTERVAL 1 HOUR")).alias("last"))
+    return views.sessions_view(rows, start=ends.select("first").scalar(), end=ends.select("last").scalar())
 
 
 @query
@@ -1116,8 +1119,66 @@ def ingest_counters(spark, sf_dir):
     root, lake = _archive(spark, sf_dir), lake_at(spark, "stream", ["otel_logs"])
     cp = scratch_dir(spark, "cp")
     pipelines.logs(spark, f"{root}/otel", lake, scratch_dir(spark, "a"), cp, trigger=None, now=fx.AS_OF).awaitTermination()
-    counters = reports.ingest_counters(reports.counter_rows(spark, pipelines.counters(cp)))
-    return counters.filter(F.col("event").isin("InsertedRows", "InsertedBytes", "RejectedInserts"))
+    return reports.ingest_counters(reports.counter_rows(spark, pipelines.counters(cp)))
+
+
+def _odd_input(spark, sf_dir):
+    """Five pipelines under one checkpoint root, with lines among their input that none of them can read."""
+    cp, out = scratch_dir(spark, "cp"), scratch_dir(spark, "out")
+    lake = lake_at(spark, "lake")
+    odd = fx.odd_lines(spark, sf_dir).select("value")
+    src = {}
+    for name, lines in {
+        "logs": otlp_requests(fx.logs(spark, sf_dir)), "traces": fx.span_requests(fx.spans(spark, sf_dir)),
+        "metrics": fx.metric_requests({"gauge": fx.gauge(spark, sf_dir)}), "journal": fx.journal_lines(spark, sf_dir),
+    }.items():
+        src[name] = scratch_dir(spark, name)
+        lines.toDF("value").write.text(src[name])
+        odd.write.mode("append").text(src[name])
+    pods = fx.pods(spark, sf_dir)
+    fx.log_files(fx.odd_container_lines(spark, sf_dir), f"{out}-pods")
+    for run in (
+        pipelines.records(spark, src["logs"], lake, out, cp, None, fx.AS_OF),
+        pipelines.traces(spark, src["traces"], lake, cp, None),
+        pipelines.metrics(spark, src["metrics"], lake, cp, None),
+        pipelines.journal(spark, src["journal"], pods, out, cp, None, None),
+        pipelines.container(spark, f"{out}-pods/*/*/*.log", pods, out, cp, None),
+    ):
+        run.awaitTermination()
+    return cp
+
+
+@query
+def stream_backlog(spark, sf_dir):
+    """Three files, one a batch: what was outstanding at the end of each, and rows of units of at most 100."""
+    src, cp = scratch_dir(spark, "requests"), scratch_dir(spark, "cp")
+    otlp_requests(fx.logs(spark, sf_dir)).repartition(3).write.text(src)
+    lake = lake_at(spark, "lake", ["otel_logs", "sessions"])
+    lake.rows_per_file = 100
+    pipelines.records(
+        spark, src, lake, scratch_dir(spark, "a"), cp, None, fx.AS_OF, watch=True, maxFilesPerTrigger="1"
+    ).awaitTermination()
+    rows = inventory(lake, "otel_logs").unionByName(inventory(lake, "sessions")).agg(
+        F.sum("rows").alias("rows"), (F.max("rows") <= 100).alias("small_units")
+    )
+    left = reports.backlog_rows(spark, pipelines.counters(cp))
+    return left.select("batch", "files", (F.col("bytes") > 0).alias("has_bytes")).join(rows)
+
+
+@query
+def rejected_lines(spark, sf_dir):
+    """What five pipelines have turned away, line by line with its reason and batch."""
+    rejected = sinks.rejected_lines(spark, pipelines.rejected(_odd_input(spark, sf_dir)))
+    return rejected.select(
+        "pipeline", "line", "reason", "passed", "batch", F.col("source_file").startswith("file:").alias("has_file"),
+        (F.col("query") != "").alias("has_query"),
+    )
+
+
+@query
+def ingest_counters_by_pipeline(spark, sf_dir):
+    rows = reports.counter_rows(spark, pipelines.counters(_odd_input(spark, sf_dir)))
+    return rows.groupBy("pipeline", "event").agg(F.sum("value").alias("value"))
 
 
 @query
