@@ -25,6 +25,7 @@ from .common import of_worker, slices, text_key
 
 SAMPLE = 20_000
 HOT_SHARE = 1_000_000
+LEAST_DOCS = 3
 UNICODE_SPACE = re.compile("[ \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 CONTROL = re.compile("[\\x1c-\\x1f]")
 SPECIAL = "\x00special"  # stands for a special token; the tokenizer's own normaliser never gives it
@@ -133,7 +134,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                seen.update(own.words(text.as_py()))
+                seen.update(set(own.words(text.as_py())))  # documents: a long text says no more of its own words than a short one
                 if len(seen) > 300_000:  # bounded memory: partial counts go out, Spark adds them up
                     yield flushed()
         yield flushed()
@@ -152,7 +153,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str) -> DataFrame:
         .mapInArrow(sample_counts, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).checkpoint()
     )
     total = sample.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    frequent = sample.filter((F.col("n") * HOT_SHARE >= total) & (F.col("n") > 1)).select("piece")
+    frequent = sample.filter((F.col("n") * HOT_SHARE >= total) & (F.col("n") >= LEAST_DOCS)).select("piece")
     # At most HOT_SHARE entries, whatever the corpus.
     hot = {r.piece: r.pieces for r in frequent.mapInArrow(sizes, "piece string, pieces int").toLocalIterator()}
     hot_counts = docs.sparkSession.sparkContext.broadcast(hot)
