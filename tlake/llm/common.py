@@ -35,6 +35,14 @@ def checkpoint_folder(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch where the session has Spark's own number: rows are whole texts here, and each batch is held
+    in the JVM and in the Python worker. Stays set for the session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def of_worker(key: tuple, make: Callable[[], Any]) -> Any:
     """What ``make`` gives, made once in each Python worker and kept between its tasks. Only for caches of bounded size
     whose content follows from ``key``."""
@@ -62,6 +70,12 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def ids(*frames: DataFrame) -> Column:
+    """doc_id in a type that all frames share: whole numbers, or text where one of them has other ids."""
+    whole = all(df.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long") for df in frames)
+    return F.col("doc_id").cast("long" if whole else "string").alias("doc_id")
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, fold: Column, max_rows: int
 ) -> list[tuple[str, int]]:
@@ -71,7 +85,7 @@ def labelled_sample(
     it is bounded by ``max_rows``. Labels other than 0 and 1, null texts and repeated (id, label) rows are passed over.
     """
     wanted = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+        labels.select(ids(docs, labels), F.col(label).cast("int").alias("y"))
         .filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & fold)
         .distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id", "y")
@@ -79,7 +93,7 @@ def labelled_sample(
     )
     # At most max_rows rows of 12 bytes: a bounded broadcast.
     rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        docs.select(ids(docs, labels), "text")
         .filter(F.col("text").isNotNull())
         .join(F.broadcast(wanted), "doc_id")
         .orderBy(F.xxhash64("doc_id"), "doc_id", "y", "text")

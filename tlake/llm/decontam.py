@@ -4,6 +4,11 @@ Texts are compared in lower case with every run of other characters than letters
 characters may differ in k = floor(error_rate * n) edits. Cut into k + 1 pieces, at least one piece must occur unchanged:
 an automaton finds all pieces of all items in one pass over a document, and each place that a hit points to is verified
 with Myers' bit-parallel distance.
+
+Short items would meet ordinary text by chance, so the shorter they are the more has to agree. Length is counted in UTF-8
+bytes, since a sentence of 40 letters is one of about 13 in Chinese or Japanese. From EDITED bytes an item has its budget;
+from WHOLE_WORDS bytes it must occur unchanged, between word borders (scripts without blanks have none); below that, the
+document must consist of it alone, where ``whole_texts`` asks for these.
 """
 
 from __future__ import annotations
@@ -13,12 +18,13 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OTHER = re.compile(r"[\W_]+")
 BLOCK_CHARS = 2_000_000  # characters of items that one pass looks for
-MATCHES = "array<struct<item_id: bigint, distance: int, start: int>>"
+EDITED, WHOLE_WORDS = 40, 16
+NO_BLANKS = "\u2e80"  # from here on scripts are written without blanks, nearly all of them
 
 
 def normalise(text: str | None) -> str:
@@ -62,17 +68,27 @@ def myers(bits: dict[str, int], m: int, text: str, k: int) -> tuple[int, int]:
     return best, at
 
 
+def at_border(text: str, at: int) -> bool:
+    """No word goes on across a place of a normalised text."""
+    return at in (0, len(text)) or " " in text[at - 1 : at + 1] or max(text[at - 1 : at + 1]) >= NO_BLANKS
+
+
 class Finder:
-    """All items of one block, in one automaton."""
+    """All items of one block, in one automaton; the shortest ones as whole texts."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float) -> None:
-        self.items = []
+    def __init__(self, items: list[tuple[object, str]], error_rate: float, whole_texts: bool = False) -> None:
+        self.items, self.texts = [], {}
         found: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            k = int(error_rate * len(text))
+            size = len(text.encode("utf-8", "surrogatepass"))
+            if size < WHOLE_WORDS:
+                if whole_texts:
+                    self.texts.setdefault(text, []).append(item_id)
+                continue
+            k = int(error_rate * len(text)) if size >= EDITED else 0
             for a, b in pieces(len(text), k):
                 found.setdefault(text[a:b], []).append((len(self.items), a))
-            self.items.append((item_id, text, k, pattern_bits(text)))
+            self.items.append((item_id, text, k, pattern_bits(text), size < EDITED))
         self.automaton = ahocorasick.Automaton()
         for piece, uses in found.items():
             self.automaton.add_word(piece, (len(piece), uses))
@@ -81,15 +97,19 @@ class Finder:
 
     def search(self, text: str) -> list[tuple[int, int, int]]:
         """(item_id, least distance, start in the normalised text) of every item within its budget."""
+        out = [(item_id, 0, 0) for item_id in self.texts.get(text, ())] if text else []
         if not self.items or not text:
-            return []
+            return out
         places: dict[int, set[int]] = {}
         for end, (n, uses) in self.automaton.iter(text):
             for i, a in uses:
                 places.setdefault(i, set()).add(end - n + 1 - a)
-        out = []
         for i, starts in sorted(places.items()):
-            item_id, pattern, k, bits = self.items[i]
+            item_id, pattern, k, bits, bordered = self.items[i]
+            if bordered:
+                starts = [s for s in starts if at_border(text, s) and at_border(text, s + len(pattern))]
+                out += [(item_id, 0, min(starts))] if starts else []
+                continue
             m, best, at, reach = len(pattern), k + 1, -1, -1
             spans: list[list[int]] = []
             for s in sorted(starts):  # places within the budget of each other are one
@@ -109,38 +129,33 @@ class Finder:
         return out
 
 
-def item_blocks(items: DataFrame, min_chars: int) -> list[list[tuple[int, str]]]:
-    """The searchable items in blocks of BLOCK_CHARS. Running totals name the blocks; the driver holds one at a time until
-    it is broadcast. Null ids, and items with fewer than ``min_chars`` characters, which ordinary text would meet by
-    chance, are not searched."""
-    rows = (
-        items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-        .filter(F.col("item_id").isNotNull() & (F.length("text") >= min_chars))
-        .distinct()
-    )
-    running = Window.partitionBy("band").orderBy("item_id", "text")
-    # Bands of ids keep the running total from one task; each band starts its own blocks.
-    blocks = rows.withColumn("band", F.floor(F.col("item_id") / 100_000)).withColumn(
-        "block", F.floor((F.sum(F.length("text")).over(running) - F.length("text")) / BLOCK_CHARS)
-    )
-    names = blocks.select("band", "block").distinct().orderBy("band", "block").collect()
+def item_blocks(items: DataFrame) -> list[list[tuple[object, str]]]:
+    """The items in blocks of about BLOCK_CHARS, by a hash of the id. Items without an id, or without letters and digits, have
+    nothing that could be found. Ids may be of any type."""
+    rows = items.select("item_id", "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-chars // BLOCK_CHARS))
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n)))
     out = []
-    for name in names:
-        got = blocks.filter((F.col("band") == name.band) & (F.col("block") == name.block)).orderBy("item_id", "text").collect()
-        block = [(r.item_id, n) for r in got if len(n := normalise(r.text)) >= min_chars]
+    for i in range(n):
+        got = blocks.filter(F.col("block") == i).orderBy("item_id", "text").collect()
+        block = [(r.item_id, text) for r in got if (text := normalise(r.text))]
         if block:
             out.append(block)
     return out
 
 
-def matches(text: Column, blocks: list[list[tuple[int, str]]], error_rate: float = 0.08) -> Column:
-    """array of (item_id, distance, start) for a text: every item found within its budget, by item_id. Each block of items
-    is one pass over the text, so what is broadcast at once stays under BLOCK_CHARS characters."""
+def matches(
+    text: Column, blocks: list[list[tuple[object, str]]], error_rate: float = 0.08, id_type: str = "bigint", whole_texts: bool = False
+) -> Column:
+    """array of (item_id, distance, start) for a text: every item found, by item_id. Each block of items is one pass over the
+    text."""
+    kind = f"array<struct<item_id: {id_type}, distance: int, start: int>>"
 
-    def one(block: list[tuple[int, str]]) -> Column:
-        @F.pandas_udf(MATCHES)
+    def one(block: list[tuple[object, str]]) -> Column:
+        @F.pandas_udf(kind)
         def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            finder = Finder(block, error_rate)
+            finder = Finder(block, error_rate, whole_texts)
             for texts in batches:
                 yield pd.Series(
                     [[{"item_id": i, "distance": d, "start": s} for i, d, s in finder.search(normalise(t))] for t in texts],
@@ -150,19 +165,20 @@ def matches(text: Column, blocks: list[list[tuple[int, str]]], error_rate: float
         return found(text)
 
     if not blocks:
-        return F.from_json(F.lit("[]"), MATCHES)
+        return F.from_json(F.lit("[]"), kind)
     return F.array_sort(F.array_distinct(F.flatten(F.array(*map(one, blocks)))))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, min_chars: int = 40) -> DataFrame:
-    """doc_id, item_id, distance, start: one row for each item that a document contains within the item's error budget.
+def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, whole_texts: bool = False) -> DataFrame:
+    """doc_id, item_id, distance, start: one row for each item that a document contains within the item's error budget, or
+    contains as its length asks for.
 
     Null and empty texts contain nothing. Repeated documents and items (same id, other text) give a row each; several
     places of one item in one document give the best, the first of equals. Other columns are not read.
     """
-    blocks = item_blocks(items, min_chars)
+    id_type = items.schema["item_id"].dataType.simpleString()
     return (
-        docs.select("doc_id", matches(F.col("text"), blocks, error_rate).alias("m"))
+        docs.select("doc_id", matches(F.col("text"), item_blocks(items), error_rate, id_type, whole_texts).alias("m"))
         .select("doc_id", F.explode("m").alias("m"))
         .select("doc_id", "m.item_id", "m.distance", "m.start")
     )

@@ -369,13 +369,18 @@ def first_of_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     one with the smallest digest, of equal rows any. Rows without words are linked with nothing: those with equal ids and
     texts count as one, all others stay."""
     # A null text is not an empty one here.
-    digest = F.unhex(F.md5(F.coalesce(F.concat(F.lit("+"), "text"), F.lit("")))).alias("first_text")
-    rows = grouped(docs, width, percent, (digest,)).groupBy("part", "doc_id", "first_text").agg(F.count("*").alias("first_rows"))
+    digest = F.unhex(F.md5(F.coalesce(F.concat(F.lit("+"), "text"), F.lit(""))))
+    rows = grouped(docs, width, percent, (digest.alias("first_text"),)).groupBy("part", "doc_id", "first_text").agg(F.count("*").alias("first_rows"))
     alone = F.when(F.col("part").isNull(), F.struct("doc_id", "first_text"))
     order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("first_id"), "first_text", "first_rows")
-    chosen = rows.groupBy("part", alone.alias("alone")).agg(F.min(order).alias("m")).select("m.first_id", "m.first_text", "m.first_rows").checkpoint()
-    given = docs.withColumn("text_digest", digest)
-    same = given["doc_id"].eqNullSafe(chosen["first_id"]) & (given["text_digest"] == chosen["first_text"])
-    left = given.join(chosen, same)
-    single, repeated = left.filter("first_rows = 1"), left.filter("first_rows > 1").dropDuplicates(["doc_id", "first_text"])
+    # Names that no column of the documents has.
+    own = next(x for n in range(len(docs.columns) + 1) if not any(c.startswith(x := f"_first{n}_") for c in docs.columns))
+    key, text, copies, here = (own + x for x in ("id", "text", "rows", "digest"))
+    chosen = (
+        rows.groupBy("part", alone.alias("alone")).agg(F.min(order).alias("m"))
+        .select(F.col("m.first_id").alias(key), F.col("m.first_text").alias(text), F.col("m.first_rows").alias(copies)).checkpoint()
+    )
+    given = docs.withColumn(here, digest)
+    left = given.join(chosen, given["doc_id"].eqNullSafe(chosen[key]) & (given[here] == chosen[text]))
+    single, repeated = left.filter(F.col(copies) == 1), left.filter(F.col(copies) > 1).dropDuplicates(["doc_id", text])
     return single.select(*docs.columns).unionByName(repeated.select(*docs.columns))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import ids, remainder
 
 BITS, DIM = 15, 16
 LETTER = re.compile(r"[^\W\d_]")
@@ -123,14 +123,14 @@ def train(docs: DataFrame, max_train_rows: int = 3000) -> LanguageModel:
     """Fit on at most ``max_train_rows`` documents with a language whose crc32(doc_id) mod 4 is not 2, chosen by a hash
     of the id over the whole table. Only the chosen texts reach the driver."""
     wanted = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
+        docs.select(ids(docs), F.col("lang").cast("string").alias("lang"))
         .filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", 4) != 2))
         .distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id", "lang")
         .limit(max_train_rows)
     )
     rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+        docs.select(ids(docs), F.col("lang").cast("string").alias("lang"), "text")
         .join(F.broadcast(wanted), ["doc_id", "lang"])  # bounded by max_train_rows
         .orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text")
         .limit(max_train_rows)

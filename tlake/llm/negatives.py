@@ -189,7 +189,7 @@ def coded_rows(vectors: DataFrame, levels: int, seed: int) -> tuple[DataFrame, i
     x = F.col("embedding")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
     rows = vectors.select(
-        F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id"),
+        F.coalesce(F.col("vec_id").try_cast("long"), F.lit(NO_ID)).alias("vec_id"),
         F.col("label").cast("long").alias("label"),
         F.col("embedding").cast("array<double>").alias("embedding"),
     ).filter(F.col("label").isNotNull() & x.isNotNull() & finite)
@@ -251,7 +251,7 @@ def hard_negatives(
     Anchors: rows whose vec_id divides by ``anchor_every``. Their positives are the first ``n_positives`` other rows of the
     same label; for each of these the first ``n_negatives`` rows of other labels whose score lies between the two
     percentages of the positive's are returned. A repeated vec_id is a row of its own, as anchor and as partner; a null
-    vec_id is no anchor, comes last among ties and stays null. Empty tables give no rows; other columns are not read.
+    vec_id (also one that is no whole number) is no anchor, comes last among ties and is null. Empty tables give no rows; other columns are not read.
 
     All rows meet all anchors, in cells of one tile of anchors and one of rows, so that no task holds more than a cell and no
     anchor passes the driver; a tile is a hash of the row's number, whatever ids, labels or vectors repeat. Each cell returns

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, chat, decontam, divergence, fim, html_text, jaccard, langid, lines, nbsvm, negatives, token_counts, toxicity
-from .common import checkpoint_folder, table
+from .common import checkpoint_folder, small_batches, table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -35,7 +35,7 @@ def op3_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), whole_texts=True)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,12 +59,14 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), BYTE_RANKS)
     return byte_bpe.digests(byte_bpe.decode(encoded, BYTE_RANKS))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     checkpoint_folder(spark)
+    small_batches(spark)
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
 

@@ -8,6 +8,7 @@ the set of its features, so one insult counts alike in a short and in a long tex
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -87,16 +88,14 @@ class ToxicityModel:
 
 
 def swapped(text: str, most: int = 20) -> list[tuple[str, str]]:
-    """(sentence, same sentence with one group term swapped) for the sentences that name a group; at most ``most`` a text,
-    since this is training material."""
-    out: list[tuple[str, str]] = []
+    """(sentence, same sentence with one group term swapped) for the sentences that name a group. Of more than ``most`` pairs
+    in a text those with the smallest hashes are taken, wherever they stand, so no long text outweighs the others."""
+    out: set[tuple[str, str]] = set()
     for sentence in SENTENCE.split(text.lower()):
-        for term in sorted(set(ANY_TERM.findall(sentence))):
+        for term in ANY_TERM.findall(sentence):
             for other in OTHERS[term]:
-                out.append((sentence, re.sub(rf"\b{term}\b", other, sentence)))
-        if len(out) >= most:
-            return out[:most]
-    return out
+                out.add((sentence, re.sub(rf"\b{term}\b", other, sentence)))
+    return sorted(out, key=lambda pair: (zlib.crc32("\n".join(pair).encode("utf-8", "surrogatepass")), pair))[:most]
 
 
 class Sparse:
