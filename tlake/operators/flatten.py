@@ -367,8 +367,8 @@ _KIND_FIELD = {
 }
 
 
-def otlp_to_metrics(df: DataFrame) -> dict[str, DataFrame]:
-    """Requests → one frame per point kind, in table layout."""
+def flatten_otlp_metrics(df: DataFrame) -> DataFrame:
+    """resourceMetrics → scopeMetrics → metrics: the columns of resource and scope, and ``item``, a metric with its points."""
     per_resource = [
         attrs_to_map("resource.attributes").alias("ResourceAttributes"),
         text("res_url").alias("ResourceSchemaUrl"),
@@ -380,7 +380,12 @@ def otlp_to_metrics(df: DataFrame) -> dict[str, DataFrame]:
         _number("scope.droppedAttributesCount").alias("ScopeDroppedAttrCount"),
         text("scope_url").alias("ScopeSchemaUrl"),
     ]
-    flat = _three_levels(df, "resourceMetrics", "scopeMetrics", "metrics", per_resource, per_scope)
+    return _three_levels(df, "resourceMetrics", "scopeMetrics", "metrics", per_resource, per_scope)
+
+
+def metric_points(flat: DataFrame) -> dict[str, DataFrame]:
+    """Metrics of ``flatten_otlp_metrics`` → one frame per point kind, in table layout. To write them all, persist the
+    metrics: the outer levels are then unnested once for the five kinds."""
     above = [c for c in flat.columns if c != "item"]
     out = {}
     for kind, field in _KIND_FIELD.items():
@@ -402,3 +407,8 @@ def otlp_to_metrics(df: DataFrame) -> dict[str, DataFrame]:
         )
         out[kind] = rows.select(*schemas.TABLES[schemas.metric_table(kind)].names)
     return out
+
+
+def otlp_to_metrics(df: DataFrame) -> dict[str, DataFrame]:
+    """Requests → one frame per point kind, in table layout."""
+    return metric_points(flatten_otlp_metrics(df))

@@ -246,19 +246,21 @@ class Lake:
         table: str,
         segment: str | None = None,
         tasks: int | None = None,
+        seed: int | None = None,
     ) -> str:
         """Append rows as one segment, partitioned by day, sorted by the table key.
 
         Bulk loads (``tasks=None``) are rebalanced by day: adaptive execution cuts
         days larger than the advisory size into several tasks, whatever keys are
         in them, and joins small ones. A micro-batch is spread over ``tasks`` by
-        round robin instead. With a given segment name a repeated write replaces
+        round robin instead, or with ``seed`` by random numbers, as a table sharded by ``rand()``. With a given segment name a repeated write replaces
         the first attempt.
         """
         segment = segment or f"a-{uuid.uuid4().hex}"
         rows = self.table_rows(df, table)
         if tasks:
-            self.save(rows.repartition(tasks), table, "hot", segment)
+            spread = rows.repartition(tasks) if seed is None else rows.repartition(tasks, F.rand(seed))
+            self.save(spread, table, "hot", segment)
         else:
             with settings(df.sparkSession, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": TASK_BYTES}):
                 self.save(rows.hint("rebalance", "event_date"), table, "hot", segment)

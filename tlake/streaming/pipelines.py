@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tlake import schemas
-from tlake.operators.flatten import otlp_to_logs, otlp_to_metrics, otlp_to_spans
+from tlake.operators.flatten import flatten_otlp_metrics, metric_points, otlp_to_logs, otlp_to_spans
 from tlake.operators.transforms import (
     FRAGMENTS,
     container_lines,
@@ -235,7 +235,7 @@ def _points_sink(lake: Lake, name: str, writers: int | None, points: Callable[[D
     """Points by kind into their tables, from one parse of the batch."""
 
     def write(batch: DataFrame, written: str) -> dict:
-        parsed = batch.persist()  # five projections of one parse
+        parsed = batch.persist()  # five projections of one parse, the outer levels unnested
         seen = {kind: Observation() for kind in schemas.METRIC_KINDS}
         numbers = (F.count("*").alias("rows"), F.sum(F.octet_length("MetricName")).alias("bytes"))
         try:
@@ -254,9 +254,9 @@ def metrics(
     writers: int | None = None, **options: str,
 ) -> StreamingQuery:
     requests = read_request_lines(spark, src, schemas.OTLP_METRICS, **_bounded(options))
-    sink = _points_sink(lake, "metrics", writers, otlp_to_metrics)
+    sink = _points_sink(lake, "metrics", writers, metric_points)
     return fan_out(
-        requests, [sink], f"{checkpoint}/metrics", "metrics", trigger, lambda df, _: df.select("req.*"),
+        requests, [sink], f"{checkpoint}/metrics", "metrics", trigger, lambda df, _: flatten_otlp_metrics(df.select("req.*")),
         counters(checkpoint), _no_request(checkpoint, "resourceMetrics"),
     )
 

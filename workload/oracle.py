@@ -425,6 +425,7 @@ ORACLE: dict[str, str] = {
     "lake_logs_round_trip": L + f"""
         SELECT ts AS "Timestamp", ns AS "Timestamp_ns", ts_s AS "TimestampTime", trace_id AS "TraceId", span_id AS "SpanId",
           sev AS "SeverityText", svc AS "ServiceName", body AS "Body", k, 'hot' AS tier, {DAY_OF} AS event_date FROM logs""",
+    "rand_sharding": "SELECT CAST(3 AS BIGINT) AS shards, count(*) AS rows, TRUE AS even FROM events",
     "filter_logs_promoted": L + """
         SELECT span_id AS "SpanId", body AS "Body", k FROM logs WHERE event_type = 'purchase' AND pod = 'pod-3'""",
     "search_logs_indexed": L + """

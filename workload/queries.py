@@ -687,6 +687,16 @@ def lake_logs_round_trip(spark, sf_dir):
     )
 
 
+@query
+def rand_sharding(spark, sf_dir):
+    """Rows spread by seeded random numbers: shards, all rows, and whether the largest is within a third of the mean."""
+    lake = lake_at(spark, "lake", ["otel_logs"])
+    lake.write(fx.logs(spark, sf_dir), "otel_logs", tasks=3, seed=11)
+    shard = F.regexp_extract("path", "part-([0-9]+)", 1)
+    shards = inventory(lake, "otel_logs").groupBy(shard.alias("shard")).agg(F.sum("rows").alias("n"))
+    return shards.agg(F.count("*").alias("shards"), F.sum("n").alias("rows"), (F.max("n") < F.avg("n") * 4 / 3).alias("even"))
+
+
 @query
 def filter_logs_promoted(spark, sf_dir):
     """Attribute conditions on stored logs, answered by promoted columns."""
