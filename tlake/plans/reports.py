@@ -108,23 +108,23 @@ def plain_bytes(c: Column, t: DataType) -> Column:
     return F.lit({"boolean": 1, "integer": 4, "date": 4}.get(kind, 8))
 
 
-def size_comparison(df: DataFrame, inv: DataFrame) -> DataFrame:
-    """The same rows as line JSON, as plain columns and as stored, in bytes.
+def size_comparison(df: DataFrame, inv: DataFrame, stored_rows: DataFrame | None = None) -> DataFrame:
+    """The same rows as line JSON, as plain columns and as stored, in bytes. ``stored_rows`` has all columns that the files
+    hold, also those that are computed on write; then the plain columns are those, and the ratio is one of equal columns.
 
     ``uncompressed_bytes`` is what the files hold before the codec, thus already
     dictionary- and delta-encoded; ``plain_bytes`` is without any encoding.
     """
     row = F.to_json(F.struct(*df.columns))
-    plain = sum((plain_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
-    as_json = df.agg(
-        F.sum(F.octet_length(row) + 1).alias("json_bytes"), F.sum(plain.cast("bigint")).alias("plain_bytes"),
-        F.count("*").alias("rows"),
-    )
+    columns = df if stored_rows is None else stored_rows
+    plain = sum((plain_bytes(F.col(f"`{f.name}`"), f.dataType) for f in columns.schema.fields), F.lit(0))
+    as_json = df.agg(F.sum(F.octet_length(row) + 1).alias("json_bytes"), F.count("*").alias("rows"))
+    as_columns = columns.agg(F.sum(plain.cast("bigint")).alias("plain_bytes"))
     stored = inv.agg(
         F.sum("uncompressed_bytes").alias("uncompressed_bytes"), F.sum("compressed_bytes").alias("compressed_bytes")
     )
-    # Two one-row frames become one row.
-    both = as_json.unionByName(stored, allowMissingColumns=True)
+    # One-row frames become one row.
+    both = as_json.unionByName(as_columns, allowMissingColumns=True).unionByName(stored, allowMissingColumns=True)
     return both.agg(*[F.max(c).alias(c) for c in both.columns]).withColumns(
         {
             "json_ratio": F.bround(F.col("json_bytes") / F.col("compressed_bytes"), 1),
