@@ -27,7 +27,7 @@ from .common import slices
 from .components import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-FRAGMENT_SHINGLES = 4_000_000  # shingles that one task counts; each class names itself once in each fragment
+FRAGMENT_SHINGLES = 2_500_000  # shingles that one task counts; each class names itself once in each fragment
 VERTICAL = 8  # fragments in which a pair's overlap is counted
 BLOCK = 1024  # classes of one bucket that meet in one task
 
@@ -75,6 +75,17 @@ def set_key(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
+def unpacked(group: pa.Table, column: str, kind: np.dtype | type) -> np.ndarray:
+    """The numbers in all values of a binary column, one after another. They are read where Arrow holds them, without a Python
+    value for each row."""
+    parts = []
+    for chunk in group.column(column).chunks:
+        offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        if len(chunk) and offsets[-1] > offsets[0]:
+            parts.append(np.frombuffer(memoryview(chunk.buffers()[2])[offsets[0] : offsets[-1]], kind))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, kind)
+
+
 def members(docs: DataFrame, width: int = 4, also: tuple[Column, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, key (null without words) of every row, and the columns of ``also``."""
     rows = docs.select("doc_id", "text", *also)
@@ -129,17 +140,20 @@ def candidates(docs: DataFrame, width: int, percent: int, fragments: int) -> Dat
                 ["fragment", "keys", "sizes", "hashes"],
             )
 
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        keys = np.frombuffer(b"".join(group["keys"]), "V16")
-        sizes = np.frombuffer(b"".join(group["sizes"]), np.int64).reshape(-1, 2)
-        hashes = np.frombuffer(b"".join(group["hashes"]), np.uint64)
+    def count(group: pa.Table) -> pa.Table:
+        keys = unpacked(group, "keys", np.dtype("V16"))
+        sizes = unpacked(group, "sizes", np.int64).reshape(-1, 2)
+        hashes = unpacked(group, "hashes", np.uint64)
         first = np.zeros(len(keys), bool)  # equal sets from several tasks are one class
         first[np.unique(keys.view(np.uint64).reshape(-1, 2), axis=0, return_index=True)[1]] = True
         owner = np.repeat(np.arange(len(keys), dtype=np.int32), sizes[:, 1])
-        use = first[owner]
-        hashes, owner = hashes[use], owner[use]
+        if not first.all():
+            use = first[owner]
+            hashes, owner = hashes[use], owner[use]
         order = np.argsort(hashes)
-        runs = np.diff(np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[:1]], append=~hashes[order[-1:]])))
+        in_order = hashes[order]
+        runs = np.diff(np.concatenate([[0], np.flatnonzero(in_order[1:] != in_order[:-1]) + 1, [len(in_order)]]))
+        del in_order
         df = np.empty(len(hashes), np.uint16)
         df[order] = np.repeat(np.minimum(runs, 65_535).astype(np.uint16), runs)
         many = df > 1
@@ -153,13 +167,15 @@ def candidates(docs: DataFrame, width: int, percent: int, fragments: int) -> Dat
             inside = np.concatenate([np.arange(starts[r], ends[r]) for r in rows])
             lengths = np.stack([sizes[who[rows], 0], ends[rows] - starts[rows]], 1)
             packed.append((int(x), keys[who[rows]].tobytes(), lengths.tobytes(), hashes[inside].tobytes(), df[inside].tobytes()))
-        return pd.DataFrame(packed, columns=["bucket", "keys", "sizes", "hashes", "df"])
-
-    def assemble(group: pd.DataFrame) -> pd.DataFrame:
-        keys = np.frombuffer(b"".join(group["keys"]), np.uint64).reshape(-1, 2)
-        sizes = np.frombuffer(b"".join(group["sizes"]), np.int64).reshape(-1, 2)
-        hashes = np.frombuffer(b"".join(group["hashes"]), np.int64)
-        df = np.frombuffer(b"".join(group["df"]), np.uint16)
+        columns = list(zip(*packed)) if packed else [()] * 5
+        kinds = [pa.int64(), *[pa.binary()] * 4]
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("bucket", "keys", "sizes", "hashes", "df"), columns, kinds)})
+
+    def assemble(group: pa.Table) -> pa.Table:
+        keys = unpacked(group, "keys", np.uint64).reshape(-1, 2)
+        sizes = unpacked(group, "sizes", np.int64).reshape(-1, 2)
+        hashes = unpacked(group, "hashes", np.int64)
+        df = unpacked(group, "df", np.uint16)
         names, first, number = np.unique(keys, axis=0, return_index=True, return_inverse=True)
         number = number.reshape(-1)
         kept = np.bincount(number, sizes[:, 1], len(names)).astype(np.int64)
@@ -169,17 +185,20 @@ def candidates(docs: DataFrame, width: int, percent: int, fragments: int) -> Dat
         use = alive[owner]
         hashes, df, owner = hashes[use], df[use], owner[use]
         order = np.lexsort((hashes, df, owner))
-        lists = np.split(hashes[order], np.cumsum(kept[alive])[:-1]) if alive.any() else []
+        ends = pa.array(np.concatenate([[0], np.cumsum(kept[alive])]), pa.int32())
         which = [names[i].tobytes() for i in np.flatnonzero(alive)]
-        return pd.DataFrame({"key": which, "n": n[alive], "kept": kept[alive], "t": lists})
+        return pa.table({
+            "key": pa.array(which, pa.binary()), "n": pa.array(n[alive]), "kept": pa.array(kept[alive]),
+            "t": pa.ListArray.from_arrays(ends, pa.array(hashes[order])),
+        })
 
     return (
         docs.select("text")
         .mapInArrow(cut, "fragment int, keys binary, sizes binary, hashes binary")
         .groupBy("fragment")
-        .applyInPandas(count, "bucket long, keys binary, sizes binary, hashes binary, df binary")
+        .applyInArrow(count, "bucket long, keys binary, sizes binary, hashes binary, df binary")
         .groupBy("bucket")
-        .applyInPandas(assemble, "key binary, n long, kept long, t array<long>")
+        .applyInArrow(assemble, "key binary, n long, kept long, t array<long>")
     )
 
 
