@@ -30,7 +30,7 @@ TOKENS = 1 << 20  # decoded at once
 SHORT = 48  # bytes up to which looking at all pairs is faster than a heap
 ROWS = 2048  # pieces merged at once
 GROUP = 16  # chunks encoded together
-KEPT = 300_000  # pieces whose ids a worker keeps
+KEPT = 200_000  # pieces whose ids a worker keeps
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -237,6 +237,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str = public_tokenizers.PAT
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
             yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
+        encoder.pieces.clear()  # the worker lives on, maybe for other work
 
     short = rows.filter(fits).mapInArrow(whole, T.StructType([rows.schema["doc_id"], T.StructField("ids", ids_type)]))
 
@@ -261,6 +262,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str = public_tokenizers.PAT
         for texts in batches:
             groups = (texts.iloc[i : i + GROUP].tolist() for i in range(0, len(texts), GROUP))
             yield pd.DataFrame([c for g in groups for c in encoder.encode_chunks(g)], columns=["ids", "at", "first"])
+        encoder.pieces.clear()
 
     chunks = keyed.mapInArrow(cut_batches, chunk_type).repartition("key", "n")
     chunks = chunks.select("doc_id", "key", "n", "text", coded("text").alias("c")).select("doc_id", "key", "n", "text", "c.*")
