@@ -12,6 +12,7 @@ from tlake.functions import map_text
 from tlake.operators import transforms, views
 from tlake.operators.flatten import log_rows
 from tlake.plans import apply_moves, compact, inventory, plan_moves, reports, textindex, vacuum
+from tlake.plans import lake as lake_module
 from tlake.plans.inventory import inventories
 from tlake.plans.lifecycle import _fingerprint
 from workload import fixtures as fx
@@ -115,6 +116,24 @@ def test_repeated_write_of_a_segment_replaces_it(spark, sf_dir, lake):
     assert lake.scan("otel_logs").count() == fx.events(spark, sf_dir).count()
 
 
+def test_large_shards_are_written_by_several_tasks(spark, sf_dir, lake, monkeypatch):
+    """Without more tasks the rows are on the same shards, and those of nulls count as well."""
+    logs = fx.logs(spark, sf_dir).withColumn("Body", F.when(F.col("event_id") % 2 == 0, F.col("Body")))
+    shard = lambda: lake_module.shard_of(F.col("_metadata.file_path"), 3)
+    dealt = lambda seg: sorted(rows(lake.files("otel_logs", "hot").filter(F.col("seg") == seg).select(shard(), "SpanId")))
+    files = lambda seg: inventory(lake, "otel_logs").filter(F.col("seg") == seg)
+    task = F.regexp_extract("path", r"/part-(\d+)-", 1).cast("int")
+    one, other = lake.write(logs, "otel_logs", "a-one", tasks=3, seed=5), "a-other"
+    assert files(one).agg(F.max(task)).first()[0] == 2
+    monkeypatch.setattr(lake_module, "SHARD_TASK_BYTES", 20_000)
+    lake.write(logs, "otel_logs", other, tasks=3, seed=5)
+    assert files(other).agg(F.max(task)).first()[0] > 5
+    assert dealt(one) == dealt(other) and len(dealt(one)) == logs.count()
+    even = lake.write(logs, "otel_logs", tasks=3)
+    n = [r["rows"] for r in reports.balance_report(files(even), lake_module.shard_of("path", 3)).collect()]
+    assert len(n) == 3 and sum(n) == logs.count() and max(n) < 1.1 * min(n)
+
+
 def test_a_half_written_segment_does_not_count(spark, sf_dir, lake):
     lake.write(fx.logs(spark, sf_dir), "otel_logs", "a-whole")
     n, files = lake.scan("otel_logs").count(), inventory(lake, "otel_logs").count()

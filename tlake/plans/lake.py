@@ -24,6 +24,7 @@ from tlake import schemas
 from tlake.functions import attr_pairs, literal_time, map_text, unix_nanos
 from tlake.functions.scalar import trunc_second
 from tlake.plans import hadoop
+from tlake.plans.reports import plain_bytes
 from tlake.operators.aggregates import trace_time_ranges
 from tlake.operators.metrics import union_metrics
 from tlake.operators.traces import trace_days
@@ -71,6 +72,13 @@ def with_attributes(df: DataFrame, table: str, wanted: list[tuple[str, str, str]
 
 # Shuffled bytes per writing task of a bulk load: files of some hundred megabytes.
 TASK_BYTES = "512m"
+# Plain bytes per writing task of a load in a given number of shards; sorting holds about twice as much.
+SHARD_TASK_BYTES = 96 << 20
+
+
+def shard_of(path: str | Column, tasks: int) -> Column:
+    """Shard, from 0, of a file that ``Lake.write(tasks=tasks)`` has made."""
+    return F.regexp_extract(path, r"/part-(\d+)-", 1).cast("int") % tasks
 
 
 @dataclass
@@ -252,14 +260,17 @@ class Lake:
 
         Bulk loads (``tasks=None``) are rebalanced by day: adaptive execution cuts
         days larger than the advisory size into several tasks, whatever keys are
-        in them, and joins small ones. A micro-batch is spread over ``tasks`` by
-        round robin instead, or with ``seed`` by random numbers, as a table sharded by ``rand()``. With a given segment name a repeated write replaces
-        the first attempt.
+        in them, and joins small ones. A micro-batch is spread over ``tasks`` shards by
+        round robin instead, or with ``seed`` by random numbers, as a table sharded by ``rand()``. A shard above ``SHARD_TASK_BYTES``
+        is written by several tasks, so that none sorts more however large the load is; their numbers are equal modulo ``tasks``
+        (``shard_of``), and the shard of a row is the same for any number of them. With a given segment name a repeated write
+        replaces the first attempt.
         """
         segment = segment or f"a-{uuid.uuid4().hex}"
         rows = self.table_rows(df, table)
         if tasks:
-            spread = rows.repartition(tasks) if seed is None else rows.repartition(tasks, F.rand(seed))
+            n = tasks * _tasks_per_shard(rows, tasks)
+            spread = rows.repartition(n) if seed is None else rows.repartition(n, F.rand(seed))
             self.save(spread, table, "hot", segment)
         else:
             with settings(df.sparkSession, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": TASK_BYTES}):
@@ -298,6 +309,13 @@ class Lake:
         return segment
 
 
+def _tasks_per_shard(rows: DataFrame, tasks: int) -> int:
+    """From the size of all rows, which takes a pass over them."""
+    width = sum((F.coalesce(plain_bytes(F.col(f"`{f.name}`"), f.dataType), F.lit(0)) for f in rows.schema.fields), F.lit(0))
+    size = rows.agg(F.sum(width.cast("bigint"))).first()[0] or 0
+    return max(1, -(-size // (tasks * SHARD_TASK_BYTES)))
+
+
 def _merged(spans: list[tuple[date, date]]) -> list[tuple[date, date]]:
     """Day ranges that touch or overlap as one."""
     out: list[tuple[date, date]] = []

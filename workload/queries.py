@@ -37,7 +37,7 @@ from tlake.operators.flatten import (
 )
 from tlake.plans import Lake, apply_moves, compact, compact_due, inventory, plan_moves, reports
 from tlake.plans import hadoop
-from tlake.plans.lake import TIERS
+from tlake.plans.lake import TIERS, shard_of
 from tlake.plans.textindex import search_files, update_text_index
 from tlake.session import scratch_dir
 from tlake.sources import (
@@ -692,8 +692,7 @@ def rand_sharding(spark, sf_dir):
     """Rows spread by seeded random numbers: shards, all rows, and whether the largest is within a third of the mean."""
     lake = lake_at(spark, "lake", ["otel_logs"])
     lake.write(fx.logs(spark, sf_dir), "otel_logs", tasks=3, seed=11)
-    shard = F.regexp_extract("path", "part-([0-9]+)", 1)
-    shards = inventory(lake, "otel_logs").groupBy(shard.alias("shard")).agg(F.sum("rows").alias("n"))
+    shards = inventory(lake, "otel_logs").groupBy(shard_of("path", 3).alias("shard")).agg(F.sum("rows").alias("n"))
     return shards.agg(F.count("*").alias("shards"), F.sum("n").alias("rows"), (F.max("n") < F.avg("n") * 4 / 3).alias("even"))
 
 
@@ -869,11 +868,10 @@ def lake_compression_report(spark, sf_dir):
 
 @query
 def lake_balance_report(spark, sf_dir):
-    """Rows over the tasks that wrote them, per table."""
+    """Rows over the shards they were written to, per table."""
     lake = lake_at(spark, "balance", ["otel_logs"])
     lake.write(fx.logs(spark, sf_dir), "otel_logs", tasks=3)
-    shard = F.regexp_extract("path", r"/part-(\d+)-", 1)
-    return reports.balance_report(inventory(lake, "otel_logs"), shard).groupBy("table").agg(
+    return reports.balance_report(inventory(lake, "otel_logs"), shard_of("path", 3)).groupBy("table").agg(
         F.count("*").alias("shards"), F.sum("rows").alias("rows"), (F.max("skew") < 1.1).alias("even")
     )
 
