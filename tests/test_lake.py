@@ -398,6 +398,22 @@ def test_text_index_gives_the_rows_of_the_scan(spark, lake, tmp_path):
     assert spark.read.parquet(f"{index}/*").count() == n
 
 
+def test_text_index_sorts_no_runs(spark, lake, capsys):
+    """Runs are put together in words by hash tables before anything is sorted, and give the bitmaps that the runs give."""
+    texts = spark.range(3000).select(
+        F.concat(F.lit("f"), (F.col("id") % 3).cast("string")).alias("file"),
+        F.when(F.col("id") % 7 > 0, F.concat(F.lit("日本 "), F.md5((F.col("id") % 500).cast("string")))).alias("Body"),
+    )
+    made = textindex.bitmaps(texts, "Body")
+    made.explain()
+    shown = capsys.readouterr().out
+    assert shown.count("HashAggregate(keys=[file") >= 2 and shown.rindex("Sort ") < shown.index("HashAggregate(keys=[file")
+    place = F.explode(textindex._runs(F.col("Body")))
+    plain = texts.select("file", place.alias("p")).groupBy("file", F.bitmap_bucket_number("p").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    assert sorted(rows(made.select("file", "bucket", F.hex("bits")))) == sorted(rows(plain.select("file", "bucket", F.hex("bits"))))
+
+
 def test_text_index_opens_only_candidates(spark, lake, tmp_path):
     index = f"{tmp_path}/index"
     logs = log_rows(spark.range(2000), {"Timestamp_ns": (F.col("id") % 40) * 86_400 * 10**9, "Body": F.concat(F.lit("entry "), F.md5(F.col("id").cast("string")))})

@@ -47,11 +47,32 @@ def _known(lake: Lake, index: str) -> DataFrame | None:
     return _indexed(lake, index) if hadoop.names(lake.spark, index) else None
 
 
+def bitmaps(rows: DataFrame, column: str) -> DataFrame:
+    """file, bucket, bits of the texts of each file.
+
+    Runs first set bits in words of 64, of which a file has at most ``BITS`` / 64: hash tables of that size in the tasks that read
+    it, and as many rows per (task, file) shuffled. A bitmap's own aggregation sorts what it is given, here the
+    places that are set in the words.
+    """
+    at = F.col("place") - 1
+    of_word = F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int"))
+    words = (
+        rows.select("file", F.explode(_runs(F.col(column))).alias("place"))
+        .groupBy("file", F.call_function("div", at, F.lit(64)).alias("word")).agg(F.bit_or(of_word).alias("set"))
+    )
+    is_set = lambda i: F.call_function("shiftright", F.col("set"), i).bitwiseAND(F.lit(1).cast("bigint")) == 1
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), is_set))
+    places = words.select("file", "word", bit.alias("bit")).select("file", (F.col("word") * 64 + F.col("bit") + 1).alias("place"))
+    return places.groupBy("file", F.bitmap_bucket_number("place").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
+    )
+
+
 def update_text_index(lake: Lake, table: str, index: str, column: str = "Body") -> None:
     """Add the sketches of all files of a table that have none yet, as one more part of the sidecar at ``index``.
 
-    Runs are put together per file in the tasks that read it; what is shuffled is 4 KB per (task, file, bitmap). A row
-    without bits says that a file is indexed, also if its texts are all too short.
+    Runs are put together per file in the tasks that read it (``bitmaps``). A row without bits says that a file
+    is indexed, also if its texts are all too short.
     """
     known = _known(lake, index)
     arms = _arms(lake, table)
@@ -59,15 +80,8 @@ def update_text_index(lake: Lake, table: str, index: str, column: str = "Body")
     if known is not None:
         done = [r["file"] for r in known.filter("bucket = 0").select("file").collect()]
         rows = rows.filter(~F.col("file").isin(done)) if done else rows
-    place = F.explode_outer(_runs(F.col(column)))
-    places = rows.select("file", place.alias("place"))
-    bitmaps = (
-        places.filter(F.col("place").isNotNull())
-        .groupBy("file", F.bitmap_bucket_number("place").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-    )
     heads = rows.select("file").distinct().select("file", F.lit(0).cast("bigint").alias("bucket"), F.lit(None).cast("binary").alias("bits"))
-    bitmaps.unionByName(heads).write.parquet(f"{index}/part-{uuid.uuid4().hex}")
+    bitmaps(rows, column).unionByName(heads).write.parquet(f"{index}/part-{uuid.uuid4().hex}")
 
 
 def candidate_files(lake: Lake, table: str, index: str, text: str) -> DataFrame:
