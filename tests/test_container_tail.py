@@ -46,6 +46,21 @@ class Run:
         return sorted(r["Body"] for r in read.select("Body").collect())
 
 
+def test_open_messages_are_found_where_the_batch_lies(spark, tmp_path):
+    """The tasks that read the batch find them, not one task; the table that is left is small."""
+    in_task = F.udf(lambda _: __import__("pyspark").TaskContext.get().partitionId(), "int")
+    parts = F.array(F.struct(F.col("id").alias("line_no"), F.lit(1).cast("bigint").alias("ns"), F.lit("m").alias("msg")))
+    messages = spark.range(0, 800, 1, 8).select(
+        F.col("id").cast("string").alias("source"), F.lit("stdout").alias("stream"), F.lit("f").alias("file_path"),
+        parts.alias("parts"), (F.col("id") % 100 != 0).alias("closed"), in_task("id").alias("carried"),
+    )
+    kept = pipelines.Fragments(str(tmp_path), 100)
+    kept.sink(messages, "query-000000000000")
+    left = kept.before(spark, 1)
+    assert sorted(r[0] for r in left.select("carried").collect()) == list(range(8))
+    assert len(left.inputFiles()) == 1
+
+
 def test_lines_of_any_ranges_are_each_read_once():
     draw = random.Random(3)
     for _ in range(200):

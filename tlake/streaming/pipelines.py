@@ -97,7 +97,8 @@ class Fragments:
         spark, batch_id = messages.sparkSession, int(batch[-12:])
         still_open = messages.filter(~F.col("closed") & (F.col("carried") < self.patience))
         columns = ("source", "stream", "file_path", "parts", "carried")
-        still_open.select(*columns).coalesce(1).write.mode("overwrite").parquet(self.path(batch_id))
+        # The batch is filtered where it lies; only what is left is moved, into as few files as its size allows.
+        still_open.select(*columns).hint("rebalance").write.mode("overwrite").parquet(self.path(batch_id))
         if batch_id >= 2:  # the batch that read it is done
             hadoop.delete(spark, self.path(batch_id - 2))
 
