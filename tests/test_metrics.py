@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from tlake.operators import aggregates, metrics, traces
 from tlake.operators.percentiles import exact_percentiles
+from tlake.session import prepare
 
 T0 = datetime(2024, 1, 1)
 
@@ -295,6 +296,21 @@ def test_restarts_and_shares_equal_plain_code(spark, temporality):
         assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-6 for x in want)
 
 
+def test_steps_by_start_are_not_aggregated_by_sorting(spark, capsys):
+    """Slices are found in the sorted points; tasks get 16 MB of what was shuffled."""
+    metrics.counter_rate_by_start(started(spark, [("a", 1, 10, 5), ("a", 1, 20, 9)])).explain()
+    assert "SortAggregate" not in capsys.readouterr().out
+    assert prepare(spark).conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+
+
+def test_points_of_one_time_and_value_open_and_close_a_slice(spark):
+    same = [("a", 1, 3600, 5), ("a", 1, 3600, 5), ("a", 1, 7300, 8), ("a", 1, 7300, 8), ("b", 1, 50, 4), ("b", 1, 60, 4), ("b", 1, 4000, 6)]
+    got = {(r["attr_key"].split('"')[7], (r["bucket"] - T0).total_seconds() // 3600): (r["increase"], r["n"])
+           for r in metrics.counter_rate_by_start(started(spark, same), "1 hour").collect()}
+    assert [n for _, n in got.values()].count(2) == 3 and abs(sum(x for (k, _), (x, _) in got.items() if k == "a") - 3) < 1e-9
+    assert abs(sum(x for (k, _), (x, _) in got.items() if k == "b") - 2) < 1e-9
+
+
 def test_restart_that_overtakes_the_old_value(spark):
     inc = lambda pts: sum(r["increase"] for r in metrics.counter_rate_by_start(started(spark, pts)).collect())
     assert inc([("a", 1, 10, 5), ("a", 1, 20, 9), ("a", 25, 30, 12)]) == 4 + 12

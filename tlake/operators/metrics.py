@@ -119,19 +119,17 @@ def counter_increase_by_start(df: DataFrame, series: list[str], bucket: str, sli
         F.when((F.col("p.s") > 0) & (F.col("p.s") < F.col("p.t")), F.col("p.s")).otherwise(F.col("p.t")).alias("begin"),
         F.col("p.t").alias("end"), F.col("p.v").alias("amount"),
     )
-    inside = Window.partitionBy(*line, "slice").orderBy("p.t", "p.s", "p.v")
+    inside = Window.partitionBy(*line, "slice").orderBy("p")  # by t, s, v
     steps = points.withColumns({"_prev": F.lag("p").over(inside), "_next": F.lead("p").over(inside)}).withColumn(
         "_step", F.when(delta, of_delta).otherwise(step(F.col("_prev"), F.col("p")))
     )
     within = edge(F.col("_step.begin")) == edge(F.col("_step.end"))
-    slices = steps.groupBy(*line, "slice").agg(
-        F.sum(F.when(within, F.col("_step.amount"))).alias("inside"), F.count("*").alias("n"),
-        F.max(F.when(F.col("_prev").isNull(), F.col("p"))).alias("first"),
-        F.max(F.when(F.col("_next").isNull(), F.col("p"))).alias("last"),
-    )
+    # First and last points of the slices, one row where they are the same: before a first point is the last one of the slice before.
+    opens, closes = F.col("_prev").isNull(), F.col("_next").isNull()
+    ends = steps.filter(~delta & (opens | closes)).select(*line, "slice", "p", opens.alias("_opens"))
     between = (
-        slices.filter(~delta).withColumn("_before", F.lag("last").over(Window.partitionBy(*line).orderBy("slice")))
-        .filter(F.col("_before").isNotNull()).select(*series, step(F.col("_before"), F.col("first")).alias("_step"))
+        ends.withColumn("_before", F.lag("p").over(Window.partitionBy(*line).orderBy("slice", F.desc("_opens"))))
+        .filter(F.col("_opens") & F.col("_before").isNotNull()).select(*series, step(F.col("_before"), F.col("p")).alias("_step"))
     )
     begin, end = F.col("_step.begin"), F.col("_step.end")
     covered = F.sequence(edge(begin), edge(end), width)
@@ -141,8 +139,9 @@ def counter_increase_by_start(df: DataFrame, series: list[str], bucket: str, sli
     share = F.when(begin == end, 1.0).otherwise(
         (F.least(end, F.col("_edge") + width) - F.greatest(begin, F.col("_edge"))) / (end - begin).cast("double")
     )
-    parts = slices.select(
-        *series, time_bucket("slice", bucket).alias("bucket"), F.coalesce("inside", F.lit(0.0)).alias("x"), "n"
+    parts = steps.select(
+        *series, time_bucket("slice", bucket).alias("bucket"),
+        F.coalesce(F.when(within, F.col("_step.amount")), F.lit(0.0)).alias("x"), F.lit(1).cast("bigint").alias("n"),
     ).unionByName(
         spread.select(*series, from_unix_nanos("_edge").alias("bucket"), (F.col("_step.amount") * share).alias("x"), F.lit(0).cast("bigint").alias("n"))
     )
