@@ -14,7 +14,7 @@ from tlake.operators import transforms
 from tlake.operators.flatten import log_rows, otlp_to_logs
 from tlake.sources import read_otlp_logs
 from tlake.sources.tail import TailReader, lines
-from tlake.streaming import pipelines
+from tlake.streaming import as_read, otlp_requests, pipelines
 
 
 def pods(spark):
@@ -234,3 +234,36 @@ def test_typed_archive_keeps_kinds_and_takes_changes(spark, tmp_path, lake):
     assert attributes["log_type"] == {"stringValue": "otel"}  # set by the pipeline
     assert attributes["none"] == {"stringValue": ""} and got["body"] == {"kvlistValue": {"values": []}}
     assert lake.scan("otel_logs").first()["LogAttributes"]["n"] == "9007199254740993"
+
+
+def test_packing_sees_changes_by_the_texts_that_were_read(spark, tmp_path):
+    """With ``as_read`` requests are what they are without: values as they came, changed, added, removed, empty, of no kind."""
+    attributes = [
+        {"key": "n", "value": {"intValue": "5"}}, {"key": "list", "value": {"arrayValue": {"values": [{"boolValue": True}]}}},
+        {"key": "empty", "value": {"stringValue": ""}}, {"key": "none", "value": {}}, {"key": "null"}, {"key": "old", "value": {"intValue": "1"}},
+        {"key": "gone", "value": {"intValue": "2"}}, {"key": "cleared", "value": {"doubleValue": 0.5}},
+    ]
+    records = [{"body": body, "attributes": attributes} for body in ({"intValue": "7"}, {"stringValue": ""}, {}, {"kvlistValue": {"values": []}})]
+    resource = {"attributes": [{"key": "zone", "value": {"intValue": "7"}}, {"key": "of", "value": {"intValue": "8"}}]}
+    (tmp_path / "x.json").write_text(json.dumps({"resourceLogs": [{"resource": resource, "scopeLogs": [{"logRecords": records}]}]}) + "\n")
+    read = otlp_to_logs(read_otlp_logs(spark, f"{tmp_path}/x.json", typed=True))
+
+    def changed(df):
+        df = transforms.upsert_attr(transforms.upsert_attr(df, "LogAttributes", "old", "one"), "LogAttributes", "new", "5")
+        df = df.withColumn("LogAttributes", F.map_filter("LogAttributes", lambda k, _: k != "gone"))
+        df = transforms.upsert_attr(df, "LogAttributes", "cleared", "")
+        df = transforms.upsert_attr(df, "ResourceAttributes", "of", "other")
+        return df.withColumn("Body", F.when(F.col("Body") == "7", "seven").otherwise(F.col("Body")))
+
+    lines = lambda df: sorted(r[0] for r in otlp_requests(df).collect())
+    for step in (lambda df: df, changed):
+        assert lines(step(as_read(read))) == lines(step(read))
+    got = json.loads(lines(changed(as_read(read)))[0])["resourceLogs"][0]
+    values = {a["key"]: a["value"] for a in got["scopeLogs"][0]["logRecords"][0]["attributes"]}
+    assert values == {
+        "n": {"intValue": "5"}, "list": {"arrayValue": {"values": [{"boolValue": True}]}}, "empty": {"stringValue": ""}, "none": {"stringValue": ""},
+        "null": {"stringValue": ""}, "old": {"stringValue": "one"}, "new": {"stringValue": "5"}, "cleared": {"stringValue": ""},
+    }
+    assert {a["key"]: a["value"] for a in got["resource"]["attributes"]} == {"zone": {"intValue": "7"}, "of": {"stringValue": "other"}}
+    assert [r["body"] for r in got["scopeLogs"][0]["logRecords"]] == [
+        {"stringValue": "seven"}, {"stringValue": ""}, {"stringValue": ""}, {"kvlistValue": {"values": []}}]

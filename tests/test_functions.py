@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from tlake import functions as fn
 from tlake import schemas
+from tlake.functions.attributes import VALUE_KINDS
 
 
 def one(spark, *cols):
@@ -83,3 +84,24 @@ def test_missing_keys_spread(spark):
     )
     assert df.select("k").distinct().count() == 1000
     assert df.join(df.select(F.col("l").alias("k")), "k").count() == 0
+
+
+def test_kinds_of_a_value_are_read_at_once(spark, capsys):
+    """One reading of the VARIANT whatever its kind; odd values give what a reading per kind gives."""
+    odd = [
+        "{}", "null", "5", '"x"', "[1, 2]", "true", '{"stringValue":null}', '{"stringValue":null,"intValue":"5"}', '{"stringValue":""}',
+        '{"intValue":5}', '{"intValue":12345678901234567890123}', '{"doubleValue":1e-7}', '{"doubleValue":1e300}', '{"doubleValue":10.0}',
+        '{"boolValue":false}', '{"arrayValue":{}}', '{"arrayValue":{"values":[{"intValue":"1"},null]}}', '{"other":1}',
+        '{"arrayValue":null,"kvlistValue":{"values":[]}}', '{"bytesValue":"YQ==","stringValue":"z"}', '{"bytesValue":"YQ=="}', '{"StringValue":"a"}',
+        '{"other":{"stringValue":"a"},"boolValue":true}', '{"stringValue":{"a":1}}', '{"stringValue":["é\\"",1.50]}',
+    ]
+    df = spark.createDataFrame([(x,) for x in [*odd, None]], "j string").select("j", F.try_parse_json("j").alias("v"))
+    each = {kind: F.try_variant_get("v", f"$.{kind}", "string") for kind in VALUE_KINDS}
+    kinds = F.coalesce(*[F.when(c.isNotNull(), kind) for kind, c in each.items()], F.lit(""))
+    got = df.select("j", fn.value_kind(F.col("v")), kinds, fn.variant_text(F.col("v")), F.coalesce(*each.values())).collect()
+    assert len(got) == len(odd) + 1 and [r for r in got if r[1] != r[2] or r[3] != r[4]] == []
+    assert {r[1] for r in got} == {"", *VALUE_KINDS}
+    for read in (fn.value_kind, fn.variant_text):
+        capsys.readouterr()
+        df.select(read(F.col("v")).alias("out")).explain()
+        assert capsys.readouterr().out.count("try_variant_get") == 1

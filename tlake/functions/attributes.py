@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,12 +50,24 @@ _TYPED = {
 }
 
 
+def _by_kind(v: Column, type_: str, result: Callable[[Column], Column]) -> Column:
+    """``result`` of a struct with a field of the type for each kind. A VARIANT is read once, however often the fields are
+    named: a path that it has not costs Spark an exception, and a value has one kind of seven."""
+    fields = ", ".join(f"{kind}: {type_}" for kind in VALUE_KINDS)
+    return F.get(F.transform(F.array(F.try_variant_get(v, "$", f"struct<{fields}>")), result), 0)
+
+
 def value_kind(v: Column) -> Column:
-    """Which kind a VARIANT value is of, '' when it holds none."""
-    out = F.lit("")
-    for kind in reversed(VALUE_KINDS):
-        out = F.when(F.try_variant_get(v, f"$.{kind}", "string").isNotNull(), F.lit(kind)).otherwise(out)
-    return out
+    """Which kind a VARIANT value is of, '' when it holds none. The value itself is not made into text for that."""
+
+    def first(values: Column) -> Column:
+        out = F.lit("")
+        for kind in reversed(VALUE_KINDS):
+            held = values[kind].isNotNull() & ~F.is_variant_null(values[kind])
+            out = F.when(held, F.lit(kind)).otherwise(out)
+        return out
+
+    return _by_kind(v, "variant", first)
 
 
 def typed_value(v: Column, kind: str) -> Column:
@@ -65,7 +79,7 @@ def typed_value(v: Column, kind: str) -> Column:
 
 def variant_text(v: Column) -> Column:
     """A VARIANT value as text, whatever kind it holds; NULL when it holds none."""
-    return F.coalesce(*[F.try_variant_get(v, f"$.{kind}", "string") for kind in VALUE_KINDS])
+    return _by_kind(v, "string", lambda texts: F.coalesce(*[texts[kind] for kind in VALUE_KINDS]))
 
 
 def attrs_to_values(attrs: Column | str) -> Column:
@@ -84,9 +98,13 @@ def as_value(text: Column) -> Column:
     return F.to_variant_object(F.struct(text.alias("stringValue")))
 
 
-def same_or_text(value: Column, text: Column) -> Column:
-    """The value as it came where the text is still the value's, else the text as a value."""
-    return F.when(variant_text(value) == text, value).otherwise(as_value(text))
+def same_or_text(value: Column, text: Column, came: Column | None = None) -> Column:
+    """The value as it came where the text is still the value's, else the text as a value. ``came`` is the value's text in the
+    tables, where that is known: then only a value with the text '' is read, as one of no kind has that too."""
+    same = variant_text(value) == text
+    if came is not None:
+        same = (came == text) & ((text != "") | same)
+    return F.when(same, value).otherwise(as_value(text))
 
 
 def empty_map() -> Column:

@@ -205,9 +205,10 @@ def otlp_to_logs(df: DataFrame) -> DataFrame:
     if typed:
         # Maps of text are made from those of values; both are columns before anything reads them.
         flat = flat.withColumn("ResourceAttributes", values_text("ResourceValues"))
+        flat = flat.withColumn("LogValues", attrs_to_values("item.attributes"))
         flat = flat.withColumn("ServiceName", map_text("ResourceAttributes", "service.name"))
-        values = ["ResourceValues", attrs_to_values("item.attributes").alias("LogValues"), F.col("item.body").alias("BodyValue")]
-    record = values_text(attrs_to_values("item.attributes")) if typed else attrs_to_map("item.attributes")
+        values = ["ResourceValues", "LogValues", F.col("item.body").alias("BodyValue")]
+    record = values_text("LogValues") if typed else attrs_to_map("item.attributes")
     rows = flat.select(
         "ResourceSchemaUrl", "ResourceAttributes", "ServiceName",
         "ScopeSchemaUrl", "ScopeName", "ScopeVersion", "ScopeAttributes",

@@ -21,24 +21,35 @@ def key_values(m: str | Column) -> Column:
     )
 
 
-def typed_key_values(values: str, m: str) -> Column:
-    """MAP → list of key/value structs with VARIANT values: as they came, where the map still says the same."""
-    value = lambda e: same_or_text(F.try_element_at(F.col(values), e["key"]), e["value"])
+def typed_key_values(values: str, m: str, came: str | None = None) -> Column:
+    """MAP → list of key/value structs with VARIANT values: as they came, where the map still says the same. ``came`` names
+    the map of texts that they came with."""
+    text = lambda e: F.try_element_at(F.col(came), e["key"]) if came else None
+    value = lambda e: same_or_text(F.try_element_at(F.col(values), e["key"]), e["value"], text(e))
     return F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("key"), value(e).alias("value")))
 
 
-def _record(typed: bool) -> Column:
+def as_read(df: DataFrame) -> DataFrame:
+    """Rows as ``otlp_to_logs`` gives them, which remember the texts of their typed values (column ``TextsRead``) for
+    ``packed``: it then sees by them which values later steps have changed, and need not read every value again."""
+    texts = F.struct("ResourceAttributes", "LogAttributes", "Body")
+    return df.withColumn("TextsRead", texts) if "LogValues" in df.columns else df
+
+
+def _record(typed: bool, came: bool) -> Column:
+    body = same_or_text(F.col("BodyValue"), F.col("Body"), F.col("TextsRead.Body") if came else None) if typed else None
+    attributes = typed_key_values("LogValues", "LogAttributes", "TextsRead.LogAttributes" if came else None) if typed else None
     return F.struct(
         F.col("Timestamp_ns").cast("string").alias("timeUnixNano"),
         F.col("ObservedTimestamp_ns").cast("string").alias("observedTimeUnixNano"),
         F.col("SeverityText").alias("severityText"),
         F.col("SeverityNumber").alias("severityNumber"),
-        (same_or_text(F.col("BodyValue"), F.col("Body")) if typed else F.struct(F.col("Body").alias("stringValue"))).alias("body"),
+        (body if typed else F.struct(F.col("Body").alias("stringValue"))).alias("body"),
         F.col("TraceId").alias("traceId"),
         F.col("SpanId").alias("spanId"),
         F.col("TraceFlags").alias("flags"),
         F.col("EventName").alias("eventName"),
-        (typed_key_values("LogValues", "LogAttributes") if typed else key_values("LogAttributes")).alias("attributes"),
+        (attributes if typed else key_values("LogAttributes")).alias("attributes"),
     )
 
 
@@ -51,8 +62,11 @@ def packed(df: DataFrame, rows_per_request: int = ROWS_PER_REQUEST, *also: Colum
     """
     if "ObservedTimestamp_ns" not in df.columns:
         df = df.withColumn("ObservedTimestamp_ns", F.col("Timestamp_ns"))
-    typed = "LogValues" in df.columns
-    attributes = typed_key_values("ResourceValues", "ResourceAttributes") if typed else key_values("ResourceAttributes")
+    typed, came = "LogValues" in df.columns, "TextsRead" in df.columns
+    if typed:
+        attributes = typed_key_values("ResourceValues", "ResourceAttributes", "TextsRead.ResourceAttributes" if came else None)
+    else:
+        attributes = key_values("ResourceAttributes")
     rows = df.select(
         *also,
         F.spark_partition_id().alias("task"),
@@ -65,7 +79,7 @@ def packed(df: DataFrame, rows_per_request: int = ROWS_PER_REQUEST, *also: Colum
             key_values("ScopeAttributes").alias("attributes"),
         ).alias("scope"),
         F.col("ScopeSchemaUrl").alias("scope_url"),
-        _record(typed).alias("record"),
+        _record(typed, came).alias("record"),
     )
     also_names = rows.columns[: len(also)]
     records, of_scope = F.collect_list("record").alias("logRecords"), ("res_url", "scope", "scope_url")

@@ -49,6 +49,7 @@ from tlake.sources.files import is_sample, journal_since, parse_journal, parse_p
 from tlake.sources.otlp import read_request_lines
 from tlake.sources.tail import tail_container_logs
 from tlake.plans import hadoop
+from tlake.streaming.archive import as_read
 from tlake.streaming.sinks import (
     TRIGGER,
     Rejects,
@@ -126,7 +127,7 @@ def records(
     name = "logs/records"
     sinks = [
         only(plain, counted(table_sink(lake, "otel_logs", name, writers))),
-        only(plain, archive_sink(archive, archive_type, name)),
+        only(lambda df: plain(as_read(df)), archive_sink(archive, archive_type, name)),
         only(lambda df: split_sessions(df)[1], counted(table_sink(lake, "sessions", name, writers))),
     ]
     return fan_out(
@@ -142,10 +143,14 @@ def logs(
 ) -> StreamingQuery:
     requests = read_request_lines(spark, src, schemas.OTLP_LOGS_TYPED, **_bounded(options))
     name = "logs"
-    sinks = [counted(table_sink(lake, "otel_logs", name, writers)), archive_sink(archive, archive_type, name)]
+    plain = lambda df: set_log_type(df, "otel", overwrite_type)
+    sinks = [
+        only(plain, counted(table_sink(lake, "otel_logs", name, writers))),
+        only(lambda df: plain(as_read(df)), archive_sink(archive, archive_type, name)),
+    ]
 
     def ordinary(batch: DataFrame, _: int) -> DataFrame:
-        return set_log_type(split_sessions(fix_time(otlp_to_logs(batch.select("req.*")), now))[0], "otel", overwrite_type)
+        return split_sessions(fix_time(otlp_to_logs(batch.select("req.*")), now))[0]
 
     return fan_out(
         requests, sinks, f"{checkpoint}/{name}", name, trigger, ordinary, counters(checkpoint),
