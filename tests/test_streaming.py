@@ -1,12 +1,15 @@
 """Batch and stream give the same tables; batches can be repeated."""
 
+import gzip
 import json
+import pathlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from tlake import schemas
+from tlake import schemas, session
 from tlake.functions import map_text
 from tlake.operators.flatten import archive_logs, log_rows, otlp_to_logs
 from tlake.operators.transforms import fix_time, set_log_type, split_sessions
@@ -14,6 +17,7 @@ from tlake.plans import inventory, reports
 from tlake.sources import read_otlp_logs
 from tlake.streaming import fan_out, otlp_requests, pipelines, write_otlp_archive
 from workload import fixtures as fx
+from workload.queries import REGISTRY
 
 COLS = ["Timestamp_ns", "TraceId", "SpanId", "ServiceName", "Body", "SeverityText"]
 
@@ -171,3 +175,51 @@ def test_units_of_rows(spark, sf_dir, tmp_path):
     lake.write(fx.logs(spark, sf_dir), "otel_logs")
     sizes = [r["rows"] for r in inventory(lake, "otel_logs").collect()]
     assert max(sizes) <= 7 and sum(sizes) == fx.logs(spark, sf_dir).count()
+
+
+def small_tables(spark, folder):
+    """Events of which some come twice, and nations."""
+    spark.sql("""
+        SELECT e AS event_id, timestamp_ntz'2024-01-03 10:00:00' + make_interval(0, 0, 0, 0, 0, 0, e) AS ts, e % 50 AS user_id,
+          element_at(array('view', 'error', 'click'), CAST(e % 3 + 1 AS INT)) AS event_type, e % 90 / 4 AS value, '{"k": ' || e % 9 || '}' AS props
+        FROM (SELECT id AS e FROM range(0, 2000, 1, 2) UNION ALL SELECT id * 100 FROM range(20)) AS t
+    """).withColumn("value", F.col("value").cast("double")).write.parquet(f"{folder}/events.parquet")
+    spark.sql("SELECT CAST(id AS INT) AS n_nationkey, 'N' || id AS n_name, CAST(id % 3 AS INT) AS n_regionkey FROM range(8)").write.parquet(f"{folder}/nation.parquet")
+
+
+def test_input_and_archive_of_odd_lines_are_packed(spark, tmp_path, monkeypatch):
+    """Each of them in many small files; they hold the lines they held, and the same ones are rejected."""
+    small_tables(spark, tmp_path)
+    monkeypatch.setattr(fx, "PACKED_FILE_LINES", 700)
+    monkeypatch.setattr(session, "shared_root", lambda _: f"{tmp_path}/shared")
+    got = REGISTRY["rejected_lines"](spark, str(tmp_path)).groupBy("pipeline", "line").count()
+    ids = [*range(2000), *range(0, 2000, 100)]
+    expected = Counter()
+    for e in ids:
+        if e % 7 == 0:
+            expected.update([(p, f'{{"broken {e}') for p in ("logs/records", "traces", "metrics", "logs/journal")] + [("logs/container", f"odd line {e}")])
+        elif e % 7 == 1:
+            expected.update([(p, f'{{"x":{e}}}') for p in ("logs/records", "traces", "metrics")])
+    assert {(r["pipeline"], r["line"]): r["count"] for r in got.collect()} == expected
+    scratch = tmp_path / "shared" / "tlake"
+    for name in ("logs", "traces", "metrics", "journal"):
+        files = [*scratch.glob(f"{name}-*/part-*")]
+        texts = [gzip.decompress(f.read_bytes()) for f in files if f.name.endswith(".txt.gz")]
+        assert len(texts) == len(files) and max(t.count(b"\n") for t in texts) <= 700
+        assert sum(f.stat().st_size for f in files) < sum(map(len, texts)) / 4
+        if name != "logs":
+            assert sum(t.count(b"\n") for t in texts) == len(ids) + sum(e % 7 < 2 for e in ids)
+    for name in ("otel", "k8s", "journal"):
+        files = [*scratch.glob(f"out-*/{name}/*/part-*")]
+        assert files and all(f.name.endswith(".json.gz") for f in files)
+
+
+def test_packed_archive_holds_the_same(spark, sf_dir, lake, tmp_path):
+    src, read = archive(spark, sf_dir, tmp_path), {}
+    for kind, pack in ((None, True), (None, False), ("otel", True)):
+        out = f"{tmp_path}/out-{kind}-{pack}"
+        pipelines.logs(spark, src, lake, out, f"{out}-cp", None, fx.AS_OF, archive_type=kind, pack=pack).awaitTermination()
+        files = [f.name for f in pathlib.Path(out).rglob("part-*")]
+        assert files and all(f.endswith(".json.gz" if pack else ".json") for f in files)
+        read[kind, pack] = sorted(rows(archive_logs(read_otlp_logs(spark, out))), key=str)
+    assert read[None, True] == read[None, False] == read["otel", True]

@@ -12,6 +12,9 @@ from tlake.session import settings
 
 ROWS_PER_REQUEST = 1000
 
+# Writer options of packed text, at a level that costs little time. Readers go by the name of the file.
+PACKED_TEXT = {"compression": "gzip", "zlib.compress.level": "THREE"}
+
 
 def key_values(m: str | Column) -> Column:
     """MAP → list of key/value structs."""
@@ -102,16 +105,16 @@ def otlp_requests(df: DataFrame, rows_per_request: int = ROWS_PER_REQUEST) -> Da
 
 
 def write_otlp_archive(
-    df: DataFrame, root: str, archive_type: str = "unknown", segment: str | None = None
+    df: DataFrame, root: str, archive_type: str = "unknown", segment: str | None = None, **options: str
 ) -> str:
     """Archive log rows below ``<root>/<archive_type>/<segment>``; a repeated write of a
-    segment replaces the first attempt."""
+    segment replaces the first attempt. ``options`` are the writer's, such as ``PACKED_TEXT``."""
     path = f"{root.rstrip('/')}/{archive_type or 'unknown'}/{segment or uuid.uuid4().hex}"
-    packed(df).write.mode("overwrite").json(path)
+    packed(df).write.mode("overwrite").options(**options).json(path)
     return path
 
 
-def write_archive_by_type(df: DataFrame, root: str, segment: str | None = None) -> str:
+def write_archive_by_type(df: DataFrame, root: str, segment: str | None = None, **options: str) -> str:
     """Archive log rows below ``<root>/log_type=<type>/seg=<segment>``, where the type is the attribute ``log_type`` of each
     record's resource, ``unknown`` where that is absent or empty. Types come from the data; a repeated write of a segment
     replaces the first attempt, type by type. Read one type with ``read_otlp_logs(spark, f"{root}/log_type=<type>", typed=True)``.
@@ -120,5 +123,5 @@ def write_archive_by_type(df: DataFrame, root: str, segment: str | None = None)
     kind = F.coalesce(F.nullif(map_text("ResourceAttributes", "log_type"), F.lit("")), F.lit("unknown"))
     requests = packed(df, ROWS_PER_REQUEST, kind.alias("log_type")).withColumn("seg", F.lit(segment))
     with settings(df.sparkSession, {"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
-        requests.write.mode("overwrite").partitionBy("log_type", "seg").json(root)
+        requests.write.mode("overwrite").options(**options).partitionBy("log_type", "seg").json(root)
     return segment

@@ -16,7 +16,7 @@ from tlake.functions.scalar import bucket_micros
 from tlake.plans import hadoop
 from tlake.plans.lake import Lake
 from tlake.plans.reports import backlog
-from tlake.streaming.archive import write_archive_by_type, write_otlp_archive
+from tlake.streaming.archive import PACKED_TEXT, write_archive_by_type, write_otlp_archive
 
 #: A sink writes a batch under the name it is given; it may return ``{"rows": n, "bytes": n}`` of what it wrote.
 Sink = Callable[[DataFrame, str], object]
@@ -64,11 +64,12 @@ def counted(sink: Sink, column: str = "Body") -> Sink:
     return run
 
 
-def archive_sink(root: str, archive_type: str | None, name: str) -> Sink:
-    """Without ``archive_type`` each record goes below the ``log_type`` of its resource."""
+def archive_sink(root: str, archive_type: str | None, name: str, pack: bool = False) -> Sink:
+    """Without ``archive_type`` each record goes below the ``log_type`` of its resource. ``pack`` writes ``.json.gz``."""
+    options = PACKED_TEXT if pack else {}
     if archive_type is None:
-        return lambda df, batch: write_archive_by_type(df, root, segment(name, batch))
-    return lambda df, batch: write_otlp_archive(df, root, archive_type, segment(name, batch))
+        return lambda df, batch: write_archive_by_type(df, root, segment(name, batch), **options)
+    return lambda df, batch: write_otlp_archive(df, root, archive_type, segment(name, batch), **options)
 
 
 @dataclass

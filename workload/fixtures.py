@@ -18,7 +18,7 @@ from tlake.operators.flatten import log_rows
 from tlake.operators.percentiles import exact_percentiles
 from tlake.plans import hadoop
 from tlake.session import prepare, scratch_dir
-from tlake.streaming.archive import key_values
+from tlake.streaming.archive import PACKED_TEXT, key_values
 
 BOUNDS = [5.0, 10.0, 25.0, 50.0, 100.0, 250.0]
 AS_OF = "2024-02-05 12:00:00"
@@ -478,6 +478,17 @@ def odd_container_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return container_lines(spark, sf_dir).select("value", "file_path", "line_no").unionByName(odd)
 
 
+# A packed file is read by one task, so files have at most so many lines.
+PACKED_FILE_LINES = 50_000
+# Streams count bytes as they are stored: packed, these are about 1 GiB of lines, the batches of a pipeline's own limit.
+PACKED_BATCH = {"maxBytesPerTrigger": str(96 << 20)}
+
+
+def packed_lines(lines: DataFrame, root: str) -> None:
+    """Add lines (column ``value``) to a folder of packed text files."""
+    lines.write.mode("append").options(maxRecordsPerFile=PACKED_FILE_LINES, **PACKED_TEXT).text(root)
+
+
 def log_files(lines: DataFrame, root: str) -> list[str]:
     """Write lines as files with the names a node gives them, each in line order; returns their paths. Spark writes one file
     per name, which is then given that name."""

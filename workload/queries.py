@@ -1132,27 +1132,26 @@ def ingest_counters(spark, sf_dir):
 
 
 def _odd_input(spark, sf_dir):
-    """Five pipelines under one checkpoint root, with lines among their input that none of them can read."""
+    """Five pipelines under one checkpoint root, with lines among their input that none of them can read. Each starts when its
+    input is there."""
     cp, out = scratch_dir(spark, "cp"), scratch_dir(spark, "out")
-    lake = lake_at(spark, "lake")
+    lake, pods = lake_at(spark, "lake"), fx.pods(spark, sf_dir)
     odd = fx.odd_lines(spark, sf_dir).select("value")
-    src = {}
-    for name, lines in {
-        "logs": otlp_requests(fx.logs(spark, sf_dir)), "traces": fx.span_requests(fx.spans(spark, sf_dir)),
-        "metrics": fx.metric_requests({"gauge": fx.gauge(spark, sf_dir)}), "journal": fx.journal_lines(spark, sf_dir),
-    }.items():
-        src[name] = scratch_dir(spark, name)
-        lines.toDF("value").write.text(src[name])
-        odd.write.mode("append").text(src[name])
-    pods = fx.pods(spark, sf_dir)
-    fx.log_files(fx.odd_container_lines(spark, sf_dir), f"{out}-pods")
-    for run in (
-        pipelines.records(spark, src["logs"], lake, out, cp, None, fx.AS_OF),
-        pipelines.traces(spark, src["traces"], lake, cp, None),
-        pipelines.metrics(spark, src["metrics"], lake, cp, None),
-        pipelines.journal(spark, src["journal"], pods, out, cp, None, None),
-        pipelines.container(spark, f"{out}-pods/*/*/*.log", pods, out, cp, None),
+    runs = []
+    batch = fx.PACKED_BATCH
+    for name, lines, run in (
+        ("logs", otlp_requests(fx.logs(spark, sf_dir)), lambda src: pipelines.records(spark, src, lake, out, cp, None, fx.AS_OF, pack=True, **batch)),
+        ("traces", fx.span_requests(fx.spans(spark, sf_dir)), lambda src: pipelines.traces(spark, src, lake, cp, None, **batch)),
+        ("metrics", fx.metric_requests({"gauge": fx.gauge(spark, sf_dir)}), lambda src: pipelines.metrics(spark, src, lake, cp, None, **batch)),
+        ("journal", fx.journal_lines(spark, sf_dir), lambda src: pipelines.journal(spark, src, pods, out, cp, None, None, pack=True, **batch)),
     ):
+        src = scratch_dir(spark, name)
+        for part in (lines.toDF("value"), odd):
+            fx.packed_lines(part, src)
+        runs.append(run(src))
+    fx.log_files(fx.odd_container_lines(spark, sf_dir), f"{out}-pods")
+    runs.append(pipelines.container(spark, f"{out}-pods/*/*/*.log", pods, out, cp, None, pack=True))
+    for run in runs:
         run.awaitTermination()
     return cp
 
