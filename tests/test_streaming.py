@@ -3,6 +3,7 @@
 import gzip
 import json
 import pathlib
+import time
 from collections import Counter
 
 import pytest
@@ -223,3 +224,19 @@ def test_packed_archive_holds_the_same(spark, sf_dir, lake, tmp_path):
         assert files and all(f.endswith(".json.gz" if pack else ".json") for f in files)
         read[kind, pack] = sorted(rows(archive_logs(read_otlp_logs(spark, out))), key=str)
     assert read[None, True] == read[None, False] == read["otel", True]
+
+
+def test_shuffled_files_go_with_the_batch(spark, sf_dir, lake, tmp_path):
+    """What a batch's writes have shuffled is deleted when they end, not when the driver's memory is next cleaned."""
+    folders = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {f for d in folders for f in pathlib.Path(d).rglob("shuffle_*")}
+    src = archive(spark, sf_dir, tmp_path)
+    before = shuffled()
+    pipelines.logs(spark, src, lake, f"{tmp_path}/out", f"{tmp_path}/cp", None, fx.AS_OF).awaitTermination()
+    fx.packed_lines(otlp_requests(fx.logs(spark, sf_dir)), f"{tmp_path}/lines")
+    fx.log_files(fx.odd_container_lines(spark, sf_dir), f"{tmp_path}/pods")
+    until = time.monotonic() + 20
+    while (left := shuffled() - before) and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not left
+    assert lake.scan("otel_logs").count() == archive_logs(read_otlp_logs(spark, f"{tmp_path}/out/otel")).count() > 0

@@ -24,6 +24,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }
 
+# For jobs that write: what they shuffle is deleted when they end. Otherwise it stays until the driver's memory is next cleaned,
+# which takes up to half an hour, and is added up until then.
+SHUFFLES_GO = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
 
 def build(master: str = "local[*]", app: str = "tlake", **conf: str) -> SparkSession:
     """A session for tests and the benchmark; on a cluster use the one given."""

@@ -16,6 +16,7 @@ from tlake.functions.scalar import bucket_micros
 from tlake.plans import hadoop
 from tlake.plans.lake import Lake
 from tlake.plans.reports import backlog
+from tlake.session import SHUFFLES_GO
 from tlake.streaming.archive import PACKED_TEXT, write_archive_by_type, write_otlp_archive
 
 #: A sink writes a batch under the name it is given; it may return ``{"rows": n, "bytes": n}`` of what it wrote.
@@ -140,7 +141,8 @@ def fan_out(
             ids.append(json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"])
         written = f"{ids[0]}-{batch_id:012d}"
         # Streaming sessions come with adaptive execution off; the writes here are batch jobs.
-        batch.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
+        for k, v in {"spark.sql.adaptive.enabled": "true", **SHUFFLES_GO}.items():
+            batch.sparkSession.conf.set(k, v)
         began, read, given = time.monotonic(), Observation(), batch
         if counters:
             refused = F.count_if(rejects.condition) if rejects else F.count_if(F.lit(False))

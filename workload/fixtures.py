@@ -17,7 +17,7 @@ from tlake.functions import empty_map, epoch_micros, time_bucket, unix_nanos, un
 from tlake.operators.flatten import log_rows
 from tlake.operators.percentiles import exact_percentiles
 from tlake.plans import hadoop
-from tlake.session import prepare, scratch_dir
+from tlake.session import SHUFFLES_GO, prepare, scratch_dir, settings
 from tlake.streaming.archive import PACKED_TEXT, key_values
 
 BOUNDS = [5.0, 10.0, 25.0, 50.0, 100.0, 250.0]
@@ -480,13 +480,14 @@ def odd_container_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # A packed file is read by one task, so files have at most so many lines.
 PACKED_FILE_LINES = 50_000
-# Streams count bytes as they are stored: packed, these are about 1 GiB of lines, the batches of a pipeline's own limit.
-PACKED_BATCH = {"maxBytesPerTrigger": str(96 << 20)}
+# Streams count bytes as they are stored: packed, these are 1 to 2 GiB of lines, no less than a pipeline's own limit.
+PACKED_BATCH = {"maxBytesPerTrigger": str(144 << 20)}
 
 
 def packed_lines(lines: DataFrame, root: str) -> None:
     """Add lines (column ``value``) to a folder of packed text files."""
-    lines.write.mode("append").options(maxRecordsPerFile=PACKED_FILE_LINES, **PACKED_TEXT).text(root)
+    with settings(lines.sparkSession, SHUFFLES_GO):
+        lines.write.mode("append").options(maxRecordsPerFile=PACKED_FILE_LINES, **PACKED_TEXT).text(root)
 
 
 def log_files(lines: DataFrame, root: str) -> list[str]:
@@ -494,11 +495,12 @@ def log_files(lines: DataFrame, root: str) -> list[str]:
     per name, which is then given that name."""
     spark = lines.sparkSession
     staged = scratch_dir(spark, "staged")
-    (
-        lines.select("value", F.regexp_extract("file_path", "/var/log/pods/(.*)", 1).alias("name"), "line_no")
-        .repartition("name").sortWithinPartitions("name", "line_no").drop("line_no")
-        .write.partitionBy("name").text(staged)
-    )
+    with settings(spark, SHUFFLES_GO):
+        (
+            lines.select("value", F.regexp_extract("file_path", "/var/log/pods/(.*)", 1).alias("name"), "line_no")
+            .repartition("name").sortWithinPartitions("name", "line_no").drop("line_no")
+            .write.partitionBy("name").text(staged)
+        )
     paths = []
     for folder in hadoop.names(spark, staged):
         for part in hadoop.names(spark, f"{staged}/{folder}") if folder.startswith("name=") else []:
